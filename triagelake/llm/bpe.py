@@ -15,7 +15,8 @@ from .common import Memo, table
 
 #: White space as the vocabulary's patterns have it.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-NONE = 1 << 60
+#: Above every rank; and how many nodes each node of the tree is over.
+NONE, FAN = 1 << 40, 16
 
 
 def byte_letters() -> list[str]:
@@ -25,14 +26,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-def rank_tree(values: list[int]) -> tuple[list[int], int]:
-    """Segment tree of minima over ``values``, the root at 1, and the place of its first leaf."""
-    first = 1 << max(0, (len(values) - 1).bit_length())
-    node = [NONE] * first + values + [NONE] * (first - len(values))
-    for i in range(first - 1, 0, -1):
-        a, b = node[2 * i], node[2 * i + 1]
-        node[i] = a if a < b else b
-    return node, first
+def rank_tree(leaves: list[int]) -> list[list[int]]:
+    """Levels of a segment tree of minima over ``leaves``, each node over FAN nodes below; the last level is the root."""
+    levels = [leaves]
+    while len(levels) == 1 or len(leaves) > 1:
+        leaves = [min(leaves[x : x + FAN]) for x in range(0, len(leaves), FAN)]
+        levels.append(leaves)
+    return levels
 
 
 class WordBpe:
@@ -56,49 +56,46 @@ class WordBpe:
         self.words = regex.compile(split.replace(r"\s", SPACE)).findall
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.of_word, self.of_chunk = Memo(self.encode_word, 150_000), Memo(self.encode_chunk)
+        self.of_word, self.of_chunk = Memo(self.encode_word), Memo(self.encode_chunk, 500_000)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the leftmost pair of lowest rank until none is left.
 
         A leaf of the tree has rank * n + position of the pair that starts there, so that the root is the leftmost lowest
-        pair. Every merge changes three leaves, each with one walk towards the root.
+        pair. Every merge changes three leaves, whose paths to the root are walked together, level by level.
         """
         n = len(ids)
         if n < 2:
             return ids
-        rank, merged = self.ranks.get, self.merged
+        rank, merged, none = self.ranks.get, self.merged, NONE * n
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        node, first = rank_tree([r * n + i if (r := rank(p, -1)) >= 0 else NONE for i, p in enumerate(zip(ids, ids[1:]))])
-        while (top := node[1]) < NONE:
+        leaf, *upper = rank_tree([rank(p, NONE) * n + i for i, p in enumerate(zip(ids, ids[1:]))])
+        root = upper[-1]
+        while (top := root[0]) < none:
             r, i = divmod(top, n)
-            j, h = after[i], before[i]
+            j, low = after[i], before[i]
             new = ids[i] = merged[r]
             ids[j] = -1
             k = after[i] = after[j]
-            changed = []
+            high = i
             if k >= 0:
                 before[k] = i
-                changed.append((j, NONE))
-                r = rank((new, ids[k]), -1)
+                leaf[j] = none
+                leaf[i] = rank((new, ids[k]), NONE) * n + i
+                high = j
             else:
-                r = -1
-            changed.append((i, r * n + i if r >= 0 else NONE))
-            if h >= 0:
-                r = rank((ids[h], new), -1)
-                changed.append((h, r * n + h if r >= 0 else NONE))
-            for at, value in changed:
-                at += first
-                if node[at] != value:
-                    node[at] = value
-                    while at > 1:
-                        a = node[at ^ 1]
-                        if a < value:
-                            value = a
-                        at >>= 1
-                        if node[at] == value:
-                            break
-                        node[at] = value
+                leaf[i] = none
+            if low >= 0:
+                leaf[low] = rank((ids[low], new), NONE) * n + low
+            else:
+                low = i
+            below = leaf
+            for level in upper:
+                low //= FAN
+                high //= FAN
+                for x in range(low, high + 1):
+                    level[x] = min(below[x * FAN : x * FAN + FAN])
+                below = level
         return [x for x in ids if x >= 0]
 
     def encode_word(self, word: str) -> list[int]:
@@ -107,8 +104,8 @@ class WordBpe:
 
     def encode_chunk(self, chunk: str) -> tuple[str, str, int]:
         """Decimal ids and decoded tokens of what stands between white space, each joined by spaces, and their number."""
-        clean = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        ids = [i for w in self.words(clean) for i in self.of_word[w]]
+        clean = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        ids = self.of_word[clean] if clean.isalpha() else [i for w in self.words(clean) for i in self.of_word[w]]
         return " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), len(ids)
 
     def pieces(self, text: str | None) -> list[tuple[str, str, int]]:
@@ -157,12 +154,13 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def encode(batches):
         bpe = tokenizer(path)
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8")).hexdigest()
+        sha = lambda joined: hashlib.sha256(joined.encode("utf-8")).hexdigest()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                got = [p for p in bpe.pieces(text.as_py()) if p[2]]
-                rows.append((sum(p[2] for p in got), sha(p[0] for p in got), sha(p[1] for p in got)))
+            for text in batch["text"].to_pylist():
+                pieces = bpe.pieces(text)
+                ids, tokens, n = zip(*pieces) if pieces else ((), (), ())
+                rows.append((sum(n), sha(" ".join(ids)), sha(" ".join(tokens))))
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
