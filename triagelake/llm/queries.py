@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding, topk, vectors
+from . import bpe, langid, mixing, quality, sharding, shingles, tokencount, topk, toxicity, vectors
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
     "op2_bpe": bpe.query,
+    "op3_language_id": langid.query,
+    "op4_token_counts": tokencount.query,
     "op5_source_mixing": mixing.query,
     "op6_embedding_near_dedup": vectors.query,
     "op7_hilbert_sharding": sharding.query,
+    "op8_toxicity": toxicity.query,
+    "op9_quality": quality.query,
+    "op10_ngram_jaccard_join": shingles.query,
 }
 
 SQL = {
