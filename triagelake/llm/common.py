@@ -99,10 +99,14 @@ def block_forest(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list
         frontier = np.array([start])
         while len(frontier):
             new = np.flatnonzero(linked[frontier].any(axis=0) & right)
+            if not len(new):
+                break
             right[new] = False
             by = frontier[linked[np.ix_(frontier, new)].argmax(axis=0)]
             out += zip(rows[by].tolist(), cols[new].tolist())
             back = np.flatnonzero(linked[:, new].any(axis=1) & left)
+            if not len(back):
+                break
             left[back] = False
             by = new[linked[np.ix_(back, new)].argmax(axis=1)]
             out += zip(rows[back].tolist(), cols[by].tolist())
