@@ -8,12 +8,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, components, cut, table, words_of
+from .common import Memo, block_forest, components, cut, table, words_of
 
 WORDS, PERCENT = 5, 75
 #: Shingles that are put last in every prefix: at most so many, the most frequent ones. Only speed depends on them.
 COMMON = 1 << 16
-CHUNK, BUCKET, SMALL_RUN, CENTRES = 1_500_000, 1_000_000, 8, 4
+CHUNK, BUCKET, SMALL_RUN, BLOCK = 1_500_000, 1_000_000, 8, 512
 #: Up to so many ids (16 MB) are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -188,11 +188,10 @@ def tokens(docs: DataFrame, common, buckets: int) -> DataFrame:
 
 
 def matches(group: pa.Table) -> pa.Table:
-    """Pairs of sets that have a sketch word in common; of words that many sets have, also who has them (as ``run``).
+    """Pairs (x, y) of sets that have a sketch word in common; of words that many sets have, members (x, centre).
 
-    Runs up to SMALL_RUN give all their pairs. Of longer ones, one centre meets every other and neighbours by size meet;
-    a hash of the word picks one of CENTRES orders, whose first set is the centre, so that the many words of a large
-    group bring few centres. ``join`` comes back to the runs that this does not connect.
+    Runs up to SMALL_RUN give all their pairs. The sets of a longer one are members of a group, named by the one with the
+    least hash; the many words of near copies name few groups, which ``join`` compares inside blocks.
     """
     token, sid, size = [], [], []
     for row in group.to_pylist():
@@ -205,7 +204,7 @@ def matches(group: pa.Table) -> pa.Table:
     order = np.argsort(token, kind="stable")
     again = token[order][1:] == token[order][:-1]
     order = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])]
-    order = order[np.lexsort((sid[order], size[order], token[order]))]
+    order = order[np.lexsort((mixed(sid[order].view(np.uint64)), token[order]))]
     token, sid, size = token[order], sid[order], size[order]
     if len(token):
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
@@ -214,31 +213,105 @@ def matches(group: pa.Table) -> pa.Table:
     length = np.diff(starts, append=len(token))
     first, run_length = np.repeat(starts, length), np.repeat(length, length)
     at = np.arange(len(token))
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for apart in range(1, SMALL_RUN):
         i = at[: max(0, len(at) - apart)]
-        i = i[(first[i] == first[i + apart]) & ((run_length[i] <= SMALL_RUN) | (apart == 1))]
+        i = i[(first[i] == first[i + apart]) & (run_length[i] <= SMALL_RUN)]
         left.append(i)
         right.append(i + apart)
-    if (long := np.flatnonzero(length > SMALL_RUN)).size:
-        rank = mixed(mixed(token % np.uint64(CENTRES)) ^ sid.view(np.uint64))
-        by_rank = np.lexsort((rank, first))
-        i = at[run_length > SMALL_RUN]
-        centre = np.repeat(by_rank[starts[long]], length[long])
-        left.append(centre[centre != i])
-        right.append(i[centre != i])
     left, right = np.concatenate(left), np.concatenate(right)
     fits = np.minimum(size[left], size[right]) * 100 >= np.maximum(size[left], size[right]) * PERCENT
     pairs = np.unique(np.sort(np.stack([sid[left[fits]], sid[right[fits]]], axis=1), axis=1), axis=0)
     many = at[run_length > SMALL_RUN]
-    k, m = len(pairs), len(many)
-    columns = (
-        [*pairs[:, 0].tolist(), *sid[many].tolist()],
-        [*pairs[:, 1].tolist(), *[None] * m],
-        [*[None] * k, *token[many].view(np.int64).tolist()],
-        [*[None] * k, *size[many].tolist()],
-    )
-    return pa.table(dict(zip(("x", "y", "run", "size"), (pa.array(c, pa.int64()) for c in columns))))
+    members = np.unique(np.stack([sid[many], sid[first[many]]], axis=1), axis=0)
+    x = pa.array(np.concatenate([pairs[:, 0], members[:, 0]]))
+    y = pa.array([*pairs[:, 1].tolist(), *[None] * len(members)], pa.int64())
+    centre = pa.array([*[None] * len(pairs), *members[:, 1].tolist()], pa.int64())
+    return pa.table({"x": x, "y": y, "centre": centre})
+
+
+def sketch_distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Hamming distances of all pairs of two lists of dense sketches."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    lengths = [np.array([len(s) for s in side]) for side in (left, right)]
+    for a in np.unique(lengths[0]):
+        for b in np.unique(lengths[1]):
+            width = min(a, b) // 8
+            at, to = np.flatnonzero(lengths[0] == a), np.flatnonzero(lengths[1] == b)
+            x, y = (np.frombuffer(b"".join(side[k] for k in which), np.uint64).reshape(len(which), -1, width) for side, which in ((left, at), (right, to)))
+            x, y = np.bitwise_xor.reduce(x, axis=1), np.bitwise_xor.reduce(y, axis=1)
+            step = max(1, 4_000_000 // (len(to) * width))
+            for k in range(0, len(at), step):
+                out[np.ix_(at[k : k + step], to)] = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+    return out
+
+
+def possible(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the two blocks in a grouped table: row numbers of each, which pairs may be similar, and sketch distances."""
+    i, j, block, n = (group[c].to_numpy() for c in ("i", "j", "block", "n"))
+    sketches = group["sketch"].to_pylist()
+    left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+    far = sketch_distances([sketches[k] for k in left], [sketches[k] for k in right])
+    a, b = n[left][:, None], n[right][None, :]
+    near = (far * (100 + PERCENT) <= (a + b) * (100 - PERCENT)) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * PERCENT)
+    return left, right, near & (left[:, None] < right[None, :] if i[0] == j[0] else True), far
+
+
+def likely(group: pa.Table) -> pa.Table:
+    """Of the pairs that may be similar: each row's nearest, and as many more as connect what they all connect."""
+    sid = group["sid"].to_numpy()
+    left, right, near, far = possible(group)
+    masked = np.where(near, far, np.iinfo(np.int64).max)
+    some, other = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    edges = [*zip(sid[left[some]], sid[right[masked[some].argmin(axis=1)]])] if len(some) else []
+    edges += zip(sid[left[masked[:, other].argmin(axis=0)]], sid[right[other]]) if len(other) else []
+    edges += block_forest(near, sid[left], sid[right])
+    pairs = np.unique(np.sort(np.array(edges, np.int64).reshape(-1, 2), axis=1), axis=0)
+    return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+
+def unsettled(group: pa.Table) -> pa.Table:
+    """The rows of a pair of blocks that may be similar to a row of another component."""
+    root = group["root"].to_numpy()
+    left, right, near, _ = possible(group)
+    near &= root[left][:, None] != root[right][None, :]
+    rows = np.concatenate([left[near.any(axis=1)], right[near.any(axis=0)]])
+    return group.take(pa.array(np.unique(rows))).select(["centre", "i", "j", "block", "sid", "n", "sketch", "root"])
+
+
+def settled(group: pa.Table) -> pa.Table:
+    """Pairs that are similar and join two components, by the sets themselves, the nearest sketches first."""
+    sid, root, n = (group[c].to_numpy() for c in ("sid", "root", "n"))
+    sets = [np.asarray(s) for s in group["shingles"].to_pylist()]
+    left, right, near, far = possible(group)
+    near &= root[left][:, None] != root[right][None, :]
+    at, to = np.nonzero(near)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    edges = []
+    for k in np.argsort(far[at, to], kind="stable"):
+        a, b = left[at[k]], right[to[k]]
+        x, y = top(int(root[a])), top(int(root[b]))
+        if x != y:
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= PERCENT * (n[a] + n[b] - both):
+                above[max(x, y)] = min(x, y)
+                edges.append((int(sid[a]), int(sid[b])))
+    pairs = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members (centre, ...) dealt to every pair of blocks of their group: block, i, j. No block has many more than BLOCK."""
+    counts = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("centre", "of")
+    dealt = members.join(counts, F.col("centre") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).drop("of", "blocks", "with")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -261,6 +334,14 @@ def near_in_sketch(batches):
         yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
+def built(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, shingles) of the wanted set ids, from one document of each; sets has (sid, rep)."""
+    wanted = cut(wanted.distinct().join(sets.select("sid", "rep"), "sid"))
+    ids = wanted.select(F.col("rep").alias("doc_id"))
+    texts = docs.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return cut(sets_of(texts).join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
+
+
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) of set ids whose sets share PERCENT of their union or more; sets has (sid, n, sketch, rep).
 
@@ -269,13 +350,9 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     x = sets.select(F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("sketch").alias("sketch_x"))
     y = sets.select(F.col("sid").alias("y"), F.col("n").alias("n_y"), F.col("sketch").alias("sketch_y"))
     pairs = cut(pairs.join(x, "x").join(y, "y").mapInArrow(near_in_sketch, "x long, y long"))
-    wanted = cut(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(sets.select("sid", "rep"), "sid"))
-    few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("rep").alias("doc_id"))
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    built = cut(sets_of(texts).join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
-    x = built.select(F.col("sid").alias("x"), F.col("shingles").alias("of_x"))
-    y = built.select(F.col("sid").alias("y"), F.col("shingles").alias("of_y"))
+    known = built(docs, sets, pairs.select(F.col("x").alias("sid")).union(pairs.select("y")))
+    x = known.select(F.col("sid").alias("x"), F.col("shingles").alias("of_x"))
+    y = known.select(F.col("sid").alias("y"), F.col("shingles").alias("of_y"))
     both = F.size(F.array_intersect("of_x", "of_y"))
     return pairs.join(x, "x").join(y, "y").where(100 * both >= PERCENT * (F.size("of_x") + F.size("of_y") - both)).select("x", "y")
 
@@ -285,8 +362,9 @@ def join(docs: DataFrame) -> DataFrame:
 
     First pass: set sizes, hashes, dense sketches, and the most common shingles (which only order the sketch words).
     Second pass: each distinct set's sketch words, shuffled as packed arrays; sets that share a word are candidates. Of
-    these, the Hamming distance of the dense sketches drops what can't be similar, and the sets decide exactly. Words that more than SMALL_RUN sets have give a spanning choice of pairs at first;
-    if what these link leaves such a run in several components, all its pairs between components are verified too.
+    these, the Hamming distance of the dense sketches drops what can't be similar, and the sets decide exactly. Words
+    that more than SMALL_RUN sets have make groups, compared block against block by dense sketches: at first a choice of
+    pairs that connects all that may be similar is verified, then every possible pair that this left in two components.
 
     Null and empty texts have no shingles and link with nothing; equal texts are one set and in one component, whatever
     their number. Null ids take no part (component null). Repeated rows each get their result. Empty tables give an
@@ -300,19 +378,20 @@ def join(docs: DataFrame) -> DataFrame:
     rows = seen.where("df is null").select("doc_id", "n", "sid")
     sets = seen.where("df is null and n > 0 and doc_id is not null").groupBy("sid", "n", "sketch").agg(F.min("doc_id").alias("rep"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    found = tokens(some, common, int(total * 0.4 // BUCKET) + 1).groupBy("bucket").applyInArrow(matches, "x long, y long, run long, size long")
+    found = tokens(some, common, int(total * 0.4 // BUCKET) + 1).groupBy("bucket").applyInArrow(matches, "x long, y long, centre long")
     found = cut(found)
-    pairs = found.where("y is not null").select("x", "y").distinct()
+    members = found.where("centre is not null").select("centre", F.col("x").alias("sid")).distinct()
+    members = cut(in_blocks(members.join(sets.select("sid", "n", "sketch"), "sid")))
+    near = members.groupBy("centre", "i", "j").applyInArrow(likely, "x long, y long")
+    pairs = found.where("y is not null").select("x", "y").union(near).distinct()
     linked = cut(verified(some, sets, pairs))
-    runs = found.where("run is not null").select("run", F.col("x").alias("sid"), "size")
     roots = components(linked, "x", "y")
-    placed = runs.join(roots, runs["sid"] == roots["node"], "left").select("run", "sid", "size", F.coalesce("root", "sid").alias("root"))
-    open_runs = placed.groupBy("run").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("run")
-    placed = cut(placed.join(open_runs, "run", "left_semi"))
-    if not placed.isEmpty():
-        other = placed.select("run", F.col("sid").alias("y"), F.col("size").alias("y_size"), F.col("root").alias("y_root"))
-        cross = placed.withColumnRenamed("sid", "x").join(other, "run").where(F.expr(f"x < y AND root <> y_root AND 100 * least(size, y_size) >= {PERCENT} * greatest(size, y_size)"))
-        more = verified(some, sets, cross.select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti"))
+    placed = members.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
+    row = "centre long, i int, j int, block int, sid long, n long, sketch binary, root long"
+    rest = cut(placed.groupBy("centre", "i", "j").applyInArrow(unsettled, row))
+    if not rest.isEmpty():
+        known = rest.join(built(some, sets, rest.select("sid")), "sid")
+        more = known.groupBy("centre", "i", "j").applyInArrow(settled, "x long, y long")
         roots = components(cut(linked.union(more)), "x", "y")
     of_set = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = of_set.groupBy("root").agg(F.min("rep").alias("component_id"))
