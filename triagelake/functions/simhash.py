@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("bigint")
-def simhash_of_hashes(grams: pd.Series) -> pd.Series:
+def fold_hashes(grams: pd.Series) -> pd.Series:
     """Signed bit pattern: bit b is set if more of the hashes have it than not (a tie leaves it unset)."""
 
     def one(hashes) -> int | None:
@@ -29,7 +28,7 @@ def grams(text: Column) -> Column:
 
 def simhash(text: Column) -> Column:
     """Fast form: Spark hashes the grams, one vectorised function folds them."""
-    return simhash_of_hashes(F.transform(grams(text), lambda g: F.xxhash64(g)))
+    return F.pandas_udf(fold_hashes, "bigint")(F.transform(grams(text), lambda g: F.xxhash64(g)))
 
 
 def simhash_md5(texts: DataFrame, bits: int = 16) -> DataFrame:

@@ -29,12 +29,15 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, which Spark has no function for."""
+def compose_series(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition, which Spark has no function for."""
+    return F.pandas_udf(compose_series, "string")(text)
+
+
 def normalize_text(text: Column, compose: bool = False) -> Column:
     """Lower case without links, mentions and signs, single spaces; null becomes empty. ``compose`` applies NFKC first."""
     text = F.coalesce(nfkc(text) if compose else text, F.lit(""))

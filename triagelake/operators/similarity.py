@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.functions.metrics import dot
+
 SIMHASH_LIMIT, IMAGE_LIMIT, REFERENCE_LIMIT = 9, 4, 8
 
 
@@ -95,11 +97,9 @@ def greedy_dedupe(items: DataFrame, limit: int = REFERENCE_LIMIT) -> DataFrame:
 def cosine_to_prototypes(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
     """(id, pos, neg): highest cosine of each vector to positive and to negative prototypes.
 
-    Both inputs have unit array<double> ``v``. Prototypes are a small labelled table; it is sent to the executors only
-    if it has at most 10,000 rows, and its vectors are folded into one array per sign otherwise nothing is broadcast.
+    Both inputs have unit array<double> ``v``. Prototypes are a small labelled table: up to 10,000 rows are broadcast, more
+    are paired by Spark's own choice of join.
     """
-    from triagelake.functions.metrics import dot
-
     few = prototypes.limit(10_001).count() <= 10_000
     other = prototypes.select(F.col("v").alias("w"), "positive")
     joined = vectors.crossJoin(F.broadcast(other) if few else other)
@@ -130,9 +130,11 @@ def content_groups(fingerprints: DataFrame, near_kinds: dict[str, int]) -> DataF
     value within the kind's limit that an earlier row owns (by distance, then position, then value); else it starts a
     group. Groups never merge, so each row has one parent, and the root of its parents names the group.
     """
-    owners = first_bearers(fingerprints)
+    fingerprints = cut(fingerprints)
+    owners = cut(first_bearers(fingerprints))
     exact = fingerprints.join(owners, ["kind", "value"]).where("owner < seq").groupBy("seq").agg(F.min_by("owner", "pos").alias("parent"))
-    rest = fingerprints.join(exact, "seq", "left_anti")
+    exact = cut(exact)
+    rest = cut(fingerprints.join(exact, "seq", "left_anti"))
     parts = None
     for kind, limit in near_kinds.items():
         own = owners.where(F.col("kind") == kind).select(F.col("value").cast("bigint").alias("value"), "owner")
