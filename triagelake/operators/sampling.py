@@ -46,7 +46,11 @@ def balanced(rows: DataFrame, key: str, positive: Column, seed: str) -> DataFram
     return marked.withColumn("n", n).withColumn("rank", rank).where("positive OR rank <= n").select(key, "positive")
 
 
-def segments_of(cuts: pd.DataFrame, shortest: float = 5.0, longest: float = 20.0, window: float = 15.0) -> pd.DataFrame:
+#: Seconds: shorter scenes are merged, longer ones cut, and windows of this length are taken where nothing is cut.
+SHORTEST, LONGEST, WINDOW = 5.0, 20.0, 15.0
+
+
+def segments_of(cuts: pd.DataFrame) -> pd.DataFrame:
     """Segments of one video from its cut points: short scenes go with the next, a short tail with the one before, long
     ones are cut evenly; without cuts there are windows, of which a tail shorter than a third joins the last."""
     video, duration = cuts["video"].iloc[0], float(cuts["duration"].iloc[0])
@@ -54,19 +58,19 @@ def segments_of(cuts: pd.DataFrame, shortest: float = 5.0, longest: float = 20.0
     if points:
         bounds = [0.0]
         for p in points:
-            if p - bounds[-1] >= shortest:
+            if p - bounds[-1] >= SHORTEST:
                 bounds.append(p)
-        if duration - bounds[-1] < shortest and len(bounds) > 1:
+        if duration - bounds[-1] < SHORTEST and len(bounds) > 1:
             bounds.pop()
         bounds.append(duration)
     else:
-        bounds = [i * window for i in range(int(duration // window) + 1)]
-        if len(bounds) > 1 and duration - bounds[-1] < window / 3:
+        bounds = [i * WINDOW for i in range(int(duration // WINDOW) + 1)]
+        if len(bounds) > 1 and duration - bounds[-1] < WINDOW / 3:
             bounds.pop()
         bounds.append(duration)
     out = []
     for a, b in zip(bounds, bounds[1:]):
-        n = max(1, -int(-(b - a) // longest))
+        n = max(1, -int(-(b - a) // LONGEST))
         out += [(video, a + (b - a) * i / n, a + (b - a) * (i + 1) / n) for i in range(n)]
     return pd.DataFrame([(v, i, s, e) for i, (v, s, e) in enumerate(out) if e > s], columns=["video", "idx", "start_s", "end_s"])
 
