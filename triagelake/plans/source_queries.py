@@ -9,6 +9,7 @@ from triagelake.plans.standin import sql, table, view
 from triagelake.registry import register
 from triagelake.sources import readers as R
 from triagelake.sources import sinks as K
+from triagelake.streaming.jobs import folder
 
 PLATFORM = "CASE event_id % 4 WHEN 0 THEN 'facebook' WHEN 1 THEN 'instagram' WHEN 2 THEN 'tiktok' ELSE 'x' END"
 
@@ -103,3 +104,39 @@ def unified(spark, d):
     rows = view(spark, d, "scored")
     half = F.col("score") >= 0.5
     return K.unified_metrics({"by class": E.metrics(rows, half, "class"), "all": E.metrics(rows, half)}, ["class", "tp", "n"])
+
+
+@register("src08_jsonl_scan", "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang")
+def jsonl(spark, d):
+    """The corpus written as JSON lines in the shared folder and scanned again with an explicit schema."""
+    at = folder(spark)
+    table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text").write.json(at)
+    return R.jsonl(spark, at, "doc_id bigint, lang string, n_chars bigint").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@register("src10_labelled_pool", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split, count(*) AS n, sum(toxic) AS toxic FROM labels GROUP BY 1")
+def pool(spark, d):
+    """Labels written as one folder per split; the split comes back from the path of each file."""
+    at = folder(spark)
+    part = F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train")
+    table(spark, d, "labels").withColumn("part", part).write.partitionBy("part").parquet(at)
+    rows = spark.read.parquet(at).select("doc_id", "toxic", F.regexp_extract("_metadata.file_path", r"part=(train|dev|test)", 1).alias("split"))
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+@register("src11_labelled_samples", "SELECT item_id, length(text) AS length FROM benchmark")
+def samples(spark, d):
+    """Benchmark items as JSON documents with a ``posts`` array, read back row by row."""
+    at = folder(spark)
+    rows = table(spark, d, "benchmark").groupBy((F.col("item_id") % 4).alias("file")).agg(F.collect_list(F.struct("item_id", "text")).alias("posts"))
+    rows.select("posts").repartition(4).write.option("maxRecordsPerFile", 1).json(at)
+    return R.samples(spark, at, "item_id: bigint, text: string").select("item_id", F.length("text").alias("length"))
+
+
+@register("snk04_candidate_report", "SELECT source AS channel, count(*) AS n FROM documents WHERE regexp_matches(lower(text), 'license') GROUP BY source")
+def report(spark, d):
+    """A report of counts, never of text, written as CSV and read back."""
+    at = folder(spark)
+    counts = table(spark, d, "documents").where(F.lower("text").contains("license")).groupBy(F.col("source").alias("channel")).agg(F.count("*").alias("n"))
+    K.write_table(counts, at)
+    return spark.read.schema("channel string, n bigint").option("header", True).csv(at)
