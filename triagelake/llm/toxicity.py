@@ -89,10 +89,11 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], l1: float = 1e-3,
 
     Accelerated proximal descent on the class-balanced log loss, an L1 penalty, and ``swap`` times the mean squared
     change of the score when identity terms are swapped. Scale and bias are then calibrated on every fourth text, which
-    the descent doesn't see, at the classes' true shares. With no sample, or one of a single class, the share decides.
+    the descent doesn't see, at the classes' true shares. With no sample, or one of a single class, the share
+    decides; without any label nothing is called toxic.
     """
     positive, negative = counts.get(1, 0), counts.get(0, 0)
-    prior = math.log((positive + 0.5) / (negative + 0.5))
+    prior = math.log((positive + 0.5) / (negative + 1.5))
     labels = np.array([label for _, label in sample], float)
     rest = np.arange(len(labels)) % 4 == 3
     y = labels[~rest]
