@@ -18,18 +18,19 @@ def counts(gold="y", predicted="score >= 0.5"):
     return f"sum(CASE WHEN {gold} AND {p} THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN NOT {gold} AND {p} THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN {gold} AND NOT {p} THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN NOT {gold} AND NOT {p} THEN 1 ELSE 0 END) AS tn, count(*) AS n"
 
 
-HALF = F.col("score") >= 0.5
+def half():
+    return F.col("score") >= 0.5
 
 
 @register("agg10_confusion_metrics", sql("scored", body=f", c AS (SELECT class, {counts()} FROM scored GROUP BY class) SELECT class, tp, fp, fn, tn, n, {RATES} FROM c"))
 def confusion_metrics(spark, d):
-    return E.metrics(view(spark, d, "scored"), HALF, "class")
+    return E.metrics(view(spark, d, "scored"), half(), "class")
 
 
 @register("agg11_label_metrics", sql("scored", body=f", l AS (SELECT 'toxic' AS label, y AS gold, score >= 0.5 AS pred FROM scored UNION ALL SELECT 'good', judge, score_b >= 0.5 FROM scored) SELECT label, coalesce(CAST(sum(CASE WHEN gold AND pred THEN 1 ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN pred THEN 1 ELSE 0 END), 0), 0) AS \"precision\", coalesce(CAST(sum(CASE WHEN gold AND pred THEN 1 ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN gold THEN 1 ELSE 0 END), 0), 0) AS recall FROM l GROUP BY label"))
 def label_metrics(spark, d):
     pair = lambda name, gold, pred: F.when(gold | pred, F.struct(F.lit(name).alias("label"), gold.alias("gold"), pred.alias("pred")))
-    rows = view(spark, d, "scored").select(F.explode(F.array_compact(F.array(pair("toxic", F.col("y"), HALF), pair("good", F.col("judge"), F.col("score_b") >= 0.5)))).alias("l"))
+    rows = view(spark, d, "scored").select(F.explode(F.array_compact(F.array(pair("toxic", F.col("y"), half()), pair("good", F.col("judge"), F.col("score_b") >= 0.5)))).alias("l"))
     hit = F.count_if(F.col("l.gold") & F.col("l.pred"))
     return rows.groupBy(F.col("l.label").alias("label")).agg(F.coalesce(ratio(hit, F.count_if("l.pred")), F.lit(0.0)).alias("precision"), F.coalesce(ratio(hit, F.count_if("l.gold")), F.lit(0.0)).alias("recall"))
 
@@ -38,12 +39,12 @@ def label_metrics(spark, d):
 def bucket_accuracy(spark, d):
     false = F.array_sort(F.collect_list(F.when(~F.col("y") & (F.col("score") >= 0.95), F.col("item_id"))))
     joined = F.array_join(false.cast("array<string>"), ",")
-    return view(spark, d, "scored").groupBy("part").agg(F.avg((F.col("y") == HALF).cast("double")).alias("accuracy"), F.when(F.size(false) > 0, joined).alias("false_flags"))
+    return view(spark, d, "scored").groupBy("part").agg(F.avg((F.col("y") == half()).cast("double")).alias("accuracy"), F.when(F.size(false) > 0, joined).alias("false_flags"))
 
 
 @register("agg13_metrics_with_total", sql("scored", body=f", c AS (SELECT class, {counts()} FROM scored GROUP BY GROUPING SETS ((class), ())) SELECT coalesce(class, 'all') AS class, tp, fp, fn, tn, n, {RATES} FROM c"))
 def with_total(spark, d):
-    rolled = view(spark, d, "scored").rollup("class").agg(*confusion(F.col("y"), HALF)).withColumns(rates())
+    rolled = view(spark, d, "scored").rollup("class").agg(*confusion(F.col("y"), half())).withColumns(rates())
     return rolled.withColumn("class", F.coalesce("class", F.lit("all")))
 
 
@@ -83,15 +84,15 @@ def distribution(spark, d):
 
 @register("agg18_recall_by_class", sql("scored", body=" SELECT class, avg(CASE WHEN y THEN CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END END) AS recall, avg(CASE WHEN (score >= 0.5) = y OR (score_b >= 0.5) = y THEN 1.0 ELSE 0.0 END) AS either FROM scored GROUP BY class"))
 def recall_by_class(spark, d):
-    hit = F.avg(F.when(F.col("y"), HALF.cast("double")))
-    either = ((HALF == F.col("y")) | ((F.col("score_b") >= 0.5) == F.col("y"))).cast("double")
+    hit = F.avg(F.when(F.col("y"), half().cast("double")))
+    either = ((half() == F.col("y")) | ((F.col("score_b") >= 0.5) == F.col("y"))).cast("double")
     return view(spark, d, "scored").groupBy("class").agg(hit.alias("recall"), F.avg(either).alias("either"))
 
 
 @register("agg19_slices", sql("scored", body=" SELECT sum(CASE WHEN y AND part < 'src5' THEN 1 ELSE 0 END) AS positives, sum(CASE WHEN y AND part < 'src5' AND score >= 0.5 THEN 1 ELSE 0 END) AS caught, sum(CASE WHEN NOT y AND part >= 'src5' THEN 1 ELSE 0 END) AS negatives, sum(CASE WHEN NOT y AND part >= 'src5' AND score >= 0.5 THEN 1 ELSE 0 END) AS flagged FROM scored"))
 def slices(spark, d):
     y, a = F.col("y"), F.col("part") < "src5"
-    return view(spark, d, "scored").agg(F.count_if(y & a).alias("positives"), F.count_if(y & a & HALF).alias("caught"), F.count_if(~y & ~a).alias("negatives"), F.count_if(~y & ~a & HALF).alias("flagged"))
+    return view(spark, d, "scored").agg(F.count_if(y & a).alias("positives"), F.count_if(y & a & half()).alias("caught"), F.count_if(~y & ~a).alias("negatives"), F.count_if(~y & ~a & half()).alias("flagged"))
 
 
 @register("agg20_wilson", sql("scored", body=", c AS (SELECT class, CAST(sum(CASE WHEN y THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM scored GROUP BY class) SELECT class, (k / n + 3.8416 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) AS low, (k / n + 3.8416 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) AS high FROM c"))
@@ -168,13 +169,13 @@ def most_serious(spark, d):
 
 @register("agg33_mcnemar", sql("scored", body=", c AS (SELECT sum(CASE WHEN (score >= 0.5) = y AND (score_b >= 0.5) <> y THEN 1 ELSE 0 END) AS b, sum(CASE WHEN (score >= 0.5) <> y AND (score_b >= 0.5) = y THEN 1 ELSE 0 END) AS c FROM scored), s AS (SELECT b, c, 0 AS i, -(b + c) * ln(2.0) AS l FROM c UNION ALL SELECT b, c, i + 1, l + ln(CAST(b + c - i AS DOUBLE) / (i + 1)) FROM s WHERE i < least(b, c)) SELECT max(b) AS b, max(c) AS c, CASE WHEN max(b) + max(c) = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(l))) END AS p FROM s"))
 def mcnemar(spark, d):
-    return E.mcnemar(view(spark, d, "scored"), HALF == F.col("y"), (F.col("score_b") >= 0.5) == F.col("y"))
+    return E.mcnemar(view(spark, d, "scored"), half() == F.col("y"), (F.col("score_b") >= 0.5) == F.col("y"))
 
 
 @register("agg33_missed_by", sql("scored", body=" SELECT CAST(CASE WHEN (score >= 0.5) <> y THEN 1 ELSE 0 END + CASE WHEN (score_b >= 0.5) <> y THEN 1 ELSE 0 END + CASE WHEN judge <> y THEN 1 ELSE 0 END AS INTEGER) AS missed_by, count(*) AS items FROM scored GROUP BY 1"))
 def missed_by(spark, d):
     y = F.col("y")
-    n = (HALF != y).cast("int") + ((F.col("score_b") >= 0.5) != y).cast("int") + (F.col("judge") != y).cast("int")
+    n = (half() != y).cast("int") + ((F.col("score_b") >= 0.5) != y).cast("int") + (F.col("judge") != y).cast("int")
     return view(spark, d, "scored").groupBy(n.alias("missed_by")).agg(F.count("*").alias("items"))
 
 
@@ -187,7 +188,7 @@ def label_statistics(spark, d):
 @register("agg35_leaderboard", sql("scored", body=", s AS (SELECT 'a' AS system, class, y, score FROM scored UNION ALL SELECT 'b', class, y, score_b FROM scored) SELECT system, avg(CASE WHEN class = 'en' THEN CASE WHEN (score >= 0.5) = y THEN 1.0 ELSE 0.0 END END) AS en, avg(CASE WHEN class = 'de' THEN CASE WHEN (score >= 0.5) = y THEN 1.0 ELSE 0.0 END END) AS de FROM s GROUP BY system"))
 def leaderboard(spark, d):
     rows = view(spark, d, "scored")
-    long = rows.select(F.lit("a").alias("system"), "class", (HALF == F.col("y")).cast("double").alias("ok")).unionByName(rows.select(F.lit("b").alias("system"), "class", ((F.col("score_b") >= 0.5) == F.col("y")).cast("double").alias("ok")))
+    long = rows.select(F.lit("a").alias("system"), "class", (half() == F.col("y")).cast("double").alias("ok")).unionByName(rows.select(F.lit("b").alias("system"), "class", ((F.col("score_b") >= 0.5) == F.col("y")).cast("double").alias("ok")))
     return long.groupBy("system").pivot("class", ["en", "de"]).agg(F.avg("ok"))
 
 
@@ -212,7 +213,7 @@ def with_reference(spark, d):
 @register("joi17_fixed_and_broken", sql("scored", body=" SELECT sum(CASE WHEN (score >= 0.5) <> y AND (score_b >= 0.5) = y THEN 1 ELSE 0 END) AS fixed, sum(CASE WHEN (score >= 0.5) = y AND (score_b >= 0.5) <> y THEN 1 ELSE 0 END) AS broken FROM scored"))
 def fixed_and_broken(spark, d):
     rows = view(spark, d, "scored")
-    old, new = rows.select("item_id", (HALF == F.col("y")).alias("a")), rows.select("item_id", ((F.col("score_b") >= 0.5) == F.col("y")).alias("b"))
+    old, new = rows.select("item_id", (half() == F.col("y")).alias("a")), rows.select("item_id", ((F.col("score_b") >= 0.5) == F.col("y")).alias("b"))
     return old.join(new, "item_id").agg(F.count_if(~F.col("a") & F.col("b")).alias("fixed"), F.count_if(F.col("a") & ~F.col("b")).alias("broken"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from triagelake.functions.text import host_of, media_kind
 
@@ -18,7 +17,12 @@ PATHS = {
     "tiktok": {"post_id": ("id",), "text": ("text", "desc"), "url": ("webVideoUrl",), "posted_at": ("createTimeISO", "createTime"), "reach": ("playCount",)},
     "x": {"post_id": ("id", "id_str"), "text": ("fullText", "text"), "url": ("url", "twitterUrl"), "posted_at": ("createdAt",), "reach": ("viewCount", "likeCount")},
 }
-ARCHIVE = T.StructType.fromDDL("uid string, source string, side string, channel string, post_id string, date string, text string, lang string, has_media boolean, media_type string, views bigint, forwards bigint, replies bigint, reactions map<string,bigint>, is_forward boolean, fwd_from string, extra map<string,string>")
+#: The common schema of archive rows: names and types in order.
+ARCHIVE = {
+    "uid": "string", "source": "string", "side": "string", "channel": "string", "post_id": "string", "date": "string", "text": "string", "lang": "string",
+    "has_media": "boolean", "media_type": "string", "views": "bigint", "forwards": "bigint", "replies": "bigint", "reactions": "map<string,bigint>",
+    "is_forward": "boolean", "fwd_from": "string", "extra": "map<string,string>",
+}
 
 
 def first_text(item: Column, keys: tuple[str, ...]) -> Column:
@@ -107,9 +111,9 @@ def archive_rows(raw: DataFrame, source: str, default_side: str) -> DataFrame:
     uid = F.concat_ws(":", F.lit(source), field("channel").cast("string"), field("post_id").cast("string"))
     chosen = {"uid": uid, "source": F.lit(source), "side": F.coalesce(field("side").cast("string"), F.lit(default_side))}
     columns = []
-    for f in ARCHIVE.fields:
-        value = counts[f.name] if f.name in counts else chosen.get(f.name, field(f.name))
-        columns.append(value.cast(f.dataType).alias(f.name))
+    for name, kind in ARCHIVE.items():
+        value = counts[name] if name in counts else chosen.get(name, field(name))
+        columns.append(value.cast(kind).alias(name))
     return rows.select(*columns)
 
 
