@@ -8,32 +8,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold_hashes(grams: pd.Series) -> pd.Series:
-    """Signed bit pattern: bit b is set if more of the hashes have it than not (a tie leaves it unset)."""
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
-    def one(hashes) -> int | None:
-        if hashes is None:
-            return None
-        h = np.asarray(hashes, np.int64).view(np.uint64)
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        return int(np.packbits(bits * 2 > len(h)).view(">u8").astype(np.uint64).view(np.int64)[0])
 
-    return grams.map(one)
+def gram_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the overlapping 3-grams of a text; a shorter text is one gram."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    points = np.concatenate([points, np.zeros(max(0, 3 - len(points)), np.uint64)])
+    h = points[:-2] * ODD[0] + points[1:-1] * ODD[1] + points[2:] * ODD[2]
+    for shift in (30, 27, 31):
+        h = (h ^ (h >> np.uint64(shift))) * ODD[0]
+    return h ^ (h >> np.uint64(32))
 
 
-def grams(text: Column) -> Column:
-    """Overlapping 3-grams of a text, itself if it is shorter."""
-    return F.when(F.length(text) <= 3, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
+def of_text(text: str | None) -> int | None:
+    """Signed bit pattern: bit b is set if more of the gram hashes have it than not (a tie leaves it unset)."""
+    if text is None:
+        return None
+    h = gram_hashes(text)
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(h)).view(">u8").astype(np.uint64).view(np.int64)[0])
+
+
+def of_series(texts: pd.Series) -> pd.Series:
+    return pd.Series([of_text(t) for t in texts], dtype="Int64")
 
 
 def simhash(text: Column) -> Column:
-    """Fast form: Spark hashes the grams, one vectorised function folds them."""
-    return F.pandas_udf(fold_hashes, "bigint")(F.transform(grams(text), lambda g: F.xxhash64(g)))
+    """Fast form: one vectorised function over Arrow batches; Spark has no function that folds bits over an array."""
+    return F.pandas_udf(of_series, "bigint")(text)
+
+
+def grams(letters: str) -> Column:
+    """Overlapping 3-grams of a text whose characters are in an array column; a shorter text is one gram."""
+    at = lambda i: F.get(F.col(letters), i)
+    three = F.transform(F.sequence(F.lit(0), F.size(letters) - 3), lambda i: F.concat(at(i), at(i + 1), at(i + 2)))
+    return F.when(F.size(letters) <= 3, F.array(F.array_join(letters, ""))).otherwise(three)
 
 
 def simhash_md5(texts: DataFrame, bits: int = 16) -> DataFrame:
     """(id, simhash): the first ``bits`` bits by md5 and plain aggregation, which any SQL engine can repeat."""
-    g = texts.select("id", F.explode(grams(F.col("text"))).alias("g")).groupBy("id", "g").count()
+    letters = texts.select("id", F.regexp_extract_all("text", F.lit("(?s)(.)"), 1).alias("letters"))
+    g = letters.select("id", F.explode(grams("letters")).alias("g")).groupBy("id", "g").count()
     h = g.withColumn("h", F.conv(F.substring(F.md5("g"), 1, 4), 16, 10).cast("long"))
     sums = h.groupBy("id").agg(*[F.sum(F.when(F.shiftright("h", b) % 2 == 1, F.col("count")).otherwise(-F.col("count"))).alias(f"b{b}") for b in range(bits)])
     value = sum((F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(1, bits)), F.when(F.col("b0") > 0, 1).otherwise(0))
