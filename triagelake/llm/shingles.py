@@ -8,12 +8,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, block_forest, components, cut, table, words_of
+from .common import Memo, block_forest, components, cut, release, table, words_of
 
 WORDS, PERCENT = 5, 75
 #: Shingles that are put last in every prefix: at most so many, the most frequent ones. Only speed depends on them.
 COMMON = 1 << 16
-CHUNK, BUCKET, SMALL_RUN, BLOCK = 1_500_000, 1_000_000, 8, 512
+CHUNK, BUCKET, SMALL_RUN, BLOCK = 1_000_000, 700_000, 8, 512
 #: Up to so many ids (16 MB) are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -380,11 +380,13 @@ def join(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n")).first()[0] or 0
     found = tokens(some, common, int(total * 0.4 // BUCKET) + 1).groupBy("bucket").applyInArrow(matches, "x long, y long, centre long")
     found = cut(found)
+    release(docs.sparkSession)  # the packed words are the largest shuffle
     members = found.where("centre is not null").select("centre", F.col("x").alias("sid")).distinct()
     members = cut(in_blocks(members.join(sets.select("sid", "n", "sketch"), "sid")))
     near = members.groupBy("centre", "i", "j").applyInArrow(likely, "x long, y long")
     pairs = found.where("y is not null").select("x", "y").union(near).distinct()
     linked = cut(verified(some, sets, pairs))
+    release(docs.sparkSession)
     roots = components(linked, "x", "y")
     placed = members.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
     row = "centre long, i int, j int, block int, sid long, n long, sketch binary, root long"
@@ -402,10 +404,20 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component; of repeated ids one row stays."""
-    kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, with all their columns, that stand for their component; of repeated ids one row stays.
+
+    Rows without an id stay. Texts are not shuffled as long as the ids that go are few enough to be sent around; rows
+    are compared with each other only where an id repeats.
+    """
+    is_own = F.col("doc_id") == F.col("component_id")
+    ids = cut(join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(is_own).alias("kept"), F.count("*").alias("rows")))
+    gone, twice = ids.where("NOT kept").select("doc_id"), ids.where("kept AND rows > 1").select("doc_id")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    left = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    if twice.isEmpty():
+        return left
+    again = small(twice)
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
