@@ -56,7 +56,7 @@ class WordBpe:
         self.words = regex.compile(split.replace(r"\s", SPACE)).findall
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.of_word, self.of_chunk = Memo(self.encode_word), Memo(self.encode_chunk, 500_000)
+        self.of_word, self.of_chunk = Memo(self.encode_word, 100_000), Memo(self.encode_chunk, 130_000)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the leftmost pair of lowest rank until none is left.
@@ -157,8 +157,8 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         sha = lambda joined: hashlib.sha256(joined.encode("utf-8")).hexdigest()
         for batch in batches:
             rows = []
-            for text in batch["text"].to_pylist():
-                pieces = bpe.pieces(text)
+            for text in batch["text"]:
+                pieces = bpe.pieces(text.as_py())
                 ids, tokens, n = zip(*pieces) if pieces else ((), (), ())
                 rows.append((sum(n), sha(" ".join(ids)), sha(" ".join(tokens))))
             n, ids, decoded = zip(*rows) if rows else ((), (), ())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
 
@@ -28,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more; its cleaner follows the collectors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() parts at exactly the six white spaces of ``WORD``."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -36,7 +43,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Memo(dict):
     """A dict that computes missing values. ``trim`` keeps the newest ``most`` entries or so, and what was used lately."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 100_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 

@@ -79,8 +79,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         memo, (places, signs) = Memo(tokens_of), index_vectors()
         total, held, size = np.zeros(VOCABULARY * DIMENSIONS), [], 0
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                held.append(stream(text, memo))
+            for text in batch["text"]:
+                held.append(stream(text.as_py(), memo))
                 size += len(held[-1])
                 if size > 1_000_000:
                     add_contexts(total, np.concatenate(held), places, signs)
@@ -203,7 +203,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, Network | float], colum
         vectors, network = model.value
         memo = Memo(tokens_of)
         for batch in batches:
-            x = np.array([pooled(stream(text, memo), vectors) for text in batch["text"].to_pylist()]).reshape(-1, 2 * DIMENSIONS + 1)
+            x = np.array([pooled(stream(text, memo), vectors) for text in map(lambda t: t.as_py(), batch["text"])]).reshape(-1, 2 * DIMENSIONS + 1)
             found = np.full(len(x), network) if isinstance(network, float) else network.probabilities(x)
             memo.trim()
             yield pa.record_batch([*(batch[c] for c in kept), pa.array(found, pa.float64())], [*kept, column])

@@ -25,7 +25,7 @@ class UnigramTrie:
     made, from the nodes above it. Equal scores take fewer pieces.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 800_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
         scale = math.log(sum(1 / (r + 1) for r in ranks.values()))
         self.score = {piece: -math.log(r + 1) - scale for piece, r in ranks.items()}
         self.longest, self.most = max(map(len, ranks)), most
@@ -113,7 +113,7 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
 
     def run(batches):
         for batch in batches:
-            found = [counter(path, pattern)(text) for text in batch["text"].to_pylist()]
+            found = [counter(path, pattern)(text.as_py()) for text in batch["text"]]
             pre, tokens = zip(*found) if found else ((), ())
             yield pa.record_batch([batch["doc_id"], pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 

@@ -162,7 +162,7 @@ def with_score(docs: DataFrame, model: tuple[float, dict[str, float]], column: s
         bias, weights = model.value
         memo = Memo(lambda chunk: tuple(f for f in features(chunk) if f in weights))
         for batch in batches:
-            found = scores(batch["text"].to_pylist(), bias, weights, memo)
+            found = scores((t.as_py() for t in batch["text"]), bias, weights, memo)
             yield pa.record_batch([*(batch[c] for c in kept), pa.array(found, pa.float64())], [*kept, column])
 
     schema = docs.select(*kept).schema.add(column, "double")
