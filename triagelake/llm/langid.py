@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,40 +27,46 @@ def words_in(chunk: str) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    """Affixes, character 2- and 3-grams with word bounds, and the word itself; lexicon features are added by the model."""
+    """Affixes, character 2- and 3-grams with word bounds (as often as they occur), and the word itself; lexicon features
+    are added by the model."""
     w = f"^{word}$" if len(word) <= 40 else f"^{word[:20]}{word[-20:]}$"
-    found = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    return list(dict.fromkeys(["", *found, *(w[i : i + 2] for i in range(len(w) - 1)), *(w[i : i + 3] for i in range(len(w) - 2)), w]))
+    pairs = list(map("".join, zip(w, w[1:])))
+    return ["", "p" + word[:1], "p" + word[:2], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:], *pairs, *map("".join, zip(pairs, w[2:])), w]
 
 
 def forward_backward(emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Marginals (chain, step, label) of chains with emission scores of that shape, and what ``pair_counts`` needs.
+    """Marginals (step, label, chain) of chains with emission scores of that shape, and what ``pair_counts`` needs.
 
-    Works on scaled probabilities, all chains at a time. Padding at the end of a chain scores all labels alike; it adds
-    no evidence to the words before it but for how often transitions lead on from each label.
+    Works on scaled probabilities, all chains at a time, which are the last axis so that every step is contiguous.
+    Padding at the end of a chain scores all labels alike; it adds no evidence to the words before it but for how often
+    transitions lead on from each label.
     """
-    e = np.exp(emission - emission.max(axis=2, keepdims=True))
-    t = np.exp(transition)
-    n, steps, _ = e.shape
+    e = np.exp(emission - emission.max(axis=1, keepdims=True))
+    t = np.exp(transition).astype(e.dtype)
     alpha, beta = np.empty_like(e), np.ones_like(e)
-    alpha[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
-    for i in range(1, steps):
-        a = (alpha[:, i - 1] @ t) * e[:, i]
-        alpha[:, i] = a / a.sum(axis=1, keepdims=True)
-    for i in range(steps - 2, -1, -1):
-        b = (e[:, i + 1] * beta[:, i + 1]) @ t.T
-        beta[:, i] = b / b.sum(axis=1, keepdims=True)
+    alpha[0] = e[0] / e[0].sum(axis=0)
+    for i in range(1, len(e)):
+        a = (t.T @ alpha[i - 1]) * e[i]
+        a /= a.sum(axis=0)
+        alpha[i] = a
+    after = e  # from here on, evidence of a step and of all steps after it
+    for i in range(len(e) - 2, -1, -1):
+        after[i + 1] *= beta[i + 1]
+        b = t @ after[i + 1]
+        b /= b.sum(axis=0)
+        beta[i] = b
+    after[0] *= beta[0]
     marginal = alpha * beta
-    marginal /= marginal.sum(axis=2, keepdims=True)
-    return marginal, (alpha, e * beta)
+    marginal /= marginal.sum(axis=1, keepdims=True)
+    return marginal, (alpha, after)
 
 
 def pair_counts(parts: tuple[np.ndarray, np.ndarray], transition: np.ndarray) -> np.ndarray:
     """Expected number of each transition over full chains, from the second result of ``forward_backward``."""
-    alpha, after = parts[0][:, :-1], parts[1][:, 1:]
+    alpha, after = parts[0][:-1], parts[1][1:]
     t = np.exp(transition)
-    norm = np.einsum("nsi,ij,nsj->ns", alpha, t, after, optimize=True)
-    return np.einsum("nsi,nsj->ij", alpha / norm[..., None], after, optimize=True) * t
+    norm = ((t.T @ alpha) * after).sum(axis=1, keepdims=True)
+    return np.einsum("sin,sjn->ij", alpha / norm, after, optimize=True) * t
 
 
 class Crf:
@@ -70,18 +77,21 @@ class Crf:
         self.weights, self.transition = np.zeros((0, len(languages))), np.zeros((len(languages),) * 2)
 
     def rows_of(self, word: str) -> list[int]:
-        known = [self.index[f] for f in features(word) if f in self.index]
+        known = [i for i in map(self.index.get, features(word)) if i is not None]
         return known + [self.index[f"lexicon {self.lexicon[word]}"]] if word in self.lexicon else known
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[self.rows_of(word)].sum(axis=0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """(word, label) scores. The first feature, "", is known of every word, so no word is without a row."""
+        rows = [self.rows_of(w) for w in words]
+        starts = np.cumsum([0, *map(len, rows[:-1])])
+        return np.add.reduceat(self.weights[np.fromiter(chain.from_iterable(rows), np.int64)], starts, axis=0)
 
     def fit(self, chains: list[tuple[list[str], list[int]]], rounds: int = 30, decay: float = 1e-4) -> None:
         """Maximum likelihood by Adam. Chains have SPAN words each, with a label for every word."""
-        words = sorted({w for chain, _ in chains for w in chain})
+        words = sorted({w for run, _ in chains for w in run})
         by = defaultdict(Counter)
-        for chain, labels in chains:
-            for w, label in zip(chain, labels):
+        for run, labels in chains:
+            for w, label in zip(run, labels):
                 by[w][label] += 1
         self.lexicon = {w: c.most_common(1)[0][0] for w, c in by.items() if c.total() >= 5 and c.most_common(1)[0][1] >= 0.9 * c.total()}
         df = Counter(f for w in words for f in features(w))
@@ -90,20 +100,19 @@ class Crf:
         rows = [self.rows_of(w) for w in words]
         word_of, feature_of = np.repeat(np.arange(len(words)), [len(r) for r in rows]), np.concatenate([np.array(r, np.int64) for r in rows])
         place = {w: i for i, w in enumerate(words)}
-        x = np.array([[place[w] for w in chain] for chain, _ in chains])
-        y = np.array([labels for _, labels in chains])
+        x = np.array([[place[w] for w in run] for run, _ in chains]).T
+        y = np.array([labels for _, labels in chains]).T
         k = len(self.languages)
-        gold = np.zeros((*y.shape, k))
-        np.put_along_axis(gold, y[..., None], 1, axis=2)
-        gold_pairs = np.einsum("nsi,nsj->ij", gold[:, :-1], gold[:, 1:], optimize=True)
+        gold = np.arange(k)[None, :, None] == y[:, None, :]
+        gold_pairs = np.einsum("sin,sjn->ij", gold[:-1].astype(float), gold[1:].astype(float), optimize=True)
         sums = lambda at, values, n: np.stack([np.bincount(at, values[:, c], n) for c in range(k)], axis=1)
         self.weights = np.zeros((len(names), k))
         parameters = [self.weights, self.transition]
         first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
         for step in range(1, rounds + 1):
-            emission = sums(word_of, self.weights[feature_of], len(words))[x]
+            emission = sums(word_of, self.weights[feature_of], len(words)).T[:, x].transpose(1, 0, 2)
             marginal, parts = forward_backward(emission, self.transition)
-            error = sums(x.ravel(), (marginal - gold).reshape(-1, k), len(words))
+            error = sums(x.ravel(), (marginal - gold).transpose(0, 2, 1).reshape(-1, k), len(words))
             gradients = [sums(feature_of, error[word_of], len(names)) / x.size, (pair_counts(parts, self.transition) - gold_pairs) / x.size]
             for p, g, m, v in zip(parameters, gradients, first, second):
                 g = g + decay * p
@@ -121,17 +130,17 @@ def chains_of(sample: list[tuple[str, str]], languages: list[str], most: int = S
         return []
     chains = []
     for k in range(max(1, most // SPAN)):
-        chain, labels = [], []
-        while len(chain) < SPAN:
-            words, label = texts[k % len(texts)] if not k % 2 and not chain else texts[rng.integers(len(texts))]
+        line, labels = [], []
+        while len(line) < SPAN:
+            words, label = texts[k % len(texts)] if not k % 2 and not line else texts[rng.integers(len(texts))]
             start = rng.integers(len(words))
             run = words[start : start + (SPAN if not k % 2 else int(rng.integers(3, 20)))]
-            if not k % 2 and chain and label != labels[-1]:
+            if not k % 2 and line and label != labels[-1]:
                 label = labels[-1]
-                run = chain[: SPAN - len(chain)]
-            chain += run
+                run = line[: SPAN - len(line)]
+            line += run
             labels += [label] * len(run)
-        chains.append((chain[:SPAN], labels[:SPAN]))
+        chains.append((line[:SPAN], labels[:SPAN]))
     return chains
 
 
@@ -139,33 +148,33 @@ def train(docs: DataFrame, training, sample: int = SAMPLE) -> Crf:
     """The field, fitted on a bounded sample of the documents with a language for which ``training`` holds."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & training).select("doc_id", "lang")
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    crf = Crf(languages)
     if languages:
         chosen = pick(known, "lang", languages, max(4, sample // len(languages)))
         if chains := chains_of(texts_of(docs, chosen, "lang"), languages):
+            crf = Crf(languages)
             crf.fit(chains)
-    return crf
+            return crf
+    return Crf([])
 
 
 class Labeller:
     """Word and text labels by a field; remembers the emission scores of words, and starts anew when they are too many."""
 
-    def __init__(self, crf: Crf, most: int = 500_000):
+    def __init__(self, crf: Crf, most: int = 250_000):
         self.crf, self.most, self.k = crf, most, len(crf.languages)
         self.clear()
 
     def clear(self) -> None:
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, int] = {}
-        self.scores = np.zeros((1024, self.k), np.float32)
+        self.fresh: list[str] = []
+        self.scores = np.zeros((0, self.k), np.float32)
 
     def word(self, word: str) -> int:
         i = self.words.get(word, -1)
         if i < 0:
             i = self.words[word] = len(self.words)
-            if i == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[i] = self.crf.emission(word)
+            self.fresh.append(word)
         return i
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
@@ -182,26 +191,35 @@ class Labeller:
 
     def marginals(self, ids: list[np.ndarray]) -> list[np.ndarray]:
         """(word, label) marginals of each text, all chains of all texts at a time."""
+        if self.fresh:
+            self.scores = np.concatenate([self.scores, self.crf.emissions(self.fresh).astype(np.float32)])
+            self.fresh = []
+        if not len(self.scores):
+            return [np.zeros((0, self.k))] * len(ids)
         chains = [-(-len(i) // SPAN) for i in ids]
-        padded, emission = np.full((sum(chains), SPAN), -1), np.zeros((sum(chains), SPAN, self.k), np.float32)
-        starts = np.cumsum([0, *chains])
+        starts = np.cumsum([0, *chains]) * SPAN
+        padded = np.full(starts[-1], -1)
         for i, start in zip(ids, starts):
-            padded.reshape(-1)[start * SPAN : start * SPAN + len(i)] = i
-        emission[padded >= 0] = self.scores[padded[padded >= 0]]
-        marginal = forward_backward(emission, self.crf.transition.astype(np.float32))[0].reshape(-1, self.k)
-        return [marginal[start * SPAN : start * SPAN + len(i)] for i, start in zip(ids, starts)]
-
-    def texts(self, texts: list[str | None], most: int = 200_000) -> list[tuple[str, float]]:
+            padded[start : start + len(i)] = i
+        padded = padded.reshape(-1, SPAN).T
+        emission = self.scores.T[:, padded].transpose(1, 0, 2).copy()
+        emission *= (padded >= 0)[:, None, :]
+        marginal = forward_backward(emission, self.crf.transition.astype(np.float32))[0].transpose(2, 0, 1).reshape(-1, self.k)
+        return [marginal[start : start + len(i)] for i, start in zip(ids, starts)]
+
+    def texts(self, texts: list[str | None], most: int = 100_000) -> list[tuple[str, float]]:
         """Language and score of each text: the language with most expected words, and its share of the words."""
         out: list[tuple[str, float]] = []
         held: list[np.ndarray] = []
+        size = 0
         for k, text in enumerate(texts):
             held.append(self.ids(text))
-            if sum(map(len, held[-64:])) and sum(map(len, held)) > most or k == len(texts) - 1 or len(held) >= 512:
+            size += len(held[-1])
+            if size > most or k == len(texts) - 1:
                 for m in self.marginals(held) if self.k else [()] * len(held):
                     share = m.sum(axis=0) / len(m) if len(m) else ()
                     out.append((self.crf.languages[int(np.argmax(share))], float(min(1.0, max(share)))) if len(share) else (UNKNOWN, 0.0))
-                held = []
+                held, size = [], 0
                 if len(self.words) > self.most:
                     self.clear()
         return out
