@@ -21,13 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def block_masks(limit: int, keep: int = 2) -> list[int]:
-    """Masks over 64 bits such that two values at most ``limit`` apart agree under one of them.
+def block_masks(limit: int, keep: int = 2, width: int = 64) -> list[int]:
+    """Masks over ``width`` bits such that two values at most ``limit`` apart agree under one of them.
 
     The bits are cut to limit + keep blocks; at most ``limit`` of them differ, so some ``keep`` blocks are equal.
     """
     n = limit + keep
-    bounds = [64 * i // n for i in range(n + 1)]
+    bounds = [width * i // n for i in range(n + 1)]
     blocks = [((1 << bounds[i + 1]) - 1) & ~((1 << bounds[i]) - 1) for i in range(n)]
     return [sum(chosen) for chosen in combinations(blocks, keep)]
 
@@ -36,8 +36,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def with_blocks(values: DataFrame, value: str, limit: int) -> DataFrame:
-    masks = F.array(*[F.struct(F.lit(i).alias("block"), F.lit(signed(m)).alias("mask")) for i, m in enumerate(block_masks(limit))])
+def with_blocks(values: DataFrame, value: str, limit: int, width: int = 64) -> DataFrame:
+    masks = F.array(*[F.struct(F.lit(i).alias("block"), F.lit(signed(m)).alias("mask")) for i, m in enumerate(block_masks(limit, width=width))])
     return values.withColumn("m", F.explode(masks)).withColumn("block", F.col("m.block")).withColumn("key", F.col(value).bitwiseAND(F.col("m.mask"))).drop("m")
 
 
@@ -45,53 +45,96 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
-    """(a, b, distance) of all values within ``limit`` bits; inputs are distinct values in column ``value``.
+def hamming_pairs(left: DataFrame, right: DataFrame, limit: int, width: int = 64) -> DataFrame:
+    """(a, b, distance) of all values within ``limit`` bits; inputs are distinct values in column ``value``, all of their
+    bits within the lowest ``width``.
 
     Exact by the pigeonhole principle: an equi-join on (block choice, masked value), then the distance. Equal pairs found
     by several block choices are folded by a distinct.
     """
-    a = with_blocks(left.select(F.col("value").alias("a")), "a", limit)
-    b = with_blocks(right.select(F.col("value").alias("b")), "b", limit)
+    a = with_blocks(left.select(F.col("value").alias("a")), "a", limit, width)
+    b = with_blocks(right.select(F.col("value").alias("b")), "b", limit, width)
     near = a.join(b, ["block", "key"]).withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= limit)
     return near.select("a", "b", "distance").distinct()
 
 
-def near_reference(candidates: DataFrame, reference: DataFrame, limit: int = REFERENCE_LIMIT) -> DataFrame:
+def near_reference(candidates: DataFrame, reference: DataFrame, limit: int = REFERENCE_LIMIT, width: int = 64) -> DataFrame:
     """(id, reference_id, distance): candidates within ``limit`` bits of a reference value, with the closest (first by id)."""
-    pairs = hamming_pairs(candidates.select("value").distinct(), reference.select("value").distinct(), limit)
-    found = candidates.join(pairs, candidates["value"] == pairs["a"]).select("id", "b", "distance")
-    found = found.join(reference.select(F.col("id").alias("reference_id"), F.col("value").alias("b")), "b")
-    best = found.groupBy("id").agg(F.min(F.struct("distance", "reference_id")).alias("m"))
-    return best.select("id", "m.reference_id", "m.distance")
+    known = reference.groupBy("value").agg(F.min("id").alias("reference_id"))
+    pairs = hamming_pairs(candidates.select("value").distinct(), known.select("value"), limit, width)
+    found = pairs.join(known.withColumnRenamed("value", "b"), "b")
+    best = found.groupBy("a").agg(F.min(F.struct("distance", "reference_id")).alias("m"))
+    return candidates.join(best, candidates["value"] == best["a"]).select("id", "m.reference_id", "m.distance")
 
 
-def greedy_dedupe(items: DataFrame, limit: int = REFERENCE_LIMIT) -> DataFrame:
-    """(id, kept_id): for items (id, ord, value), what a pass in order would drop, and the kept item it falls to.
+def nearest_within(values: DataFrame, limit: int = SIMHASH_LIMIT, width: int = 64) -> DataFrame:
+    """(id, reference_id, distance): the closest other row of (id, value) within ``limit`` bits, the first by id of equals.
 
-    An item is kept if no earlier kept one is within ``limit``; dropped ones absorb nothing. Rounds over the edges: keep
-    what has no earlier neighbour left undecided or kept, drop what has a kept one. A dropped item goes to its closest
-    earlier kept neighbour, the earliest of equals.
+    Copies of one value answer each other. For the rest the radius grows, and only values without a neighbour so far go on
+    to the next one: what is found within a radius is closer than all that is left out, and few values reach the large
+    radii, where pairs are many.
+    """
+    first = cut(values.groupBy("value").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    copies = values.join(first.where("n > 1"), "value")
+    second = copies.where("id <> first").groupBy("value").agg(F.min("id").alias("second"))
+    same = copies.join(second, "value").select("id", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("reference_id"), F.lit(0).alias("distance"))
+    todo, out = first.where("n = 1").select("value"), same
+    for radius in sorted({min(r, limit) for r in (1, 3, 5, 7, limit)}):
+        pairs = hamming_pairs(todo, first.select("value"), radius, width).where("a <> b")
+        found = pairs.join(first.select(F.col("value").alias("b"), F.col("first").alias("reference_id")), "b")
+        best = cut(found.groupBy("a").agg(F.min(F.struct("distance", "reference_id")).alias("m")))
+        named = best.join(first, best["a"] == first["value"]).select(F.col("first").alias("id"), "m.reference_id", "m.distance")
+        out = out.unionByName(named)
+        todo = cut(todo.join(best.select(F.col("a").alias("value")), "value", "left_anti"))
+    return out
+
+
+def first_independent(values: DataFrame, limit: int) -> DataFrame:
+    """The rows of (value, o), whose values are distinct, that a pass in order of ``o`` keeps.
+
+    Rounds over the edges: keep what has no earlier neighbour left undecided or kept, drop what has a kept one.
     """
-    pairs = hamming_pairs(items.select("value").distinct(), items.select("value").distinct(), limit)
-    a, b = items.select(F.col("ord").alias("o"), F.col("value").alias("a")), items.select(F.col("ord").alias("e"), F.col("value").alias("b"))
-    edges = cut(a.join(pairs, "a").join(b, "b").where("e < o").select("o", "e", "distance"))
-    kept, dropped = None, None
-    undecided = cut(items.select(F.col("ord").alias("o")))
+    pairs = hamming_pairs(values.select("value"), values.select("value"), limit)
+    a, b = values.select(F.col("value").alias("a"), "o"), values.select(F.col("value").alias("b"), F.col("o").alias("e"))
+    edges = cut(pairs.join(a, "a").join(b, "b").where("e < o").select("o", "e"))
+    undecided, kept = values.select("o"), None
     while not undecided.isEmpty():
-        open_edges = edges if dropped is None else edges.join(dropped.withColumnRenamed("o", "e"), "e", "left_anti")
-        new = cut(undecided.join(open_edges.select("o").distinct(), "o", "left_anti"))
+        new = cut(undecided.join(edges.select("o").distinct(), "o", "left_anti"))
+        kept = new if kept is None else cut(kept.union(new))
+        dropped = edges.join(new.withColumnRenamed("o", "e"), "e", "left_semi").select("o").distinct()
+        undecided = cut(undecided.join(new, "o", "left_anti").join(dropped, "o", "left_anti"))
+        live = undecided.withColumnRenamed("o", "e")
+        edges = cut(edges.join(undecided, "o", "left_semi").join(live, "e", "left_semi"))
+    return values.limit(0) if kept is None else values.join(kept, "o", "left_semi")
+
+
+def greedy_dedupe(items: DataFrame, limit: int = REFERENCE_LIMIT, batch: int = 4096) -> DataFrame:
+    """(id, kept_id): for items (id, ord, value), what a pass in order would drop, and the kept item it falls to.
+
+    An item is kept if no earlier kept one is within ``limit``; dropped ones absorb nothing. Only the first item of a value
+    can be kept. The first ``batch`` values or so in order are settled among each other, what their kept ones reach is
+    dropped from the rest, and so on with twice as many: so pairs of dropped values are never listed. A dropped item goes
+    to its closest earlier kept neighbour, the earliest of equals.
+    """
+    rest = first = cut(items.groupBy("value").agg(F.min("ord").alias("o")))
+    kept, left = None, first.count()
+    while left:
+        part, later = rest, rest.limit(0)
+        if left > batch:
+            border = int(rest.select("o").approxQuantile("o", [batch / left], 0.001)[0])
+            part, later = cut(rest.where(F.col("o") <= border)), rest.where(F.col("o") > border)
+        new = cut(first_independent(part, limit))
         kept = new if kept is None else cut(kept.union(new))
-        absorbed = undecided.join(edges.join(kept.withColumnRenamed("o", "e"), "e").select("o").distinct(), "o", "left_semi").join(new, "o", "left_anti")
-        absorbed = cut(absorbed)
-        dropped = absorbed if dropped is None else cut(dropped.union(absorbed))
-        undecided = cut(undecided.join(new, "o", "left_anti").join(absorbed, "o", "left_anti"))
+        reached = hamming_pairs(later.select("value"), new.select("value"), limit).select(F.col("a").alias("value")).distinct()
+        rest, batch = cut(later.join(reached, "value", "left_anti")), batch * 2
+        left = rest.count()
     if kept is None:
         return items.select("id", F.col("id").alias("kept_id")).limit(0)
-    to = edges.join(kept.withColumnRenamed("o", "e"), "e").join(dropped, "o", "left_semi").groupBy("o").agg(F.min(F.struct("distance", "e")).alias("m"))
-    name = items.select(F.col("ord"), "id")
-    out = to.select("o", F.col("m.e").alias("e")).join(name.select(F.col("ord").alias("o"), "id"), "o")
-    return out.join(name.select(F.col("ord").alias("e"), F.col("id").alias("kept_id")), "e").select("id", "kept_id")
+    to = hamming_pairs(first.select("value"), kept.select("value"), limit)
+    to = to.join(kept.select(F.col("value").alias("b"), F.col("o").alias("e")), "b").select(F.col("a").alias("value"), "e", "distance")
+    best = items.join(to, "value").where("e < ord").groupBy("ord", "id").agg(F.min(F.struct("distance", "e")).alias("m"))
+    name = items.select(F.col("ord").alias("e"), F.col("id").alias("kept_id"))
+    return best.select("id", F.col("m.e").alias("e")).join(name, "e").select("id", "kept_id")
 
 
 def cosine_to_prototypes(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import text as T
 from triagelake.functions.metrics import ratio
+from triagelake.functions.simhash import simhash
 from triagelake.operators import lexicon as L
 from triagelake.operators import queue as Q
 from triagelake.operators import rules as R
@@ -124,24 +125,40 @@ HASH = "((doc_id - doc_id % 3) * 40503 % 262144 * 4 + doc_id % 3)"
 @register("joi02_nearest_within", f"WITH v AS (SELECT doc_id AS id, {HASH} AS value FROM documents), p AS (SELECT a.id, b.id AS other, bit_count(xor(a.value, b.value)) AS distance FROM v a JOIN v b ON a.id <> b.id WHERE bit_count(xor(a.value, b.value)) <= 2), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS n FROM p) SELECT id, other AS reference_id, CAST(distance AS INTEGER) AS distance FROM m WHERE n = 1")
 def nearest(spark, d):
     values = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(HASH).alias("value"))
-    pairs = S.hamming_pairs(values.select("value").distinct(), values.select("value").distinct(), 2)
-    other = values.select(F.col("id").alias("reference_id"), F.col("value").alias("b"))
-    best = values.join(pairs, values["value"] == pairs["a"]).join(other, "b").where("id <> reference_id").groupBy("id").agg(F.min(F.struct("distance", "reference_id")).alias("m"))
-    return best.select("id", "m.reference_id", "m.distance")
+    return S.nearest_within(values, 2, width=20)
+
+
+def text_values(rows, id):
+    """(id, value): the 64-bit SimHash of the normalised whole text."""
+    return rows.select(F.col(id).alias("id"), simhash(T.normalize_text(F.col("text"))).alias("value"))
+
+
+@register("joi02_nearest_text")
+def nearest_text(spark, d):
+    """The closest other document by whole text; the test compares with all pairs."""
+    return S.nearest_within(S.cut(text_values(table(spark, d, "documents"), "doc_id")), S.SIMHASH_LIMIT)
 
 
 @register("joi03_anti_leakage", f"WITH c AS (SELECT doc_id AS id, {HASH} AS value FROM documents), r AS (SELECT item_id AS id, item_id * 40503 % 1048576 AS value FROM benchmark) SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE bit_count(xor(c.value, r.value)) <= 4)")
 def anti_leakage(spark, d):
     posts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(HASH).alias("value"))
     frozen = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.expr("item_id * 40503 % 1048576").alias("value"))
-    return posts.join(S.near_reference(posts, frozen, 4).select("id"), "id", "left_anti").select("id")
+    return posts.join(S.near_reference(posts, frozen, 4, width=20).select("id"), "id", "left_anti").select("id")
+
+
+@register("joi03_text_anti_leakage")
+def text_anti_leakage(spark, d):
+    """Documents whose whole text is near no benchmark passage; the test compares with all pairs."""
+    docs = S.cut(text_values(table(spark, d, "documents"), "doc_id"))
+    frozen = S.cut(text_values(table(spark, d, "benchmark"), "item_id"))
+    return docs.join(S.near_reference(docs, frozen).select("id"), "id", "left_anti").select("id")
 
 
 @register("joi04_greedy_dedupe")
 def greedy(spark, d):
     """What a pass over all documents in order would drop; the test replays the pass."""
-    values = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.expr(HASH).alias("value"))
-    return S.greedy_dedupe(values, 2)
+    values = text_values(table(spark, d, "documents"), "doc_id").select("id", F.col("id").alias("ord"), "value")
+    return S.greedy_dedupe(S.cut(values))
 
 
 @register("joi05_unsent", sql("sightings", body=" SELECT s.id, s.url FROM sightings s JOIN (SELECT url, max(value) AS top FROM sightings WHERE lane = 'view' GROUP BY url) g ON s.url = g.url WHERE s.lane <> 'view' AND NOT s.restricted AND g.top > 20 AND s.priority IN ('urgent', 'high')"))
