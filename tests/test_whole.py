@@ -9,6 +9,7 @@ from tests.test_replay import bits, values
 from triagelake import plans, registry  # noqa: F401
 from triagelake.functions import text as T
 from triagelake.functions.simhash import of_text
+from triagelake.operators import queue as Q
 from triagelake.operators import similarity as S
 
 
@@ -74,3 +75,17 @@ def test_greedy_dedupe_by_batches_equals_one_pass(spark):
 
 def test_narrow_values_meet_under_more_than_one_key():
     assert all(m & ((1 << 20) - 1) for m in S.block_masks(2, width=20))
+
+
+def test_sightings_match_all_earlier_ones(spark):
+    rng = random.Random(5)
+    rows = [(k, f"u{rng.randrange(30)}", f"g{rng.randrange(12)}" if rng.random() < 0.4 else None) for k in range(90)]
+    found = {k: [i for i, u, g in rows[:k] if u == rows[k][1] or (g and g == rows[k][2])] for k, _, _ in rows}
+    got = {r.id: r.item for r in Q.match_earlier(spark.createDataFrame(rows, "id long, url string, group_key string")).collect()}
+    assert got == {k: min(f) for k, f in found.items() if f}
+
+
+def test_decisions_of_all_customers_are_inherited(spark, tmp_path):
+    d = tables(spark, tmp_path, customer=([(k,) for k in (3, 300, 301, 302)], "c_custkey long"), events=([(k, u, "2024-01-01 00:00:00", "click") for k, u in enumerate((3, 300, 301, 302, 999))], "event_id long, user_id long, ts string, event_type string"))
+    got = {r.event_id: (r.decision, r.note) for r in registry.QUERIES["str09_all_decisions"](spark, d).collect()}
+    assert got == {0: ("YES", "click"), 1: ("YES", "click"), 2: ("RESTRICTED", None), 3: (None, "click"), 4: (None, "click")}

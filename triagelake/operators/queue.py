@@ -46,11 +46,19 @@ def fingerprints(posts: DataFrame, near: bool) -> DataFrame:
 
 def match_items(new: DataFrame, known: DataFrame) -> DataFrame:
     """(id, item): the earliest known item with the same link or the same group key; two equi-joins instead of an OR."""
-    a = new.select("id", "url").join(known.select("url", F.col("id").alias("item")), "url").select("id", "item")
-    b = new.select("id", "group_key").join(known.select("group_key", F.col("id").alias("item")), "group_key").select("id", "item")
+    links, keys = (known.groupBy(k).agg(F.min("id").alias("item")) for k in ("url", "group_key"))
+    a = new.select("id", "url").join(links, "url").select("id", "item")
+    b = new.select("id", "group_key").join(keys, "group_key").select("id", "item")
     return a.union(b).groupBy("id").agg(F.min("item").alias("item"))
 
 
+def match_earlier(rows: DataFrame) -> DataFrame:
+    """(id, item): the earliest row before each row with its link or its group key; rows without one are left out."""
+    links, keys = (rows.groupBy(k).agg(F.min("id").alias(f"by_{k}")) for k in ("url", "group_key"))
+    both = rows.select("id", "url", "group_key").join(links, "url", "left").join(keys, "group_key", "left")
+    return both.select("id", F.least("by_url", "by_group_key").alias("item")).where("item < id")
+
+
 def label_components(edges: DataFrame) -> DataFrame:
     """(node, root) over string nodes: labels spread along edges and jump to their label's label until nothing changes."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())

@@ -203,6 +203,11 @@ def url_or_key(spark, d):
     return Q.match_items(rows.where("id % 7 = 1"), rows.where("id % 7 = 0"))
 
 
+@register("joi11_all_sightings", sql("sightings", body=" SELECT id, min(item) AS item FROM (SELECT n.id, i.id AS item FROM sightings n JOIN sightings i ON n.url = i.url AND i.id < n.id UNION ALL SELECT n.id, i.id FROM sightings n JOIN sightings i ON n.group_key = i.group_key AND i.id < n.id) m GROUP BY id"))
+def all_sightings(spark, d):
+    return Q.match_earlier(view(spark, d, "sightings"))
+
+
 @register("joi12_nested_occurrences", sql("sightings", body=" SELECT url, count(*) AS n, min(id) AS first_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY ts, id) AS occurrences FROM sightings GROUP BY url"))
 def nested(spark, d):
     groups = view(spark, d, "sightings").groupBy("url").agg(F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("o"))
