@@ -205,6 +205,18 @@ def test_quality_separates_and_is_calibrated(spark):
     assert quality.train(docs.limit(0), labels.limit(0))[1] == 0.5
 
 
+def test_quality_has_a_vector_per_word_whatever_the_order(spark):
+    rng = random.Random(6)
+    texts = [(" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)),) for _ in range(100)]
+    docs = spark.createDataFrame(texts, "text string")
+    words = {w for (t,) in texts for w in t.split()}
+    assert len(words) > 1 << 14
+    sums = lambda df: {r.word: tuple(r)[1:] for r in quality.word_sums(df).collect()}
+    found = sums(docs.coalesce(1))
+    assert set(found) - {"<again>"} == words
+    assert found == sums(docs.orderBy("text").repartition(3))
+
+
 def test_folds_and_memo(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     assert [r.f for r in df.select(crc_mod("doc_id", 5).alias("f")).collect()] == [fold(i, 5) for i in range(50)]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import re
-import zlib
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -12,39 +13,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_mod, table
+from .common import Memo, crc_mod, cut, table
 from .labelled import binary_sample
 
 #: At most so many labelled documents of each class are used; labelled rows are learnt from where the remainder isn't 0.
 SAMPLE, FOLDS, ACCEPT = 2000, 5, 0.3
-#: Hash buckets of the vocabulary, dimensions of a vector, non-zero places of an index vector, window on each side.
-VOCABULARY, DIMENSIONS, PLACES, WINDOW = 1 << 14, 24, 2, 2
+#: Dimensions of a vector, non-zero places of an index vector, window on each side.
+DIMENSIONS, PLACES, WINDOW = 24, 2, 2
 HIDDEN = 16
-AGAIN = 0
+#: Numbers of what stands between documents and for unknown words, and of a repeated chunk; the words of a task follow.
+NONE, AGAIN = 0, 1
+FIRST = {"": NONE, "<again>": AGAIN}
+#: Tokens and words after which a task passes its sums on; characters that are pooled together.
+TOKENS, WORDS, CHARACTERS = 2_000_000, 200_000, 8_000_000
 PARTS = re.compile(r"([^\W\d_]+)|(\d+)|([^\w\s]+|_+)").findall
 
 
-def bucket(token: str) -> int:
-    return 1 + zlib.crc32(token.encode("utf-8", "replace")) % (VOCABULARY - 1)
+class Numbers(dict):
+    """Word -> number; new words get the next one."""
 
+    def __init__(self):
+        super().__init__(FIRST)
 
-def tokens_of(chunk: str) -> tuple[int, ...]:
-    """Buckets of what a chunk is made of: words by letters and by case, digits by length, other signs as they are."""
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def tokens_of(chunk: str) -> list[str]:
+    """What a chunk is made of: words by letters and by case, digits by length, other signs as they are."""
     out = []
     for word, digits, signs in PARTS(chunk):
         if word:
-            out.append(bucket(word.lower()))
+            out.append(word.lower())
             if not word.islower():
-                out.append(bucket("<upper>" if word.isupper() and len(word) > 1 else "<title>" if word.istitle() else "<mixed>"))
+                out.append("<upper>" if word.isupper() and len(word) > 1 else "<title>" if word.istitle() else "<mixed>")
         elif digits:
-            out.append(bucket(f"<{min(len(digits), 8)} digits>"))
+            out.append(f"<{min(len(digits), 8)} digits>")
         else:
-            out.append(bucket(signs[:4]))
-    return tuple(out)
+            out.append(signs)
+    return out
+
+
+def numbered(number) -> Memo:
+    """Chunk -> the numbers of its tokens."""
+    return Memo(lambda chunk: tuple(map(number, tokens_of(chunk))))
 
 
 def stream(text: str | None, memo: Memo) -> np.ndarray:
-    """Token buckets of a whole text; AGAIN stands after a chunk that says what the one before it said."""
+    """Token numbers of a whole text; AGAIN stands after a chunk that says what the one before it said."""
     chunks = (text or "").split()
     parts = list(map(memo.__getitem__, chunks))
     if len(set(chunks)) < len(chunks):
@@ -53,61 +70,101 @@ def stream(text: str | None, memo: Memo) -> np.ndarray:
     return np.fromiter(chain.from_iterable(parts), np.int64)
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the sparse ternary index vector of every bucket."""
-    rng = np.random.default_rng(11)
-    return rng.integers(0, DIMENSIONS, (VOCABULARY, PLACES)), rng.choice([-1.0, 1.0], (VOCABULARY, PLACES))
+def index_vectors(words) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the sparse ternary index vector of every word, drawn from the word; NONE has none."""
+    drawn = np.frombuffer(b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words), "<u2").reshape(-1, 4)
+    signs = np.where(drawn[:, PLACES:] % 2, 1.0, -1.0)
+    signs[NONE] = 0
+    return (drawn[:, :PLACES] % DIMENSIONS).astype(np.int64), signs
 
 
-def add_contexts(total: np.ndarray, tokens: np.ndarray, places: np.ndarray, signs: np.ndarray) -> None:
-    """Adds to each token's row the index vectors of its neighbours."""
+def contexts(tokens: np.ndarray, words) -> np.ndarray:
+    """For each word the sum of the index vectors of its neighbours."""
+    places, signs = index_vectors(words)
+    total = np.zeros(len(places) * DIMENSIONS)
     for apart in range(1, WINDOW + 1):
         for own, other in ((tokens[:-apart], tokens[apart:]), (tokens[apart:], tokens[:-apart])):
             for k in range(PLACES):
                 total += np.bincount(own * DIMENSIONS + places[other, k], signs[other, k], len(total))
+    return total.reshape(-1, DIMENSIONS)
+
 
+NAMES = [f"v{d}" for d in range(DIMENSIONS)]
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit random-indexing vectors of all buckets, from the contexts of all tokens of all documents.
 
-    Every task sums its own contexts in one matrix of fixed size and sends the rows it touched; the rows are added by a
-    grouped aggregation, and the matrix (VOCABULARY x DIMENSIONS, 3 MB) comes to the driver.
+def word_sums(docs: DataFrame) -> DataFrame:
+    """(word, v0, ...): the sums of all contexts of every word in all documents; no context crosses documents.
+
+    A task adds up what it has of each word before it passes the rows on.
     """
-    names = [f"v{d}" for d in range(DIMENSIONS)]
+    border = np.full(WINDOW, NONE)
+
+    def rows(held, numbers):
+        words = list(numbers)
+        total = contexts(np.concatenate(held), words).astype(np.int64)
+        return pa.record_batch([pa.array(words[1:], pa.string()), *(pa.array(total[1:, d]) for d in range(DIMENSIONS))], ["word", *NAMES])
 
     def run(batches):
-        memo, (places, signs) = Memo(tokens_of), index_vectors()
-        total, held, size = np.zeros(VOCABULARY * DIMENSIONS), [], 0
+        numbers, held, size = Numbers(), [], 0
+        memo = numbered(numbers.__getitem__)
         for batch in batches:
             for text in batch["text"]:
-                held.append(stream(text.as_py(), memo))
-                size += len(held[-1])
-                if size > 1_000_000:
-                    add_contexts(total, np.concatenate(held), places, signs)
-                    held, size = [], 0
-            memo.trim()
+                held += [stream(text.as_py(), memo), border]
+                size += len(held[-2])
+                if size > TOKENS or len(numbers) > WORDS:
+                    yield rows(held, numbers)
+                    numbers, held, size = Numbers(), [], 0
+                    memo = numbered(numbers.__getitem__)
         if size:
-            add_contexts(total, np.concatenate(held), places, signs)
-        rows = total.reshape(VOCABULARY, DIMENSIONS)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.record_batch([pa.array(some, pa.int32()), *(pa.array(rows[some, d].astype(np.int64)) for d in range(DIMENSIONS))], ["token", *names])
-
-    sums = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, ", ".join(["token int", *(f"{n} long" for n in names)]))
-    found = sums.groupBy("token").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-    out = np.zeros((VOCABULARY, DIMENSIONS))
-    if found.num_rows:
-        out[found["token"].to_numpy()] = np.stack([found[n].to_numpy() for n in names], axis=1)
+            yield rows(held, numbers)
+
+    sums = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, ", ".join(["word string", *(f"{n} long" for n in NAMES)]))
+    return sums.groupBy("word").agg(*(F.sum(n).alias(n) for n in NAMES))
+
+
+def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by their lengths, and the lengths; zeros stay."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0), length[:, 0]
+
+
+def word_vectors(docs: DataFrame) -> DataFrame:
+    """(word, v): the unit random-indexing vector of every word, from its contexts in all documents."""
+    sums = cut(word_sums(docs))
+    matrix = lambda batch: np.stack([batch[n].to_numpy(zero_copy_only=False) for n in NAMES], axis=1).astype(float)
+
+    def weighed(batches):
+        for batch in batches:
+            units, length = unit_rows(matrix(batch))
+            weight = np.sqrt(length)
+            yield pa.record_batch([*(pa.array([x]) for x in weight @ units), pa.array([weight.sum()])], [*NAMES, "w"])
+
     # frequent neighbours stand in every context; without their common direction the rest shows
-    length = np.linalg.norm(out, axis=1, keepdims=True)
-    out = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
-    out -= np.average(out, axis=0, weights=np.sqrt(length[:, 0]) + 1e-9)
-    length = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+    parts = sums.mapInArrow(weighed, ", ".join(f"{n} double" for n in [*NAMES, "w"]))
+    *common, weight = parts.agg(*(F.sum(n) for n in [*NAMES, "w"])).first()
+    common = np.array(common, float) / weight if weight else np.zeros(DIMENSIONS)
+
+    def rest(batches):
+        for batch in batches:
+            units, length = unit_rows(matrix(batch))
+            out = unit_rows(units - common)[0][length > 0].astype(np.float32)
+            yield pa.record_batch([batch["word"].filter(pa.array(length > 0)), pa.array(list(out), pa.list_(pa.float32()))], ["word", "v"])
+
+    return cut(sums.mapInArrow(rest, "word string, v array<float>"))
 
 
-def pooling_table(vectors: np.ndarray) -> np.ndarray:
-    """Each bucket's vector beside its squares, so that one mean gives both moments."""
-    return np.concatenate([vectors, vectors * vectors], axis=1).astype(np.float32)
+def pooling_table(words: list[str], v: pa.ChunkedArray) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of the words, and each one's vector beside its squares, so that one mean gives both moments."""
+    numbers = dict(FIRST)
+    at = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    vectors = np.zeros((len(numbers), DIMENSIONS), np.float32)
+    if len(words):
+        vectors[at] = v.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
+    return numbers, np.concatenate([vectors, vectors * vectors], axis=1)
+
+
+def looked_up(numbers: dict[str, int]) -> Memo:
+    return numbered(lambda word: numbers.get(word, NONE))
 
 
 def pooled(tokens: np.ndarray, moments: np.ndarray) -> np.ndarray:
@@ -168,14 +225,18 @@ class Network:
         self.temperature = float(grid[int(np.argmin(losses))])
 
 
-def fit(sample: list[tuple[str, int]], counts: dict[int, int], vectors: np.ndarray) -> Network | float:
+def fit(sample: list[tuple[str, int]], counts: dict[int, int], vectors: DataFrame) -> Network | float:
     """The trained network; without labels of both classes, the share of class 1 as a constant score."""
     share = (counts.get(1, 0) + 0.5) / (counts.get(1, 0) + counts.get(0, 0) + 1)
     y = np.array([label for _, label in sample], float)
     if not len(y) or y.min() == y.max():
         return share
-    rng, memo = np.random.default_rng(5), Memo(tokens_of)
-    x = np.stack([pooled(stream(text, memo), vectors) for text, _ in sample])
+    words = {w for text, _ in sample for chunk in set((text or "").split()) for w in tokens_of(chunk)} | {"<again>"}
+    wanted = vectors.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(words), pa.string())}))
+    found = vectors.join(wanted, "word").toArrow()
+    numbers, moments = pooling_table(found["word"].to_pylist(), found["v"])
+    rng, memo = np.random.default_rng(5), looked_up(numbers)
+    x = np.stack([pooled(stream(text, memo), moments) for text, _ in sample])
     rest = np.arange(len(y)) % 5 == 4
     if len(set(y[~rest])) < 2:
         rest[:] = False
@@ -186,30 +247,71 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], vectors: np.ndarr
     return network
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network | float]:
-    vectors = pooling_table(word_vectors(docs))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Network | float]:
+    vectors = word_vectors(docs)
     return vectors, fit(*binary_sample(docs, labels, "quality", crc_mod("doc_id", FOLDS) != 0, sample), vectors)
 
 
-def with_score(docs: DataFrame, model: tuple[np.ndarray, Network | float], column: str = "quality_score") -> DataFrame:
+def in_chunks(docs: DataFrame) -> DataFrame:
+    """docs with ``_chunk``, a name for neighbouring rows of CHARACTERS or little more; checkpointed, so names stay."""
+
+    def run(batches):
+        name, k, size = os.urandom(8).hex(), 0, 0
+        for batch in batches:
+            chunks = []
+            for text in batch["text"]:
+                chunks.append(f"{name}-{k}")
+                size += len(text.as_py() or "")
+                if size > CHARACTERS:
+                    k, size = k + 1, 0
+            yield pa.record_batch([*batch.columns, pa.array(chunks, pa.string())], [*batch.schema.names, "_chunk"])
+
+    return cut(docs.mapInArrow(run, docs.select("*").schema.add("_chunk", "string")))
+
+
+def words_of_chunks(docs: DataFrame) -> DataFrame:
+    """(_chunk, word): the distinct words of each chunk."""
+
+    def rows(name, chunks):
+        words = list({w for chunk in chunks for w in tokens_of(chunk)} | {"<again>"})
+        return pa.record_batch([pa.array([name] * len(words), pa.string()), pa.array(words, pa.string())], ["_chunk", "word"])
+
+    def run(batches):
+        name, chunks = None, set()
+        for batch in batches:
+            for own, text in zip(batch["_chunk"].to_pylist(), batch["text"]):
+                if own != name and name is not None:
+                    yield rows(name, chunks)
+                    chunks = set()
+                name = own
+                chunks.update((text.as_py() or "").split())
+        if name is not None:
+            yield rows(name, chunks)
+
+    return docs.select("_chunk", "text").mapInArrow(run, "_chunk string, word string")
+
+
+def with_score(docs: DataFrame, model: tuple[DataFrame, Network | float], column: str = "quality_score") -> DataFrame:
     """docs with all its columns and ``column``, the score of the whole text (0 to 1); a column of that name is replaced.
 
     Null and empty texts pool to zeros and get the score of that. Repeated rows score alike; an empty table stays empty.
+    The table of words grows with the corpus, so it is never sent whole: each chunk of rows gets the vectors of its words.
     """
-    model = docs.sparkSession.sparkContext.broadcast(model)
+    vectors, network = model
     kept = [c for c in docs.columns if c != column]
+    if isinstance(network, float):
+        return docs.select(*kept, F.lit(network).alias(column))
+    chunks = in_chunks(docs.select(*kept))
+    needed = words_of_chunks(chunks).join(vectors, "word")
 
-    def run(batches):
-        vectors, network = model.value
-        memo = Memo(tokens_of)
-        for batch in batches:
-            x = np.array([pooled(stream(text, memo), vectors) for text in map(lambda t: t.as_py(), batch["text"])]).reshape(-1, 2 * DIMENSIONS + 1)
-            found = np.full(len(x), network) if isinstance(network, float) else network.probabilities(x)
-            memo.trim()
-            yield pa.record_batch([*(batch[c] for c in kept), pa.array(found, pa.float64())], [*kept, column])
+    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
+        numbers, moments = pooling_table(words["word"].to_pylist(), words["v"])
+        memo = looked_up(numbers)
+        x = np.array([pooled(stream(text.as_py(), memo), moments) for text in rows["text"]]).reshape(-1, 2 * DIMENSIONS + 1)
+        return pa.table([*(rows[c] for c in kept), pa.array(network.probabilities(x), pa.float64())], [*kept, column])
 
     schema = docs.select(*kept).schema.add(column, "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return chunks.groupBy("_chunk").cogroup(needed.groupBy("_chunk")).applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
