@@ -89,3 +89,13 @@ def test_decisions_of_all_customers_are_inherited(spark, tmp_path):
     d = tables(spark, tmp_path, customer=([(k,) for k in (3, 300, 301, 302)], "c_custkey long"), events=([(k, u, "2024-01-01 00:00:00", "click") for k, u in enumerate((3, 300, 301, 302, 999))], "event_id long, user_id long, ts string, event_type string"))
     got = {r.event_id: (r.decision, r.note) for r in registry.QUERIES["str09_all_decisions"](spark, d).collect()}
     assert got == {0: ("YES", "click"), 1: ("YES", "click"), 2: ("RESTRICTED", None), 3: (None, "click"), 4: (None, "click")}
+
+
+def test_texts_are_read_beyond_a_prefix(spark, tmp_path):
+    head = "one boilerplate head that many documents have in common "
+    rows = [(k, head + end, "en", "src0", 70) for k, end in enumerate(("alpha", "beta", "Beta!", "alpha"), 1)]
+    d = tables(spark, tmp_path, documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"), conversations=([(1, 0, "user", head + "alpha"), (1, 1, "user", head + "beta")], "conv_id long, turn long, role string, text string"))
+    run = lambda name: registry.QUERIES[name](spark, d).collect()
+    assert {(r.seq, r.owner) for r in run("joi01_whole_text_match")} == {(3, 2), (4, 1)}
+    assert {r.value for r in run("lex06_all_terms")} == set(head.split()) | {"alpha", "beta"}
+    assert {r.idx: r.text for r in run("joi14_whole_segment_texts")} == {0: head + "alpha", 1: f"{head}alpha {head}beta"}

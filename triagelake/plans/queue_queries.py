@@ -119,6 +119,15 @@ def exact_first(spark, d):
     return kinds.join(owners, ["kind", "value"]).where("owner < seq").groupBy("seq").agg(F.min_by("owner", "pos").alias("owner"))
 
 
+@register("joi01_whole_text_match")
+def whole_text_match(spark, d):
+    """By the normalised text, then by the lower-cased text with single spaces; both of the whole text."""
+    posts = view(spark, d, "posts")
+    kind = lambda pos, name, value: posts.select("seq", F.lit(pos).alias("pos"), F.lit(name).alias("kind"), value.alias("value"))
+    kinds = kind(0, "text_sha", T.exact_key(F.col("text"))).unionByName(kind(1, "loose_key", T.loose_key(F.col("text"))))
+    return kinds.join(S.first_bearers(kinds), ["kind", "value"]).where("owner < seq").groupBy("seq").agg(F.min_by("owner", "pos").alias("owner"))
+
+
 HASH = "((doc_id - doc_id % 3) * 40503 % 262144 * 4 + doc_id % 3)"
 
 

@@ -88,6 +88,12 @@ def segment_texts(spark, d):
     return I.texts_of_segments(view(spark, d, "segments"), phrases(spark, d))
 
 
+@register("joi14_whole_segment_texts", sql("segments", body=" SELECT s.video, s.idx, string_agg(ph.text, ' ' ORDER BY ph.start_s, ph.end_s, ph.text) AS text FROM segments s JOIN (SELECT video, start_s + 30 AS start_s, end_s + 30 AS end_s, text FROM segments) ph ON s.video = ph.video AND ph.start_s < s.end_s AND ph.end_s > s.start_s GROUP BY s.video, s.idx"))
+def whole_segment_texts(spark, d):
+    turns = view(spark, d, "segments").select("video", (F.col("start_s") + 30).alias("start_s"), (F.col("end_s") + 30).alias("end_s"), "text")
+    return I.texts_of_segments(view(spark, d, "segments"), turns)
+
+
 @register("joi15_passage_hits", sql("segments", body=", f AS (SELECT video, start_s, end_s, row_number() OVER (PARTITION BY video ORDER BY p DESC, idx) AS n FROM segments), a AS (SELECT video, start_s + 30 AS start_s, start_s + 90 AS end_s FROM segments WHERE idx = 1) SELECT f.video, min(greatest(0, greatest(a.start_s - f.end_s, f.start_s - a.end_s))) AS min_offset, bool_or(f.n = 1 AND f.start_s < a.end_s AND f.end_s > a.start_s) AS top1, bool_or(f.n <= 3 AND f.start_s < a.end_s AND f.end_s > a.start_s) AS top3 FROM f JOIN a ON f.video = a.video GROUP BY f.video"))
 def passage_hits(spark, d):
     rows = view(spark, d, "segments")

@@ -176,6 +176,12 @@ def merged_terms(spark, d):
     return L.merge_terms(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), docs.where("doc_id % 3 = 0"))
 
 
+@register("lex06_all_terms", f"SELECT DISTINCT lang, source AS list, value FROM (SELECT lang, source, unnest(string_split({NORMAL}, ' ')) AS value FROM documents) x WHERE value <> ''")
+def all_terms(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("list"), F.explode(T.words(T.normalize_text(F.col("text")))).alias("value"))
+    return L.merge_terms(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 <> 0 OR doc_id IS NULL"))
+
+
 PATTERN_SQL = """, p AS (SELECT *, regexp_matches(lower(text), 'idiot|moron|scum') AS p1, regexp_matches(lower(text), 'thorst|inther') AS p2, regexp_matches(lower(text), 'licen[cs]e') AS p3, regexp_matches(lower(text), 'tionst') AS p4 FROM posts),
 x AS (SELECT *, concat_ws(',', CASE WHEN p1 THEN 'pt-1' END, CASE WHEN p2 THEN 'pt-2' END, CASE WHEN p3 THEN 'pt-3' END, CASE WHEN p4 THEN 'pt-4' END) AS ids, CASE WHEN p1 OR p3 THEN 'strong' WHEN p2 OR p4 THEN 'weak' END AS strength FROM p)"""
 
