@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from triagelake.functions import text as T
 from triagelake.functions.simhash import of_text
 from triagelake.operators import queue as Q
 from triagelake.operators import similarity as S
+from triagelake.streaming import jobs as J
 
 
 def tables(spark, at, **frames):
@@ -99,3 +101,33 @@ def test_texts_are_read_beyond_a_prefix(spark, tmp_path):
     assert {(r.seq, r.owner) for r in run("joi01_whole_text_match")} == {(3, 2), (4, 1)}
     assert {r.value for r in run("lex06_all_terms")} == set(head.split()) | {"alpha", "beta"}
     assert {r.idx: r.text for r in run("joi14_whole_segment_texts")} == {0: head + "alpha", 1: f"{head}alpha {head}beta"}
+
+
+def test_a_stream_orders_all_chunks_of_a_sender():
+    class State:
+        exists = False
+
+        def update(self, held):
+            self.held = held
+
+    chunks = [pd.DataFrame({"user_id": 1, "event_id": ids, "t": [float(i) for i in ids]}) for ids in ([6, 7, 8, 9], [0, 1, 2, 3])]
+    out = pd.concat(J.limited_state((1,), iter(chunks), State()))
+    assert sorted(out["event_id"][out["accepted"]]) == [0, 1, 2, 3, 6]
+
+
+def test_folds_go_on_over_arrow_batches(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(3), rng.randrange(20_000), rng.choice(["view", "click", "purchase", "error"])) for k in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long, event_type string").withColumn("ts", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        limited = {r.event_id: r.accepted for r in J.rate_limited(df).collect()}
+        lives = {r.user_id: r.status for r in J.life_cycle(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for u in range(3):
+        own = sorted((s, k) for k, v, s, _ in rows if v == u)
+        assert [limited[k] for _, k in own] == J.accept([float(s) for s, _ in own], [])[0]
+        first = next(e for _, v, _, e in rows if v == u)
+        assert lives[u] == ("RESTRICTED" if first == "error" else "PENDING")
+    assert len(limited) == 200 and len(lives) == 3

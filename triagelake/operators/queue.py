@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,32 +75,48 @@ def label_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def replay_component(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one component in order: a row joins the earliest item with its link or key; an item without a key adopts one."""
-    link, key, item_key, out = {}, {}, {}, []
-    for r in rows.sort_values("id").itertuples():
-        found = [i for i in (link.get(r.norm), key.get(r.group_key) if isinstance(r.group_key, str) else None) if i is not None]
-        item = min(found) if found else r.id
-        if not found:
-            link[r.norm] = item
-        if isinstance(r.group_key, str) and item not in item_key:
-            item_key[item] = r.group_key
-            key.setdefault(r.group_key, item)
-        out.append((r.id, item))
-    return pd.DataFrame(out, columns=["id", "item"])
+def runs(batches, key: str):
+    """(new, columns) of each run of a key in Arrow batches sorted by it; new is false where a run goes on from the batch
+    before, so that a fold keeps its state and no key's rows are ever gathered."""
+    last = object()
+    for batch in batches:
+        columns, start = batch.to_pydict(), 0
+        for k, same in groupby(columns[key]):
+            end = start + len(list(same))
+            yield k != last, {c: v[start:end] for c, v in columns.items()}
+            last, start = k, end
+
+
+def replay_sorted(batches):
+    """Rows of each component in order: a row joins the earliest item with its link or key; an item without a key adopts one."""
+    link, key, item_key = {}, {}, {}
+    for new, rows in runs(batches, "root"):
+        if new:
+            link, key, item_key = {}, {}, {}
+        out = []
+        for id, norm, group_key in zip(rows["id"], rows["norm"], rows["group_key"]):
+            found = [i for i in (link.get(norm), key.get(group_key) if group_key is not None else None) if i is not None]
+            item = min(found) if found else id
+            if not found:
+                link[norm] = item
+            if group_key is not None and item not in item_key:
+                item_key[item] = group_key
+                key.setdefault(group_key, item)
+            out.append(item)
+        yield pa.record_batch([pa.array(rows["id"], pa.int64()), pa.array(out, pa.int64())], ["id", "item"])
 
 
 def replay(rows: DataFrame) -> DataFrame:
     """(id, item): the queue item of each arriving row (id, url, group_key).
 
-    Components over link and group key part the rows safely; inside one, arrival order decides, so each is replayed by
-    one grouped function. A component is what shares links and keys, which real data keeps small.
+    Components over link and group key part the rows safely; inside one, arrival order decides, so each is sorted and
+    replayed as it streams by. Only the item of each link and key of one component is kept meanwhile.
     """
     rows = rows.select("id", T.normalize_url(F.col("url")).alias("norm"), "group_key")
     edges = rows.select(F.concat(F.lit("u:"), "norm").alias("a"), F.coalesce(F.concat(F.lit("k:"), "group_key"), F.concat(F.lit("u:"), "norm")).alias("b"))
     roots = label_components(edges)
-    placed = rows.withColumn("node", F.concat(F.lit("u:"), "norm")).join(roots, "node")
-    return placed.select("root", "id", "norm", "group_key").groupBy("root").applyInPandas(replay_component, "id long, item long")
+    placed = rows.withColumn("node", F.concat(F.lit("u:"), "norm")).join(roots, "node").select("root", "id", "norm", "group_key")
+    return placed.repartition("root").sortWithinPartitions("root", "id").mapInArrow(replay_sorted, "id long, item long")
 
 
 def daily(rows: DataFrame, *by: str) -> DataFrame:

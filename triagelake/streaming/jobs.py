@@ -10,10 +10,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from triagelake.operators.queue import runs
 from triagelake.operators.similarity import first_of
 from triagelake.sources.sinks import absent
 
@@ -83,24 +85,25 @@ def accept(times: list[float], held: list[float], limit: int = LIMIT, window: fl
     return out, held
 
 
-def limited_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["t", "event_id"])
-    rows["accepted"] = accept(rows["t"].tolist(), [])[0]
-    return rows[["user_id", "event_id", "accepted"]]
+def limited_sorted(batches):
+    held: list[float] = []
+    for new, rows in runs(batches, "user_id"):
+        taken, held = accept(rows["t"], [] if new else held)
+        yield pa.record_batch([pa.array(rows["user_id"], pa.int64()), pa.array(rows["event_id"], pa.int64()), pa.array(taken, pa.bool_())], ["user_id", "event_id", "accepted"])
 
 
 def rate_limited(events: DataFrame) -> DataFrame:
-    """The batch form: every sender's rows in time order by one grouped function."""
+    """The batch form: every sender's rows stream by in time order; the accepted times in the window are all that is kept."""
     rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t")).withColumn("t", F.col("t") / 1e6)
-    return rows.groupBy("user_id").applyInPandas(limited_rows, "user_id long, event_id long, accepted boolean")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInArrow(limited_sorted, "user_id long, event_id long, accepted boolean")
 
 
 def limited_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A sender's rows of a micro-batch come in several chunks in no order, so all are put in order before any is judged."""
     held = list(state.get[0]) if state.exists else []
-    for rows in batches:
-        rows = rows.sort_values(["t", "event_id"])
-        taken, held = accept(rows["t"].tolist(), held)
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "accepted": taken})
+    rows = pd.concat([b[["t", "event_id"]] for b in batches]).sort_values(["t", "event_id"])
+    taken, held = accept(rows["t"].tolist(), held)
+    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "accepted": taken})
     state.update((held,))
 
 
@@ -137,24 +140,31 @@ def release_stream(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_id").applyInPandasWithState(release_state, "event_id long, context string", "since double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def life_of(rows: pd.DataFrame) -> pd.DataFrame:
+def life_sorted(batches):
     """A report's states in order: only a screened item moves on; restriction erases its note and refuses later ones."""
-    status, note, priority = "SCREENING", None, "standard"
-    for r in rows.sort_values("event_id").itertuples():
-        if status == "SCREENING" and r.event_type == "error":
-            status, note = "RESTRICTED", None
-        elif status == "SCREENING" and r.event_type in ("click", "purchase"):
-            status = "PENDING"
-        elif status == "SCREENING" and r.event_type == "view":
-            status, priority = "PENDING", "none"
-        if status != "RESTRICTED":
-            note = r.event_type
-    return pd.DataFrame([(int(rows["user_id"].iloc[0]), status, note, priority)], columns=["user_id", "status", "note", "priority"])
+    row = lambda: pa.record_batch([pa.array([x], t) for x, t in ((user, pa.int64()), (status, pa.string()), (note, pa.string()), (priority, pa.string()))], ["user_id", "status", "note", "priority"])
+    status = None
+    for new, rows in runs(batches, "user_id"):
+        if new:
+            if status is not None:
+                yield row()
+            user, status, note, priority = rows["user_id"][0], "SCREENING", None, "standard"
+        for event_type in rows["event_type"]:
+            if status == "SCREENING" and event_type == "error":
+                status, note = "RESTRICTED", None
+            elif status == "SCREENING" and event_type in ("click", "purchase"):
+                status = "PENDING"
+            elif status == "SCREENING" and event_type == "view":
+                status, priority = "PENDING", "none"
+            if status != "RESTRICTED":
+                note = event_type
+    if status is not None:
+        yield row()
 
 
 def life_cycle(events: DataFrame) -> DataFrame:
     rows = events.select("user_id", "event_id", "event_type")
-    return rows.groupBy("user_id").applyInPandas(life_of, "user_id long, status string, note string, priority string")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "event_id").mapInArrow(life_sorted, "user_id long, status string, note string, priority string")
 
 
 def screened(rows: DataFrame) -> DataFrame:
