@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import zlib
 
@@ -29,10 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more; its cleaner follows the collectors."""
-    gc.collect()
-    spark._jvm.System.gc()
+def quoted(column: str) -> str:
+    """A column's name as select() takes it, whatever signs it has."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def words_of(text: str | None) -> list[bytes]:
