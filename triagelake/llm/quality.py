@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-import os
 import re
+import zlib
 from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_mod, cut, table
+from .common import Memo, crc_mod, cut, quoted, table
 from .labelled import binary_sample
 
 #: At most so many labelled documents of each class are used; labelled rows are learnt from where the remainder isn't 0.
@@ -21,11 +22,17 @@ SAMPLE, FOLDS, ACCEPT = 2000, 5, 0.3
 #: Dimensions of a vector, non-zero places of an index vector, window on each side.
 DIMENSIONS, PLACES, WINDOW = 24, 2, 2
 HIDDEN = 16
-#: Numbers of what stands between documents and for unknown words, and of a repeated chunk; the words of a task follow.
-NONE, AGAIN = 0, 1
-FIRST = {"": NONE, "<again>": AGAIN}
-#: Tokens and words after which a task passes its sums on; characters that are pooled together.
-TOKENS, WORDS, CHARACTERS = 2_000_000, 200_000, 8_000_000
+#: Numbers of what stands between documents, of a repeated chunk, and of rare words; the words of a task follow.
+NONE, AGAIN, RARE = 0, 1, 2
+FIRST = {"": NONE, "<again>": AGAIN, "<rare>": RARE}
+#: Words that all documents together have fewer times share one vector, that of all their contexts.
+LEAST = 50
+#: Tokens and words after which a task passes its sums on; characters of all texts for each group of words' sums.
+TOKENS, WORDS, BUCKET = 4_000_000, 400_000, 40_000_000
+#: Up to so many vectors (20 MB) are sent to every executor; the vectors of less frequent words are joined by a shuffle.
+SENT = 1 << 18
+#: Up to so many scores are sent around; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
 PARTS = re.compile(r"([^\W\d_]+)|(\d+)|([^\w\s]+|_+)").findall
 
 
@@ -92,17 +99,27 @@ def contexts(tokens: np.ndarray, words) -> np.ndarray:
 NAMES = [f"v{d}" for d in range(DIMENSIONS)]
 
 
-def word_sums(docs: DataFrame) -> DataFrame:
-    """(word, v0, ...): the sums of all contexts of every word in all documents; no context crosses documents.
-
-    A task adds up what it has of each word before it passes the rows on.
-    """
+def packed_sums(docs: DataFrame) -> DataFrame:
+    """(bucket, words, n, sums): what tasks have added up of each word, dealt by word: packed words, how often they
+    occurred, and the sums of their contexts. No context crosses documents."""
+    docs = docs.select("text").where(F.col("text").isNotNull())
+    buckets = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET + 1
     border = np.full(WINDOW, NONE)
 
     def rows(held, numbers):
-        words = list(numbers)
-        total = contexts(np.concatenate(held), words).astype(np.int64)
-        return pa.record_batch([pa.array(words[1:], pa.string()), *(pa.array(total[1:, d]) for d in range(DIMENSIONS))], ["word", *NAMES])
+        words, tokens = list(numbers), np.concatenate(held)
+        n = np.bincount(tokens, minlength=len(words))
+        n[NONE] = 0
+        total = contexts(tokens, words)
+        used = np.flatnonzero(n)
+        bucket = np.fromiter((zlib.crc32(words[k].encode()) % buckets for k in used), np.int64, len(used))
+        used = used[np.argsort(bucket, kind="stable")]
+        bucket.sort()
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        out = []
+        for b, own in zip(bucket[starts], np.split(used, starts[1:])):
+            out.append((int(b), "\n".join(words[k] for k in own).encode(), n[own].astype(np.int32).tobytes(), total[own].astype(np.int32).tobytes()))
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "words", "n", "sums"])
 
     def run(batches):
         numbers, held, size = Numbers(), [], 0
@@ -118,8 +135,28 @@ def word_sums(docs: DataFrame) -> DataFrame:
         if size:
             yield rows(held, numbers)
 
-    sums = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, ", ".join(["word string", *(f"{n} long" for n in NAMES)]))
-    return sums.groupBy("word").agg(*(F.sum(n).alias(n) for n in NAMES))
+    return docs.mapInArrow(run, "bucket int, words binary, n binary, sums binary")
+
+
+def summed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a bucket, how often each occurs in all documents, and its sums."""
+    words = [w for packed in group["words"].to_pylist() for w in packed.decode().split("\n")]
+    at, words = pd.factorize(np.array(words, object))
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+    joined = lambda name: np.frombuffer(b"".join(group[name].to_pylist()), np.int32)
+    n = np.add.reduceat(joined("n")[order], starts, dtype=np.int64)
+    return words, n, np.add.reduceat(joined("sums").reshape(-1, DIMENSIONS)[order], starts, axis=0, dtype=np.int64)
+
+
+def word_sums(docs: DataFrame) -> DataFrame:
+    """(word, v0, ...): the sums of all contexts of every word in all documents."""
+
+    def run(group: pa.Table) -> pa.Table:
+        words, _, sums = summed(group)
+        return pa.table([pa.array(words, pa.string()), *(pa.array(sums[:, d]) for d in range(DIMENSIONS))], ["word", *NAMES])
+
+    return packed_sums(docs).groupBy("bucket").applyInArrow(run, ", ".join(["word string", *(f"{n} long" for n in NAMES)]))
 
 
 def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,51 +166,74 @@ def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_vectors(docs: DataFrame) -> DataFrame:
-    """(word, v): the unit random-indexing vector of every word, from its contexts in all documents."""
-    sums = cut(word_sums(docs))
-    matrix = lambda batch: np.stack([batch[n].to_numpy(zero_copy_only=False) for n in NAMES], axis=1).astype(float)
+    """(word, n, v): the unit random-indexing vector of every word from its contexts in all documents, as half floats.
 
-    def weighed(batches):
-        for batch in batches:
-            units, length = unit_rows(matrix(batch))
-            weight = np.sqrt(length)
-            yield pa.record_batch([*(pa.array([x]) for x in weight @ units), pa.array([weight.sum()])], [*NAMES, "w"])
+    Words with fewer than LEAST occurrences share the row of "<rare>".
+    """
 
+    def run(group: pa.Table) -> pa.Table:
+        words, n, sums = summed(group)
+        often = n >= LEAST
+        rare = sums[~often].sum(axis=0).astype(float)
+        units, length = unit_rows(sums[often].astype(float))
+        weight = np.sqrt(length)
+        # one more row has what all words of the bucket give the rest: rare contexts, the common direction, its weight
+        parts = [None] * int(often.sum()) + [np.concatenate([rare, weight @ units, [weight.sum()]])]
+        v = [*(u.astype("<f4").tobytes() for u in units), None]
+        return pa.table([pa.array([*words[often], None], pa.string()), pa.array([*n[often], int(n[~often].sum())], pa.int64()), pa.array(v, pa.binary()), pa.array(parts, pa.list_(pa.float64()))], ["word", "n", "v", "parts"])
+
+    found = cut(packed_sums(docs).groupBy("bucket").applyInArrow(run, "word string, n long, v binary, parts array<double>"))
+    rest = found.where("word is null")
+    total = rest.select(F.posexplode("parts")).groupBy("pos").agg(F.sum("col").alias("sum")).collect()
+    total = np.array([r["sum"] for r in sorted(total)] or np.zeros(2 * DIMENSIONS + 1), float)
+    own, length = unit_rows(total[None, :DIMENSIONS])
+    weight = math.sqrt(length[0])
     # frequent neighbours stand in every context; without their common direction the rest shows
-    parts = sums.mapInArrow(weighed, ", ".join(f"{n} double" for n in [*NAMES, "w"]))
-    *common, weight = parts.agg(*(F.sum(n) for n in [*NAMES, "w"])).first()
-    common = np.array(common, float) / weight if weight else np.zeros(DIMENSIONS)
+    common = total[DIMENSIONS:-1] + weight * own[0]
+    common /= max(total[-1] + weight, 1e-9)
+
+    def apart(units: np.ndarray) -> list[bytes]:
+        return [v.astype("<f2").tobytes() for v in unit_rows(units - common)[0]]
 
-    def rest(batches):
+    def run_rest(batches):
         for batch in batches:
-            units, length = unit_rows(matrix(batch))
-            out = unit_rows(units - common)[0][length > 0].astype(np.float32)
-            yield pa.record_batch([batch["word"].filter(pa.array(length > 0)), pa.array(list(out), pa.list_(pa.float32()))], ["word", "v"])
+            units = np.frombuffer(b"".join(batch["v"].to_pylist()), "<f4").reshape(-1, DIMENSIONS).astype(float)
+            yield pa.record_batch([batch["word"], batch["n"], pa.array(apart(units), pa.binary())], ["word", "n", "v"])
 
-    return cut(sums.mapInArrow(rest, "word string, v array<float>"))
+    often = found.where("word is not null").select("word", "n", "v").mapInArrow(run_rest, "word string, n long, v binary")
+    rare = docs.sparkSession.createDataFrame([("<rare>", 0, bytearray(apart(own)[0]))], "word string, n long, v binary")
+    return often.unionByName(rare)
 
 
-def pooling_table(words: list[str], v: pa.ChunkedArray) -> tuple[dict[str, int], np.ndarray]:
+def pooling_table(found: pa.Table) -> tuple[dict[str, int], np.ndarray]:
     """Numbers of the words, and each one's vector beside its squares, so that one mean gives both moments."""
     numbers = dict(FIRST)
-    at = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    at = np.array([numbers.setdefault(w, len(numbers)) for w in found["word"].to_pylist()], np.int64)
     vectors = np.zeros((len(numbers), DIMENSIONS), np.float32)
-    if len(words):
-        vectors[at] = v.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
+    if len(at):
+        vectors[at] = halves(found["v"].to_pylist())
     return numbers, np.concatenate([vectors, vectors * vectors], axis=1)
 
 
+def halves(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), "<f2").reshape(-1, DIMENSIONS).astype(np.float32)
+
+
 def looked_up(numbers: dict[str, int]) -> Memo:
-    return numbered(lambda word: numbers.get(word, NONE))
+    return numbered(lambda word: numbers.get(word, RARE))
 
 
 def pooled(tokens: np.ndarray, moments: np.ndarray) -> np.ndarray:
     """Mean and spread of a document's word vectors, and the logarithm of its length."""
     if not len(tokens):
         return np.zeros(2 * DIMENSIONS + 1)
-    mean = moments[tokens].sum(axis=0, dtype=np.float64) / len(tokens)
-    first, second = mean[:DIMENSIONS], mean[DIMENSIONS:]
-    return np.concatenate([first, np.sqrt(np.maximum(second - first * first, 0)), [math.log1p(len(tokens)) / 10]])
+    return features(moments[tokens].sum(axis=0, dtype=np.float64), len(tokens))
+
+
+def features(total: np.ndarray, n: int) -> np.ndarray:
+    """From the sum of both moments of n word vectors."""
+    first, second = total[:DIMENSIONS] / n, total[DIMENSIONS:] / n
+    return np.concatenate([first, np.sqrt(np.maximum(second - first * first, 0)), [math.log1p(n) / 10]])
 
 
 class Network:
@@ -231,10 +291,9 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], vectors: DataFram
     y = np.array([label for _, label in sample], float)
     if not len(y) or y.min() == y.max():
         return share
-    words = {w for text, _ in sample for chunk in set((text or "").split()) for w in tokens_of(chunk)} | {"<again>"}
+    words = {w for text, _ in sample for chunk in set((text or "").split()) for w in tokens_of(chunk)} | {"<again>", "<rare>"}
     wanted = vectors.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(words), pa.string())}))
-    found = vectors.join(wanted, "word").toArrow()
-    numbers, moments = pooling_table(found["word"].to_pylist(), found["v"])
+    numbers, moments = pooling_table(vectors.join(F.broadcast(wanted), "word").select("word", "v").toArrow())
     rng, memo = np.random.default_rng(5), looked_up(numbers)
     x = np.stack([pooled(stream(text, memo), moments) for text, _ in sample])
     rest = np.arange(len(y)) % 5 == 4
@@ -252,66 +311,127 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Dat
     return vectors, fit(*binary_sample(docs, labels, "quality", crc_mod("doc_id", FOLDS) != 0, sample), vectors)
 
 
-def in_chunks(docs: DataFrame) -> DataFrame:
-    """docs with ``_chunk``, a name for neighbouring rows of CHARACTERS or little more; checkpointed, so names stay."""
+def most_frequent(vectors: DataFrame, sent: int) -> tuple[DataFrame, DataFrame | None]:
+    """The vectors of the ``sent`` most frequent words or a few less, and of FIRST; and the others, if there are any."""
+    if vectors.count() <= sent:
+        return vectors, None
+    size = F.floor(F.log2("n") * 64)
+    counts = sorted(vectors.where("n > 0").groupBy(size.alias("size")).count().collect(), reverse=True)
+    total, least = 1, None
+    for of, count in counts:
+        total += count
+        if total > sent:
+            break
+        least = of
+    often = F.lit(False) if least is None else size >= least
+    often = often | F.col("word").isin(*FIRST)
+    return vectors.where(often), vectors.where(~often)
 
-    def run(batches):
-        name, k, size = os.urandom(8).hex(), 0, 0
-        for batch in batches:
-            chunks = []
-            for text in batch["text"]:
-                chunks.append(f"{name}-{k}")
-                size += len(text.as_py() or "")
-                if size > CHARACTERS:
-                    k, size = k + 1, 0
-            yield pa.record_batch([*batch.columns, pa.array(chunks, pa.string())], [*batch.schema.names, "_chunk"])
 
-    return cut(docs.mapInArrow(run, docs.select("*").schema.add("_chunk", "string")))
+def key_columns() -> list:
+    """A text as two hashes."""
+    return [F.xxhash64("text").alias("_key"), F.xxhash64("text", F.lit(1)).alias("_key2")]
 
 
-def words_of_chunks(docs: DataFrame) -> DataFrame:
-    """(_chunk, word): the distinct words of each chunk."""
+def text_scores(docs: DataFrame, table, network: Network, others: DataFrame) -> DataFrame:
+    """(_key, _key2, _score) of each distinct text, where some words' vectors are not in the table that is sent around.
 
-    def rows(name, chunks):
-        words = list({w for chunk in chunks for w in tokens_of(chunk)} | {"<again>"})
-        return pa.record_batch([pa.array([name] * len(words), pa.string()), pa.array(words, pa.string())], ["_chunk", "word"])
+    A task sums up what it knows of a text, and each other word of a text goes with its number to that word's vector. A
+    word without one is rare. The sums of a text meet by its hashes.
+    """
+    sums = ", ".join(f"s{d} double" for d in range(2 * DIMENSIONS))
 
     def run(batches):
-        name, chunks = None, set()
+        numbers, moments = table.value
+        fresh = Numbers()
+        fresh.update(numbers)
+        memo = numbered(fresh.__getitem__)
+        for batch in batches:
+            of, words, counts, totals, n = [], [], [], [], []
+            names = list(fresh)
+            for k, text in enumerate(batch["text"]):
+                tokens = stream(text.as_py(), memo)
+                names = names if len(names) == len(fresh) else list(fresh)
+                new, count = np.unique(tokens[tokens >= len(moments)], return_counts=True)
+                of += [k] * len(new)
+                words += [names[w] for w in new]
+                counts += count.tolist()
+                totals.append(moments[tokens[tokens < len(moments)]].sum(axis=0, dtype=np.float64))
+                n.append(len(tokens))
+            keys = [batch["_key"], batch["_key2"]]
+            k = len(n)
+            of = np.concatenate([np.arange(k), np.array(of, np.int64)])
+            none = [None] * (len(of) - k)
+            columns = [*(c.take(pa.array(of)) for c in keys), pa.array([None] * k + words, pa.string()), pa.array([*n, *counts], pa.int64())]
+            sent = np.array(totals).reshape(k, -1)
+            yield pa.record_batch([*columns, *(pa.array([*sent[:, d], *none], pa.float64()) for d in range(2 * DIMENSIONS))], ["_key", "_key2", "word", "n", *(f"s{d}" for d in range(2 * DIMENSIONS))])
+            if len(fresh) - len(numbers) > WORDS:
+                fresh = Numbers()
+                fresh.update(numbers)
+                memo = numbered(fresh.__getitem__)
+
+    found = cut(docs.select("text", *key_columns()).mapInArrow(run, f"_key long, _key2 long, word string, n long, {sums}").dropDuplicates(["_key", "_key2", "word"]))
+    vector = others.select("word", "v")
+
+    def weighed(batches):
+        rare = table.value[1][RARE]
+        for batch in batches:
+            v, n = batch["v"].to_pylist(), batch["n"].to_numpy()
+            own = np.zeros((len(n), 2 * DIMENSIONS))
+            known = np.array([x is not None for x in v], bool)
+            own[~known] = rare
+            own[known, :DIMENSIONS] = halves([x for x in v if x is not None])
+            own[known, DIMENSIONS:] = own[known, :DIMENSIONS] ** 2
+            own *= n[:, None]
+            yield pa.record_batch([batch["_key"], batch["_key2"], *(pa.array(own[:, d]) for d in range(2 * DIMENSIONS))], ["_key", "_key2", *(f"s{d}" for d in range(2 * DIMENSIONS))])
+
+    more = found.where("word is not null").select("_key", "_key2", "word", "n").join(vector, "word", "left").mapInArrow(weighed, f"_key long, _key2 long, {sums}")
+    known = found.where("word is null").drop("word")
+    both = known.unionByName(more.withColumn("n", F.lit(0).cast("long"))).groupBy("_key", "_key2").agg(F.sum("n").alias("n"), *(F.sum(f"s{d}").alias(f"s{d}") for d in range(2 * DIMENSIONS)))
+
+    def scored(batches):
         for batch in batches:
-            for own, text in zip(batch["_chunk"].to_pylist(), batch["text"]):
-                if own != name and name is not None:
-                    yield rows(name, chunks)
-                    chunks = set()
-                name = own
-                chunks.update((text.as_py() or "").split())
-        if name is not None:
-            yield rows(name, chunks)
+            n = batch["n"].to_numpy()
+            total = np.stack([batch[f"s{d}"].to_numpy() for d in range(2 * DIMENSIONS)], axis=1)
+            x = np.stack([features(t, k) if k else np.zeros(2 * DIMENSIONS + 1) for t, k in zip(total, n)]) if len(n) else np.zeros((0, 2 * DIMENSIONS + 1))
+            yield pa.record_batch([batch["_key"], batch["_key2"], pa.array(network.probabilities(x), pa.float64())], ["_key", "_key2", "_score"])
 
-    return docs.select("_chunk", "text").mapInArrow(run, "_chunk string, word string")
+    return cut(both.mapInArrow(scored, "_key long, _key2 long, _score double"))
 
 
 def with_score(docs: DataFrame, model: tuple[DataFrame, Network | float], column: str = "quality_score") -> DataFrame:
     """docs with all its columns and ``column``, the score of the whole text (0 to 1); a column of that name is replaced.
 
     Null and empty texts pool to zeros and get the score of that. Repeated rows score alike; an empty table stays empty.
-    The table of words grows with the corpus, so it is never sent whole: each chunk of rows gets the vectors of its words.
+    The most frequent words' vectors are sent to the executors; where the corpus has more, the others are joined.
     """
+    rows = scored_rows(docs, model)
+    return rows.select(*(F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c != column), F.col("score").alias(column))
+
+
+def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> DataFrame:
+    """(row, score): every row of docs as a struct, so that no name of its columns matters, and its score."""
     vectors, network = model
-    kept = [c for c in docs.columns if c != column]
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("text").alias("text"))
     if isinstance(network, float):
-        return docs.select(*kept, F.lit(network).alias(column))
-    chunks = in_chunks(docs.select(*kept))
-    needed = words_of_chunks(chunks).join(vectors, "word")
+        return rows.select("row", F.lit(network).alias("score"))
+    first, others = most_frequent(vectors, SENT)
+    table = docs.sparkSession.sparkContext.broadcast(pooling_table(first.select("word", "v").toArrow()))
+    if others is not None:
+        scores = text_scores(rows, table, network, others)
+        scores = F.broadcast(scores) if scores.count() <= BROADCAST_IDS else scores
+        joined = rows.withColumns({"_k": F.xxhash64("text"), "_k2": F.xxhash64("text", F.lit(1))})
+        return joined.join(scores, (F.col("_k") == F.col("_key")) & (F.col("_k2") == F.col("_key2"))).select("row", F.col("_score").alias("score"))
 
-    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
-        numbers, moments = pooling_table(words["word"].to_pylist(), words["v"])
+    def run(batches):
+        numbers, moments = table.value
         memo = looked_up(numbers)
-        x = np.array([pooled(stream(text.as_py(), memo), moments) for text in rows["text"]]).reshape(-1, 2 * DIMENSIONS + 1)
-        return pa.table([*(rows[c] for c in kept), pa.array(network.probabilities(x), pa.float64())], [*kept, column])
+        for batch in batches:
+            x = np.array([pooled(stream(text.as_py(), memo), moments) for text in batch["text"]]).reshape(-1, 2 * DIMENSIONS + 1)
+            memo.trim()
+            yield pa.record_batch([batch["row"], pa.array(network.probabilities(x), pa.float64())], ["row", "score"])
 
-    schema = docs.select(*kept).schema.add(column, "double")
-    return chunks.groupBy("_chunk").cogroup(needed.groupBy("_chunk")).applyInArrow(run, schema)
+    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,5 +442,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, unchanged, whose score is ACCEPT or more."""
-    return with_score(docs, train(docs, labels), "_quality").where(F.col("_quality") >= ACCEPT).drop("_quality")
+    """The rows of docs, unchanged, whose score is ACCEPT or more.
+
+    Null and empty texts are judged by the score that all texts without words share. Rows with a null id and repeated rows
+    are judged by their text. Whatever other columns docs has stay as they are. An empty table stays empty.
+    """
+    kept = scored_rows(docs, train(docs, labels)).where(F.col("score") >= ACCEPT)
+    return kept.select(*(F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_mod, table
+from .common import Memo, crc_mod, quoted, table
 from .labelled import binary_sample
 
 #: At most so many labelled documents of each class are used; labelled rows are learnt from where the remainder isn't 0.
@@ -155,18 +155,23 @@ def with_score(docs: DataFrame, model: tuple[float, dict[str, float]], column: s
     The set of distinct words decides, so neither length nor repetition of a text changes what a word adds. Null, empty
     and wordless texts get the score of the bias. Repeated rows score alike; an empty table stays empty.
     """
+    rows = scored_rows(docs, model)
+    return rows.select(*(F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c != column), F.col("score").alias(column))
+
+
+def scored_rows(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
+    """(row, score): every row of docs as a struct, so that no name of its columns matters, and its score."""
     model = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != column]
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("text").alias("text"))
 
     def run(batches):
         bias, weights = model.value
         memo = Memo(lambda chunk: tuple(f for f in features(chunk) if f in weights))
         for batch in batches:
             found = scores((t.as_py() for t in batch["text"]), bias, weights, memo)
-            yield pa.record_batch([*(batch[c] for c in kept), pa.array(found, pa.float64())], [*kept, column])
+            yield pa.record_batch([batch["row"], pa.array(found, pa.float64())], ["row", "score"])
 
-    schema = docs.select(*kept).schema.add(column, "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,5 +182,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, unchanged, whose score is below one half."""
-    return with_score(docs, train(docs, labels), "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    """The rows of docs, unchanged, whose score is below one half.
+
+    Null and empty texts are judged by the bias alone. Rows with a null id and repeated rows are judged by their text.
+    Whatever other columns docs has stay as they are. Without labels of both classes every row stays.
+    """
+    kept = scored_rows(docs, train(docs, labels)).where("score < 0.5")
+    return kept.select(*(F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns))
