@@ -14,6 +14,9 @@ HOST_PREFIXES = ("www.", "m.", "mobile.", "web.")
 TRACKING = ("fbclid", "igshid", "igsh", "si", "s", "t", "ref", "ref_src", "ref_url", "_rdr", "mibextid", "feature")
 PLATFORMS = {"t.me": "Telegram", "facebook.com": "Facebook", "instagram.com": "Instagram", "tiktok.com": "TikTok", "x.com": "X"}
 
+# Endings of media links.
+IMAGES, FILMS = ("jpg", "jpeg", "png", "webp", "gif", "heic"), ("mp4", "webm", "mov", "m3u8")
+
 # Letters that look alike, Latin or digit on the left, Cyrillic on the right.
 LOOKS, MEANS = "@03aeopcxykmtbh", "аозаеорсхукмтвн"
 CYRILLIC = "[а-яіїєґё]"
@@ -33,13 +36,18 @@ def compose_series(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: Letters that compatibility composition leaves as they are; only texts with other signs are sent to Python.
+COMPOSED = "[^\\x00-\\x7FÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-žЀ-ҁҊ-ӿ]"
+
+
 def nfkc(text: Column) -> Column:
     """Unicode compatibility composition, which Spark has no function for."""
-    return F.pandas_udf(compose_series, "string")(text)
+    return F.coalesce(F.pandas_udf(compose_series, "string")(F.when(text.rlike(COMPOSED), text)), text)
 
 
-def normalize_text(text: Column, compose: bool = False) -> Column:
-    """Lower case without links, mentions and signs, single spaces; null becomes empty. ``compose`` applies NFKC first."""
+def normalize_text(text: Column, compose: bool = True) -> Column:
+    """Lower case without links, mentions and signs, single spaces; null becomes empty. NFKC comes first, so that wide
+    letters and ligatures are the plain ones; a caller that knows its texts are composed may leave that out."""
     text = F.coalesce(nfkc(text) if compose else text, F.lit(""))
     text = F.regexp_replace(F.lower(text), r"https?://\S+|www\.\S+", " ")
     text = F.regexp_replace(text, rf"@{WORD}+", " ")
@@ -50,18 +58,30 @@ def words(normalised: Column) -> Column:
     return F.when(normalised == "", F.array().cast("array<string>")).otherwise(F.split(normalised, " "))
 
 
+def runs(text: Column, pattern: str, change) -> Column:
+    """The text with every run that matches ``pattern`` (a character class) changed, what stands between as it is."""
+    parts = F.regexp_extract_all(text, F.lit(f"({pattern}+|(?:(?!{pattern})[\\s\\S])+)"), 1)
+    return F.array_join(F.transform(parts, change), "")
+
+
 def unmask(text: Column) -> Column:
-    """Lower case; look-alike signs become Cyrillic letters, but only in words that have a Cyrillic letter already."""
-    parts = F.split(F.regexp_replace(F.lower(text), "ё", "е"), " ")
-    return F.array_join(F.transform(parts, lambda w: F.when(w.rlike(CYRILLIC), F.translate(w, LOOKS, MEANS)).otherwise(w)), " ")
+    """Lower case; look-alike signs become Cyrillic letters, but only in words that have a Cyrillic letter already. A word
+    is what stands between white space of any kind."""
+    text = F.regexp_replace(F.lower(text), "ё", "е")
+    return runs(text, r"\S", lambda w: F.when(w.rlike(CYRILLIC), F.translate(w, LOOKS, MEANS)).otherwise(w))
 
 
 def transliterate(text: Column) -> Column:
-    """Latin spelling of Cyrillic text back to Cyrillic letters; y after a vowel is short."""
-    for a, b in SPELLINGS:
-        text = F.regexp_replace(text, a, b)
-    text = F.regexp_replace(text, "(?<=[аеиоуяюэ])y", "й")
-    return F.translate(text, "y" + SINGLE, "ы" + LETTER)
+    """Latin spelling of Cyrillic text back to Cyrillic letters, in every run of Latin letters; y after a vowel of the run
+    is short."""
+
+    def of(run: Column) -> Column:
+        for a, b in SPELLINGS:
+            run = F.regexp_replace(run, a, b)
+        run = F.regexp_replace(run, "(?<=[аеиоуяюэ])y", "й")
+        return F.translate(run, "y" + SINGLE, "ы" + LETTER)
+
+    return runs(text, "[a-z]", lambda w: F.when(w.rlike("^[a-z]"), of(w)).otherwise(w))
 
 
 def count_of(text: Column, letters: str) -> Column:
@@ -131,8 +151,9 @@ def on_hosts(url: Column, hosts: tuple[str, ...]) -> Column:
 
 
 def media_kind(url: Column) -> Column:
+    """image or video by the ending of the path, null for anything else."""
     path = F.lower(path_of(url))
-    return F.when(path.rlike(r"\.(?:jpg|jpeg|png|webp|gif)$"), "image").when(path.rlike(r"\.(?:mp4|mov|webm|m4v)$"), "video")
+    return F.when(path.rlike(rf"\.(?:{'|'.join(IMAGES)})$"), "image").when(path.rlike(rf"\.(?:{'|'.join(FILMS)})$"), "video")
 
 
 def time_pairs(text: Column) -> Column:

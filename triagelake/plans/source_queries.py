@@ -15,31 +15,63 @@ PLATFORM = "CASE event_id % 4 WHEN 0 THEN 'facebook' WHEN 1 THEN 'instagram' WHE
 
 
 def raw_items(spark, d):
-    e = table(spark, d, "events")
-    n = F.col("event_id")
-    reach = F.when(n % 6 == 5, -1).otherwise(F.get_json_object("props", "$.k").cast("int"))
-    body = F.to_json(F.struct(F.when(n % 11 != 0, n.cast("string")).alias("id"), F.when(n % 5 == 0, " ").otherwise(F.col("event_type")).alias("text"), F.lit("caption").alias("caption"), F.concat(F.lit("https://cdn.example.com/"), n.cast("string"), F.lit(".jpg")).alias("url"), reach.alias("likes"), reach.alias("likesCount"), reach.alias("playCount"), reach.alias("likeCount"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("createTime"), F.struct(F.lit("https://cdn.example.com/face.jpg").alias("picture")).alias("author"), F.array(F.struct(F.concat(F.lit("https://v.example.com/"), n.cast("string"), F.lit(".mp4")).alias("src"))).alias("media")))
-    return e.select(n.alias("event_id"), n.cast("string").alias("post_id"), F.expr(PLATFORM).alias("platform"), body.alias("item"))
-
-
-@register("src01_platform_posts", f"WITH r AS (SELECT event_id, {PLATFORM} AS platform, event_type, CASE WHEN event_id % 6 = 5 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS reach FROM events WHERE event_id % 11 <> 0) SELECT platform, CAST(event_id AS VARCHAR) AS post_id, CASE WHEN platform = 'instagram' THEN 'caption' WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS text, reach FROM r")
+    """Events as raw items of four platforms, each with the keys that this platform uses."""
+    n, id_ = F.col("event_id"), F.col("event_id").cast("string")
+    e = table(spark, d, "events").withColumn("platform", F.expr(PLATFORM))
+    k = F.get_json_object("props", "$.k").cast("int")
+    reach = F.when(n % 6 == 5, -1).otherwise(k)
+    has_id, on = n % 11 != 0, lambda *names: F.col("platform").isin(*names)
+    text = F.when(n % 5 == 0, "").otherwise(F.col("event_type"))
+    film = lambda rate, name: F.struct(rate.cast("bigint").alias("bitrate"), F.lit("video/mp4").alias("content_type"), F.concat(F.lit(f"https://video.twimg.com/{name}/"), id_, F.lit(".mp4")).alias("url"))
+    still = F.concat(F.lit("https://pbs.twimg.com/"), id_, F.lit(".jpg"))
+    variants = F.when(n % 3 == 0, F.array(film(n % 300, "a"), film(n * 13 % 300, "b"), film(n % 300, "c")))
+    medium = F.struct(still.alias("media_url_https"), F.struct(variants.alias("variants")).alias("video_info"))
+    deep = F.struct(F.concat(F.lit("https://scontent.fbcdn.net/"), id_, F.lit(".HEIC")).alias("src"))
+    for key in "jihgfedcb":
+        deep = F.struct(F.array(deep).alias(key))
+    cover = F.concat(F.lit("https://p16.tiktokcdn.com/"), id_, F.lit(".webp"))
+    body = F.to_json(
+        F.struct(
+            F.when(has_id & on("facebook") & (n % 8 == 0), id_).alias("post_id"), F.when(has_id & on("facebook") & (n % 8 != 0), id_).alias("postId"),
+            F.when(has_id & on("instagram") & (n % 3 == 0), id_).alias("shortCode"), F.when(has_id & (on("x", "tiktok") | on("instagram") & (n % 3 != 0)), id_).alias("id"),
+            F.when(on("facebook") & (n % 8 == 0), text).alias("message"), F.when(~on("instagram"), text).alias("text"), F.when(on("instagram"), "caption").alias("caption"),
+            F.when(on("x") & (n % 7 == 0), F.lit("https://x.com/i/1")).alias("twitterUrl"), F.when(on("facebook", "instagram") & (n % 9 == 0), F.lit("https://example.org/p")).alias("url"),
+            F.when(on("facebook"), reach).alias("likes"), F.when(on("facebook") & (n % 16 == 0), F.lit(7)).alias("reactions_count"), F.when(on("instagram"), reach).alias("likesCount"),
+            F.when(on("tiktok"), reach).alias("playCount"), F.when(on("x"), reach).alias("retweetCount"), F.when(on("x") & (n % 5 == 3), F.lit(0)).alias("viewCount"),
+            F.struct(F.lit("https://scontent.fbcdn.net/face.jpg").alias("picture")).alias("authorMeta"), F.struct(F.lit("https://scontent.fbcdn.net/cover.jpg").alias("cover")).alias("musicMeta"),
+            F.when(on("facebook"), deep).alias("a"), F.when(on("x"), F.struct(F.array(medium).alias("media"))).alias("extendedEntities"),
+            F.when(on("tiktok"), F.struct(cover.alias("coverUrl"))).alias("videoMeta"), F.when(on("tiktok") & (n % 4 == 2) & (n % 3 == 0), F.array(F.lit("https://api.apify.com/f.mp4"))).alias("mediaUrls"),
+            F.when(on("instagram"), F.array_compact(F.array(F.when(n % 3 == 1, F.lit("https://a.cdninstagram.com/1.jpg"))))).alias("images"), F.when(on("instagram"), F.lit("https://a.cdninstagram.com/d.jpg")).alias("displayUrl"),
+        )
+    )
+    return e.select(n.alias("event_id"), id_.alias("post_id"), "platform", body.alias("item"))
+
+
+@register("src01_platform_posts", f"""WITH r AS (SELECT event_id AS n, CAST(event_id AS VARCHAR) AS i, {PLATFORM} AS platform, event_type, CASE WHEN event_id % 6 = 5 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events WHERE event_id % 11 <> 0)
+SELECT platform, i AS post_id, CASE WHEN platform = 'instagram' THEN 'caption' WHEN n % 5 = 0 THEN '' ELSE event_type END AS text,
+  CASE WHEN platform = 'facebook' THEN CASE WHEN n % 9 = 0 THEN 'https://example.org/p' ELSE 'https://www.facebook.com/' || i END
+    WHEN platform = 'instagram' THEN CASE WHEN n % 9 = 0 THEN 'https://example.org/p' WHEN n % 3 = 0 THEN 'https://www.instagram.com/p/' || i || '/' ELSE 'https://www.instagram.com/p/null/' END
+    WHEN platform = 'x' AND n % 7 = 0 THEN 'https://x.com/i/1' END AS url,
+  CASE WHEN platform = 'facebook' AND n % 16 = 0 THEN 7 WHEN k = 0 THEN NULL ELSE k END AS reach FROM r""")
 def platform_posts(spark, d):
-    return R.posts(raw_items(spark, d)).select("platform", "post_id", "text", "reach")
+    return R.posts(raw_items(spark, d)).select("platform", "post_id", "text", "url", F.nullif("reach", F.lit(0)).alias("reach"))
 
 
-@register("src02_media_urls")
+@register("src02_media_urls", """SELECT CAST(event_id AS VARCHAR) AS post_id, 'https://scontent.fbcdn.net/' || CAST(event_id AS VARCHAR) || '.HEIC' AS url, 'image' AS kind FROM events WHERE event_id % 4 = 0
+UNION ALL SELECT CAST(event_id AS VARCHAR), 'https://a.cdninstagram.com/d.jpg', 'image' FROM events WHERE event_id % 4 = 1
+UNION ALL SELECT CAST(event_id AS VARCHAR), 'https://a.cdninstagram.com/1.jpg', 'image' FROM events WHERE event_id % 4 = 1 AND event_id % 3 = 1""")
 def media(spark, d):
-    return R.media_urls(raw_items(spark, d), ("example.com",))
+    return R.media_urls(raw_items(spark, d), ("fbcdn.net", "cdninstagram.com"))
 
 
-@register("src03_best_video", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 300 >= event_id * 13 % 500 THEN 'a' ELSE 'b' END AS best FROM events")
+@register("src03_best_video", """WITH e AS (SELECT event_id AS n, CAST(event_id AS VARCHAR) AS i, event_id % 4 AS p FROM events)
+SELECT i AS post_id, CASE WHEN p = 3 AND n % 3 = 0 OR p = 2 AND n % 3 = 0 THEN 'video' ELSE 'image' END AS kind,
+  CASE WHEN p = 1 AND n % 3 = 1 THEN 'https://a.cdninstagram.com/1.jpg' WHEN p = 1 THEN 'https://a.cdninstagram.com/d.jpg' WHEN p = 2 AND n % 3 = 0 THEN 'https://api.apify.com/f.mp4' WHEN p = 2 THEN 'https://p16.tiktokcdn.com/' || i || '.webp'
+    WHEN n % 3 <> 0 THEN 'https://pbs.twimg.com/' || i || '.jpg' WHEN n % 300 >= n * 13 % 300 THEN 'https://video.twimg.com/a/' || i || '.mp4' ELSE 'https://video.twimg.com/b/' || i || '.mp4' END AS url
+FROM e WHERE p > 0""")
 def best(spark, d):
-    n = F.col("event_id")
-    one = lambda rate, kind, url: F.struct(rate.alias("bitrate"), kind.alias("content_type"), F.lit(url).alias("url"))
-    kind = F.when(n % 7 == 0, "image/png").otherwise("video/mp4")
-    rates = F.array(one(n % 300, kind, "a"), one(n * 13 % 500, kind, "b"), one(F.lit(999).cast("bigint"), F.lit("application/x"), "c"))
-    top = F.when(n % 300 == n * 13 % 500, F.when(n % 7 != 0, "a")).otherwise(R.best_video(rates))
-    return table(spark, d, "events").select("event_id", top.alias("best"))
+    """The media that items name in fields of their own: an equal bitrate leaves the first film, no film the still image."""
+    return R.known_media(raw_items(spark, d)).select("post_id", "kind", "url")
 
 
 @register("src04_route_platform", r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://([^/]*\.)?spam-farm\.example\.org') THEN 'farm' WHEN regexp_matches(url, '^https?://([^/]*\.)?example\.com') THEN 'com' WHEN regexp_matches(url, '^https?://([^/]*\.)?example\.net') THEN 'net' END AS platform FROM pages")
@@ -55,6 +87,30 @@ def archive(spark, d):
     return R.archive_rows(raw, "arch", "south").select("uid", "side", "views")
 
 
+@register("src05_archive_layouts", """WITH a AS (SELECT doc_id AS n, source, text FROM documents WHERE trim(text, ' ') <> '')
+SELECT 'messages' AS source, source AS channel, CASE WHEN n % 2 = 0 THEN 'photo' WHEN n % 3 = 0 THEN 'video' END AS media_type, n % 2 = 0 OR n % 3 = 0 AS has_media, n % 5 = 0 AS is_forward, CASE WHEN n % 5 = 0 THEN CAST(n AS VARCHAR) END AS fwd_from, n % 100 AS views, length(text) AS chars FROM a
+UNION ALL SELECT 'flat', NULL, CASE n % 3 WHEN 0 THEN 'photo' WHEN 1 THEN 'other' END, n % 3 < 2, n % 7 = 0, NULL, CASE WHEN n % 2 = 0 THEN n END, length(text) FROM a
+UNION ALL SELECT 'study', NULL, NULL, NULL, NULL, NULL, NULL, length(text) FROM a""")
+def layouts(spark, d):
+    """The corpus written as CSV in three layouts of public archives, read back and brought onto the common schema."""
+    n = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    literal = F.concat(F.lit("{'photos': ["), F.when(n % 2 == 0, "'p'").otherwise(""), F.lit("], 'videos': ["), F.when((n % 2 == 1) & (n % 3 == 0), "'v'").otherwise(""), F.lit("]}"))
+    raw = {
+        "messages": docs.select(F.col("text").alias("message"), literal.alias("media"), F.concat(F.lit("["), F.when(n % 5 == 0, "True").otherwise("False"), F.lit(", "), n.cast("string"), F.lit("]")).alias("fwd_from"), F.lit("{'x': 3}").alias("reactions"), F.col("source").alias("channel"), n.cast("string").alias("post_id"), F.lit("2024-01-02 03:04:05+00:00").alias("post_datetime"), F.concat((n % 100).cast("string"), F.lit(".0")).alias("post_views"), F.lit("n").alias("post_forwards")),
+        "flat": docs.select(F.col("text").alias("message"), F.lit("2024-01-02").alias("date"), F.when(n % 3 < 2, "1").otherwise("0").alias("contains_media"), F.when(n % 3 == 0, "MessageMediaPhoto").when(n % 3 == 1, "MessageMediaPoll").otherwise("NA").alias("media_type"), F.when(n % 2 == 0, n.cast("string")).otherwise("NA").alias("views"), F.lit("1").alias("number_forwards"), F.lit("2").alias("number_replies"), F.when(n % 7 == 0, "1").otherwise("0").alias("is_forward"), F.lit("NA").alias("domain"), F.lit("4.0").alias("video_duration_secs")),
+        "study": docs.select(n.cast("string").alias("id"), F.col("text").alias("message"), F.lit("russia").alias("positionality"), F.lit("1").alias("dehumanising_outgroup")),
+    }
+    out = None
+    for name, rows in raw.items():
+        at = folder(spark)
+        rows.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(at)
+        read = R.archive_csv(spark, at, ", ".join(f"{c} string" for c in rows.columns))
+        part = R.archive_rows(R.laid_out(read, name), name, "unknown").select("source", "channel", "media_type", "has_media", "is_forward", "fwd_from", "views", F.length("text").alias("chars"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("src06_channel_sides", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'left' WHEN source = 'src3' THEN 'right' ELSE 'none' END AS side FROM documents")
 def sides(spark, d):
     known = spark.createDataFrame([("SRC1", "left"), ("src2", "left"), ("Src3", "right")], "username string, side string")
@@ -120,7 +176,7 @@ def pool(spark, d):
     at = folder(spark)
     part = F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train")
     table(spark, d, "labels").withColumn("part", part).write.partitionBy("part").parquet(at)
-    rows = spark.read.parquet(at).select("doc_id", "toxic", F.regexp_extract("_metadata.file_path", r"part=(train|dev|test)", 1).alias("split"))
+    rows = R.labelled_pool(spark, at, ["doc_id", "toxic"])
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
 
 

@@ -34,19 +34,29 @@ def keyword_rows(spark, d):
 
 @register("txt01_normalize_text", sql("posts", body=f" SELECT seq, {NORMAL} AS normalised FROM posts"))
 def normalize(spark, d):
-    return view(spark, d, "posts").select("seq", T.normalize_text(F.col("text")).alias("normalised"))
+    """Texts in which a ligature stands for "fi" and wide digits for plain ones are normalised to the same."""
+    text = F.translate(F.regexp_replace("text", "fi", "\ufb01"), "0123456789", "\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19")
+    return view(spark, d, "posts").select("seq", T.normalize_text(text).alias("normalised"))
 
 
-@register("txt02_unmask", r"""WITH w AS (SELECT doc_id, list_transform(string_split(replace(lower(replace(text, 'q', 'я')), 'ё', 'е'), ' '),
-  lambda w: CASE WHEN regexp_matches(w, '[а-яіїєґё]') THEN translate(w, '@03aeopcxykmtbh', 'аозаеорсхукмтвн') ELSE w END) AS l FROM documents)
-SELECT doc_id, array_to_string(l, ' ') AS unmasked FROM w""")
+@register("txt02_unmask", r"""WITH t AS (SELECT doc_id, replace(lower(replace(text, 'q', 'я')), 'ё', 'е') AS x FROM documents),
+w AS (SELECT doc_id, list_transform(regexp_extract_all(x, '[^\s\x0b]+|[\s\x0b]+'), lambda w: CASE WHEN regexp_matches(w, '[а-яіїєґё]') THEN translate(w, '@03aeopcxykmtbh', 'аозаеорсхукмтвн') ELSE w END) AS l FROM t)
+SELECT doc_id, array_to_string(l, '') AS unmasked FROM w""")
 def unmask(spark, d):
     return table(spark, d, "documents").select("doc_id", T.unmask(F.regexp_replace("text", "q", "я")).alias("unmasked"))
 
 
-@register("txt03_transliterate")
+SPELT = "w"
+for _a, _b in T.SPELLINGS:
+    SPELT = f"replace({SPELT}, '{_a}', '{_b}')"
+SPELT = f"translate(regexp_replace({SPELT}, '([аеиоуяюэ])y', '\\1й', 'g'), 'y{T.SINGLE}', 'ы{T.LETTER}')"
+
+
+@register("txt03_transliterate", f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(replace(lower(text), 'é', 'е'), '[a-z]+|[^a-z]+'), lambda w: CASE WHEN regexp_matches(w, '^[a-z]') THEN {SPELT} ELSE w END) AS l FROM documents)
+SELECT doc_id, array_to_string(l, '') AS cyrillic FROM w""")
 def transliterate(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.transliterate(F.lower("text")).alias("cyrillic"))
+    """A Cyrillic letter that stands beside a run already doesn't count as the vowel before its y."""
+    return table(spark, d, "documents").select("doc_id", T.transliterate(F.regexp_replace(F.lower("text"), "é", "е")).alias("cyrillic"))
 
 
 @register("txt04_guess_lang", r"""WITH t AS (SELECT doc_id, lower(replace(replace(text, 'è', 'ы'), 'ñ', 'ї')) AS x FROM documents),
@@ -81,10 +91,10 @@ def allowed(spark, d):
     return table(spark, d, "pages").select("page_id", T.on_hosts(F.col("url"), ("example.com", "example.net")).alias("allowed"))
 
 
-@register("txt08_media_kind", r"""SELECT page_id, CASE WHEN regexp_matches(p, '\.(?:jpg|jpeg|png|webp|gif)$') THEN 'image' WHEN regexp_matches(p, '\.(?:mp4|mov|webm|m4v)$') THEN 'video' END AS kind
-FROM (SELECT page_id, lower(regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS p FROM (SELECT page_id, regexp_replace(url, '/([0-9]+).*$', '/' || CASE page_id % 3 WHEN 0 THEN 'a.PNG' WHEN 1 THEN 'b.mp4' ELSE 'c' END) AS u FROM pages) y) x""")
+@register("txt08_media_kind", r"""SELECT page_id, CASE WHEN regexp_matches(p, '\.(?:jpg|jpeg|png|webp|gif|heic)$') THEN 'image' WHEN regexp_matches(p, '\.(?:mp4|webm|mov|m3u8)$') THEN 'video' END AS kind
+FROM (SELECT page_id, lower(regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS p FROM (SELECT page_id, regexp_replace(url, '/([0-9]+).*$', '/' || CASE page_id % 5 WHEN 0 THEN 'a.PNG' WHEN 1 THEN 'b.mp4' WHEN 2 THEN 'd.heic' WHEN 3 THEN 'e.m3u8' ELSE 'c.m4v' END) AS u FROM pages) y) x""")
 def kinds(spark, d):
-    ending = F.when(F.col("page_id") % 3 == 0, "a.PNG").when(F.col("page_id") % 3 == 1, "b.mp4").otherwise("c")
+    ending = F.get(F.array(*map(F.lit, ("a.PNG", "b.mp4", "d.heic", "e.m3u8", "c.m4v"))), (F.col("page_id") % 5).cast("int"))
     url = F.regexp_replace(F.col("url"), F.lit("/([0-9]+).*$"), F.concat(F.lit("/"), ending))
     return table(spark, d, "pages").select("page_id", T.media_kind(url).alias("kind"))
 
@@ -105,7 +115,7 @@ def pairs(spark, d):
     return rows.select("doc_id", "m1", F.col("p.start").alias("start_s"), F.col("p.end").alias("end_s"))
 
 
-@register("txt11_sentences")
+@register("txt11_sentences", r"SELECT doc_id, CAST(len(list_filter(string_split_regex(regexp_replace(text, '([.!?…])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS n_sentences FROM documents")
 def sentence_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
@@ -115,7 +125,7 @@ def keys(spark, d):
     return view(spark, d, "posts").select("seq", T.exact_key(F.col("text")).alias("exact_key"), T.loose_key(F.col("text")).alias("loose_key"))
 
 
-@register("txt12_token_key")
+@register("txt12_token_key", sql("posts", body=r" SELECT seq, substr(sha1(array_to_string(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\p{L}\p{N}_]+'), ' ')), 1, 16) AS token_key FROM posts"))
 def token_keys(spark, d):
     return view(spark, d, "posts").select("seq", T.token_key(F.col("text")).alias("token_key"))
 
@@ -204,7 +214,7 @@ def proximity(spark, d):
     return table(spark, d, "documents").select("doc_id", L.near(F.col("text"), "^the$", "tion$", 3).alias("near"))
 
 
-@register("lex09_same_sentence")
+@register("lex09_same_sentence", r"""SELECT doc_id, coalesce(len(list_filter(string_split_regex(regexp_replace(text, '([.!?…])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: regexp_matches(lower(s), 'idiot|moron|scum') AND regexp_matches(lower(s), '\bthe\b'))) > 0, false) AS together FROM documents""")
 def same_sentence(spark, d):
     hit = lambda s: L.any_match(s, ["idiot|moron|scum"]) & L.any_match(s, [r"\bthe\b"])
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.exists(T.sentences(F.col("text")), hit), F.lit(False)).alias("together"))

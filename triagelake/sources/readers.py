@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.functions.text import host_of, media_kind
+from triagelake.operators.similarity import cut
 
 POST = "platform string, post_id string, text string, url string, posted_at timestamp, reach bigint"
-#: Keys whose subtree is about people, not about the post.
-PERSON_KEYS = ("author", "owner", "user", "profile", "avatar")
-#: Of each platform: where its raw items keep id, text, link, time and reach; the first that is there and not empty counts.
+# Keys whose subtree is about people, not about the post; hosts that serve each platform's media.
+PERSON_KEYS = ("author", "owner", "user", "profile", "avatar", "music")
+MEDIA_HOSTS = {"facebook": ("fbcdn.net",), "instagram": ("cdninstagram.com", "fbcdn.net"), "tiktok": ("api.apify.com", "tiktokcdn.com", "tiktokcdn-us.com", "tiktokcdn-eu.com"), "x": ("pbs.twimg.com", "video.twimg.com")}
+# Of each platform, where its raw items keep id, text, link, time and reach (the first that is there and not
+# empty counts), the link of a post without one, where %s stands for the key named after it, and the links of its media.
 PATHS = {
-    "facebook": {"post_id": ("postId", "id"), "text": ("text", "message"), "url": ("url", "link"), "posted_at": ("time", "timestamp"), "reach": ("viewsCount", "likes")},
+    "facebook": {"post_id": ("post_id", "postId"), "text": ("message", "text"), "url": ("url", "post_url"), "posted_at": ("timestamp", "time"), "reach": ("reactions_count", "likes")},
     "instagram": {"post_id": ("id", "shortCode"), "text": ("caption",), "url": ("url",), "posted_at": ("timestamp",), "reach": ("videoViewCount", "likesCount")},
-    "tiktok": {"post_id": ("id",), "text": ("text", "desc"), "url": ("webVideoUrl",), "posted_at": ("createTimeISO", "createTime"), "reach": ("playCount",)},
-    "x": {"post_id": ("id", "id_str"), "text": ("fullText", "text"), "url": ("url", "twitterUrl"), "posted_at": ("createdAt",), "reach": ("viewCount", "likeCount")},
+    "tiktok": {"post_id": ("id",), "text": ("text",), "url": ("webVideoUrl",), "posted_at": ("createTimeISO",), "reach": ("playCount",)},
+    "x": {"post_id": ("id",), "text": ("fullText", "text"), "url": ("url", "twitterUrl"), "posted_at": ("createdAt",), "reach": ("viewCount", "retweetCount")},
 }
+DEFAULT_LINKS = {"facebook": ("https://www.facebook.com/%s", ("post_id", "postId")), "instagram": ("https://www.instagram.com/p/%s/", ("shortCode",))}
 #: The common schema of archive rows: names and types in order.
 ARCHIVE = {
     "uid": "string", "source": "string", "side": "string", "channel": "string", "post_id": "string", "date": "string", "text": "string", "lang": "string",
@@ -26,7 +30,8 @@ ARCHIVE = {
 
 
 def first_text(item: Column, keys: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(item, f"$.{k}")), F.lit("")) for k in keys])
+    """The first of the keys that is there and holds something; 0 and false hold nothing."""
+    return F.coalesce(*[F.when(~value.isin("", "0", "false"), value) for value in (F.get_json_object(item, f"$.{k}") for k in keys)])
 
 
 def lenient_long(text: Column) -> Column:
@@ -39,39 +44,85 @@ def lenient_time(text: Column) -> Column:
     return F.coalesce(F.timestamp_seconds(text.try_cast("bigint")), text.try_cast("timestamp"))
 
 
+def whole_number(text: Column) -> Column:
+    """A JSON number without a fraction, 0 or more; null for anything else, text in quotes included."""
+    return F.when(text.rlike(r"^[0-9]+$"), text.try_cast("bigint"))
+
+
 def posts(items: DataFrame) -> DataFrame:
-    """Raw items (platform, item JSON) of the known platforms as posts; items without an id are dropped."""
-    parts = None
-    for platform, paths in PATHS.items():
-        raw = items.where(F.col("platform") == platform)
-        field = {k: first_text(F.col("item"), v) for k, v in paths.items()}
-        reach = lenient_long(field["reach"])
-        part = raw.select("platform", field["post_id"].alias("post_id"), F.coalesce(field["text"], F.lit("")).alias("text"), field["url"].alias("url"), lenient_time(field["posted_at"]).alias("posted_at"), F.when(reach >= 0, reach).alias("reach"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.where(F.col("post_id").isNotNull())
+    """Raw items (platform, item JSON) of the known platforms as posts; items without an id are dropped.
+
+    A post without a link gets the platform's own form of one, where it has any. All platforms are read in one pass.
+    """
+    of = F.col("platform")
+    by = lambda column: F.coalesce(*[F.when(of == p, column(p)) for p in PATHS])
+    field = lambda name: by(lambda p: first_text(F.col("item"), PATHS[p][name]))
+    made = lambda p: F.format_string(DEFAULT_LINKS[p][0], first_text(F.col("item"), DEFAULT_LINKS[p][1])) if p in DEFAULT_LINKS else F.lit(None).cast("string")
+    rows = items.where(of.isin(*PATHS)).select(
+        "platform", field("post_id").alias("post_id"), F.coalesce(field("text"), F.lit("")).alias("text"), F.coalesce(field("url"), by(made)).alias("url"),
+        lenient_time(field("posted_at")).alias("posted_at"), whole_number(field("reach")).alias("reach"),
+    )
+    return rows.where(F.col("post_id").isNotNull())
 
 
 def best_video(variants: Column) -> Column:
-    """The mp4 variant with the highest bitrate of array<struct<bitrate,content_type,url>>, or null."""
+    """The mp4 variant with the highest bitrate of array<struct<bitrate,content_type,url>>, the first of equal ones; or
+    null."""
     films = F.filter(variants, lambda v: v.content_type == "video/mp4")
-    return F.array_max(F.transform(films, lambda v: F.struct(F.coalesce(v.bitrate, F.lit(0)).alias("bitrate"), v.url.alias("url")))).url
+    return F.array_max(F.transform(films, lambda v, i: F.struct(F.coalesce(v.bitrate, F.lit(0)).alias("bitrate"), (-i).alias("place"), v.url.alias("url")))).url
+
+
+def best_medium(variants: Column, still: Column) -> Column:
+    """struct<kind,url>: the best film of a medium, else its still image; null without either."""
+    film = best_video(variants)
+    one = lambda kind, url: F.struct(F.lit(kind).alias("kind"), url.alias("url"))
+    return F.when(film.isNotNull(), one("video", film)).when(F.nullif(still, F.lit("")).isNotNull(), one("image", still))
+
+
+def known_media(items: DataFrame) -> DataFrame:
+    """(post_id, place, kind, url): the media that a platform's items name in a field of their own, in order.
+
+    A film stands before the images of an Instagram post, whose preview counts only where it has neither; TikTok's cover
+    only where no file is named; of each medium of an X post its best film or its still image.
+    """
+    kinds = {"videoUrl": "string", "images": "array<string>", "displayUrl": "string", "mediaUrls": "array<string>"}
+    of = lambda name, kind: F.from_json(F.get_json_object("item", f"$.{name}"), kind) if kind != "string" else F.nullif(F.get_json_object("item", f"$.{name}"), F.lit(""))
+    video, images, preview, files = (of(*x) for x in kinds.items())
+    none = F.array().cast("array<struct<kind:string,url:string>>")
+    one = lambda kind, url: F.struct(F.lit(kind).alias("kind"), url.alias("url"))
+    each = lambda kind, urls: F.coalesce(F.transform(urls, lambda u: one(kind, u)), none)
+    only = lambda kind, url: F.when(url.isNotNull(), F.array(one(kind, url))).otherwise(none)
+    variants = "array<struct<media_url_https string, video_info struct<variants array<struct<bitrate bigint, content_type string, url string>>>>>"
+    media = of("extendedEntities.media", variants)
+    found = (
+        F.when(F.col("platform") == "facebook", only("video", of("video_files.video_sd_file", "string")))
+        .when(F.col("platform") == "instagram", F.concat(only("video", video), each("image", images), F.when(video.isNull() & (F.coalesce(F.size(images), F.lit(0)) <= 0), only("image", preview)).otherwise(none)))
+        .when(F.col("platform") == "tiktok", F.when(F.size(files) > 0, each("video", files)).otherwise(only("image", of("videoMeta.coverUrl", "string"))))
+        .when(F.col("platform") == "x", F.coalesce(F.array_compact(F.transform(media, lambda m: best_medium(m.video_info.variants, m.media_url_https))), none))
+    )
+    return items.select("post_id", F.posexplode(found).alias("place", "m")).select("post_id", "place", "m.kind", "m.url").where("url <> ''")
 
 
 def media_urls(items: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
     """(post_id, url, kind): media links of allowed hosts anywhere in an item but under a person's key, distinct.
 
-    Strings are found with their path by Spark's own variant explode, a level per round, until no object is left.
+    Strings are found with their path by Spark's own variant explode, a level per round, until nothing is left to open.
+    Each level is checkpointed, so a round costs what its own level holds, however deep the items are.
     """
-    level = items.select("post_id", F.try_parse_json("item").alias("v"), F.lit("").alias("path"))
+    level = items.select("post_id", F.try_parse_json("item").alias("v"))
     found = None
-    for _ in range(8):
-        nested = level.lateralJoin(spark_explode(level.sparkSession))
-        nested = nested.select("post_id", F.concat_ws("/", "path", F.lower(F.coalesce("key", F.lit("")))).alias("path"), F.col("value").alias("v"))
+    while True:
+        nested = level.lateralJoin(spark_explode(level.sparkSession)).select("post_id", F.lower(F.coalesce("key", F.lit(""))).alias("key"), F.col("value").alias("v"))
         for key in PERSON_KEYS:
-            nested = nested.where(~F.col("path").contains(key))
-        leaves = nested.select("post_id", F.try_variant_get("v", "$", "string").alias("url")).where(F.col("url").startswith("https://"))
+            nested = nested.where(~F.col("key").contains(key))
+        nested = nested.where("v is not null").select("post_id", F.to_json("v").alias("json"), F.try_variant_get("v", "$", "string").alias("url"), F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)").alias("open"))
+        nested = cut(nested)
+        leaves = nested.where(~F.col("open") & F.col("url").startswith("https://")).select("post_id", "url")
         found = leaves if found is None else found.unionByName(leaves)
-        level = nested.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        inner = nested.where("open")
+        if inner.isEmpty():
+            break
+        level = inner.select("post_id", F.try_parse_json("json").alias("v"))
     host = host_of(F.col("url"))
     allowed = F.lit(False)
     for h in hosts:
@@ -108,7 +159,10 @@ def archive_rows(raw: DataFrame, source: str, default_side: str) -> DataFrame:
     field = lambda name, default=None: F.col(name) if name in have else F.lit(default)
     counts = {c: lenient_long(field(c).cast("string")).alias(c) for c in ("views", "forwards", "replies")}
     rows = raw.where(F.trim(F.coalesce(field("text").cast("string"), F.lit(""))) != "")
-    uid = F.concat_ws(":", F.lit(source), field("channel").cast("string"), field("post_id").cast("string"))
+    key = F.coalesce(F.concat_ws(":", field("channel").cast("string"), field("post_id").cast("string")), F.lit(""))
+    # an archive without ids gets one from the content of each row
+    key = F.when(key == "", F.hex(F.xxhash64(*[F.col(c).cast("string") for c in raw.columns if not dict(raw.dtypes)[c].startswith("map")]))).otherwise(key)
+    uid = F.concat_ws(":", F.lit(source), key)
     chosen = {"uid": uid, "source": F.lit(source), "side": F.coalesce(field("side").cast("string"), F.lit(default_side))}
     columns = []
     for name, kind in ARCHIVE.items():
@@ -117,6 +171,36 @@ def archive_rows(raw: DataFrame, source: str, default_side: str) -> DataFrame:
     return rows.select(*columns)
 
 
+# How three archives name their columns, as SQL over the raw columns for each common one. Columns that a
+# layout doesn't have are null. ``media``, ``fwd_from`` and ``reactions`` of the first are Python literals.
+LAYOUTS = {
+    "messages": {
+        "channel": "channel", "post_id": "post_id", "date": "left(post_datetime, 19)", "text": "message", "views": "post_views", "forwards": "post_forwards",
+        "has_media": "coalesce(size(media.photos) > 0, false) OR coalesce(size(media.videos) > 0, false)",
+        "media_type": "CASE WHEN size(media.videos) > 0 THEN 'video' WHEN size(media.photos) > 0 THEN 'photo' END",
+        "reactions": "reactions", "is_forward": "coalesce(get(fwd_from, 0) = 'true', false)", "fwd_from": "CASE WHEN get(fwd_from, 0) = 'true' THEN get(fwd_from, 1) END",
+    },
+    "flat": {
+        "post_id": "CAST(NULL AS STRING)", "date": "left(date, 19)", "text": "message", "views": "views", "forwards": "number_forwards", "replies": "number_replies",
+        "has_media": "contains_media = '1'", "is_forward": "is_forward = '1'",
+        "media_type": "CASE WHEN media_type = 'MessageMediaPhoto' THEN 'photo' WHEN media_type = 'MessageMediaDocument' THEN 'video_or_document' WHEN media_type <> 'NA' THEN 'other' END",
+        "extra": "map('domain', nullif(domain, 'NA'), 'video_duration_secs', CAST(try_cast(try_cast(video_duration_secs AS DOUBLE) AS BIGINT) AS STRING))",
+    },
+    "study": {
+        "post_id": "id", "text": "message", "extra": "map('positionality', coalesce(positionality, ''), 'dehumanising_outgroup', dehumanising_outgroup)",
+        "side": "CASE WHEN positionality LIKE 'ukraine%' THEN 'ukrainian' WHEN positionality = 'russia' THEN 'russian' ELSE 'unknown' END",
+    },
+}
+LITERALS = {"media": "photos array<string>, videos array<string>", "fwd_from": "array<string>", "reactions": "map<string,bigint>"}
+
+
+def laid_out(raw: DataFrame, layout: str) -> DataFrame:
+    """A raw archive with its columns under the common names, ready for ``archive_rows``. Literals that don't parse are null."""
+    if layout == "messages":
+        raw = raw.withColumns({name: python_literal(F.col(name), kind) for name, kind in LITERALS.items()})
+    return raw.select(*(F.expr(value).alias(name) for name, value in LAYOUTS[layout].items()))
+
+
 def with_side(rows: DataFrame, sides: DataFrame, default: str) -> DataFrame:
     """Adds ``side`` from the (username, side) table by lower-cased channel."""
     known = sides.select(F.lower("username").alias("_user"), F.col("side").alias("_side")).dropDuplicates(["_user"])
@@ -136,8 +220,8 @@ def policy_entries(entries: DataFrame, allow_empty: bool = False) -> DataFrame:
 
 
 def labelled_pool(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Labelled parquet files, chosen columns only, with ``split`` from the file name."""
-    name = F.regexp_extract("_metadata.file_name", r"(train|dev|test)", 1)
+    """Labelled parquet files, chosen columns only, with ``split`` from the last path part that names one."""
+    name = F.regexp_extract("_metadata.file_path", r".*\b(train|dev|test)\b", 1)
     return spark.read.parquet(path).select(*columns, name.alias("split"))
 
 
