@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.functions.text import WORD, normalize_text, words
+from triagelake.functions.text import WORD, normalize_text, transliterate, unmask, words
 
-#: Demonstration groups in order, as {group: patterns}; an installation brings its own tables.
-HARMS = {"insult": ["idiot|moron", "clown"], "degradation": ["worthless", "scum|trash"], "claim": ["thorst", "heard (that|from)"]}
-TONES = {"reporting": ["license", "reserved"], "testimony": ["there was"], "awareness": ["token"]}
-SUBJECTS = {"group": ["stupid"], "person": ["loser|pathetic"]}
+#: Demonstration tables; an installation brings its own as DataFrames of the same columns. What a row says: of a kind
+#: (harm, tone, subject), the group and a pattern of it; groups come in the order of ``place``.
+GROUPS = (
+    ("harm", 1, "insult", "idiot|moron"), ("harm", 1, "insult", "clown"), ("harm", 2, "degradation", "worthless"), ("harm", 2, "degradation", "scum|trash"),
+    ("harm", 3, "claim", "thorst"), ("harm", 3, "claim", "heard (that|from)"), ("tone", 1, "reporting", "license"), ("tone", 1, "reporting", "reserved"),
+    ("tone", 2, "testimony", "there was"), ("tone", 3, "awareness", "token"), ("subject", 1, "group", "stupid"), ("subject", 2, "person", "loser|pathetic"),
+)
+GROUP_COLUMNS = "kind string, place int, group string, pattern string"
 WEAK = ("claim",)
 SEVERE = ("degradation",)
 #: (id, strength, pattern)
 PATTERNS = (("pt-1", "strong", "idiot|moron|scum"), ("pt-2", "weak", "thorst|inther"), ("pt-3", "strong", "licen[cs]e"), ("pt-4", "weak", "tionst"))
+#: A table of patterns becomes one expression a row, so it has a bound; larger vocabularies are joined (``lexicon_hits``).
+MOST_PATTERNS = 2_000
+LITERALS = re.compile(r"[\w ]+(?:\|[\w ]+)*")
+# Endings of short words, and forms of those whose stem changes.
+ENDINGS = "s|es|а|у|ом|е|и"
+IRREGULAR = {"child": "children", "дети": "детей|детям|детьми|детях", "діти": "дітей|дітям|дітьми|дітях", "kid": "kids"}
+
+
+def rows_of(table: DataFrame) -> list:
+    """The rows of a table of patterns, on the driver; more than MOST_PATTERNS are an error."""
+    rows = table.limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns: match them with lexicon_hits")
+    return rows
+
+
+def group_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GROUPS, GROUP_COLUMNS)
+
+
+def groups_of(table: DataFrame) -> dict[str, dict[str, list[str]]]:
+    """kind -> group -> patterns of a table with GROUP_COLUMNS, in order."""
+    out: dict[str, dict[str, list[str]]] = {}
+    for r in sorted(rows_of(table), key=lambda r: (r["kind"], r["place"])):
+        out.setdefault(r["kind"], {}).setdefault(r["group"], []).append(r["pattern"])
+    return out
 
 
 def any_match(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.lower(text).rlike(p) for p in patterns], F.lit(False))
+    """Whether one of the patterns is in the lower-cased text; plain words are searched for as they are."""
+    low = F.lower(text)
+    one = lambda p: reduce(lambda a, b: a | b, [low.contains(w) for w in p.split("|")]) if LITERALS.fullmatch(p) else low.rlike(p)
+    return reduce(lambda a, b: a | b, map(one, patterns), F.lit(False))
 
 
 def groups_hit(text: Column, groups: dict[str, list[str]]) -> Column:
@@ -32,17 +66,19 @@ def first_group(text: Column, groups: dict[str, list[str]]) -> Column:
     return F.coalesce(*[F.when(any_match(text, p), F.lit(name)) for name, p in groups.items()])
 
 
-def classify(posts: DataFrame) -> DataFrame:
-    """Adds harm_types, tone, victims, harm_potential and confidence of the keyword baseline to posts with ``text``.
+def classify(posts: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Adds harm_types, tone, victims, harm_potential and confidence of the keyword baseline to posts with ``text``; the
+    vocabulary is a table with GROUP_COLUMNS.
 
     A safe tone clears weak harms when nothing else was hit. A severe harm gives potential 2, with a second harm 3; other
     harms give 1 at low confidence.
     """
-    harms = groups_hit(F.col("text"), HARMS)
-    out = posts.withColumn("harm_types", harms).withColumn("tone", first_group(F.col("text"), TONES))
+    groups = groups_of(group_table(posts.sparkSession) if table is None else table)
+    hits = {"harm_types": groups_hit(F.col("text"), groups["harm"]), "tone": first_group(F.col("text"), groups["tone"]), "victims": groups_hit(F.col("text"), groups["subject"])}
+    out = posts.withColumns(hits)
     strong = F.exists("harm_types", lambda h: ~h.isin(*WEAK))
     out = out.withColumn("harm_types", F.when(F.col("tone").isNotNull() & ~strong, F.array().cast("array<string>")).otherwise(F.col("harm_types")))
-    victims = groups_hit(F.col("text"), SUBJECTS)
+    victims = F.col("victims")
     severe = F.exists("harm_types", lambda h: h.isin(*SEVERE))
     some = F.size("harm_types") > 0
     potential = F.when(severe & (F.size("harm_types") > 1), 3).when(severe, 2).when(some, 1).otherwise(0)
@@ -50,9 +86,14 @@ def classify(posts: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(some & (F.col("harm_potential") < 2), "low").otherwise("medium"))
 
 
-def pattern_hits(text: Column, patterns=PATTERNS) -> Column:
-    """array<struct<id,strength>> of the patterns that match, in the table's order."""
-    one = lambda i, s, p: F.when(F.lower(text).rlike(p), F.struct(F.lit(i).alias("id"), F.lit(s).alias("strength")))
+def pattern_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PATTERNS, "id string, strength string, pattern string")
+
+
+def pattern_hits(text: Column, table: DataFrame) -> Column:
+    """array<struct<id,strength>> of the (id, strength, pattern) rows that match, by id."""
+    patterns = [(r["id"], r["strength"], r["pattern"]) for r in sorted(rows_of(table), key=lambda r: r["id"])]
+    one = lambda i, s, p: F.when(any_match(text, [p]), F.struct(F.lit(i).alias("id"), F.lit(s).alias("strength")))
     return F.array_compact(F.array(*[one(*p) for p in patterns]))
 
 
@@ -60,34 +101,75 @@ def strength(hits: Column) -> Column:
     return F.when(F.exists(hits, lambda h: h.strength == "strong"), "strong").when(F.size(hits) > 0, "weak")
 
 
-def term_pattern(term: str) -> str:
-    """Regular expression of a term: * is a prefix; short words match whole with a plural; longer ones by their stem."""
-    parts = []
-    for word in term.lower().split():
-        if word.endswith("*"):
-            parts.append(word[:-1] + WORD + "*")
-        elif len(word) <= 5:
-            parts.append(f"{word}(?:s|es)?(?!{WORD})")
-        else:
-            parts.append(word[: max(5, len(word) - 2)] + WORD + "*")
-    return f"(?<!{WORD})" + r"\s+".join(parts)
+def escaped(literal: Column) -> Column:
+    return F.regexp_replace(literal, r"([^\p{L}\p{N}_\s])", r"\\$1")
+
+
+def word_pattern(word: Column) -> Column:
+    """Regular expression of one word of a term: with * at its end a prefix, else a short word whole with its endings, a
+    longer one by its stem. Signs stand for themselves; look-alike letters are read as in texts."""
+    plain = unmask(word)
+    stem = F.substring(plain, F.lit(1), F.greatest(F.lit(5), F.length(plain) - 2))
+    other = escaped(plain)
+    for form, others in IRREGULAR.items():
+        other = F.when(plain == form, others).otherwise(other)
+    short = F.concat(F.lit("(?:"), escaped(plain), F.lit(f"(?:{ENDINGS})?|"), other, F.lit(f")(?!{WORD})"))
+    prefix = F.concat(escaped(unmask(F.regexp_replace(word, r"\*$", ""))), F.lit(f"{WORD}*"))
+    return F.when(word.endswith("*"), prefix).when(F.length(word) <= 5, short).otherwise(F.concat(escaped(stem), F.lit(f"{WORD}*")))
+
+
+def term_pattern(term: Column) -> Column:
+    """Regular expression of a term for texts after ``unmask``: its words one after another, from the start of a word."""
+    return F.concat(F.lit(f"(?<!{WORD})"), F.array_join(F.transform(F.split(F.trim(term), r"\s+"), word_pattern), r"\s+"))
+
+
+def variants(value: Column) -> Column:
+    """array of the terms that an entry names, apart by / ; what is in brackets and quotation marks are left out."""
+    plain = F.regexp_replace(F.regexp_replace(value, r"\([^)]*\)", ""), "[«»\"]", "")
+    return F.filter(F.transform(F.split(plain, "/"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def near(text: Column, a: str, b: str, window: int) -> Column:
-    """Whether a word matching ``a`` stands at most ``window`` words from one matching ``b``."""
-    tokens = words(normalize_text(text))
-    at = lambda p: F.filter(F.transform(tokens, lambda t, i: F.when(t.rlike(p), i)), lambda i: i.isNotNull())
-    return F.exists(at(a), lambda i: F.exists(at(b), lambda j: (F.abs(i - j) <= window) & (i != j)))
+    """Whether a word matching ``a`` stands at most ``window`` words from another one matching ``b``; one pass over the
+    words, with the place where each was seen last."""
+    kinds = F.transform(words(normalize_text(text)), lambda t: t.rlike(a).cast("int") + 2 * t.rlike(b).cast("int"))
+    never = F.lit(-1_000_000_000)
+    start = F.struct(F.lit(0).alias("i"), never.alias("a"), never.alias("b"), F.lit(False).alias("hit"))
+
+    def step(s: Column, k: Column) -> Column:
+        is_a, is_b = k.bitwiseAND(F.lit(1)) > 0, k > 1
+        hit = s.hit | (is_a & (s.i - s.b <= window)) | (is_b & (s.i - s.a <= window))
+        return F.struct((s.i + 1).alias("i"), F.when(is_a, s.i).otherwise(s.a).alias("a"), F.when(is_b, s.i).otherwise(s.b).alias("b"), hit.alias("hit"))
 
+    return F.aggregate(kinds, start, step).hit
 
-def lexicon_hits(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(seq, ids): sorted distinct ids of (id, stem) entries whose stem begins a word of the text.
 
-    Words and stems meet on the stem's first five letters, so a large table is an equi-join, never a cross join.
+HEAD = 5
+
+
+def lexicon_hits(docs: DataFrame, entries: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """(seq, ids): sorted distinct ids of the approved entries (id, type, language, status, value) of the given types with
+    a term in the text. Entries of language ``multi`` describe more than words and match nothing.
+
+    Texts and terms meet on the first HEAD letters of a term's first word, so a large table is an equi-join, never a cross
+    join; then the whole term decides on the whole text, read without look-alike letters.
     """
-    tokens = docs.select("seq", F.explode(F.array_distinct(words(normalize_text(F.col("text"))))).alias("word")).where(F.length("word") >= 5)
-    keyed = entries.withColumn("head", F.substring("stem", 1, 5))
-    hits = tokens.withColumn("head", F.substring("word", 1, 5)).join(keyed, "head").where(F.col("word").startswith(F.col("stem")))
+    usable = entries.where((F.col("status") == "approved") & (F.coalesce(F.col("language"), F.lit("")) != "multi"))
+    usable = usable.where(F.col("type").isin(*types)) if types else usable
+    terms = usable.select("id", F.explode(variants(F.col("value"))).alias("term")).select("id", term_pattern(F.col("term")).alias("pattern"), F.element_at(F.split(F.col("term"), r"\s+"), 1).alias("first"))
+    start = F.regexp_extract(unmask(F.col("first")), rf"{WORD}+", 0)
+    # of a long word only the stem stands in the text
+    length = F.when(F.col("first").endswith("*"), F.length(start)).otherwise(F.greatest(F.least(F.length(start), F.lit(HEAD)), F.length(start) - 2))
+    terms = terms.select("id", "pattern", F.substring(start, F.lit(1), F.least(length, F.lit(HEAD))).alias("head")).distinct()
+    sizes = sorted({r[0] for r in terms.select(F.length("head")).distinct().collect()})  # at most HEAD + 1
+    if not sizes:
+        return docs.select("seq", F.array().cast("array<string>").alias("ids")).limit(0)
+    tokens = F.regexp_extract_all(F.col("plain"), F.lit(f"({WORD}+)"), 1)
+    cut_to = lambda n: F.transform(tokens, lambda w: F.substring(w, 1, n)) if n else F.array(F.lit(""))
+    heads = F.array_distinct(F.flatten(F.array(*map(cut_to, sizes))))
+    texts = docs.select("seq", unmask(F.col("text")).alias("plain"))
+    found = texts.select("seq", F.explode(heads).alias("head")).join(terms, "head").select("seq", "id", "pattern").distinct()
+    hits = texts.join(found, "seq").where("rlike(plain, pattern)")
     return hits.groupBy("seq").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
@@ -96,13 +178,81 @@ def merge_terms(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables).select("lang", "list", "value").distinct()
 
 
-def age_labels(text: Column) -> Column:
-    """Kinds of age indicator in a text (never the words): a stated number of years below 18, a school class."""
-    low = F.lower(text)
-    age = F.regexp_extract_all(low, F.lit(r"(?<![\d.,])(\d{1,2})[ -]?(?:years?|yrs?)[ -]?old"), 1)
-    stated = F.exists(age, lambda a: a.cast("int") < 18)
-    grade = low.rlike(r"(?<!\d)(?:[1-9]|1[01])(?:st|nd|rd|th)[ -]grade")
-    return F.array_compact(F.array(F.when(stated, "stated age"), F.when(grade, "school grade")))
+#: A neutral table of age terms (language, kind, value, number); an installation adds its own languages. Kinds: ``word``
+#: and ``institution`` are terms; ``unit`` (years, with a number below 18), ``infant`` (days, weeks, months, with any
+#: number), ``number`` (a number written as a word), ``phrase`` and ``grade`` ({n} stands for the number), ``stop`` (what
+#: makes the number of a phrase no age).
+AGE_TERMS = (
+    ("en", "word", "newborn", None), ("en", "word", "pupil", None), ("en", "word", "toddler", None), ("en", "word", "child", None), ("en", "institution", "orphanage", None),
+    ("en", "institution", "kindergarten", None), ("en", "unit", "years old", None), ("en", "unit", "year old", None), ("en", "unit", "yr old", None), ("en", "unit", "yrs old", None),
+    ("en", "infant", "month* old", None), ("en", "infant", "week* old", None), ("en", "infant", "day* old", None), ("en", "number", "one", 1), ("en", "number", "five", 5),
+    ("en", "number", "twelve", 12), ("en", "number", "fifteen", 15), ("en", "number", "twenty", 20), ("en", "phrase", "i'm only {n}", None), ("en", "phrase", "she's {n}", None),
+    ("en", "phrase", "i'm {n}", None), ("en", "stop", "minutes", None), ("en", "stop", "years", None), ("en", "stop", "percent", None), ("en", "grade", "{n}th grade", None), ("en", "grade", "grade {n}", None),
+    ("ru", "word", "ученик*", None), ("ru", "word", "школьниц*", None), ("ru", "unit", "лет", None), ("ru", "unit", "года", None), ("ru", "number", "двенадцать", 12), ("ru", "phrase", "ей {n},", None),
+    ("ru", "grade", "{n} класса", None),
+)
+AGE_COLUMNS = "lang string, kind string, value string, number int"
+
+
+def age_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(AGE_TERMS, AGE_COLUMNS)
+
+
+def loose(phrase: str) -> str:
+    """A phrase of a regular expression in which blanks and hyphens are the same and * ends a prefix."""
+    return r"[\s-]+".join(re.escape(w.removesuffix("*")) + (f"{WORD}*" if w.endswith("*") else "") for w in phrase.lower().split())
+
+
+def one_of(options) -> str:
+    return "(?:" + "|".join(sorted(options, key=lambda x: (-len(x), x))) + ")"
+
+
+def number_pattern(digits: str, names: list[str]) -> str:
+    """A whole number (no part of a longer one or of a decimal) or one of its names."""
+    own = rf"(?<!\d)(?<!\d[.,])(?:{digits})(?!\d)(?![.,]\d)"
+    return one_of([own, *(rf"\b{re.escape(n)}" for n in names)])
+
+
+def age_patterns(rows) -> list[tuple[str, str]]:
+    """(label, pattern) of a table with AGE_COLUMNS but its terms; each language has its own numbers and units."""
+    out = []
+    for lang in sorted({r["lang"] for r in rows}):
+        of = lambda kind, lang=lang: [r for r in rows if (r["lang"], r["kind"]) == (lang, kind)]
+        names = [(r["value"].lower(), r["number"]) for r in of("number")]
+        minor, any_age = number_pattern("1[0-7]|[1-9]", [n for n, k in names if k < 18]), number_pattern(r"\d{1,3}", [n for n, _ in names])
+        ends = f"(?!{WORD})"
+        for kind, number, label in (("unit", minor, "stated age"), ("infant", any_age, "infant age")):
+            if units := [loose(r["value"]) for r in of(kind)]:
+                out.append((label, rf"{number}[\s-]*{one_of(units)}{ends}"))
+        stops = [loose(r["value"]) for r in of("stop")]
+        no_age = rf"(?!\s*-?\s*{one_of(stops)}{ends})" if stops else ""
+        for kind, number, label in (("phrase", minor, "stated age"), ("grade", number_pattern("1[0-2]|[1-9]", []), "school grade")):
+            for r in of(kind):
+                before, after = r["value"].lower().split("{n}")
+                if kind == "phrase":
+                    parts = [re.escape(before), number, re.escape(after), ends, no_age]
+                else:
+                    digits = r"(?<!\d)(?:1[0-2]|[1-9])(?!\d)"
+                    parts = [loose(before) + r"[\s-]*" if before.strip() else "", digits, r"[\s-]*" + loose(after) if after.strip() else "", ends]
+                out.append((label, f"(?<!{WORD})" + "".join(parts)))
+    return out
+
+
+def age_labels(text: Column, table: DataFrame) -> Column:
+    """Kinds of age indicator in a text, sorted (never the words), by a table with AGE_COLUMNS: a stated age, an infant's
+    age, a school class, a term. Terms are also found in Latin spelling; soft and hard signs do not count."""
+    rows = rows_of(table)
+    low = F.translate(F.lower(text), "ё’", "е'")
+    labels = {}
+    for label, pattern in age_patterns(rows):
+        labels[label] = labels.get(label, F.lit(False)) | low.rlike(pattern)
+    silent = lambda c: F.regexp_replace(c, "[ьъ]", "")
+    both = F.concat(silent(unmask(text)), F.lit("\n"), silent(transliterate(low)))
+    terms = [r["value"] for r in rows if r["kind"] in ("word", "institution")]
+    if terms:
+        found = table.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(silent(term_pattern(F.col("term")))).collect()
+        labels["age term"] = both.rlike("|".join(sorted(r[0] for r in found)))
+    return F.array_compact(F.array(*[F.when(hit, name) for name, hit in sorted(labels.items())]))
 
 
 def unknown_ids(text: Column, defined: list[str]) -> Column:

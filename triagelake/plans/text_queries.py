@@ -8,6 +8,7 @@ from triagelake.functions import text as T
 from triagelake.functions.simhash import simhash_md5
 from triagelake.operators import lexicon as L
 from triagelake.operators import rules as R
+from triagelake.operators.ranges import ranked
 from triagelake.plans.standin import sql, table, view
 from triagelake.registry import register
 
@@ -156,28 +157,42 @@ def keyword_classes(spark, d):
     return keyword_rows(spark, d).select("seq", "harm_potential", "confidence")
 
 
-@register("lex03_region_lexicon", rf"""WITH e AS (SELECT item_id, regexp_extract(lower(text), '([a-z]{{7,}})', 1) AS w FROM benchmark),
-s AS (SELECT item_id, substr(w, 1, greatest(5, length(w) - 2)) AS stem FROM e WHERE w <> ''),
-t AS (SELECT DISTINCT doc_id, unnest(string_split({NORMAL}, ' ')) AS word FROM documents)
-SELECT t.doc_id AS seq, array_to_string(list_sort(list(DISTINCT s.item_id)), ',') AS ids FROM t JOIN s ON starts_with(t.word, s.stem) WHERE length(t.word) >= 5 GROUP BY t.doc_id""")
+@register("lex03_region_lexicon", r"""WITH e AS (SELECT item_id, regexp_extract_all(lower(text), '[a-zà-ÿ]{7,}') AS w FROM benchmark WHERE item_id % 5 <> 0),
+v AS (SELECT item_id, unnest(w[1:2]) AS w FROM e UNION ALL SELECT item_id, 'of' FROM e WHERE item_id % 7 = 1),
+s AS (SELECT DISTINCT item_id, CASE WHEN w = 'of' THEN w ELSE substr(w, 1, greatest(5, length(w) - 2)) END AS stem, w = 'of' AS short FROM v),
+t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents)
+SELECT t.doc_id AS seq, array_to_string(list_sort(list(DISTINCT s.item_id)), ',') AS ids FROM t JOIN s ON CASE WHEN short THEN t.word IN ('of', 'ofs', 'ofes') ELSE starts_with(t.word, s.stem) END GROUP BY t.doc_id""")
 def region_lexicon(spark, d):
-    word = F.regexp_extract(F.lower("text"), "([a-z]{7,})", 1)
-    entries = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), word.alias("w")).where("w <> ''")
-    entries = entries.select("id", F.expr("substring(w, 1, greatest(5, length(w) - 2))").alias("stem"))
-    hits = L.lexicon_hits(view(spark, d, "posts"), entries)
+    """Each benchmark item is an entry of one or two of its long words, with notes in brackets; some have a short one too."""
+    n, found = F.col("item_id"), F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]{7,})"), 1)
+    value = F.concat_ws(" / ", F.transform(F.slice(found, 1, 2), lambda w: F.concat(F.lit("«"), w, F.lit("» (a note)"))), F.when(n % 7 == 1, "of"))
+    entries = table(spark, d, "benchmark").select(n.alias("id"), F.lit("term").alias("type"), F.when(n % 2 == 0, "en").alias("language"), F.when(n % 5 != 0, "approved").otherwise("draft").alias("status"), value.alias("value"))
+    hits = L.lexicon_hits(view(spark, d, "posts"), entries, ("term",))
     return hits.select("seq", F.array_join("ids", ",").alias("ids"))
 
 
-@register("lex04_term_patterns", r"""SELECT doc_id, regexp_matches(' ' || lower(text), '[^\p{L}\p{N}_]token(?:s|es)?(?:[^\p{L}\p{N}_]|$)') AS short_term, regexp_matches(' ' || lower(text), '[^\p{L}\p{N}_]worthle[\p{L}\p{N}_]*') AS long_term, regexp_matches(' ' || lower(text), '[^\p{L}\p{N}_]thor[\p{L}\p{N}_]*') AS prefix_term FROM documents""")
+@register("lex04_term_patterns", r"""SELECT doc_id, regexp_matches(x, '(^|[^\p{L}\p{N}_])token(s|es|а|у|ом|е|и)?([^\p{L}\p{N}_]|$)') AS short_term, regexp_matches(x, '(^|[^\p{L}\p{N}_])worthle[\p{L}\p{N}_]*') AS long_term,
+  regexp_matches(x, '(^|[^\p{L}\p{N}_])thor[\p{L}\p{N}_]*') AS prefix_term, regexp_matches(x, '(^|[^\p{L}\p{N}_])(child(s|es|а|у|ом|е|и)?|children)([^\p{L}\p{N}_]|$)') AS irregular,
+  regexp_matches(x, '(^|[^\p{L}\p{N}_])c\+\+(s|es|а|у|ом|е|и)?([^\p{L}\p{N}_]|$)') AS signs, regexp_matches(x, '(^|[^\p{L}\p{N}_])the(s|es|а|у|ом|е|и)?\s+thoug[\p{L}\p{N}_]*') AS phrase
+FROM (SELECT doc_id, lower(text) || CASE doc_id % 3 WHEN 0 THEN ' c++' WHEN 1 THEN ' c children' ELSE '' END AS x FROM documents) y""")
 def term_patterns(spark, d):
-    low = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", *[low.rlike(L.term_pattern(t)).alias(n) for t, n in (("token", "short_term"), ("worthless", "long_term"), ("thor*", "prefix_term"))])
+    terms = {"short_term": "token", "long_term": "worthless", "prefix_term": "thor*", "irregular": "child", "signs": "c++", "phrase": "the thought"}
+    patterns = spark.createDataFrame(list(terms.items()), "name string, term string").select("name", L.term_pattern(F.col("term")).alias("pattern")).collect()
+    added = F.when(F.col("doc_id") % 3 == 0, " c++").when(F.col("doc_id") % 3 == 1, " c children").otherwise("")
+    text = T.unmask(F.concat("text", added))
+    return table(spark, d, "documents").select("doc_id", *[text.rlike(r["pattern"]).alias(r["name"]) for r in patterns])
 
 
-@register("lex05_age_labels")
+@register("lex05_age_labels", r"""SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(newborn|pupil|toddle|orphana|kindergart|child)') OR doc_id % 7 = 3 THEN 'age term' END,
+  CASE WHEN doc_id % 7 = 1 THEN 'infant age' END, CASE WHEN doc_id % 7 = 2 THEN 'school grade' END,
+  CASE WHEN doc_id % 30 BETWEEN 1 AND 17 OR doc_id % 7 = 5 THEN 'stated age' END], lambda x: x IS NOT NULL), ',') AS labels FROM documents""")
 def ages(spark, d):
-    text = F.concat(F.col("text"), F.lit(" "), (F.col("doc_id") % 30).cast("string"), F.lit(" years old"))
-    return table(spark, d, "documents").select("doc_id", L.age_labels(text).alias("labels"))
+    """Documents to which a number of years and, by turns, other indicators are added."""
+    n = F.col("doc_id")
+    other = F.get(F.array(*map(F.lit, ("", "six 3-month-old twins", "now in 7th grade", "a shkolnica won", "I'm 12 minutes late", "I’m only twelve", "top 12 items"))), (n % 7).cast("int"))
+    text = F.concat(F.col("text"), F.lit(" . "), (n % 30).cast("string"), F.lit(" years old. "), other)
+    return table(spark, d, "documents").select("doc_id", F.array_join(L.age_labels(text, L.age_table(spark)), ",").alias("labels"))
 
 
 @register("lex06_merge_terms", "SELECT DISTINCT lang, source AS list, lower(substr(text, 1, 3)) AS value FROM documents")
@@ -197,7 +212,7 @@ x AS (SELECT *, concat_ws(',', CASE WHEN p1 THEN 'pt-1' END, CASE WHEN p2 THEN '
 
 
 def candidates(spark, d):
-    rows = view(spark, d, "posts").withColumn("hits", L.pattern_hits(F.col("text")))
+    rows = view(spark, d, "posts").withColumn("hits", L.pattern_hits(F.col("text"), L.pattern_table(spark)))
     return rows.withColumn("strength", L.strength(F.col("hits"))).where(F.col("strength").isNotNull())
 
 
@@ -273,15 +288,16 @@ FROM o JOIN b ON b.seq = o.owner WHERE bucket <> 'not_harmful'""")
 
 @register("flagship_review_queue", FLAGSHIP)
 def flagship(spark, d):
-    """Exact copies grouped, one representative judged, routed, and ordered by urgency and number of copies."""
-    from pyspark.sql import Window
+    """Exact copies grouped, one representative judged, routed, and ordered by urgency and number of copies.
 
-    keyed = view(spark, d, "posts").select("seq", "channel", T.exact_key(F.col("text")).alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("seq").alias("group_id"), F.count("*").alias("copies"), F.countDistinct("channel").alias("channels"))
-    judged = keyword_rows(spark, d).select("seq", "bucket").join(groups, F.col("seq") == F.col("group_id")).where("bucket <> 'not_harmful'")
+    One scan and one shuffle by key; the places come from ranges of the order, so no task has the whole queue.
+    """
+    rows = keyword_rows(spark, d).select("seq", "channel", "bucket", T.exact_key(F.col("text")).alias("key"))
+    groups = rows.groupBy("key").agg(F.min("seq").alias("group_id"), F.min_by("bucket", "seq").alias("bucket"), F.count("*").alias("copies"), F.countDistinct("channel").alias("channels"))
     route = lambda i: R.lookup(F.col("bucket"), {k: v[i] for k, v in R.BUCKET_ROUTES.items()})
-    order = Window.orderBy(-R.lookup(F.col("bucket"), R.BUCKET_RANK), F.desc("copies"), "group_id")
-    return judged.select("group_id", "copies", "channels", route(0).alias("route"), route(1).alias("priority"), F.row_number().over(order).alias("place"))
+    judged = groups.where("bucket <> 'not_harmful'").select("group_id", "copies", "channels", "bucket", route(0).alias("route"), route(1).alias("priority"))
+    placed = ranked(judged, (-R.lookup(F.col("bucket"), R.BUCKET_RANK)).alias("_a"), (-F.col("copies")).alias("_b"), F.col("group_id").alias("_c"))
+    return placed.select("group_id", "copies", "channels", "route", "priority", F.col("place").cast("int").alias("place"))
 
 
 @register("grp02_simhash_md5", r"""WITH t AS (SELECT doc_id, substr(text, 1, length(text)) AS text FROM documents),
