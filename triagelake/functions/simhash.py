@@ -46,11 +46,26 @@ def grams(letters: str) -> Column:
     return F.when(F.size(letters) <= 3, F.array(F.array_join(letters, ""))).otherwise(three)
 
 
-def simhash_md5(texts: DataFrame, bits: int = 16) -> DataFrame:
-    """(id, simhash): the first ``bits`` bits by md5 and plain aggregation, which any SQL engine can repeat."""
+def simhash_md5(texts: DataFrame) -> DataFrame:
+    """(id, simhash): 64 bits by md5 and plain aggregation, which any SQL engine can repeat; a signed bit pattern."""
     letters = texts.select("id", F.regexp_extract_all("text", F.lit("(?s)(.)"), 1).alias("letters"))
     g = letters.select("id", F.explode(grams("letters")).alias("g")).groupBy("id", "g").count()
-    h = g.withColumn("h", F.conv(F.substring(F.md5("g"), 1, 4), 16, 10).cast("long"))
-    sums = h.groupBy("id").agg(*[F.sum(F.when(F.shiftright("h", b) % 2 == 1, F.col("count")).otherwise(-F.col("count"))).alias(f"b{b}") for b in range(bits)])
-    value = sum((F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(1, bits)), F.when(F.col("b0") > 0, 1).otherwise(0))
-    return sums.select("id", value.cast("bigint").alias("simhash"))
+    half = lambda k: F.conv(F.substring(F.md5("g"), 1 + 8 * k, 8), 16, 10).cast("long")
+    h = g.select("id", "count", half(0).alias("high"), half(1).alias("low"))
+    sums = [F.sum(F.when(F.col(name).bitwiseAND(F.lit(1 << b)) != 0, F.col("count")).otherwise(-F.col("count"))).alias(f"b{32 * k + b}") for k, name in enumerate(("low", "high")) for b in range(32)]
+    of = h.groupBy("id").agg(*sums)
+    value = F.lit(0).cast("long")
+    for b in range(64):
+        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    return of.select("id", value.alias("simhash"))
+
+
+def simhash_sql(table: str, id: str, text: str = "text") -> str:
+    """The same as common tables ``values_<table>`` (id, value) for the oracle."""
+    bits = lambda name, k: " + ".join(f"CASE WHEN b{32 * k + b} > 0 THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(32))
+    sums = ", ".join(f"sum(CASE WHEN ({name} >> {b}) & 1 = 1 THEN n ELSE -n END) AS b{32 * k + b}" for k, name in enumerate(("low", "high")) for b in range(32))
+    return f"""g_{table} AS (SELECT {id} AS id, unnest(CASE WHEN length({text}) <= 3 THEN [{text}] ELSE list_transform(range(1, length({text}) - 1), lambda i: substr({text}, i, 3)) END) AS g FROM {table}),
+c_{table} AS (SELECT id, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) AS high, CAST('0x' || substr(md5(g), 9, 8) AS BIGINT) AS low, count(*) AS n FROM g_{table} GROUP BY id, g),
+s_{table} AS (SELECT id, {sums} FROM c_{table} GROUP BY id),
+v_{table} AS (SELECT id, {bits("low", 0)} AS low, {bits("high", 1)} AS high FROM s_{table}),
+values_{table} AS (SELECT id, CAST(CASE WHEN high >= 2147483648 THEN high - 4294967296 ELSE high END * 4294967296 + low AS BIGINT) AS value FROM v_{table})"""

@@ -5,19 +5,30 @@ from __future__ import annotations
 import tempfile
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagelake.functions.metrics import dot
-
+# How many bits apart near texts, near images, and near copies of a reference may be.
 SIMHASH_LIMIT, IMAGE_LIMIT, REFERENCE_LIMIT = 9, 4, 8
+#: A key under which more pairs than this would meet is split by further bits.
+HOT_PAIRS = 4_000_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of this machine's only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or tempfile.mkdtemp()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the session's ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -36,9 +47,24 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def with_blocks(values: DataFrame, value: str, limit: int, width: int = 64) -> DataFrame:
-    masks = F.array(*[F.struct(F.lit(i).alias("block"), F.lit(signed(m)).alias("mask")) for i, m in enumerate(block_masks(limit, width=width))])
-    return values.withColumn("m", F.explode(masks)).withColumn("block", F.col("m.block")).withColumn("key", F.col(value).bitwiseAND(F.col("m.mask"))).drop("m")
+def further_masks(mask: int, limit: int, width: int = 64) -> list[int]:
+    """The bits outside a mask cut to limit + 1 parts, of which one is equal in values that are ``limit`` apart."""
+    bits = [b for b in range(width) if not mask >> b & 1]
+    n = limit + 1
+    return [sum(1 << b for b in bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
+
+
+def with_blocks(values: DataFrame, value: str, masks: list[int]) -> DataFrame:
+    """A row for each mask: block (its number), key (the bits of the value under it)."""
+    of = F.array(*[F.struct(F.lit(i).alias("block"), F.lit(signed(m)).alias("mask")) for i, m in enumerate(masks)])
+    return values.withColumn("m", F.explode(of)).withColumn("block", F.col("m.block")).withColumn("key", F.col(value).bitwiseAND(F.col("m.mask"))).drop("m")
+
+
+def split_further(rows: DataFrame, value: str, hot: DataFrame, masks: list[int], limit: int, width: int) -> DataFrame:
+    """The rows of hot keys, once for each part of the bits that the block leaves out."""
+    parts = F.array(*[F.array(*[F.lit(signed(m)) for m in further_masks(mask, limit, width)]) for mask in masks])
+    rows = rows.join(F.broadcast(hot), ["block", "key"], "left_semi").select("*", F.posexplode(F.get(parts, F.col("block"))).alias("part", "of"))
+    return rows.withColumn("part_key", F.col(value).bitwiseAND(F.col("of"))).drop("of")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -49,13 +75,24 @@ def hamming_pairs(left: DataFrame, right: DataFrame, limit: int, width: int = 64
     """(a, b, distance) of all values within ``limit`` bits; inputs are distinct values in column ``value``, all of their
     bits within the lowest ``width``.
 
-    Exact by the pigeonhole principle: an equi-join on (block choice, masked value), then the distance. Equal pairs found
-    by several block choices are folded by a distinct.
+    Exact by the pigeonhole principle: an equi-join on (block choice, masked value), then the distance. More values are
+    cut to more blocks, so that a key is shared by few. Keys that are shared by very many all the same are split by the
+    bits that their block choice leaves out; there are few of them, as each has HOT_PAIRS pairs or more. Equal pairs
+    found by several block choices are folded by a distinct.
     """
-    a = with_blocks(left.select(F.col("value").alias("a")), "a", limit, width)
-    b = with_blocks(right.select(F.col("value").alias("b")), "b", limit, width)
-    near = a.join(b, ["block", "key"]).withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= limit)
-    return near.select("a", "b", "distance").distinct()
+    n = right.count()
+    keep = 1 if width < 32 else 2 if n < 3_000 else 3 if n < 300_000 else 4
+    masks = block_masks(limit, keep, width)
+    a = with_blocks(left.select(F.col("value").alias("a")), "a", masks)
+    b = with_blocks(right.select(F.col("value").alias("b")), "b", masks)
+    counts = a.groupBy("block", "key").agg(F.count("*").alias("n")).join(b.groupBy("block", "key").agg(F.count("*").alias("m")), ["block", "key"])
+    hot = cut(counts.where(F.col("n") * F.col("m") > HOT_PAIRS).select("block", "key"))
+    near = lambda x, y, *on: x.join(y, list(on)).withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= limit).select("a", "b", "distance")
+    if hot.isEmpty():
+        return near(a, b, "block", "key").distinct()
+    cold = lambda rows: rows.join(F.broadcast(hot), ["block", "key"], "left_anti")
+    split = lambda rows, value: split_further(rows, value, hot, masks, limit, width)
+    return near(cold(a), cold(b), "block", "key").union(near(split(a, "a"), split(b, "b"), "block", "key", "part", "part_key")).distinct()
 
 
 def near_reference(candidates: DataFrame, reference: DataFrame, limit: int = REFERENCE_LIMIT, width: int = 64) -> DataFrame:
@@ -137,17 +174,42 @@ def greedy_dedupe(items: DataFrame, limit: int = REFERENCE_LIMIT, batch: int = 4
     return best.select("id", F.col("m.e").alias("e")).join(name, "e").select("id", "kept_id")
 
 
+#: Up to so many prototypes travel to the executors as one matrix.
+MOST_PROTOTYPES = 10_000
+
+
 def cosine_to_prototypes(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
     """(id, pos, neg): highest cosine of each vector to positive and to negative prototypes.
 
-    Both inputs have unit array<double> ``v``. Prototypes are a small labelled table: up to 10,000 rows are broadcast, more
-    are paired by Spark's own choice of join.
+    Both inputs have unit array<double> ``v``. Prototypes are a small labelled table, sent as matrices of MOST_PROTOTYPES
+    rows at most, one after another; a batch of vectors is multiplied with each, so no pair becomes a row. A vector or a
+    prototype that is null or of another length than the rest takes no part.
     """
-    few = prototypes.limit(10_001).count() <= 10_000
-    other = prototypes.select(F.col("v").alias("w"), "positive")
-    joined = vectors.crossJoin(F.broadcast(other) if few else other)
-    score = dot(F.col("v"), F.col("w"))
-    return joined.groupBy("id").agg(F.max(F.when(F.col("positive"), score)).alias("pos"), F.max(F.when(~F.col("positive"), score)).alias("neg"))
+    known = prototypes.where("v IS NOT NULL AND positive IS NOT NULL")
+    n = known.count()
+    blocks = -(-n // MOST_PROTOTYPES)
+    dealt = known.select("v", "positive", F.pmod(F.xxhash64("v"), F.lit(max(blocks, 1))).alias("block"))
+    out = vectors.where("v IS NOT NULL").select("id", "v", F.lit(None).cast("double").alias("pos"), F.lit(None).cast("double").alias("neg"))
+    for block in range(blocks):
+        rows = dealt.where(F.col("block") == block).toArrow()
+        of = vectors.sparkSession.sparkContext.broadcast((np.array(rows["v"].to_pylist(), float), np.array(rows["positive"].to_pylist(), bool)))
+
+        def run(batches, of=of):
+            matrix, positive = of.value
+            for batch in batches:
+                v = batch["v"].to_pylist()
+                fits = np.array([len(x) == matrix.shape[1] for x in v], bool)
+                best = {name: np.array([x if x is not None else -np.inf for x in batch[name].to_pylist()]) for name in ("pos", "neg")}
+                if fits.any():
+                    score = np.array([x for x, ok in zip(v, fits) if ok], float) @ matrix.T
+                    for name, own in (("pos", positive), ("neg", ~positive)):
+                        if own.any():
+                            best[name][fits] = np.maximum(best[name][fits], score[:, own].max(axis=1))
+                columns = [pa.array(best[name], pa.float64(), mask=~np.isfinite(best[name])) for name in ("pos", "neg")]
+                yield pa.record_batch([batch["id"], batch["v"], *columns], ["id", "v", "pos", "neg"])
+
+        out = out.mapInArrow(run, out.schema)
+    return out.select("id", "pos", "neg")
 
 
 def chain_roots(parents: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import text as T
 from triagelake.functions.metrics import ratio
-from triagelake.functions.simhash import simhash
+from triagelake.functions.simhash import simhash, simhash_md5, simhash_sql
 from triagelake.operators import lexicon as L
 from triagelake.operators import queue as Q
 from triagelake.operators import rules as R
@@ -111,30 +111,34 @@ def ingest_statistics(spark, d):
     return out.select("channel", "total", (F.col("total") - F.col("copies") - F.col("fresh")).alias("seen"), "copies", "fresh")
 
 
-@register("joi01_exact_first_match", sql("posts", body=f", f AS (SELECT seq, 0 AS pos, 'text' AS kind, sha256({NORMAL}) AS value FROM posts UNION ALL SELECT seq, 1, 'head', substr(text, 1, 40) FROM posts), o AS (SELECT kind, value, min(seq) AS owner FROM f GROUP BY kind, value), m AS (SELECT f.seq, o.owner, row_number() OVER (PARTITION BY f.seq ORDER BY f.pos) AS n FROM f JOIN o ON f.kind = o.kind AND f.value = o.value WHERE o.owner < f.seq) SELECT seq, owner FROM m WHERE n = 1"))
-def exact_first(spark, d):
-    posts = view(spark, d, "posts")
-    kinds = posts.select("seq", F.lit(0).alias("pos"), F.lit("text").alias("kind"), T.exact_key(F.col("text")).alias("value")).unionByName(posts.select("seq", F.lit(1).alias("pos"), F.lit("head").alias("kind"), F.substring("text", 1, 40).alias("value")))
-    owners = S.first_bearers(kinds)
-    return kinds.join(owners, ["kind", "value"]).where("owner < seq").groupBy("seq").agg(F.min_by("owner", "pos").alias("owner"))
+LOOSE = r"substr(sha1(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))), 1, 16)"
 
 
-@register("joi01_whole_text_match")
-def whole_text_match(spark, d):
+@register("joi01_whole_text_match", sql("posts", body=f", f AS (SELECT seq, 0 AS pos, 'text_sha' AS kind, sha256({NORMAL}) AS value FROM posts UNION ALL SELECT seq, 1, 'loose_key', {LOOSE} FROM posts), o AS (SELECT kind, value, min(seq) AS owner FROM f GROUP BY kind, value), m AS (SELECT f.seq, o.owner, row_number() OVER (PARTITION BY f.seq ORDER BY f.pos) AS n FROM f JOIN o ON f.kind = o.kind AND f.value = o.value WHERE o.owner < f.seq) SELECT seq, owner FROM m WHERE n = 1"))
+@register("joi01_exact_first_match", sql("posts", body=f", f AS (SELECT seq, 0 AS pos, 'text_sha' AS kind, sha256({NORMAL}) AS value FROM posts UNION ALL SELECT seq, 1, 'loose_key', {LOOSE} FROM posts), o AS (SELECT kind, value, min(seq) AS owner FROM f GROUP BY kind, value), m AS (SELECT f.seq, o.owner, row_number() OVER (PARTITION BY f.seq ORDER BY f.pos) AS n FROM f JOIN o ON f.kind = o.kind AND f.value = o.value WHERE o.owner < f.seq) SELECT seq, owner FROM m WHERE n = 1"))
+def exact_first(spark, d):
     """By the normalised text, then by the lower-cased text with single spaces; both of the whole text."""
     posts = view(spark, d, "posts")
-    kind = lambda pos, name, value: posts.select("seq", F.lit(pos).alias("pos"), F.lit(name).alias("kind"), value.alias("value"))
-    kinds = kind(0, "text_sha", T.exact_key(F.col("text"))).unionByName(kind(1, "loose_key", T.loose_key(F.col("text"))))
+    kind = lambda pos, name, value: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("kind"), value.alias("value"))
+    both = F.array(kind(0, "text_sha", T.exact_key(F.col("text"))), kind(1, "loose_key", T.loose_key(F.col("text"))))
+    kinds = posts.select("seq", F.explode(both).alias("f")).select("seq", "f.*")
     return kinds.join(S.first_bearers(kinds), ["kind", "value"]).where("owner < seq").groupBy("seq").agg(F.min_by("owner", "pos").alias("owner"))
 
 
-HASH = "((doc_id - doc_id % 3) * 40503 % 262144 * 4 + doc_id % 3)"
+def md5_values(spark, d, name, id):
+    """(id, value): 64-bit SimHashes of whole texts in the form that SQL can repeat."""
+    return S.cut(simhash_md5(table(spark, d, name).select(F.col(id).alias("id"), "text")).withColumnRenamed("simhash", "value"))
 
 
-@register("joi02_nearest_within", f"WITH v AS (SELECT doc_id AS id, {HASH} AS value FROM documents), p AS (SELECT a.id, b.id AS other, bit_count(xor(a.value, b.value)) AS distance FROM v a JOIN v b ON a.id <> b.id WHERE bit_count(xor(a.value, b.value)) <= 2), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS n FROM p) SELECT id, other AS reference_id, CAST(distance AS INTEGER) AS distance FROM m WHERE n = 1")
+@register("joi02_nearest_within", f"WITH {simhash_sql('documents', 'doc_id')}, p AS (SELECT a.id, b.id AS other, bit_count(xor(a.value, b.value)) AS distance FROM values_documents a JOIN values_documents b ON a.id <> b.id WHERE bit_count(xor(a.value, b.value)) <= 9), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS n FROM p) SELECT id, other AS reference_id, CAST(distance AS INTEGER) AS distance FROM m WHERE n = 1")
 def nearest(spark, d):
-    values = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(HASH).alias("value"))
-    return S.nearest_within(values, 2, width=20)
+    return S.nearest_within(md5_values(spark, d, "documents", "doc_id"), S.SIMHASH_LIMIT)
+
+
+@register("joi03_anti_leakage", f"WITH {simhash_sql('documents', 'doc_id')}, {simhash_sql('benchmark', 'item_id')} SELECT c.id FROM values_documents c WHERE NOT EXISTS (SELECT 1 FROM values_benchmark r WHERE bit_count(xor(c.value, r.value)) <= 8)")
+def anti_leakage(spark, d):
+    docs = md5_values(spark, d, "documents", "doc_id")
+    return docs.join(S.near_reference(docs, md5_values(spark, d, "benchmark", "item_id")).select("id"), "id", "left_anti").select("id")
 
 
 def text_values(rows, id):
@@ -148,13 +152,6 @@ def nearest_text(spark, d):
     return S.nearest_within(S.cut(text_values(table(spark, d, "documents"), "doc_id")), S.SIMHASH_LIMIT)
 
 
-@register("joi03_anti_leakage", f"WITH c AS (SELECT doc_id AS id, {HASH} AS value FROM documents), r AS (SELECT item_id AS id, item_id * 40503 % 1048576 AS value FROM benchmark) SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE bit_count(xor(c.value, r.value)) <= 4)")
-def anti_leakage(spark, d):
-    posts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(HASH).alias("value"))
-    frozen = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.expr("item_id * 40503 % 1048576").alias("value"))
-    return posts.join(S.near_reference(posts, frozen, 4, width=20).select("id"), "id", "left_anti").select("id")
-
-
 @register("joi03_text_anti_leakage")
 def text_anti_leakage(spark, d):
     """Documents whose whole text is near no benchmark passage; the test compares with all pairs."""
@@ -206,13 +203,8 @@ def known(spark, d):
     return posts.where("seq % 10 >= 6").join(posts.where("seq % 10 < 6"), ["platform", "post_id"], "left_semi").select("seq")
 
 
-@register("joi11_url_or_key", sql("sightings", body=", i AS (SELECT * FROM sightings WHERE id % 7 = 0), n AS (SELECT * FROM sightings WHERE id % 7 = 1), m AS (SELECT n.id, i.id AS item FROM n JOIN i ON n.url = i.url UNION SELECT n.id, i.id FROM n JOIN i ON n.group_key = i.group_key) SELECT id, min(item) AS item FROM m GROUP BY id"))
-def url_or_key(spark, d):
-    rows = view(spark, d, "sightings")
-    return Q.match_items(rows.where("id % 7 = 1"), rows.where("id % 7 = 0"))
-
-
 @register("joi11_all_sightings", sql("sightings", body=" SELECT id, min(item) AS item FROM (SELECT n.id, i.id AS item FROM sightings n JOIN sightings i ON n.url = i.url AND i.id < n.id UNION ALL SELECT n.id, i.id FROM sightings n JOIN sightings i ON n.group_key = i.group_key AND i.id < n.id) m GROUP BY id"))
+@register("joi11_url_or_key", sql("sightings", body=" SELECT id, min(item) AS item FROM (SELECT n.id, i.id AS item FROM sightings n JOIN sightings i ON n.url = i.url AND i.id < n.id UNION ALL SELECT n.id, i.id FROM sightings n JOIN sightings i ON n.group_key = i.group_key AND i.id < n.id) m GROUP BY id"))
 def all_sightings(spark, d):
     return Q.match_earlier(view(spark, d, "sightings"))
 

@@ -61,13 +61,7 @@ def daily(spark, d):
     return J.daily_counts(events(spark, d))
 
 
-@register("str09_inherited_decisions", "SELECT e.event_id, CASE c.c_custkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'RESTRICTED' END AS decision, CASE WHEN c.c_custkey % 3 = 1 THEN NULL ELSE e.event_type END AS note FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 < 2 AND c_custkey < 100) c ON e.user_id = c.c_custkey")
-def inherit(spark, d):
-    known = table(spark, d, "customer").where("c_custkey % 3 < 2 AND c_custkey < 100")
-    decisions = known.select(F.col("c_custkey").alias("item"), F.when(F.col("c_custkey") % 3 == 0, "YES").otherwise("RESTRICTED").alias("decision"))
-    return J.inherited(events(spark, d), decisions)
-
-
+@register("str09_inherited_decisions", "SELECT e.event_id, CASE c.c_custkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'RESTRICTED' END AS decision, CASE WHEN c.c_custkey % 3 = 1 THEN NULL ELSE e.event_type END AS note FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 < 2) c ON e.user_id = c.c_custkey")
 @register("str09_all_decisions", "SELECT e.event_id, CASE c.c_custkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'RESTRICTED' END AS decision, CASE WHEN c.c_custkey % 3 = 1 THEN NULL ELSE e.event_type END AS note FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 < 2) c ON e.user_id = c.c_custkey")
 def inherit_all(spark, d):
     known = table(spark, d, "customer").where("c_custkey % 3 < 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triagelake.functions import text as T
-from triagelake.functions.simhash import simhash_md5
+from triagelake.functions.simhash import simhash_md5, simhash_sql
 from triagelake.operators import lexicon as L
 from triagelake.operators import rules as R
 from triagelake.operators.ranges import ranked
@@ -195,12 +195,7 @@ def ages(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(L.age_labels(text, L.age_table(spark)), ",").alias("labels"))
 
 
-@register("lex06_merge_terms", "SELECT DISTINCT lang, source AS list, lower(substr(text, 1, 3)) AS value FROM documents")
-def merged_terms(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("list"), F.lower(F.substring("text", 1, 3)).alias("value"))
-    return L.merge_terms(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), docs.where("doc_id % 3 = 0"))
-
-
+@register("lex06_merge_terms", f"SELECT DISTINCT lang, source AS list, value FROM (SELECT lang, source, unnest(string_split({NORMAL}, ' ')) AS value FROM documents) x WHERE value <> ''")
 @register("lex06_all_terms", f"SELECT DISTINCT lang, source AS list, value FROM (SELECT lang, source, unnest(string_split({NORMAL}, ' ')) AS value FROM documents) x WHERE value <> ''")
 def all_terms(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("list"), F.explode(T.words(T.normalize_text(F.col("text")))).alias("value"))
@@ -300,10 +295,6 @@ def flagship(spark, d):
     return placed.select("group_id", "copies", "channels", "route", "priority", F.col("place").cast("int").alias("place"))
 
 
-@register("grp02_simhash_md5", r"""WITH t AS (SELECT doc_id, substr(text, 1, length(text)) AS text FROM documents),
-g AS (SELECT doc_id, CASE WHEN length(text) <= 3 THEN [text] ELSE list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)) END AS l FROM t),
-u AS (SELECT doc_id, unnest(l) AS g FROM g), c AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 4) AS BIGINT) AS h, count(*) AS n FROM u GROUP BY doc_id, g),
-s AS (SELECT doc_id, """ + ", ".join(f"sum(CASE WHEN (h >> {b}) & 1 = 1 THEN n ELSE -n END) AS b{b}" for b in range(16)) + r""" FROM c GROUP BY doc_id)
-SELECT doc_id AS id, CAST(""" + " + ".join(f"CASE WHEN b{b} > 0 THEN {1 << b} ELSE 0 END" for b in range(16)) + " AS BIGINT) AS simhash FROM s")
+@register("grp02_simhash_md5", f"WITH {simhash_sql('documents', 'doc_id')} SELECT id, value AS simhash FROM values_documents")
 def simhash(spark, d):
     return simhash_md5(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
