@@ -237,40 +237,50 @@ def resume(spark, d):
 
 
 STANCE = "CASE WHEN stance = 'reports' AND NOT source_attributed THEN 'unclear' WHEN stance = 'quotes_to_condemn' AND NOT quote_present THEN 'unclear' ELSE stance END"
-FLAG = "relation IS NOT NULL AND has_type AND has_path AND affiliation IN ('AFF-1', 'AFF-2', 'AFF-3') AND exclusion IS NULL"
-LADDER = "CASE WHEN relation = 'REL-2' AND (cta = 'explicit' OR modal IN ('future', 'imperative')) THEN 3 WHEN exposes_identity AND identifiable_person THEN 3 WHEN relation = 'REL-2' THEN 2 WHEN relation = 'REL-5' AND (identifiable_person OR target = 'individual') THEN 2 WHEN mentions_minor THEN 2 ELSE 1 END"
+FLAG = "relation IS NOT NULL AND type_list <> '' AND pathway_list <> '' AND affiliation IN ('AFF-1', 'AFF-2', 'AFF-3') AND exclusion IS NULL"
+LADDER = "CASE WHEN relation = 'SV-REL-2' AND (cta = 'explicit' OR modal IN ('future', 'imperative')) THEN 3 WHEN pathway_list LIKE '%HP-03%' AND identifiable_person THEN 3 WHEN relation = 'SV-REL-2' OR high_reach THEN 2 WHEN relation = 'SV-REL-5' AND (identifiable_person OR target = 'individual') THEN 2 WHEN mentions_minor THEN 2 ELSE 1 END"
 NAMES = "CASE {} WHEN 3 THEN 'urgent' WHEN 2 THEN 'high' WHEN 1 THEN 'standard' ELSE 'none' END"
-FINAL = f""", a AS (SELECT *, {STANCE} AS s2, possible_minor OR ((element_a IN ('likely', 'possible') OR relation IS NOT NULL) AND (age_indicator OR mentions_minor)) AS r FROM assessed),
+FINAL = f""", a AS (SELECT *, {STANCE} AS s2, possible_minor OR ((element_a IN ('likely', 'possible') OR act_list <> '' OR relation IS NOT NULL OR sv_signal) AND (age_indicator OR mentions_minor)) AS r FROM assessed),
 f AS (SELECT *, NOT r AND {FLAG} AND s2 NOT IN ('reports', 'quotes_to_condemn') AS flagged,
   greatest({LADDER}, CASE model_priority WHEN 'urgent' THEN 3 WHEN 'high' THEN 2 ELSE 1 END) AS rank FROM a),
 p AS (SELECT *, CASE WHEN r THEN 'urgent' WHEN flagged THEN {NAMES.format('rank')} ELSE 'none' END AS priority FROM f),
-o AS (SELECT *, CASE WHEN r THEN 'restricted_escalation' WHEN NOT flagged THEN 'not_flagged' WHEN priority = 'urgent' OR (element_a = 'likely' AND element_b = 'likely' AND relation IN ('REL-2', 'REL-5') AND (identifiable_person OR modal IN ('future', 'imperative') OR cta <> 'none')) THEN 'priority_review' ELSE 'standard_review' END AS route,
-  (lead OR s2 IN ('reports', 'quotes_to_condemn') OR coalesce(exclusion, '') = 'X3') AND coalesce(exclusion, '') NOT IN ('X1', 'X2', 'X4') AND NOT flagged AND NOT r AS final_lead,
+o AS (SELECT *, CASE WHEN r THEN 'restricted_escalation' WHEN NOT flagged THEN 'not_flagged' WHEN priority = 'urgent' OR (element_a = 'likely' AND element_b = 'likely' AND relation IN ('SV-REL-2', 'SV-REL-5') AND (identifiable_person OR modal IN ('future', 'imperative') OR cta <> 'none')) THEN 'priority_review' ELSE 'standard_review' END AS route,
+  (lead OR s2 IN ('reports', 'quotes_to_condemn') OR coalesce(exclusion, '') = 'B2-3') AND coalesce(exclusion, '') NOT IN ('B2-1', 'B2-2', 'B2-4', 'B2-5') AND NOT flagged AND NOT r AS final_lead,
   CASE WHEN r THEN 'unclear' WHEN element_c = 'likely' THEN 'present' WHEN element_c IN ('possible', 'unclear') THEN 'unclear' ELSE 'absent' END AS conflict_link FROM p)"""
 
 
+def assessed(spark, d):
+    """The stand-in assessments with their lists of ids as arrays."""
+    of = lambda name: F.filter(F.split(name, ","), lambda x: x != "")
+    lists = {"types": "type_list", "pathways": "pathway_list", "named_acts": "act_list", "cited_ids": "cited_list", "secondary": "secondary_list"}
+    return view(spark, d, "assessed").withColumns({k: of(v) for k, v in lists.items()})
+
+
 @register("rul01_flag_rule", sql("assessed", body=f" SELECT item_id, coalesce({FLAG} AND stance NOT IN ('reports', 'quotes_to_condemn'), false) AS flagged FROM assessed"))
 def flags(spark, d):
-    return view(spark, d, "assessed").select("item_id", R.flag(F.col("stance")).alias("flagged"))
+    rows = R.decide(assessed(spark, d).withColumn("restricted", F.lit(False)).withColumn("new_stance", F.col("stance")), R.FLAG_RULES)
+    return rows.select("item_id", "flagged")
 
 
 @register("rul02_rule_priority", sql("assessed", body=f" SELECT item_id, {NAMES.format(LADDER)} AS priority FROM assessed"))
 def ladder(spark, d):
-    return view(spark, d, "assessed").select("item_id", R.rule_priority(F.lit(False)).alias("priority"))
+    """The ladder as a table of rules, read back and applied."""
+    return R.decide(assessed(spark, d), R.rules_of(R.rule_table(spark, R.PRIORITY_RULES))).select("item_id", F.col("rule_priority").alias("priority"))
 
 
-@register("rul03_finalize", sql("assessed", body=FINAL + """ SELECT item_id, r AS restricted, CASE WHEN r THEN CASE WHEN possible_minor THEN 'model' ELSE 'rule_age' END END AS restricted_reason, CASE WHEN NOT r THEN relation END AS relation, CASE WHEN NOT r THEN content END AS content, CASE WHEN NOT r THEN s2 END AS stance, flagged, final_lead, priority, route, conflict_link,
+@register("rul03_finalize", sql("assessed", body=FINAL + """ SELECT item_id, r AS restricted, CASE WHEN r THEN CASE WHEN possible_minor THEN 'model' ELSE 'rule_age' END END AS restricted_reason, CASE WHEN NOT r THEN relation END AS relation, CASE WHEN NOT r THEN content END AS content, CASE WHEN NOT r THEN s2 END AS stance, flagged, final_lead, priority, route, conflict_link, r OR relation IS NOT NULL AS in_scope, CASE WHEN NOT r AND item_id % 7 > 4 THEN cited_list ELSE '' END AS invalid,
   concat_ws('; ', CASE WHEN r AND NOT possible_minor THEN 'restricted by rule' END, CASE WHEN NOT r AND s2 <> stance THEN 'stance unclear' END, CASE WHEN NOT r AND (route <> model_route OR priority <> model_priority) THEN 'route ' || model_route || '/' || model_priority || ' -> ' || route || '/' || priority END) AS notes FROM o"""))
 def finalized(spark, d):
-    return R.finalize(view(spark, d, "assessed"))
+    rows = R.finalize(assessed(spark, d), [f"SV-REL-{k}" for k in range(1, 6)])
+    return rows.withColumn("invalid", F.array_join("invalid_ids", ",")).drop("invalid_ids")
+
+
+RELATION = "CASE {} WHEN 'SV-REL-2' THEN 'threat_incitement' WHEN 'SV-REL-4' THEN 'glorification' WHEN 'SV-REL-5' THEN 'stigmatization' ELSE 'unverified_sv_claim' END"
 
 
-@register("rul04_short_labels", sql("assessed", body=FINAL + " SELECT item_id, CASE WHEN route = 'restricted_escalation' THEN '' WHEN flagged THEN concat_ws(',', CASE relation WHEN 'REL-2' THEN 'threat' WHEN 'REL-4' THEN 'glorification' WHEN 'REL-5' THEN 'stigma' ELSE 'claim' END, CASE WHEN s2 = 'mocks' THEN 'mockery' END, CASE WHEN exposes_identity THEN 'identification' END) ELSE '' END AS labels FROM o"))
+@register("rul04_short_labels", sql("assessed", body=FINAL + f" SELECT item_id, CASE WHEN flagged THEN concat_ws(',', {RELATION.format('relation')}, CASE WHEN secondary_list <> '' AND relation <> secondary_list THEN {RELATION.format('secondary_list')} END, CASE WHEN s2 = 'mocks' THEN 'mockery_dark_humor' END, CASE WHEN pathway_list LIKE '%HP-03%' THEN 'victim_identification' END, CASE WHEN type_list = 'HI-TYPE-02' THEN 'denial_or_disinformation' END) ELSE '' END AS labels FROM o"))
 def short_labels(spark, d):
-    rows = R.finalize(view(spark, d, "assessed")).join(view(spark, d, "assessed").select("item_id", "exposes_identity"), "item_id")
-    named = R.lookup(F.col("relation"), {"REL-2": "threat", "REL-4": "glorification", "REL-5": "stigma"}, "claim")
-    labels = F.array_compact(F.array(named, F.when(F.col("stance") == "mocks", "mockery"), F.when(F.col("exposes_identity"), "identification")))
-    return rows.select("item_id", F.when(F.col("flagged"), F.array_join(F.array_distinct(labels), ",")).otherwise("").alias("labels"))
+    return R.short_labels(assessed(spark, d)).select("item_id", F.array_join("labels", ",").alias("labels"))
 
 
 @register("rul07_finalize_scores", sql("assessed", body=", e AS (SELECT *, sexual OR relation IS NOT NULL OR score_1 >= 50 OR score_2 >= 50 AS el FROM assessed), q AS (SELECT *, CASE WHEN possible_minor THEN 'model' WHEN el AND age_indicator THEN 'rule_age' WHEN el AND exposes_identity THEN 'rule_visual' END AS rr FROM e) SELECT item_id, rr AS restricted_reason, CASE WHEN rr IS NULL THEN score_1 END AS score_1, CASE WHEN rr IS NULL THEN score_2 END AS score_2, CASE WHEN rr IS NULL THEN sexual ELSE true END AS sexual, CASE WHEN rr IS NULL AND sexual THEN relation END AS relation, rr IS NULL AND NOT sexual AND relation IS NOT NULL AS cleared FROM q"))
@@ -278,12 +288,12 @@ def scores_final(spark, d):
     return R.finalize_scores(view(spark, d, "assessed"), F.col("exposes_identity"))
 
 
-@register("rul08_finalize_compact", sql("assessed", body=f", a AS (SELECT *, CASE WHEN stance = 'reports' AND NOT source_attributed THEN 'unclear' ELSE stance END AS s2, possible_minor OR (relation IS NOT NULL AND age_indicator) AS r FROM assessed), f AS (SELECT *, NOT r AND {FLAG} AND s2 NOT IN ('reports', 'quotes_to_condemn') AS fl FROM a) SELECT item_id, r AS restricted, fl AS flagged, CASE WHEN r THEN 'restricted_escalation' WHEN NOT fl THEN 'not_flagged' WHEN relation = 'REL-2' OR (relation = 'REL-5' AND identifiable_person) THEN 'priority_review' ELSE 'standard_review' END AS route, (s2 IN ('reports', 'quotes_to_condemn') OR coalesce(exclusion, '') = 'X3') AND coalesce(exclusion, '') NOT IN ('X1', 'X2', 'X4') AND NOT fl AND NOT r AS final_lead FROM f"))
+@register("rul08_finalize_compact", sql("assessed", body=f", a AS (SELECT *, CASE WHEN stance = 'reports' AND NOT source_attributed THEN 'unclear' ELSE stance END AS s2, possible_minor OR (relation IS NOT NULL AND age_indicator) AS r FROM assessed), f AS (SELECT *, NOT r AND {FLAG} AND s2 NOT IN ('reports', 'quotes_to_condemn') AS fl FROM a) SELECT item_id, r AS restricted, fl AS flagged, CASE WHEN r THEN 'restricted_escalation' WHEN NOT fl THEN 'not_flagged' WHEN relation = 'SV-REL-2' OR (relation = 'SV-REL-5' AND identifiable_person) THEN 'priority_review' ELSE 'standard_review' END AS route, (s2 IN ('reports', 'quotes_to_condemn') OR coalesce(exclusion, '') = 'B2-3') AND coalesce(exclusion, '') NOT IN ('B2-1', 'B2-2', 'B2-4', 'B2-5') AND NOT fl AND NOT r AS final_lead FROM f"))
 def compact(spark, d):
-    return R.finalize_compact(view(spark, d, "assessed"))
+    return R.finalize_compact(assessed(spark, d))
 
 
-@register("rul09_judge_route", sql("assessed", body=" SELECT item_id, CASE WHEN possible_minor THEN 'restricted_escalation' WHEN sexual AND coalesce(relation, '') IN ('REL-2', 'REL-5') THEN 'priority_review' WHEN sexual THEN 'standard_review' ELSE 'not_flagged' END AS route FROM assessed"))
+@register("rul09_judge_route", sql("assessed", body=" SELECT item_id, CASE WHEN possible_minor THEN 'restricted_escalation' WHEN sexual AND coalesce(relation, '') IN ('SV-REL-2', 'SV-REL-5') THEN 'priority_review' WHEN sexual THEN 'standard_review' ELSE 'not_flagged' END AS route FROM assessed"))
 def judge_routes(spark, d):
     return view(spark, d, "assessed").select("item_id", R.judge_route(F.col("possible_minor"), F.col("sexual"), F.col("relation")).route.alias("route"))
 
@@ -295,11 +305,11 @@ def restriction(spark, d):
     return R.apply_restriction(rows).select("item_id", "restricted", "score_1", "relation", F.array_join(F.array_sort(F.map_keys("details")), ",").alias("kept"))
 
 
-@register("rul12_safety", "SELECT event_id, concat_ws(',', CASE WHEN value / 40 >= 0.8 THEN 'explicit_a' END, CASE WHEN value / 60 >= 0.85 THEN 'explicit_b' END, CASE WHEN value / 80 >= 0.9 THEN 'explicit_c' END) AS reasons, coalesce(value / 40 >= 0.8, false) OR coalesce(value / 60 >= 0.85, false) OR coalesce(value / 80 >= 0.9, false) AS quarantine FROM events")
+@register("rul12_safety", "SELECT event_id, concat_ws(',', CASE WHEN value / 40 >= 0.3 THEN 'falconsai' END, CASE WHEN value / 60 >= 0.7 THEN 'adamcodd' END, CASE WHEN value / 80 >= 0.9 THEN 'clip_explicit' END) AS reasons, coalesce(value / 40 >= 0.3, false) OR coalesce(value / 60 >= 0.7, false) OR coalesce(value / 80 >= 0.9, false) AS quarantine, coalesce(event_id % 5 < 4 AND value / 50 >= 0.7, false) AS child_visual FROM events")
 def safety(spark, d):
     v = F.col("value")
-    s = R.safety({"explicit_a": v / 40, "explicit_b": v / 60, "explicit_c": v / 80})
-    return table(spark, d, "events").select("event_id", F.array_join(s.reasons, ",").alias("reasons"), s.quarantine.alias("quarantine"))
+    s = R.safety({"falconsai": v / 40, "adamcodd": v / 60, "clip_explicit": v / 80, "clip_child": F.when(F.col("event_id") % 5 < 4, v / 50)})
+    return table(spark, d, "events").select("event_id", F.array_join(s.reasons, ",").alias("reasons"), s.quarantine.alias("quarantine"), s.child_visual.alias("child_visual"))
 
 
 @register("rul13_confidence", "WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events) SELECT event_id, CASE WHEN k % 3 = 0 THEN k / 100.0 WHEN k % 3 = 1 THEN CASE WHEN k > 50 THEN 0.9 ELSE 0.4 END ELSE coalesce(greatest(k, CAST(floor(value) AS INTEGER)) / 100.0, 0) END AS confidence FROM k")
@@ -324,17 +334,17 @@ def decision(spark, d):
 @register("rul16_invariants", sql("assessed", body=FINAL + " SELECT sum(CASE WHEN r AND priority <> 'urgent' THEN 1 ELSE 0 END) AS restricted_not_urgent, sum(CASE WHEN flagged AND final_lead THEN 1 ELSE 0 END) AS flagged_leads, sum(CASE WHEN flagged AND priority = 'none' THEN 1 ELSE 0 END) AS flagged_without_priority, 0 AS content_on_restricted, count(*) AS n FROM o"))
 def invariants(spark, d):
     c = F.col
-    return R.finalize(view(spark, d, "assessed")).agg(F.count_if(c("restricted") & (c("priority") != "urgent")).alias("restricted_not_urgent"), F.count_if(c("flagged") & c("final_lead")).alias("flagged_leads"), F.count_if(c("flagged") & (c("priority") == "none")).alias("flagged_without_priority"), F.count_if(c("restricted") & (c("content").isNotNull() | c("relation").isNotNull())).alias("content_on_restricted"), F.count("*").alias("n"))
+    return R.finalize(assessed(spark, d)).agg(F.count_if(c("restricted") & (c("priority") != "urgent")).alias("restricted_not_urgent"), F.count_if(c("flagged") & c("final_lead")).alias("flagged_leads"), F.count_if(c("flagged") & (c("priority") == "none")).alias("flagged_without_priority"), F.count_if(c("restricted") & (c("content").isNotNull() | c("relation").isNotNull())).alias("content_on_restricted"), F.count("*").alias("n"))
 
 
 @register("rul17_field_agreement", sql("assessed", body=FINAL + ", u AS (SELECT 'route' AS field, route = model_route AS ok FROM o UNION ALL SELECT 'priority', priority = model_priority FROM o) SELECT field, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS agree, count(*) AS n FROM u GROUP BY field"))
 def agreement(spark, d):
-    rows = R.finalize(view(spark, d, "assessed")).join(view(spark, d, "assessed").select("item_id", "model_route", "model_priority"), "item_id")
+    rows = R.finalize(assessed(spark, d)).join(view(spark, d, "assessed").select("item_id", "model_route", "model_priority"), "item_id")
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f) == F.col(f"model_{f}")).alias("ok")) for f in ("route", "priority")])
     return rows.select(F.explode(pairs).alias("p")).groupBy(F.col("p.field").alias("field")).agg(F.count_if("p.ok").alias("agree"), F.count("*").alias("n"))
 
 
-@register("rul18_modality_route", sql("assessed", body=" SELECT item_id, CASE WHEN score_1 >= 90 THEN CASE WHEN identifiable_person THEN 'restricted_escalation' ELSE 'explicit_alert' END WHEN confidence_a < 0.2 THEN 'filtered_out' WHEN lead THEN 'judge_error' WHEN possible_minor THEN 'restricted_escalation' WHEN sexual AND coalesce(relation, '') IN ('REL-2', 'REL-5') THEN 'priority_review' WHEN sexual THEN 'standard_review' ELSE 'not_flagged' END AS route FROM assessed"))
+@register("rul18_modality_route", sql("assessed", body=" SELECT item_id, CASE WHEN score_1 >= 90 THEN CASE WHEN identifiable_person THEN 'restricted_escalation' ELSE 'explicit_alert' END WHEN confidence_a < 0.2 THEN 'filtered_out' WHEN lead THEN 'judge_error' WHEN possible_minor THEN 'restricted_escalation' WHEN sexual AND coalesce(relation, '') IN ('SV-REL-2', 'SV-REL-5') THEN 'priority_review' WHEN sexual THEN 'standard_review' ELSE 'not_flagged' END AS route FROM assessed"))
 def modality_routes(spark, d):
     c = F.col
     row = R.modality_row(c("score_1") >= 90, c("identifiable_person"), c("confidence_a"), 0.2, c("lead"), c("possible_minor"), c("sexual"), c("relation"))

@@ -21,14 +21,17 @@ VIEWS = {
   CAST((l.doc_id * 104729 + l.toxic * 500) % 1000 AS DOUBLE) / 1000 AS score_b
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "assessed": """SELECT doc_id AS item_id, doc_id % 41 = 0 AS possible_minor, doc_id % 5 = 0 AS identifiable_person,
-  CASE WHEN doc_id % 13 = 0 THEN concat('X', CAST(doc_id % 4 + 1 AS STRING)) END AS exclusion,
+  CASE WHEN doc_id % 13 = 0 THEN concat('B2-', CAST(doc_id % 5 + 1 AS STRING)) END AS exclusion,
   CASE doc_id % 7 WHEN 0 THEN 'reports' WHEN 1 THEN 'quotes_to_condemn' WHEN 2 THEN 'mocks' WHEN 3 THEN 'endorses' ELSE 'unclear' END AS stance,
   doc_id % 14 = 0 AS source_attributed, doc_id % 3 = 0 AS quote_present,
-  CASE WHEN doc_id % 4 < 3 THEN concat('REL-', CAST(doc_id % 5 + 1 AS STRING)) END AS relation,
+  CASE WHEN doc_id % 4 < 3 THEN concat('SV-REL-', CAST(doc_id % 5 + 1 AS STRING)) END AS relation,
   CASE doc_id % 6 WHEN 0 THEN 'future' WHEN 1 THEN 'imperative' ELSE 'past' END AS modal,
   CASE doc_id % 8 WHEN 0 THEN 'explicit' WHEN 1 THEN 'implied' ELSE 'none' END AS cta,
   CASE doc_id % 3 WHEN 0 THEN 'individual' WHEN 1 THEN 'group' ELSE 'unspecified' END AS target,
-  doc_id % 4 <> 1 AS has_type, doc_id % 6 <> 5 AS has_path, doc_id % 9 = 0 AS exposes_identity,
+  CASE WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 8 = 0 THEN 'HI-TYPE-02' ELSE 'HI-TYPE-04' END AS type_list,
+  CASE WHEN doc_id % 6 = 5 THEN '' WHEN doc_id % 9 = 0 THEN 'HP-01,HP-03' ELSE 'HP-01' END AS pathway_list,
+  CASE WHEN doc_id % 31 = 0 THEN 'SV-FORM-01' ELSE '' END AS act_list, concat('SV-REL-', CAST(doc_id % 7 + 1 AS STRING)) AS cited_list,
+  CASE WHEN doc_id % 10 = 3 THEN 'SV-REL-4' ELSE '' END AS secondary_list, doc_id % 37 = 0 AS sv_signal, doc_id % 17 = 0 AS high_reach, doc_id % 9 = 0 AS exposes_identity,
   CASE WHEN doc_id % 5 = 4 THEN 'none' ELSE concat('AFF-', CAST(doc_id % 5 + 1 AS STRING)) END AS affiliation,
   doc_id % 23 = 0 AS mentions_minor, doc_id % 29 = 0 AS age_indicator, doc_id % 11 = 0 AS lead,
   CASE doc_id % 3 WHEN 0 THEN 'likely' WHEN 1 THEN 'possible' ELSE 'unclear' END AS element_a,
