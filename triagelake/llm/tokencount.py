@@ -10,7 +10,6 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import Memo, table
 
@@ -25,7 +24,7 @@ class UnigramTrie:
     made, from the nodes above it. Equal scores take fewer pieces.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 1_000_000):
         scale = math.log(sum(1 / (r + 1) for r in ranks.values()))
         self.score = {piece: -math.log(r + 1) - scale for piece, r in ranks.items()}
         self.longest, self.most = max(map(len, ranks)), most
@@ -37,7 +36,7 @@ class UnigramTrie:
 
     def insert(self, text: bytes) -> int:
         """Adds a string; the number of pieces of its best segmentation, which its last node keeps."""
-        child, best, pieces, score = self.child, self.best, self.pieces, self.score
+        child, best, pieces, score = self.child, self.best, self.pieces, self.score.get
         path, node = [0], 0
         for end, byte in enumerate(text, 1):
             key = node << 8 | byte
@@ -45,7 +44,7 @@ class UnigramTrie:
             if not node:
                 top, fewest = -math.inf, 0
                 for start in range(max(0, end - self.longest), end):
-                    s = score.get(text[start:end])
+                    s = score(text[start:end])
                     if s is not None:
                         above = path[start]
                         s += best[above]
@@ -63,32 +62,33 @@ class UnigramTrie:
 
 
 class Counter:
-    """Pre-token and token counts of texts; what stands between single spaces is counted once and remembered."""
+    """Pre-token and token counts of texts; a word with the white space before it is counted once and remembered."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.trie, self.split = UnigramTrie(ranks), regex.compile(pattern).findall
-        self.word = Memo(lambda pre: self.trie.insert(pre.encode("utf-8", "replace")))
-        self.chunk = Memo(self.count)
+        self.chunks = regex.compile(r"\s*\S+|\s+").findall
+        self.chunk = Memo(self.count, 200_000)
 
     def count(self, chunk: str) -> tuple[int, int]:
-        pre = self.split(chunk)
-        return len(pre), sum(map(self.word.__getitem__, pre))
+        pre = [chunk] if chunk[1:].isalpha() and chunk[0] == " " and chunk.isascii() else self.split(chunk)
+        return len(pre), sum(self.trie.insert(p.encode("utf-8", "replace")) for p in pre)
 
     def __call__(self, text: str | None) -> tuple[int, int]:
-        """What follows a space stands alone, unless the space is inside a longer run of white space."""
+        """No pre-token goes on from other signs to white space, so words with the white space before them are independent;
+        single spaces may be split off one by one unless one stands inside a longer run of white space."""
         if not text:
             return 0, 0
         if INSIDE(text):
-            found = [self.count(text)]
+            chunks = self.chunks(text)
         else:
             first, *rest = text.split(" ")
-            found = [self.count(first), *map(self.chunk.__getitem__, [" " + c for c in rest])]
-        self.word.trim()
+            chunks = [first, *(" " + c for c in rest)]
+        pre, tokens = zip(*map(self.chunk.__getitem__, chunks))
         self.chunk.trim()
         self.trie.trim()
-        return sum(n for n, _ in found), sum(n for _, n in found)
+        return sum(pre), sum(tokens)
 
 
 @lru_cache(maxsize=2)
@@ -120,11 +120,5 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
 
 
-def totals(docs: DataFrame, *by: str) -> DataFrame:
-    """Documents, pre-tokens and tokens by columns of docs; ids must be unique."""
-    counts = token_counts(docs)
-    return docs.select("doc_id", *by).join(counts, "doc_id").groupBy(*by).agg(F.count("*").alias("documents"), F.sum("n_pretokens").alias("n_pretokens"), F.sum("n_tokens").alias("n_tokens"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
