@@ -45,8 +45,8 @@ class WordBpe:
         vocab: dict[str, int] = model["vocab"]
         end: str = model["end_of_word_suffix"] or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        #: Of each pair of ids that merges: rank, and the id of the merged token.
-        self.ranks = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(pairs)}
+        #: Of each pair of ids that merges, as one number: rank, and the id of the merged token.
+        self.ranks = {vocab[a] << 32 | vocab[b]: i for i, (a, b) in enumerate(pairs)}
         self.merged = [vocab[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
@@ -56,20 +56,36 @@ class WordBpe:
         self.words = regex.compile(split.replace(r"\s", SPACE)).findall
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.of_word, self.of_chunk = Memo(self.encode_word, 100_000), Memo(self.encode_chunk, 130_000)
+        self.of_word, self.of_chunk = Memo(self.encode_word, 120_000), Memo(self.encode_chunk, 180_000)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the leftmost pair of lowest rank until none is left.
 
         A leaf of the tree has rank * n + position of the pair that starts there, so that the root is the leftmost lowest
-        pair. Every merge changes three leaves, whose paths to the root are walked together, level by level.
+        pair. Every merge changes three leaves, whose paths to the root are walked together, level by level. Of up to FAN
+        pairs the root is the one node, and the leaves close up instead of leaving gaps.
         """
         n = len(ids)
         if n < 2:
             return ids
-        rank, merged, none = self.ranks.get, self.merged, NONE * n
+        rank, merged = self.ranks.get, self.merged
+        if n <= FAN + 1:
+            leaf = [rank(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
+            while (r := min(leaf)) < NONE:
+                i = leaf.index(r)
+                new = ids[i] = merged[r]
+                del ids[i + 1]
+                if i:
+                    leaf[i - 1] = rank(ids[i - 1] << 32 | new, NONE)
+                del leaf[i]
+                if i < len(leaf):
+                    leaf[i] = rank(new << 32 | ids[i + 1], NONE)
+                elif not leaf:
+                    break
+            return ids
+        none = NONE * n
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        leaf, *upper = rank_tree([rank(p, NONE) * n + i for i, p in enumerate(zip(ids, ids[1:]))])
+        leaf, *upper = rank_tree([rank(a << 32 | b, NONE) * n + i for i, (a, b) in enumerate(zip(ids, ids[1:]))])
         root = upper[-1]
         while (top := root[0]) < none:
             r, i = divmod(top, n)
@@ -81,12 +97,12 @@ class WordBpe:
             if k >= 0:
                 before[k] = i
                 leaf[j] = none
-                leaf[i] = rank((new, ids[k]), NONE) * n + i
+                leaf[i] = rank(new << 32 | ids[k], NONE) * n + i
                 high = j
             else:
                 leaf[i] = none
             if low >= 0:
-                leaf[low] = rank((ids[low], new), NONE) * n + low
+                leaf[low] = rank(ids[low] << 32 | new, NONE) * n + low
             else:
                 low = i
             below = leaf
