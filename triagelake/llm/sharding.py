@@ -57,14 +57,14 @@ def equal_depth(df: DataFrame, column: str) -> DataFrame:
 def with_cell(df: DataFrame, column: str) -> DataFrame:
     of = equal_depth(df, column)
     of = F.broadcast(of) if of.count() <= 50_000 else of
-    return df.join(of, F.col(column).eqNullSafe(F.col(f"{column}_value")), "left").drop(column, f"{column}_value")
+    return df.join(of, F.col(column).eqNullSafe(F.col(f"{column}_value")), "left").drop(f"{column}_value")
 
 
 def order_on_curve(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, size, text_crc32, curve and the gapless global ``place`` of each row along the curve; and their number.
+    """doc_id, lang, source, size, text_crc32, curve and the gapless global ``place`` of each row along the curve; and their number.
 
-    Dimensions: language and source (equal depth), size (binary logarithm), doc_id (equal width). Rows of one cell follow
-    by text checksum, then id, so equal texts stand together there. The rows are dealt by range over the whole key, which
+    Dimensions: language and source (equal depth), size (binary logarithm). Rows of one cell follow by text checksum, then
+    id, so equal texts of one language and source stand together. The rows are dealt by range over the whole key, which
     also splits a cell with very many rows; places are partition offsets plus the number within the partition.
     """
     rows = docs.select(
@@ -73,14 +73,10 @@ def order_on_curve(docs: DataFrame) -> tuple[DataFrame, int]:
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     rows = cut(rows)
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    side = 1 << BITS
-    id_cell = F.floor((F.coalesce(F.col("doc_id"), F.lit(low)) - low).cast("double") * side / (high - low + 1))
     rows = with_cell(with_cell(rows, "lang"), "source")
-    cells = (F.col("lang_cell"), F.col("source_cell"), F.floor(F.log2("size")), id_cell)
-    cells = [F.least(c.cast("int"), F.lit(side - 1)) for c in cells]
-    rows = rows.select("doc_id", "size", "text_crc32", F.pandas_udf(curve, "long")(*cells).alias("curve"))
+    cells = (F.col("lang_cell"), F.col("source_cell"), F.floor(F.log2("size")))
+    cells = [F.least(c.cast("int"), F.lit((1 << BITS) - 1)) for c in cells]
+    rows = rows.select("doc_id", "lang", "source", "size", "text_crc32", F.pandas_udf(curve, "long")(*cells).alias("curve"))
     keys = ("curve", "text_crc32", "doc_id")
     rows = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
@@ -89,21 +85,39 @@ def order_on_curve(docs: DataFrame) -> tuple[DataFrame, int]:
     offsets = F.broadcast(parts.select("part", offset.alias("offset")))  # one row per partition
     total = rows.count()
     place = F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1)
-    return rows.withColumn("part", part).join(offsets, "part").select("doc_id", "size", "text_crc32", "curve", place.alias("place")), total
+    return rows.withColumn("part", part).join(offsets, "part").select("doc_id", "lang", "source", "size", "text_crc32", "curve", place.alias("place")), total
+
+
+def dealt(docs: DataFrame, n: int = SHARDS) -> DataFrame:
+    """doc_id, lang, source, size, text_crc32, curve, shard, slot: runs of the curve, cut so that row counts differ by one
+    at most."""
+    placed, total = order_on_curve(docs)
+    first = F.expr(f"(shard * {total} + {n - 1}) div {n}")
+    placed = placed.withColumn("shard", F.expr(f"place * {n} div {max(total, 1)}").cast("int"))
+    return placed.withColumn("slot", F.col("place") - first).drop("place")
 
 
 def shards(docs: DataFrame, n: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null), curve: runs of the curve, cut by rows.
 
     Row counts of the n shards differ by one at most; slots are gapless in each. A null text has no bytes and checksum 0,
-    null languages, sources and ids fall in the first cell; repeated rows each get a slot of their own; an empty table
+    null languages and sources fall in the first cell; repeated rows each get a slot of their own; an empty table
     gives an empty result. docs needs doc_id, text, lang and source; other columns are ignored.
     """
-    placed, total = order_on_curve(docs)
-    shard = F.expr(f"place * {n} div {max(total, 1)}")
-    first = F.expr(f"(shard * {total} + {n - 1}) div {n}")
-    placed = placed.withColumn("shard", shard.cast("int"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return dealt(docs, n).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def ranges(rows: DataFrame) -> DataFrame:
+    """Of the rows of ``dealt``: the least and greatest language, source and size of each shard, and whether nulls are in
+    it. A filter on any of them needs the shards whose range it meets only."""
+    ends = [f(c).alias(f"{name}_{c}") for c in ("lang", "source", "size") for name, f in (("min", F.min), ("max", F.max))]
+    return rows.groupBy("shard").agg(F.count("*").alias("rows"), *ends, *(F.bool_or(F.col(c).isNull()).alias(f"null_{c}") for c in ("lang", "source")))
+
+
+def write(rows: DataFrame, path: str) -> None:
+    """Rows of ``dealt`` as Parquet, one folder a shard and the rows of each in order of their slots; a run that is
+    repeated overwrites what it left."""
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
