@@ -153,3 +153,19 @@ def test_shards_are_even_gapless_and_follow_the_curve(spark):
     in_order = sorted(got, key=lambda r: (r.shard, r.slot))
     assert [r.curve for r in in_order] == sorted(r.curve for r in got)
     assert sharding.shards(df.limit(0)).collect() == []
+
+
+def test_shards_prune_by_any_dimension(spark, tmp_path):
+    rows = [(2**62 * (-1) ** i + i, "t" * (1 + i % 200), "l%d" % (i % 4), "s%d" % (i * 7 % 12)) for i in range(2000)] + [(5, None, None, None), (5, "t", None, "s1")]
+    dealt = sharding.dealt(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    sharding.write(dealt, f"{tmp_path}/shards")
+    sharding.write(dealt, f"{tmp_path}/shards")
+    stored = spark.read.parquet(f"{tmp_path}/shards")
+    assert stored.count() == len(rows)
+    ranges = {r.shard: r for r in sharding.ranges(stored).collect()}
+    assert len(ranges) == 24
+    for column, value in (("lang", "l2"), ("source", "s3"), ("size", 9)):
+        own = {r.shard for r in stored.where(f"{column} = '{value}'").select("shard").distinct().collect()}
+        meets = {s for s, r in ranges.items() if r[f"min_{column}"] is not None and r[f"min_{column}"] <= (value if column != "size" else 9) <= r[f"max_{column}"]}
+        assert own <= meets and len(meets) < 24
+    assert sum(r.null_lang for r in ranges.values()) >= 1

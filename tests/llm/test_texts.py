@@ -224,3 +224,65 @@ def test_folds_and_memo(spark):
     assert [memo[i] for i in (1, 2, 3, 4)] == ["1", "2", "3", "4"]
     memo.trim()
     assert len(memo) == 0 and memo[1] == "1" and len(memo) == 1
+
+
+def test_quality_scores_do_not_depend_on_how_many_vectors_are_sent(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"word{chr(97 + int(rng.expovariate(0.2)) % 26)}" for _ in range(80)) + (" zzz" if i == 3 else "") for i in range(60)] + [None, "", "wordb"]
+    docs = spark.createDataFrame([(i, t, float(i)) for i, t in enumerate(texts * 2)], "doc_id long, text string, _score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    words = {r.word: r.n for r in model[0].collect()}
+    assert 10 < len(words) < 30 and "zzz" not in words and min(n for w, n in words.items() if w != "<rare>") >= quality.LEAST
+    scores = lambda: {(r.doc_id, r._score): round(r.s, 5) for r in quality.with_score(docs, model, "s").collect()}
+    whole = scores()
+    assert len(whole) == len(texts) * 2
+    for sent in (8, 1):
+        monkeypatch.setattr(quality, "SENT", sent)
+        assert scores() == whole
+    assert quality.with_score(docs.limit(0), model, "s").collect() == []
+
+
+def test_chains_of_different_lengths_are_each_labelled_as_a_whole():
+    rng = np.random.default_rng(2)
+    transition, lengths = rng.normal(size=(3, 3)), [9, 7, 7, 2, 1]
+    emission = rng.normal(size=(9, 3, 5))
+    active = np.array([sum(n > i for n in lengths) for i in range(9)])
+    marginal = langid.forward_backward(emission.copy(), transition, active)[0]
+    for c, n in enumerate(lengths):
+        alone = langid.forward_backward(emission[:n, :, c : c + 1].copy(), transition)[0]
+        assert marginal[:n, :, c] == pytest.approx(alone[:, :, 0]) and not marginal[n:, :, c].any()
+
+
+def test_language_is_read_from_whole_texts_and_words(spark, monkeypatch):
+    rng = random.Random(3)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(2)) for _ in range(n))
+    a, b = ["tion", "ing", "the"], ["schl", "keit", "ung"]
+    train = spark.createDataFrame([(i, make(a if i % 2 else b, 30), "aa" if i % 2 else "bb") for i in range(80)], "doc_id long, text string, lang string")
+    crf = langid.train(train, F.lit(True))
+    long_word = "schl" * 5 + "tion" * 200 + "keit" * 5
+    rows = [(1, long_word), (2, make(a, 300) + " " + make(b, 900)), (2, make(a, 300) + " " + make(b, 900)), (3, "schlkeit")]
+    df = spark.createDataFrame([(i, t, "x", 0.5) for i, t in rows], "doc_id long, text string, lang_pred string, score double")
+    found = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.with_language(df, crf).collect())
+    whole = found()
+    assert [r[:2] for r in whole] == [(1, "aa"), (2, "bb"), (2, "bb"), (3, "bb")] and 0.7 < whole[1][2] < 0.8
+    monkeypatch.setattr(langid, "CELLS", 50)
+    monkeypatch.setattr(langid, "HELD", 100)
+    assert found() == whole
+
+
+def test_mixing_copies_with_the_fraction_as_probability(spark):
+    sizes = (1, 2, 30)
+    rows = [(s * 3 + k, "w " * n, f"s{s:04}") for s in range(1500) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).select("doc.doc_id", "doc.source", "target", "source_size", "copies", "size").collect()
+    by = {}
+    taken = {}
+    for r in got:
+        rate = r.target / r.source_size
+        by.setdefault((round(rate % 1, 6), r.doc_id % 3), []).append(r.copies - int(rate))
+        taken.setdefault((r.source, r.target), []).append(r.copies * r.size)
+    for (part, _), copies in by.items():
+        part = round(part * 33) / 33
+        assert abs(np.mean(copies) - part) < 4 * (part * (1 - part) / len(copies)) ** 0.5 + 1e-9
+    assert all(abs(sum(sizes) - target) <= 31 for (_, target), sizes in taken.items())
