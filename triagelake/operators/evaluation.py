@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.metrics import confusion, rates, ratio
+from triagelake.operators.ranges import running_sums
 
 
 def by_score(rows: DataFrame) -> DataFrame:
@@ -15,16 +18,17 @@ def by_score(rows: DataFrame) -> DataFrame:
 
 def auroc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve with tied scores averaged: pairs won plus half the pairs tied, over all pairs."""
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by_score(rows).withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    below = running_sums(by_score(rows), [F.col("score")], "neg")
+    won = below.agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return won.select(ratio(F.col("won").cast("double"), F.col("p") * F.col("n")).alias("auroc"), "p", "n")
 
 
 def roc(rows: DataFrame) -> DataFrame:
     """(score, tpr, fpr, sent): a point for each distinct score, where rows at that score or above are positive."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    points = by_score(rows).select("score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(total).alias("p"), F.sum("neg").over(total).alias("n"))
+    scores = by_score(rows)
+    above = running_sums(scores, [-F.col("score")], "pos", "neg")
+    total = F.broadcast(scores.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))  # one row
+    points = above.join(total).select("score", (F.col("before_pos") + F.col("pos")).alias("tp"), (F.col("before_neg") + F.col("neg")).alias("fp"), "p", "n")
     return points.select("score", ratio(F.col("tp"), F.col("p")).alias("tpr"), ratio(F.col("fp"), F.col("n")).alias("fpr"), ((F.col("tp") + F.col("fp")) / (F.col("p") + F.col("n"))).alias("sent"))
 
 
@@ -54,9 +58,9 @@ def metrics(rows: DataFrame, predicted: Column, *by: str) -> DataFrame:
 def threshold_for_recall(rows: DataFrame, target: float) -> DataFrame:
     """The highest threshold that keeps ``target`` of the positives: floor((1 - target) * n) may be lost; none: 0.0."""
     at = by_score(rows).where("pos > 0")
-    upto = F.sum("pos").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = at.select("score", upto.alias("upto"), F.sum("pos").over(Window.partitionBy()).alias("n"))
-    return ranked.where(F.col("upto") > F.floor(F.lit(1 - target) * F.col("n"))).agg(F.coalesce(F.min("score"), F.lit(0.0)).alias("threshold"))
+    total = F.broadcast(at.agg(F.sum("pos").alias("n")))  # one row
+    placed = running_sums(at, [F.col("score")], "pos").withColumn("upto", F.col("before_pos") + F.col("pos")).join(total)
+    return placed.where(F.col("upto") > F.floor(F.lit(1 - target) * F.col("n"))).agg(F.coalesce(F.min("score"), F.lit(0.0)).alias("threshold"))
 
 
 def recall_at_budget(rows: DataFrame, budget: float) -> DataFrame:
@@ -74,21 +78,36 @@ def cascade(rows: DataFrame, threshold: Column, filter_s: float, judge_s: float)
     return out.withColumns(rates()).withColumns({"share_sent": ratio(F.col("sent"), F.col("n")), "seconds": per, "speed_up": F.lit(judge_s) / per})
 
 
-def bootstrap_auroc(rows: DataFrame, replicas: int = 200) -> DataFrame:
-    """95% interval of AUROC by Poisson(1) weights from a hash of (item, replica).
+def resampled(pos: int, neg: int, score: float, replicas: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a score's positives and negatives, how often each replica draws them: Poisson counts, from a generator of the
+    score's own, so that neither the order of rows nor how they are dealt matters."""
+    rng = np.random.Generator(np.random.Philox(key=int(np.float64(score).view(np.uint64))))
+    return rng.poisson(pos, replicas), rng.poisson(neg, replicas)
 
-    Every row is weighted in every replica; sums by (replica, score) come first, so windows run over distinct scores.
+
+def bootstrap_auroc(rows: DataFrame, replicas: int = 2000) -> DataFrame:
+    """95% interval of AUROC by Poisson resampling: every row is drawn Poisson(1) times in each replica.
+
+    Rows are counted by score first. Scores are dealt by range, and a range gives each replica's positives, negatives and
+    pairs won inside it; replicas are put together from one row a range.
     """
-    u = (F.pmod(F.xxhash64("item_id", "replica"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, bound, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        bound += term
-        weight = weight + F.when(u > bound, 1).otherwise(0)
-        term /= k + 1
-    drawn = rows.select("item_id", "score", "y").withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("w", weight)
-    sums = drawn.groupBy("replica", "score").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(~F.col("y"), F.col("w")).otherwise(0)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("replica").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = sums.withColumn("below", below).groupBy("replica").agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("a"))
+    schema = "range int, replica int, pos long, neg long, won double"
+
+    def run(batches):
+        at, total, won = 0, np.zeros((2, replicas), np.int64), np.zeros(replicas)
+        for batch in batches:
+            for score, p, n in zip(batch["score"], batch["pos"], batch["neg"]):
+                pos, neg = resampled(p, n, score, replicas)
+                won += pos * (total[1] + neg / 2)
+                total += (pos, neg)
+            at = batch["range"].iloc[0] if len(batch) else at
+        if total.any():
+            yield pd.DataFrame({"range": at, "replica": np.arange(replicas), "pos": total[0], "neg": total[1], "won": won})
+
+    dealt = by_score(rows).repartitionByRange("score").sortWithinPartitions("score").withColumn("range", F.spark_partition_id())
+    parts = dealt.mapInPandas(run, schema)
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("replica").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = parts.withColumn("below", below).groupBy("replica").agg((F.sum(F.col("won") + F.col("pos") * F.col("below")) / (F.sum("pos") * F.sum("neg"))).alias("a"))
     return per.agg(F.percentile("a", F.lit(0.025)).alias("low"), F.percentile("a", F.lit(0.975)).alias("high"), F.count("*").alias("replicas"))
 
 

@@ -26,6 +26,14 @@ def prepared(rows: DataFrame, folds: int = 5) -> DataFrame:
     return rows.select("id", array_to_vector("x").alias("raw"), F.col("y").cast("double").alias("label"), weight.alias("weight"), F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int").alias("fold"))
 
 
+def balanced(rows: DataFrame) -> DataFrame:
+    """All rows of the rarer class, and as large a share of the other by a hash of the id, so as many or nearly so."""
+    n = rows.agg(F.count_if("y").alias("yes"), F.count_if(~F.col("y")).alias("no")).first()
+    share = min(n["yes"], n["no"]) / max(n["yes"], n["no"], 1)
+    rarer = F.col("y") if n["yes"] <= n["no"] else ~F.col("y")
+    return rows.where(rarer | (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)))
+
+
 def logistic_student(rows: DataFrame, strengths=(0.001, 0.01, 0.1), folds: int = 5):
     """Standardised logistic regression, balanced by weight; the strength is chosen by cross-validated AUROC."""
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)

@@ -1,33 +1,32 @@
 """Structured Streaming jobs: what is seen once, limited, released, replayed, published and counted as rows arrive.
 
-Every job takes a streaming frame and writes through ``foreachBatch`` or a state operator, so that a restart from the
-checkpoint repeats nothing. ``drain`` runs a query over what is there and returns the finished table.
+Every job takes a streaming frame; what must be remembered is in Spark's state, and each micro-batch is written to a folder
+of its number, so that neither a restart nor a batch that is run again repeats anything. ``drain`` runs a query over what
+is there and returns the finished table.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from triagelake.operators.queue import runs
-from triagelake.operators.similarity import first_of
-from triagelake.sources.sinks import absent
+from triagelake.operators.similarity import shared_folder
 
 LIMIT, WINDOW_S, TIMEOUT_S = 5, 600.0, 1800.0
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under the session's shared checkpoint folder; a local one only where that is unset."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder under the session's shared checkpoint folder; a local one only in local mode where that is unset."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
@@ -38,33 +37,57 @@ def event_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFr
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, schema: str, each: Callable[[DataFrame, str, bool], None] | None = None, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is; ``each(batch, path, first)`` writes a micro-batch, by default as it comes."""
-    spark = stream.sparkSession
-    at = folder(spark)
-    seen: list[int] = []
-
-    def write(batch: DataFrame, number: int) -> None:
-        if each:
-            each(batch, f"{at}/out", not seen)
-        else:
-            batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
-        seen.append(number)
+def write_batch(batch: DataFrame, number: int, path: str) -> None:
+    """A micro-batch in a folder of its own number, so that a batch which is run again replaces what it left."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{at}/out") if seen else spark.createDataFrame([], schema)
 
+def drain(stream: DataFrame, schema: str, at: str | None = None, mode: str = "append") -> DataFrame:
+    """Runs a stream over all there is, and returns what it has written: the whole output, in complete mode the last batch.
 
-def first_sightings(rows: DataFrame) -> DataFrame:
+    ``at`` is the job's folder for its checkpoint and output, a new one by default. A job that is started again there goes
+    on where it stopped; a batch that was written but not committed is written again in its place.
+    """
+    spark = stream.sparkSession
+    at = at or folder(spark)
+    write = lambda batch, number: write_batch(batch, number, f"{at}/out")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    columns = StructType.fromDDL(schema).names
+    none = spark.createDataFrame([], schema)
+    try:
+        out = spark.read.schema(f"{schema}, batch long").parquet(f"{at}/out")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
+    if mode == "complete":
+        out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
+    return out.select(columns)
+
+
+def first_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Each row of a key with the key's first row, which the state keeps; the ids of a key in one micro-batch are held, as
+    its chunks come in no order."""
+    rows = [b[["event_id", "tag"]] for b in batches]
+    rows = pd.concat(rows)
+    owner = state.get[0] if state.exists else int(rows["event_id"].min())
+    if not state.exists:
+        state.update((owner,))
+    yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "owner": owner, "tag": rows["tag"]})
+
+
+def with_first(rows: DataFrame, key: Column, tag: Column | None = None) -> DataFrame:
+    """(key, event_id, owner, tag): every row of a stream with the id of the first row that had its key; null keys are a key
+    of their own. What is kept is one id a key, in Spark's state store, so no batch reads what earlier ones wrote."""
+    rows = rows.select(F.coalesce(key.cast("string"), F.lit("\x00")).alias("key"), "event_id", (F.lit(None) if tag is None else tag).cast("string").alias("tag"))
+    return rows.groupBy("key").applyInPandasWithState(first_state, "key string, event_id long, owner long, tag string", "owner long", "append", GroupStateTimeout.NoTimeout)
+
+
+def first_sightings(rows: DataFrame, at: str | None = None) -> DataFrame:
     """(user_id, event_type, event_id): the first event of each pair over the whole history."""
-
-    def each(batch: DataFrame, path: str, first: bool) -> None:
-        new = first_of(batch.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"])
-        if not first:
-            new = new.join(batch.sparkSession.read.parquet(path).select("user_id", "event_type"), ["user_id", "event_type"], "left_anti")
-        new.select("user_id", "event_type", "event_id").write.mode("append").parquet(path)
-
-    return drain(rows, "user_id long, event_type string, event_id long", each)
+    found = with_first(rows, F.concat_ws(":", F.col("user_id"), "event_type"), F.concat_ws(":", F.col("user_id"), "event_type")).where("event_id = owner")
+    pair = F.split("tag", ":", 2)
+    return drain(found.select(pair[0].cast("long").alias("user_id"), pair[1].alias("event_type"), "event_id"), "user_id long, event_type string, event_id long", at)
 
 
 def bounded_first_sightings(rows: DataFrame) -> DataFrame:
@@ -174,27 +197,15 @@ def screened(rows: DataFrame) -> DataFrame:
     return drain(rows.select("event_id", outcome.alias("outcome")), "event_id long, outcome string")
 
 
-def published(rows: DataFrame) -> DataFrame:
+def published(rows: DataFrame, at: str | None = None) -> DataFrame:
     """(external_id, event_id): every item published once, whatever is retried."""
+    item = F.concat(F.lit("s"), (F.col("event_id") - F.col("event_id") % 2).cast("string"))
+    return drain(with_first(rows, item).where("event_id = owner").select(F.col("key").alias("external_id"), "event_id"), "external_id string, event_id long", at)
 
-    def each(batch: DataFrame, path: str, first: bool) -> None:
-        new = batch.select(F.concat(F.lit("s"), (F.col("event_id") - F.col("event_id") % 2).cast("string")).alias("external_id"), "event_id")
-        target = None if first else batch.sparkSession.read.parquet(path)
-        absent(new, target, "external_id", "event_id").write.mode("append").parquet(path)
-
-    return drain(rows, "external_id string, event_id long", each)
 
-
-def grouped(rows: DataFrame) -> DataFrame:
+def grouped(rows: DataFrame, at: str | None = None) -> DataFrame:
     """(event_id, owner): each new row joins the first bearer of its value, stored ones first."""
-
-    def each(batch: DataFrame, path: str, first: bool) -> None:
-        new = batch.select("event_id", F.col("value").cast("string").alias("key"))
-        known = new if first else new.unionByName(batch.sparkSession.read.parquet(path).where("event_id = owner").select("event_id", "key"))
-        owners = known.groupBy("key").agg(F.min("event_id").alias("owner"))
-        new.join(owners, "key").select("event_id", "owner", "key").write.mode("append").parquet(path)
-
-    return drain(rows, "event_id long, owner long, key string", each).select("event_id", "owner")
+    return drain(with_first(rows, F.col("value")).select("event_id", "owner"), "event_id long, owner long", at)
 
 
 def daily_counts(rows: DataFrame) -> DataFrame:
