@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from triagelake.functions import text as T
 from triagelake.operators import lexicon as L
 from triagelake.operators import rules as R
+from triagelake.plans.metric_queries import assessed
 from triagelake.plans.standin import view
 from triagelake.sources import readers, sinks
 
@@ -28,7 +29,7 @@ def test_text_functions(spark):
 
 
 def test_term_patterns_and_proximity(spark):
-    hit = lambda text, term: value(spark, F.lit(text).rlike(L.term_pattern(term)))
+    hit = lambda text, term: value(spark, F.rlike(F.lit(text), L.term_pattern(F.lit(term))))
     assert hit("two kids", "kid") and not hit("kidnap", "kid") and hit("minorities", "minorit*") and not hit("xminority", "minorit*")
     near = lambda text: value(spark, L.near(F.lit(text), "^a$", "^b$", 2))
     assert near("a x b") and near("b a") and not near("a x y b") and not near("")
@@ -37,7 +38,7 @@ def test_term_patterns_and_proximity(spark):
 
 
 def test_restricted_rows_carry_no_content(spark, data):
-    final = R.finalize(view(spark, data, "assessed"))
+    final = R.finalize(assessed(spark, data))
     assert final.where("restricted AND (content IS NOT NULL OR relation IS NOT NULL OR stance IS NOT NULL)").isEmpty()
     assert final.where("restricted AND (flagged OR final_lead OR priority <> 'urgent')").isEmpty()
     assert not final.where("restricted").isEmpty()
@@ -71,3 +72,109 @@ def test_archive_csv_keeps_quoted_line_breaks_and_drops_bad_lines(spark, tmp_pat
     raw = readers.archive_csv(spark, str(tmp_path / "a.csv"), "channel string, post_id string, text string, views string")
     got = {r.uid: (r.text, r.views, r.side) for r in readers.archive_rows(raw, "arch", "none").collect()}
     assert got == {"arch:c:1": ("two\nlines", 3, "none"), "arch:c:3": ("ok", None, "none")}
+
+
+AGES = ["I'm only 12 and I love chess", "I’m only twelve", "she's 15 and already at university", "a one-month-old puppy", "the 38-day-old baby slept", "6 month old twins", "a fifteen-year-old won the prize", "twelve years old and a champion", "she is in 7th grade", "a newborn in the ward", "the orphanage choir sang", "Ученица 9 класса победила в олимпиаде", "Ей двенадцать лет, она победила в конкурсе", "news/2021/shkolnica-vyigrala-olimpiadu", "Ей 13, она пишет стихи", "two children played", "pupils sang"]
+NO_AGES = ["only 15 minutes left", "top 12 items of the week", "back in the 1990s", "I'm 34 and tired", "12 years ago we moved", "the girl at the counter was 25", "a 5-year plan", "he scored 17 points", "grade A coffee", "I'm 12 minutes late", "Мне было 34 года", "1.13 years old", "113 years old", "Девушки из штаба привезли воду", ""]
+
+
+def test_age_indicators_by_language(spark):
+    rows = spark.createDataFrame([(t,) for t in AGES + NO_AGES], "t string").select("t", L.age_labels(F.col("t"), L.age_table(spark)).alias("labels")).collect()
+    found = {r.t: list(r.labels) for r in rows}
+    assert [t for t in AGES if not found[t]] == [] and [t for t in NO_AGES if found[t]] == []
+    assert found["a one-month-old puppy"] == ["infant age"] and found["she is in 7th grade"] == ["school grade"]
+    assert value(spark, L.age_labels(F.lit(None).cast("string"))) == []
+
+
+def test_terms_with_signs_endings_and_look_alikes(spark):
+    cases = [("c++", "I like c++", True), ("c++", "c or d", False), ("a.b", "axb", False), ("a.b", "see a.b", True), ("(", "an ( open", True), ("дети", "с детьми", True), ("child", "children", True), ("child", "childhood", False), ("minor", "minority", False), ("насилие", "н@силия", True), ("кот", "коты", False), ("кот", "котом", True), ("big thing", "big   things", True), ("big thing", "big old thing", False)]
+    rows = spark.createDataFrame([(*c[:2], i) for i, c in enumerate(cases)], "term string, text string, i int").select("i", F.expr("text").alias("x"), F.rlike(T.unmask(F.col("text")), L.term_pattern(F.col("term"))).alias("hit")).collect()
+    assert {r.i: r.hit for r in rows} == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_lexicon_entries_have_variants_states_and_languages(spark):
+    docs = spark.createDataFrame([(1, "The Trophy (gold)"), (2, "two prizes"), (3, "c++ code"), (4, "nothing"), (5, None), (6, "big bad things and ++")], "seq long, text string")
+    entries = [("e1", "T", "en", "approved", "trophy / «prize» (of any kind)"), ("e2", "T", "en", "draft", "nothing"), ("e3", "T", "multi", "approved", "nothing"), ("e4", "S", None, "approved", "c++"), ("e5", "T", None, "approved", "big bad thing"), ("e6", "U", "en", "approved", "nothing"), ("e7", "T", "en", "approved", "++"), ("e8", "T", "en", "approved", " / ")]
+    table = spark.createDataFrame(entries, "id string, type string, language string, status string, value string")
+    got = {r.seq: list(r.ids) for r in L.lexicon_hits(docs, table, ("T", "S")).collect()}
+    assert got == {1: ["e1"], 2: ["e1"], 3: ["e4"], 6: ["e5", "e7"]}
+    assert L.lexicon_hits(docs, table.limit(0)).collect() == []
+
+
+def test_transliteration_masks_and_links(spark):
+    v = lambda c: value(spark, c)
+    assert v(T.transliterate(F.lit("аyа moya"))) == "аыа моя"
+    assert v(T.unmask(F.lit("cat\nпpивeт\tcat"))) == "cat\nпривет\tcat" and v(T.unmask(F.lit("изн@силование"))) == "изнасилование"
+    assert v(T.normalize_text(F.lit("ﬁne １２ ½"))) == "fine 12 1 2" and v(T.normalize_text(F.lit(None).cast("string"))) == ""
+    assert v(T.media_kind(F.lit("https://a.b/x.HEIC?y"))) == "image" and v(T.media_kind(F.lit("https://a.b/x.m3u8"))) == "video" and v(T.media_kind(F.lit("https://a.b/x.m4v"))) is None
+
+
+ITEMS = [
+    ("facebook", '{"post_id": "f1", "message": "m", "reactions_count": 5, "timestamp": 1700000000}'), ("facebook", '{"postId": 2, "text": "t", "likes": "9"}'), ("facebook", '{"id": "no"}'),
+    ("instagram", '{"shortCode": "abc", "caption": "c", "likesCount": -1}'), ("instagram", '{"id": "i2", "url": "https://u", "videoViewCount": 0, "likesCount": 3}'),
+    ("tiktok", '{"id": "t1", "text": null, "webVideoUrl": "https://w", "playCount": 7.0}'), ("x", '{"id": "x1", "text": "a", "fullText": "b", "twitterUrl": "https://t", "retweetCount": 4}'), ("other", '{"id": "o"}'), ("x", "broken"),
+]
+
+
+def test_raw_items_of_each_platform(spark):
+    items = spark.createDataFrame(ITEMS, "platform string, item string")
+    got = {r.post_id: (r.platform, r.text, r.url, r.reach) for r in readers.posts(items).collect()}
+    assert got == {
+        "f1": ("facebook", "m", "https://www.facebook.com/f1", 5), "2": ("facebook", "t", "https://www.facebook.com/2", 9), "abc": ("instagram", "c", "https://www.instagram.com/p/abc/", None),
+        "i2": ("instagram", "", "https://u", 3), "t1": ("tiktok", "", "https://w", None), "x1": ("x", "b", "https://t", 4),
+    }
+    assert readers.posts(items.limit(0)).collect() == []
+
+
+def test_media_links_at_any_depth_and_none_of_people(spark):
+    deep = '"https://cdn.example.com/deep.jpg"'
+    for _ in range(9):
+        deep = f'{{"a": [{deep}]}}'
+    rows = [("p1", deep), ("p2", '{"ownerX": {"pic": "https://cdn.example.com/o.jpg"}, "music": {"c": "https://cdn.example.com/m.jpg"}, "v": ["https://cdn.example.com/v.mp4", "http://cdn.example.com/h.mp4", "https://else.org/e.mp4"]}'), ("p3", "broken"), ("p4", None)]
+    got = {tuple(r) for r in readers.media_urls(spark.createDataFrame(rows, "post_id string, item string"), ("example.com",)).collect()}
+    assert got == {("p1", "https://cdn.example.com/deep.jpg", "image"), ("p2", "https://cdn.example.com/v.mp4", "video")}
+
+
+BASE = {
+    "item_id": 1, "possible_minor": False, "identifiable_person": False, "exclusion": None, "stance": "endorses", "source_attributed": False, "quote_present": False, "target": "group", "modal": "future", "cta": "implied",
+    "element_a": "likely", "element_b": "likely", "element_c": "likely", "relation": "SV-REL-2", "secondary": [], "named_acts": ["SV-FORM-01"], "types": ["HI-TYPE-04"], "pathways": ["HP-01"], "affiliation": "AFF-1", "mentions_minor": False,
+    "age_indicator": False, "sv_signal": False, "high_reach": False, "lead": False, "cited_ids": ["SV-REL-2", "HP-01"], "model_route": "standard_review", "model_priority": "standard", "content": "words",
+}
+RULED = [
+    ({"possible_minor": True}, {"route": "restricted_escalation", "restricted_reason": "model", "relation": None, "content": None, "stance": None, "in_scope": True, "invalid_ids": []}),
+    ({"age_indicator": True}, {"route": "restricted_escalation", "restricted_reason": "rule_age"}),
+    ({"age_indicator": True, "relation": None, "named_acts": [], "element_a": "unlikely"}, {"route": "not_flagged", "restricted": False}),
+    ({"age_indicator": True, "relation": None, "element_a": "unlikely"}, {"restricted_reason": "rule_age"}),
+    ({"age_indicator": True, "relation": None, "named_acts": [], "element_a": "unlikely", "sv_signal": True}, {"restricted_reason": "rule_age"}),
+    ({"mentions_minor": True}, {"route": "restricted_escalation"}),
+    ({"relation": None}, {"route": "not_flagged", "in_scope": False}),
+    ({"pathways": []}, {"route": "not_flagged"}), ({"affiliation": "AFF-4"}, {"route": "not_flagged"}), ({"types": []}, {"route": "not_flagged"}),
+    ({"exclusion": "B2-3"}, {"route": "not_flagged", "final_lead": True}), ({"exclusion": "B2-5", "lead": True}, {"route": "not_flagged", "final_lead": False}),
+    ({"stance": "reports", "source_attributed": True}, {"route": "not_flagged", "final_lead": True}), ({"stance": "quotes_to_condemn", "quote_present": True}, {"route": "not_flagged", "final_lead": True}),
+    ({"stance": "reports"}, {"stance": "unclear", "route": "priority_review", "final_lead": False}), ({"stance": "quotes_to_condemn"}, {"stance": "unclear", "route": "priority_review"}),
+    ({"exclusion": "B2-1", "stance": "reports", "lead": True}, {"route": "not_flagged", "final_lead": False}), ({"exclusion": "B2-2", "stance": "reports", "source_attributed": True, "lead": True}, {"final_lead": False}),
+    ({}, {"priority": "urgent", "route": "priority_review", "restricted_reason": None, "conflict_link": "present"}),
+    ({"relation": "SV-REL-4", "modal": "past", "cta": "none", "model_priority": "high"}, {"priority": "high"}), ({"relation": "SV-REL-4", "modal": "past", "cta": "none", "high_reach": True}, {"priority": "high"}),
+    ({"relation": "SV-REL-5", "modal": "past", "cta": "none", "target": "individual", "pathways": ["HP-03"], "identifiable_person": True}, {"priority": "urgent", "route": "priority_review"}),
+    ({"cited_ids": ["SV-REL-2", "XX-99"]}, {"invalid_ids": ["XX-99"]}), ({"model_priority": "none", "relation": "SV-REL-4", "modal": "past", "cta": "none"}, {"priority": "standard"}),
+    ({"element_c": "possible"}, {"conflict_link": "unclear"}), ({"element_c": "absent"}, {"conflict_link": "absent"}),
+]
+
+
+def test_rules_row_by_row(spark):
+    kinds = {bool: "boolean", list: "array<string>", int: "long"}
+    schema = ", ".join(f"{k} {kinds.get(type(v), 'string')}" for k, v in BASE.items())
+    rows = spark.createDataFrame([tuple((BASE | case | {"item_id": i})[k] for k in BASE) for i, (case, _) in enumerate(RULED)], schema)
+    valid = ["SV-REL-2", "HP-01"]
+    for rules in (R.RULES, R.rules_of(R.rule_table(spark))):
+        got = {r.item_id: r.asDict() for r in R.finalize(rows, valid, rules).collect()}
+        for i, (case, want) in enumerate(RULED):
+            assert {k: got[i][k] for k in want} == want, case
+    labels = {r.item_id: list(r.labels) for r in R.short_labels(rows).collect()}
+    assert labels[0] == [] and labels[18] == ["threat_incitement"] and labels[21] == ["stigmatization", "victim_identification"]
+
+
+def test_safety_scores(spark):
+    of = lambda **s: value(spark, R.safety({k: F.lit(x).cast("double") for k, x in s.items()}))
+    assert of(falconsai=0.29, adamcodd=0.69, clip_explicit=0.89, clip_child=0.9) == (False, [], True)
+    assert of(falconsai=0.3, adamcodd=None) == (True, ["falconsai"], False)

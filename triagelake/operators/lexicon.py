@@ -187,7 +187,8 @@ AGE_TERMS = (
     ("en", "institution", "kindergarten", None), ("en", "unit", "years old", None), ("en", "unit", "year old", None), ("en", "unit", "yr old", None), ("en", "unit", "yrs old", None),
     ("en", "infant", "month* old", None), ("en", "infant", "week* old", None), ("en", "infant", "day* old", None), ("en", "number", "one", 1), ("en", "number", "five", 5),
     ("en", "number", "twelve", 12), ("en", "number", "fifteen", 15), ("en", "number", "twenty", 20), ("en", "phrase", "i'm only {n}", None), ("en", "phrase", "she's {n}", None),
-    ("en", "phrase", "i'm {n}", None), ("en", "stop", "minutes", None), ("en", "stop", "years", None), ("en", "stop", "percent", None), ("en", "grade", "{n}th grade", None), ("en", "grade", "grade {n}", None),
+    ("en", "phrase", "i'm {n}", None), ("en", "stop", "minutes", None), ("en", "stop", "years", None), ("en", "stop", "percent", None), ("en", "grade", "{n}th grade", None), ("en", "grade", "{n}st grade", None), ("en", "grade", "{n}nd grade", None),
+    ("en", "grade", "{n}rd grade", None), ("en", "grade", "grade {n}", None),
     ("ru", "word", "ученик*", None), ("ru", "word", "школьниц*", None), ("ru", "unit", "лет", None), ("ru", "unit", "года", None), ("ru", "number", "двенадцать", 12), ("ru", "phrase", "ей {n},", None),
     ("ru", "grade", "{n} класса", None),
 )
@@ -238,9 +239,10 @@ def age_patterns(rows) -> list[tuple[str, str]]:
     return out
 
 
-def age_labels(text: Column, table: DataFrame) -> Column:
-    """Kinds of age indicator in a text, sorted (never the words), by a table with AGE_COLUMNS: a stated age, an infant's
-    age, a school class, a term. Terms are also found in Latin spelling; soft and hard signs do not count."""
+def age_labels(text: Column, table: DataFrame | None = None) -> Column:
+    """Kinds of age indicator in a text (never the words), by a table with AGE_COLUMNS: a stated age, an infant's age, a
+    school class, a term. Terms are also found in Latin spelling; soft and hard signs do not count."""
+    table = age_table(SparkSession.active()) if table is None else table
     rows = rows_of(table)
     low = F.translate(F.lower(text), "ё’", "е'")
     labels = {}
@@ -252,7 +254,7 @@ def age_labels(text: Column, table: DataFrame) -> Column:
     if terms:
         found = table.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(silent(term_pattern(F.col("term")))).collect()
         labels["age term"] = both.rlike("|".join(sorted(r[0] for r in found)))
-    return F.array_compact(F.array(*[F.when(hit, name) for name, hit in sorted(labels.items())]))
+    return F.array_compact(F.array(*[F.when(labels[name], name) for name in ("stated age", "infant age", "school grade", "age term") if name in labels]))
 
 
 def unknown_ids(text: Column, defined: list[str]) -> Column:

@@ -56,10 +56,11 @@ def most_common(spark, d):
 
 @register("srt06_media_cap", "SELECT o_orderkey, least(count(*), 4) AS n_media, min(l_linenumber) AS first_media FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def media_cap(spark, d):
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    """Only the first four media of a post are ever put together; ranking comes before the list."""
+    first = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").withColumn("_n", F.row_number().over(first)).where("_n <= 4")
     posts = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("media"))
-    capped = F.slice("media", 1, 4)
-    return posts.select("o_orderkey", F.size(capped).cast("long").alias("n_media"), F.element_at(capped, 1).alias("first_media"))
+    return posts.select("o_orderkey", F.size("media").cast("long").alias("n_media"), F.element_at("media", 1).alias("first_media"))
 
 
 @register("grp01_fingerprints", sql("posts", body=f", n AS (SELECT seq, {NORMAL} AS t FROM posts), w AS (SELECT seq, t, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS words FROM n) SELECT seq, CAST(0 AS INTEGER) AS pos, 'text_sha' AS kind, sha256(t) AS value FROM w WHERE words >= 5 UNION ALL SELECT seq, 1, 'channel_sha', sha256(channel) FROM posts WHERE seq % 5 = 0"))

@@ -184,9 +184,8 @@ def term_patterns(spark, d):
 
 
 @register("lex05_age_labels", r"""SELECT doc_id, array_to_string(list_filter([
-  CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(newborn|pupil|toddle|orphana|kindergart|child)') OR doc_id % 7 = 3 THEN 'age term' END,
-  CASE WHEN doc_id % 7 = 1 THEN 'infant age' END, CASE WHEN doc_id % 7 = 2 THEN 'school grade' END,
-  CASE WHEN doc_id % 30 BETWEEN 1 AND 17 OR doc_id % 7 = 5 THEN 'stated age' END], lambda x: x IS NOT NULL), ',') AS labels FROM documents""")
+  CASE WHEN doc_id % 30 BETWEEN 1 AND 17 OR doc_id % 7 = 5 THEN 'stated age' END, CASE WHEN doc_id % 7 = 1 THEN 'infant age' END, CASE WHEN doc_id % 7 = 2 THEN 'school grade' END,
+  CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(newborn|pupil|toddle|orphana|kindergart|child)') OR doc_id % 7 = 3 THEN 'age term' END], lambda x: x IS NOT NULL), ',') AS labels FROM documents""")
 def ages(spark, d):
     """Documents to which a number of years and, by turns, other indicators are added."""
     n = F.col("doc_id")
