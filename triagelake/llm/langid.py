@@ -16,8 +16,8 @@ from .labelled import pick, texts_of
 
 #: At most so many labelled documents in all (4 a language at least), and words of them, are used for fitting.
 SAMPLE, SAMPLE_WORDS, FOLDS, HELD_OUT = 800, 96_000, 3, 1
-#: Words of one chain; a text is labelled in successive chains.
-SPAN = 64
+#: Words of one chain for fitting. Texts are labelled as one chain each; so many words are held, and steps times chains run.
+SPAN, HELD, CELLS = 64, 2_000_000, 400_000
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -27,37 +27,43 @@ def words_in(chunk: str) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    """Affixes, character 2- and 3-grams with word bounds (as often as they occur), and the word itself; lexicon features
-    are added by the model."""
-    w = f"^{word}$" if len(word) <= 40 else f"^{word[:20]}{word[-20:]}$"
+    """Affixes, character 2- and 3-grams with word bounds (as often as they occur, however long the word), and the word
+    itself; lexicon features are added by the model."""
+    w = f"^{word}$"
     pairs = list(map("".join, zip(w, w[1:])))
     return ["", "p" + word[:1], "p" + word[:2], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:], *pairs, *map("".join, zip(pairs, w[2:])), w]
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+def forward_backward(emission: np.ndarray, transition: np.ndarray, active: np.ndarray | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Marginals (step, label, chain) of chains with emission scores of that shape, and what ``pair_counts`` needs.
 
-    Works on scaled probabilities, all chains at a time, which are the last axis so that every step is contiguous.
-    Padding at the end of a chain scores all labels alike; it adds no evidence to the words before it but for how often
-    transitions lead on from each label.
+    Works on scaled probabilities, all chains at a time, which are the last axis so that every step is contiguous. The
+    chains may end at different steps, the longest first: ``active`` has the number of chains of each step. Marginals
+    behind the end of a chain are 0.
     """
+    steps, _, n = emission.shape
+    active = np.full(steps, n) if active is None else active
     e = np.exp(emission - emission.max(axis=1, keepdims=True))
     t = np.exp(transition).astype(e.dtype)
-    alpha, beta = np.empty_like(e), np.ones_like(e)
+    alpha, beta = np.zeros_like(e), np.ones_like(e)
     alpha[0] = e[0] / e[0].sum(axis=0)
-    for i in range(1, len(e)):
-        a = (t.T @ alpha[i - 1]) * e[i]
+    for i in range(1, steps):
+        m = active[i]
+        a = (t.T @ alpha[i - 1, :, :m]) * e[i, :, :m]
         a /= a.sum(axis=0)
-        alpha[i] = a
+        alpha[i, :, :m] = a
     after = e  # from here on, evidence of a step and of all steps after it
-    for i in range(len(e) - 2, -1, -1):
-        after[i + 1] *= beta[i + 1]
-        b = t @ after[i + 1]
+    for i in range(steps - 2, -1, -1):
+        m = active[i + 1]
+        later = after[i + 1, :, :m]
+        later *= beta[i + 1, :, :m]
+        b = t @ later
         b /= b.sum(axis=0)
-        beta[i] = b
+        beta[i, :, :m] = b
     after[0] *= beta[0]
     marginal = alpha * beta
-    marginal /= marginal.sum(axis=1, keepdims=True)
+    norm = marginal.sum(axis=1, keepdims=True)
+    np.divide(marginal, norm, out=marginal, where=norm > 0)
     return marginal, (alpha, after)
 
 
@@ -187,39 +193,46 @@ class Labeller:
         for chunk in (text or "").split():
             found = get(chunk)
             out += self.chunk(chunk) if found is None else found
-        return np.array(out, np.int64)
+        return np.array(out, np.int32)
 
-    def marginals(self, ids: list[np.ndarray]) -> list[np.ndarray]:
-        """(word, label) marginals of each text, all chains of all texts at a time."""
+    def cohorts(self, ids: list[np.ndarray]):
+        """(places in ids, marginals) of the texts that have words, some texts of like length at a time, each one chain."""
+        if not self.k:
+            return
         if self.fresh:
             self.scores = np.concatenate([self.scores, self.crf.emissions(self.fresh).astype(np.float32)])
             self.fresh = []
-        if not len(self.scores):
-            return [np.zeros((0, self.k))] * len(ids)
-        chains = [-(-len(i) // SPAN) for i in ids]
-        starts = np.cumsum([0, *chains]) * SPAN
-        padded = np.full(starts[-1], -1)
-        for i, start in zip(ids, starts):
-            padded[start : start + len(i)] = i
-        padded = padded.reshape(-1, SPAN).T
-        emission = self.scores.T[:, padded].transpose(1, 0, 2).copy()
-        emission *= (padded >= 0)[:, None, :]
-        marginal = forward_backward(emission, self.crf.transition.astype(np.float32))[0].transpose(2, 0, 1).reshape(-1, self.k)
-        return [marginal[start : start + len(i)] for i, start in zip(ids, starts)]
-
-    def texts(self, texts: list[str | None], most: int = 100_000) -> list[tuple[str, float]]:
+        length = np.array([len(i) for i in ids])
+        order = np.argsort(-length, kind="stable")
+        order = order[length[order] > 0]
+        while len(order):
+            steps = length[order[0]]
+            at, order = np.split(order, [max(1, CELLS // steps)])
+            padded = np.zeros((len(at), steps), np.int32)
+            for row, k in zip(padded, at):
+                row[: length[k]] = ids[k]
+            emission = np.ascontiguousarray(self.scores[padded.T].transpose(0, 2, 1))
+            active = np.searchsorted(-length[at], -np.arange(steps), side="left")
+            yield at, forward_backward(emission, self.crf.transition.astype(np.float32), active)[0]
+
+    def marginals(self, ids: np.ndarray) -> np.ndarray:
+        """(word, label) marginals of one text."""
+        return next((m[:, :, 0] for _, m in self.cohorts([ids])), np.zeros((0, self.k)))
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text: the language with most expected words, and its share of the words."""
-        out: list[tuple[str, float]] = []
+        out = [(UNKNOWN, 0.0)] * len(texts)
         held: list[np.ndarray] = []
-        size = 0
+        size, first = 0, 0
         for k, text in enumerate(texts):
             held.append(self.ids(text))
             size += len(held[-1])
-            if size > most or k == len(texts) - 1:
-                for m in self.marginals(held) if self.k else [()] * len(held):
-                    share = m.sum(axis=0) / len(m) if len(m) else ()
-                    out.append((self.crf.languages[int(np.argmax(share))], float(min(1.0, max(share)))) if len(share) else (UNKNOWN, 0.0))
-                held, size = [], 0
+            if size > HELD or k == len(texts) - 1:
+                for at, m in self.cohorts(held):
+                    share = m.sum(axis=0, dtype=np.float64) / np.array([len(held[i]) for i in at])
+                    for i, best, score in zip(at, share.argmax(axis=0), share.max(axis=0)):
+                        out[first + i] = (self.crf.languages[best], float(min(1.0, score)))
+                held, size, first = [], 0, k + 1
                 if len(self.words) > self.most:
                     self.clear()
         return out
@@ -228,6 +241,8 @@ class Labeller:
 def with_language(docs: DataFrame, crf: Crf) -> DataFrame:
     """doc_id, lang_pred, score of every whole text; only the text is used. Other columns are ignored.
 
+    A text is one chain, however long: what its words say is passed on over all of it.
+
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if no language was learnt.
     Repeated rows score alike, ties go to the first language by name; an empty table gives an empty result.
     """
@@ -253,7 +268,7 @@ def label_words(docs: DataFrame, crf: Crf) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = labeller.ids(text)
                 if len(ids) and labeller.k:
-                    m = labeller.marginals([ids])[0]
+                    m = labeller.marginals(ids)
                     words = [w for chunk in text.split() for w in words_in(chunk)]
                     columns = ([doc_id] * len(words), range(len(words)), words, [crf.value.languages[i] for i in m.argmax(axis=1)], m.max(axis=1).astype(float))
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64()))], ["doc_id", "position", "word", "lang", "score"])
