@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, so that later reads survive lost executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a folder is made.
+    The folder is the session's ``spark.checkpoint.dir``; only in local mode, where that is unset, a folder is made.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
     return df.checkpoint(eager=True)
 
 

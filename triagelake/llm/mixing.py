@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, quoted, table
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
 #: Above so many sources, the plan is joined by a shuffle instead of being sent to every executor (about 6 MB).
@@ -102,7 +102,7 @@ def mix(docs: DataFrame) -> DataFrame:
     other columns docs has stay inside ``doc``, so their names cannot clash.
     """
     of = sized(plan(docs)).withColumnRenamed("source", "of_source")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), words(F.col("text")).alias("size"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), words(F.col("text")).alias("size"))
     own, low, high = draw(F.col("doc.doc_id")), F.col("low"), F.col("high")
     copy = F.when(F.col("around"), (own >= low) | (own < high)).otherwise((own >= low) & (own < high)).cast("int")
     joined = rows.join(of, F.col("doc.source").eqNullSafe(F.col("of_source")))

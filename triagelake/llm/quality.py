@@ -7,6 +7,7 @@ import re
 import zlib
 from hashlib import blake2b
 from itertools import chain
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ FIRST = {"": NONE, "<again>": AGAIN, "<rare>": RARE}
 #: Words that all documents together have fewer times share one vector, that of all their contexts.
 LEAST = 50
 #: Tokens and words after which a task passes its sums on; characters of all texts for each group of words' sums.
-TOKENS, WORDS, BUCKET = 4_000_000, 400_000, 40_000_000
+TOKENS, WORDS, BUCKET = 1_500_000, 150_000, 40_000_000
 #: Up to so many vectors (20 MB) are sent to every executor; the vectors of less frequent words are joined by a shuffle.
 SENT = 1 << 18
 #: Up to so many scores are sent around; more are joined by a shuffle.
@@ -64,35 +65,36 @@ def tokens_of(chunk: str) -> list[str]:
 
 def numbered(number) -> Memo:
     """Chunk -> the numbers of its tokens."""
-    return Memo(lambda chunk: tuple(map(number, tokens_of(chunk))))
+    return Memo(lambda chunk: tuple(map(number, tokens_of(chunk))), 80_000)
 
 
 def stream(text: str | None, memo: Memo) -> np.ndarray:
     """Token numbers of a whole text; AGAIN stands after a chunk that says what the one before it said."""
     chunks = (text or "").split()
     parts = list(map(memo.__getitem__, chunks))
-    if len(set(chunks)) < len(chunks):
+    memo.trim()
+    if any(map(eq, chunks, chunks[1:])):
         again = (AGAIN,)
         parts = [p if a != b else p + again for p, a, b in zip(parts, chunks, [None, *chunks])]
-    return np.fromiter(chain.from_iterable(parts), np.int64)
+    return np.fromiter(chain.from_iterable(parts), np.int32)
 
 
 def index_vectors(words) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the sparse ternary index vector of every word, drawn from the word; NONE has none."""
     drawn = np.frombuffer(b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words), "<u2").reshape(-1, 4)
-    signs = np.where(drawn[:, PLACES:] % 2, 1.0, -1.0)
+    signs = np.where(drawn[:, PLACES:] % 2, 1.0, -1.0).astype(np.float32)
     signs[NONE] = 0
-    return (drawn[:, :PLACES] % DIMENSIONS).astype(np.int64), signs
+    return (drawn[:, :PLACES] % DIMENSIONS).astype(np.int32), signs
 
 
 def contexts(tokens: np.ndarray, words) -> np.ndarray:
-    """For each word the sum of the index vectors of its neighbours."""
+    """For each word the sum of the index vectors of its neighbours; some neighbours at a time, so that little is held."""
     places, signs = index_vectors(words)
-    total = np.zeros(len(places) * DIMENSIONS)
+    total = np.zeros(len(places) * DIMENSIONS, np.int32)
     for apart in range(1, WINDOW + 1):
         for own, other in ((tokens[:-apart], tokens[apart:]), (tokens[apart:], tokens[:-apart])):
             for k in range(PLACES):
-                total += np.bincount(own * DIMENSIONS + places[other, k], signs[other, k], len(total))
+                total += np.bincount(own * np.int64(DIMENSIONS) + places[other, k], signs[other, k], len(total)).astype(np.int32)
     return total.reshape(-1, DIMENSIONS)
 
 
@@ -100,8 +102,8 @@ NAMES = [f"v{d}" for d in range(DIMENSIONS)]
 
 
 def packed_sums(docs: DataFrame) -> DataFrame:
-    """(bucket, words, n, sums): what tasks have added up of each word, dealt by word: packed words, how often they
-    occurred, and the sums of their contexts. No context crosses documents."""
+    """(bucket, words, n, few, sums): what tasks have added up of each word, dealt by word: packed words, how often they
+    occurred, and the sums of their contexts; of most words, the ``few`` first, as bytes. No context crosses documents."""
     docs = docs.select("text").where(F.col("text").isNotNull())
     buckets = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET + 1
     border = np.full(WINDOW, NONE)
@@ -117,9 +119,13 @@ def packed_sums(docs: DataFrame) -> DataFrame:
         bucket.sort()
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
         out = []
+        small = np.abs(total).max(axis=1) < 128
         for b, own in zip(bucket[starts], np.split(used, starts[1:])):
-            out.append((int(b), "\n".join(words[k] for k in own).encode(), n[own].astype(np.int32).tobytes(), total[own].astype(np.int32).tobytes()))
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "words", "n", "sums"])
+            few, rest = own[small[own]], own[~small[own]]
+            own = np.concatenate([few, rest])
+            sums = total[few].astype(np.int8).tobytes() + total[rest].astype(np.int32).tobytes()
+            out.append((int(b), "\n".join(words[k] for k in own).encode(), n[own].astype(np.int32).tobytes(), len(few), sums))
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()))], ["bucket", "words", "n", "few", "sums"])
 
     def run(batches):
         numbers, held, size = Numbers(), [], 0
@@ -135,7 +141,7 @@ def packed_sums(docs: DataFrame) -> DataFrame:
         if size:
             yield rows(held, numbers)
 
-    return docs.mapInArrow(run, "bucket int, words binary, n binary, sums binary")
+    return docs.mapInArrow(run, "bucket int, words binary, n binary, few int, sums binary")
 
 
 def summed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,9 +150,13 @@ def summed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, words = pd.factorize(np.array(words, object))
     order = np.argsort(at, kind="stable")
     starts = np.flatnonzero(np.diff(at[order], prepend=-1))
-    joined = lambda name: np.frombuffer(b"".join(group[name].to_pylist()), np.int32)
-    n = np.add.reduceat(joined("n")[order], starts, dtype=np.int64)
-    return words, n, np.add.reduceat(joined("sums").reshape(-1, DIMENSIONS)[order], starts, axis=0, dtype=np.int64)
+    n = np.frombuffer(b"".join(group["n"].to_pylist()), np.int32)
+    sums = []
+    for few, packed in zip(group["few"].to_pylist(), group["sums"].to_pylist()):
+        size = few * DIMENSIONS
+        sums += [np.frombuffer(packed, np.int8, size).astype(np.int32), np.frombuffer(packed, np.int32, -1, size)]
+    sums = np.concatenate(sums).reshape(-1, DIMENSIONS)
+    return words, np.add.reduceat(n[order], starts, dtype=np.int64), np.add.reduceat(sums[order], starts, axis=0, dtype=np.int64)
 
 
 def word_sums(docs: DataFrame) -> DataFrame:
@@ -412,12 +422,13 @@ def with_score(docs: DataFrame, model: tuple[DataFrame, Network | float], column
 def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> DataFrame:
     """(row, score): every row of docs as a struct, so that no name of its columns matters, and its score."""
     vectors, network = model
-    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("text").alias("text"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
     if isinstance(network, float):
         return rows.select("row", F.lit(network).alias("score"))
     first, others = most_frequent(vectors, SENT)
     table = docs.sparkSession.sparkContext.broadcast(pooling_table(first.select("word", "v").toArrow()))
     if others is not None:
+        rows = rows.withColumn("text", F.col("row.text"))
         scores = text_scores(rows, table, network, others)
         scores = F.broadcast(scores) if scores.count() <= BROADCAST_IDS else scores
         joined = rows.withColumns({"_k": F.xxhash64("text"), "_k2": F.xxhash64("text", F.lit(1))})
@@ -427,8 +438,7 @@ def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> Da
         numbers, moments = table.value
         memo = looked_up(numbers)
         for batch in batches:
-            x = np.array([pooled(stream(text.as_py(), memo), moments) for text in batch["text"]]).reshape(-1, 2 * DIMENSIONS + 1)
-            memo.trim()
+            x = np.array([pooled(stream(text.as_py(), memo), moments) for text in batch["row"].field("text")]).reshape(-1, 2 * DIMENSIONS + 1)
             yield pa.record_batch([batch["row"], pa.array(network.probabilities(x), pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))

@@ -10,12 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, components, cut, table, words_of
+from .common import Memo, components, cut, quoted, table, words_of
 
 WORDS, PERCENT = 5, 75
 #: Shingles that are put last in every prefix: at most so many, the most frequent ones. Only speed depends on them.
 COMMON = 1 << 16
-CHUNK, BUCKET, ANCHORS = 1_000_000, 700_000, 4
+CHUNK, BUCKET, ANCHORS = 600_000, 700_000, 4
 #: Sets of a block, of a group that needs no blocks, and of groups that share a task's call.
 BLOCK, SMALL, BUNDLE = 512, 256, 256
 #: Up to so many ids or set ids (16 MB) are sent to every executor; more are joined by a shuffle.
@@ -34,7 +34,7 @@ class Shingler:
     """Distinct shingle hashes of texts. Words are hashed once while a task remembers them."""
 
     def __init__(self):
-        self.word = Memo(xxhash.xxh3_64_intdigest)
+        self.word = Memo(xxhash.xxh3_64_intdigest, 80_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the WORDS-word shingles, A-Z lower-cased; a shorter text is one shingle."""
@@ -469,11 +469,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     is_own = F.col("doc_id") == F.col("component_id")
     ids = cut(join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(is_own).alias("kept"), F.count("*").alias("rows")))
     gone, twice = ids.where("NOT kept").select("doc_id"), ids.where("kept AND rows > 1").select("doc_id")
-    left = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*map(quoted, docs.columns))
     if twice.isEmpty():
         return left
     again = small(twice)
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    return left.join(again, "doc_id", "left_anti").select(*map(quoted, docs.columns)).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*map(quoted, docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def scores(texts, bias: float, weights: dict[str, float], memo: Memo) -> list[fl
             hits.update(known)
         total = bias + math.fsum(weights[f] for f in hits)
         out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
-    memo.trim()
+        memo.trim()
     return out
 
 
@@ -162,13 +162,13 @@ def with_score(docs: DataFrame, model: tuple[float, dict[str, float]], column: s
 def scored_rows(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
     """(row, score): every row of docs as a struct, so that no name of its columns matters, and its score."""
     model = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("text").alias("text"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
 
     def run(batches):
         bias, weights = model.value
         memo = Memo(lambda chunk: tuple(f for f in features(chunk) if f in weights))
         for batch in batches:
-            found = scores((t.as_py() for t in batch["text"]), bias, weights, memo)
+            found = scores((t.as_py() for t in batch["row"].field("text")), bias, weights, memo)
             yield pa.record_batch([batch["row"], pa.array(found, pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))
