@@ -76,13 +76,6 @@ def segments(spark, d):
     return S.segments(rows.select("video", length.alias("duration"), F.when(F.col("video") % 5 > 0, F.col("end_s")).alias("cut")))
 
 
-PHRASES = ", ph AS (SELECT video, start_s + 30 AS start_s, end_s + 30 AS end_s, substr(text, 1, 20) AS text FROM segments)"
-
-
-def phrases(spark, d):
-    return view(spark, d, "segments").select("video", (F.col("start_s") + 30).alias("start_s"), (F.col("end_s") + 30).alias("end_s"), F.substring("text", 1, 20).alias("text"))
-
-
 @register("joi14_segment_texts", sql("segments", body=" SELECT s.video, s.idx, string_agg(ph.text, ' ' ORDER BY ph.start_s, ph.end_s, ph.text) AS text FROM segments s JOIN (SELECT video, start_s + 30 AS start_s, end_s + 30 AS end_s, text FROM segments) ph ON s.video = ph.video AND ph.start_s < s.end_s AND ph.end_s > s.start_s GROUP BY s.video, s.idx"))
 @register("joi14_whole_segment_texts", sql("segments", body=" SELECT s.video, s.idx, string_agg(ph.text, ' ' ORDER BY ph.start_s, ph.end_s, ph.text) AS text FROM segments s JOIN (SELECT video, start_s + 30 AS start_s, end_s + 30 AS end_s, text FROM segments) ph ON s.video = ph.video AND ph.start_s < s.end_s AND ph.end_s > s.start_s GROUP BY s.video, s.idx"))
 def whole_segment_texts(spark, d):

@@ -36,12 +36,19 @@ def first_sightings(spark, d):
     return J.first_sightings(events(spark, d))
 
 
-@register("str02_rate_limit")
+LIMITED = """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, n, event_id, true AS accepted, [t] AS held FROM r WHERE n = 1
+  UNION ALL SELECT r.user_id, r.n, r.event_id, len(list_filter(f.held, lambda h: r.t - h <= 600)) < 5,
+    list_concat(list_filter(f.held, lambda h: r.t - h <= 600), CASE WHEN len(list_filter(f.held, lambda h: r.t - h <= 600)) < 5 THEN [r.t] ELSE [] END) FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+SELECT user_id, event_id, accepted FROM f"""
+
+
+@register("str02_rate_limit", LIMITED)
 def rate_limit(spark, d):
     return J.rate_limited(table(spark, d, "events"))
 
 
-@register("str02_rate_limit_stream")
+@register("str02_rate_limit_stream", LIMITED)
 def rate_limit_stream(spark, d):
     return J.drain(J.rate_limited_stream(events(spark, d, "ts")), "user_id long, event_id long, accepted boolean")
 
@@ -68,7 +75,10 @@ def release(spark, d):
     return J.drain(J.release_stream(arrivals(spark, rows.unionByName(screened).drop("c"), "ts")), "event_id long, context string")
 
 
-@register("str04_life_cycle")
+@register("str04_life_cycle", """WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id),
+k AS (SELECT user_id, arg_min(event_type, event_id) AS first FROM events WHERE event_type IN ('error', 'click', 'purchase', 'view') GROUP BY user_id)
+SELECT l.user_id, CASE WHEN first IS NULL THEN 'SCREENING' WHEN first = 'error' THEN 'RESTRICTED' ELSE 'PENDING' END AS status, CASE WHEN first = 'error' THEN NULL ELSE last END AS note, CASE WHEN first = 'view' THEN 'none' ELSE 'standard' END AS priority
+FROM l LEFT JOIN k ON l.user_id = k.user_id""")
 def life_cycle(spark, d):
     return J.life_cycle(table(spark, d, "events"))
 

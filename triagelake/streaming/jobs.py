@@ -163,31 +163,18 @@ def release_stream(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_id").applyInPandasWithState(release_state, "event_id long, context string", "since double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def life_sorted(batches):
-    """A report's states in order: only a screened item moves on; restriction erases its note and refuses later ones."""
-    row = lambda: pa.record_batch([pa.array([x], t) for x, t in ((user, pa.int64()), (status, pa.string()), (note, pa.string()), (priority, pa.string()))], ["user_id", "status", "note", "priority"])
-    status = None
-    for new, rows in runs(batches, "user_id"):
-        if new:
-            if status is not None:
-                yield row()
-            user, status, note, priority = rows["user_id"][0], "SCREENING", None, "standard"
-        for event_type in rows["event_type"]:
-            if status == "SCREENING" and event_type == "error":
-                status, note = "RESTRICTED", None
-            elif status == "SCREENING" and event_type in ("click", "purchase"):
-                status = "PENDING"
-            elif status == "SCREENING" and event_type == "view":
-                status, priority = "PENDING", "none"
-            if status != "RESTRICTED":
-                note = event_type
-    if status is not None:
-        yield row()
-
-
 def life_cycle(events: DataFrame) -> DataFrame:
-    rows = events.select("user_id", "event_id", "event_type")
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "event_id").mapInArrow(life_sorted, "user_id long, status string, note string, priority string")
+    """(user_id, status, note, priority): where each report's states, in order, have led.
+
+    Only a screened item moves on, so its first deciding event fixes the status: an error restricts it, erases its note and
+    refuses later ones. So two aggregates a report are enough, combined before they are shuffled.
+    """
+    deciding = F.when(F.col("event_type").isin("error", "click", "purchase", "view"), F.col("event_id"))
+    of = events.groupBy("user_id").agg(F.min_by("event_type", deciding).alias("first"), F.max_by("event_type", "event_id").alias("last"))
+    first = F.col("first")
+    status = F.when(first.isNull(), "SCREENING").when(first == "error", "RESTRICTED").otherwise("PENDING")
+    note = F.when(F.coalesce(first != "error", F.lit(True)), F.col("last"))
+    return of.select("user_id", status.alias("status"), note.alias("note"), F.when(first == "view", "none").otherwise("standard").alias("priority"))
 
 
 def screened(rows: DataFrame) -> DataFrame:
