@@ -128,7 +128,7 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
             return None
 
     class Session:
-        sparkContext, conf = Context(), spark.conf
+        sparkContext, conf = Context(), {}
 
     class Frame:
         sparkSession = Session()
