@@ -90,8 +90,9 @@ def pattern_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PATTERNS, "id string, strength string, pattern string")
 
 
-def pattern_hits(text: Column, table: DataFrame) -> Column:
+def pattern_hits(text: Column, table: DataFrame | None = None) -> Column:
     """array<struct<id,strength>> of the (id, strength, pattern) rows that match, by id."""
+    table = pattern_table(SparkSession.active()) if table is None else table
     patterns = [(r["id"], r["strength"], r["pattern"]) for r in sorted(rows_of(table), key=lambda r: r["id"])]
     one = lambda i, s, p: F.when(any_match(text, [p]), F.struct(F.lit(i).alias("id"), F.lit(s).alias("strength")))
     return F.array_compact(F.array(*[one(*p) for p in patterns]))
