@@ -125,6 +125,16 @@ def test_top_k_is_exact_with_ties_nulls_and_repeats(spark, monkeypatch):
     assert topk.top_k(queries.limit(0), df).collect() == []
 
 
+def test_top_k_is_the_same_in_several_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-2, 3, 5).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, terms array<long>")
+    found = lambda: sorted(map(tuple, topk.top_k(df.where("id % 10 = 0"), df, 7, block=16).collect()))
+    whole = found()
+    monkeypatch.setattr(topk, "CELLS", 20)
+    assert found() == whole and len(whole) == 15 * 7
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 40)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}

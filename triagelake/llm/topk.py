@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 BLOCK = 8192
+#: Components of all the queries that are sent around at once (64 MB); more queries take more rounds.
+CELLS = 8_000_000
 
 
 def postings(ids: pa.ChunkedArray, terms: pa.ChunkedArray, n_terms: int):
@@ -29,28 +31,44 @@ def postings(ids: pa.ChunkedArray, terms: pa.ChunkedArray, n_terms: int):
     return ids[order], out, dense
 
 
-def best_of_block(k: int):
-    """Cogrouped Arrow function: the k best candidates of one block for each query of one block."""
-
-    def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = []
-        if queries.num_rows and candidates.num_rows:
-            width = max(int(np.diff(t["terms"].combine_chunks().offsets.to_numpy()).max()) for t in (queries, candidates))
-            q_ids, _, q_dense = postings(queries["id"], queries["terms"], width)
-            c_ids, lists, _ = postings(candidates["id"], candidates["terms"], width)
-            for q_id, row in zip(q_ids, q_dense):
+def blocks_of(batches, size: int):
+    """The rows of Arrow batches in tables of ``size`` rows or a few more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def best_of(k: int, block: int, queries):
+    """Arrow function over candidates: of each task the k best ones for every query that was sent."""
+
+    def search(batches):
+        q_ids, q_dense = queries.value
+        none = np.zeros(0, np.int64)
+        best = [(none, none)] * len(q_ids)
+        for table in blocks_of(batches, block):
+            width = int(np.diff(table["terms"].combine_chunks().offsets.to_numpy()).max())
+            c_ids, lists, _ = postings(table["id"], table["terms"], width)
+            for q, (q_id, row) in enumerate(zip(q_ids, q_dense)):
                 scores = np.zeros(len(c_ids), np.int64)
-                for term in np.flatnonzero(row):
+                for term in np.flatnonzero(row[:width]):
                     at, weights = lists[term]
                     scores[at] += row[term] * weights  # positions are distinct within a posting list
-                rest = np.flatnonzero(c_ids != q_id)
-                if len(rest) > k:
-                    cut = np.partition(scores[rest], len(rest) - k)[len(rest) - k]
-                    above, ties = rest[scores[rest] > cut], rest[scores[rest] == cut]
-                    rest = np.concatenate([above, ties[: k - len(above)]])  # positions ascend with the id
-                found.append((np.full(len(rest), q_id), c_ids[rest], scores[rest]))
-        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), parts)})
+                other = c_ids != q_id
+                ids, scores = np.concatenate([best[q][0], c_ids[other]]), np.concatenate([best[q][1], scores[other]])
+                if len(ids) > k:
+                    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    above, ties = scores > least, scores == least
+                    tied = np.sort(ids[ties])[: k - int(above.sum())]
+                    ids, scores = np.concatenate([ids[above], tied]), np.concatenate([scores[above], np.full(len(tied), least)])
+                best[q] = ids, scores
+        columns = [np.repeat(q_ids, [len(i) for i, _ in best]), *(np.concatenate([none, *x]) for x in zip(*best))] if len(q_ids) else [none] * 3
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
     return search
 
@@ -58,22 +76,35 @@ def best_of_block(k: int):
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """The k candidates with the largest inner product for each query: query_id, rank, vec_id, score.
 
-    Both inputs have ``id`` (long) and ``terms`` (array<long>, position = term); other columns are ignored. Every pair of
-    a query block and a candidate block meets in one task that holds two blocks: each term of a query row scatters its
-    weighted posting list into a dense score array, a partition selection keeps k, and a ranked window (with Spark's
-    group limit before the shuffle) merges the blocks. Ties go to the smaller id. A candidate with the query's own id is
-    the query itself. Rows with null id or terms, or a null term, take no part; of repeated ids one vector is used, the
-    smallest as an array. Arrays of different length count as padded by zeros. Empty inputs give an empty result.
+    Both inputs have ``id`` (long) and ``terms`` (array<long>, position = term); other columns are ignored. Queries are
+    sent around in rounds of CELLS components at most. Candidates stay where they are: a task goes over its own in
+    blocks, each term of a query row scatters its weighted posting list into a dense score array, and a partition
+    selection keeps k of the block and of those before it. A ranked window (with Spark's group limit before the shuffle)
+    merges the tasks. Ties go to the smaller id. A candidate with the query's own id is the query itself. Rows with null
+    id or terms, or a null term, take no part; of repeated ids one vector is used, the smallest as an array. Arrays of
+    different length count as padded by zeros; products are 64-bit and wrap beyond. Empty inputs give an empty result.
     """
     valid = F.col("id").isNotNull() & F.col("terms").isNotNull() & ~F.exists("terms", lambda x: x.isNull())
     one = lambda df: df.where(valid).groupBy("id").agg(F.min("terms").alias("terms"))
-    n_q, n_c = (max(1, -(-df.where(valid).count() // block)) for df in (queries, candidates))
-    spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    q = one(queries).select("id", "terms", spread(n_q, 1).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"))
-    c = one(candidates).select("id", "terms", spread(n_c, 2).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
-    found = q.groupBy("q", "c").cogroup(c.groupBy("q", "c")).applyInArrow(best_of_block(k), "query_id long, vec_id long, score long")
+    q, c = cut(one(queries)), cut(one(candidates))
+    n, width = q.agg(F.count("*"), F.max(F.size("terms"))).first()
+    rounds = -(-n // max(1, CELLS // max(width or 0, 1)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = None
+    for r in range(rounds):
+        rows = q.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).toArrow()
+        if not rows.num_rows:
+            continue
+        ids, _, dense = postings(rows["id"], rows["terms"], width)
+        sent = q.sparkSession.sparkContext.broadcast((ids, dense))
+        found = c.mapInArrow(best_of(k, block, sent), "query_id long, vec_id long, score long")
+        merged = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if rounds == 1:
+            return merged
+        merged = cut(merged)
+        sent.unpersist()
+        out = merged if out is None else out.unionByName(merged)
+    return q.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out
 
 
 def fixed_point(embedding, scale: int = 1024):
