@@ -56,7 +56,7 @@ class WordBpe:
         self.words = regex.compile(split.replace(r"\s", SPACE)).findall
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.of_word, self.of_chunk = Memo(self.encode_word, 120_000), Memo(self.encode_chunk, 180_000)
+        self.of_word, self.of_chunk = Memo(self.encode_word, 100_000), Memo(self.encode_chunk, 130_000)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the leftmost pair of lowest rank until none is left.
@@ -141,6 +141,11 @@ class WordBpe:
         self.of_chunk.trim()
         return out
 
+    def forget(self) -> None:
+        """At a task's end: its worker goes on to other work, which needs the memory."""
+        self.of_word.forget()
+        self.of_chunk.forget()
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _, n in self.pieces(text) if n for i in ids.split(" ")]
 
@@ -179,6 +184,7 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows.append((sum(n), sha(" ".join(ids)), sha(" ".join(tokens))))
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -60,6 +60,10 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def crc_mod(doc_id, n: int):
     """Column: crc32 of the id as text, modulo n. A null id has remainder null."""

@@ -29,7 +29,7 @@ FIRST = {"": NONE, "<again>": AGAIN, "<rare>": RARE}
 #: Words that all documents together have fewer times share one vector, that of all their contexts.
 LEAST = 50
 #: Tokens and words after which a task passes its sums on; characters of all texts for each group of words' sums.
-TOKENS, WORDS, BUCKET = 1_500_000, 150_000, 40_000_000
+TOKENS, WORDS, BUCKET = 1_200_000, 120_000, 8_000_000
 #: Up to so many vectors (20 MB) are sent to every executor; the vectors of less frequent words are joined by a shuffle.
 SENT = 1 << 18
 #: Up to so many scores are sent around; more are joined by a shuffle.
@@ -65,7 +65,7 @@ def tokens_of(chunk: str) -> list[str]:
 
 def numbered(number) -> Memo:
     """Chunk -> the numbers of its tokens."""
-    return Memo(lambda chunk: tuple(map(number, tokens_of(chunk))), 80_000)
+    return Memo(lambda chunk: tuple(map(number, tokens_of(chunk))), 60_000)
 
 
 def stream(text: str | None, memo: Memo) -> np.ndarray:

@@ -71,6 +71,11 @@ class Counter:
         self.chunks = regex.compile(r"\s*\S+|\s+").findall
         self.chunk = Memo(self.count, 200_000)
 
+    def forget(self) -> None:
+        """At a task's end: its worker goes on to other work, which needs the memory."""
+        self.chunk.forget()
+        self.trie.clear()
+
     def count(self, chunk: str) -> tuple[int, int]:
         pre = [chunk] if chunk[1:].isalpha() and chunk[0] == " " and chunk.isascii() else self.split(chunk)
         return len(pre), sum(self.trie.insert(p.encode("utf-8", "replace")) for p in pre)
@@ -116,6 +121,7 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
             found = [counter(path, pattern)(text.as_py()) for text in batch["text"]]
             pre, tokens = zip(*found) if found else ((), ())
             yield pa.record_batch([batch["doc_id"], pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+        counter(path, pattern).forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
 
