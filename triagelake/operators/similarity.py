@@ -81,7 +81,7 @@ def hamming_pairs(left: DataFrame, right: DataFrame, limit: int, width: int = 64
     found by several block choices are folded by a distinct.
     """
     n = right.count()
-    keep = 1 if width < 32 else 2 if n < 3_000 else 3 if n < 300_000 else 4
+    keep = 1 if width < 32 else 2 if n < 30_000 else 3 if n < 1_000_000 else 4
     masks = block_masks(limit, keep, width)
     a = with_blocks(left.select(F.col("value").alias("a")), "a", masks)
     b = with_blocks(right.select(F.col("value").alias("b")), "b", masks)
