@@ -215,13 +215,19 @@ def word_vectors(docs: DataFrame) -> DataFrame:
     return often.unionByName(rare)
 
 
-def pooling_table(found: pa.Table) -> tuple[dict[str, int], np.ndarray]:
+def packed_table(found: pa.Table) -> tuple[bytes, bytes]:
+    """Words and vectors as they are sent; a worker keeps what was sent to it, so it is small and unpacked task by task."""
+    return "\n".join(found["word"].to_pylist()).encode(), b"".join(found["v"].to_pylist())
+
+
+def pooling_table(packed: tuple[bytes, bytes]) -> tuple[dict[str, int], np.ndarray]:
     """Numbers of the words, and each one's vector beside its squares, so that one mean gives both moments."""
     numbers = dict(FIRST)
-    at = np.array([numbers.setdefault(w, len(numbers)) for w in found["word"].to_pylist()], np.int64)
+    words = packed[0].decode().split("\n") if packed[1] else []
+    at = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
     vectors = np.zeros((len(numbers), DIMENSIONS), np.float32)
     if len(at):
-        vectors[at] = halves(found["v"].to_pylist())
+        vectors[at] = halves([packed[1]])
     return numbers, np.concatenate([vectors, vectors * vectors], axis=1)
 
 
@@ -303,7 +309,7 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], vectors: DataFram
         return share
     words = {w for text, _ in sample for chunk in set((text or "").split()) for w in tokens_of(chunk)} | {"<again>", "<rare>"}
     wanted = vectors.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(words), pa.string())}))
-    numbers, moments = pooling_table(vectors.join(F.broadcast(wanted), "word").select("word", "v").toArrow())
+    numbers, moments = pooling_table(packed_table(vectors.join(F.broadcast(wanted), "word").select("word", "v").toArrow()))
     rng, memo = np.random.default_rng(5), looked_up(numbers)
     x = np.stack([pooled(stream(text, memo), moments) for text, _ in sample])
     rest = np.arange(len(y)) % 5 == 4
@@ -352,7 +358,7 @@ def text_scores(docs: DataFrame, table, network: Network, others: DataFrame) ->
     sums = ", ".join(f"s{d} double" for d in range(2 * DIMENSIONS))
 
     def run(batches):
-        numbers, moments = table.value
+        numbers, moments = pooling_table(table.value)
         fresh = Numbers()
         fresh.update(numbers)
         memo = numbered(fresh.__getitem__)
@@ -384,7 +390,7 @@ def text_scores(docs: DataFrame, table, network: Network, others: DataFrame) ->
     vector = others.select("word", "v")
 
     def weighed(batches):
-        rare = table.value[1][RARE]
+        rare = pooling_table(table.value)[1][RARE]
         for batch in batches:
             v, n = batch["v"].to_pylist(), batch["n"].to_numpy()
             own = np.zeros((len(n), 2 * DIMENSIONS))
@@ -426,7 +432,7 @@ def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> Da
     if isinstance(network, float):
         return rows.select("row", F.lit(network).alias("score"))
     first, others = most_frequent(vectors, SENT)
-    table = docs.sparkSession.sparkContext.broadcast(pooling_table(first.select("word", "v").toArrow()))
+    table = docs.sparkSession.sparkContext.broadcast(packed_table(first.select("word", "v").toArrow()))
     if others is not None:
         rows = rows.withColumn("text", F.col("row.text"))
         scores = text_scores(rows, table, network, others)
@@ -435,7 +441,7 @@ def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> Da
         return joined.join(scores, (F.col("_k") == F.col("_key")) & (F.col("_k2") == F.col("_key2"))).select("row", F.col("_score").alias("score"))
 
     def run(batches):
-        numbers, moments = table.value
+        numbers, moments = pooling_table(table.value)
         memo = looked_up(numbers)
         for batch in batches:
             x = np.array([pooled(stream(text.as_py(), memo), moments) for text in batch["row"].field("text")]).reshape(-1, 2 * DIMENSIONS + 1)
