@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, sharding, shingles, tokencount, topk, toxicity, vectors
+from . import alignment, bpe, langid, mixing, quality, sharding, shingles, tokencount, topk, toxicity, vectors
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_quality": quality.query,
     "op10_ngram_jaccard_join": shingles.query,
+    "op11_token_alignment": alignment.query,
 }
 
 SQL = {
