@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, langid, mixing, quality, sharding, shingles, tokencount, topk, toxicity, vectors
+from . import alignment, bpe, cascade, langid, mixing, quality, sharding, shingles, tokencount, topk, toxicity, vectors
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_ngram_jaccard_join": shingles.query,
     "op11_token_alignment": alignment.query,
+    "op12_quality_rules": cascade.query,
 }
 
 SQL = {
     "op1_exact_top_k": topk.SQL,
     "op5_source_mixing": mixing.SQL,
     "op6_embedding_near_dedup": vectors.SQL,
+    "op12_quality_rules": cascade.SQL,
 }
