@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, cascade, langid, mixing, quality, sharding, shingles, tokencount, topk, toxicity, vectors
+from . import alignment, bpe, cascade, langid, mixing, quality, sharding, shingles, tokencount, topk, toxicity, vectors, whitening
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": shingles.query,
     "op11_token_alignment": alignment.query,
     "op12_quality_rules": cascade.query,
+    "op13_embedding_whitening": whitening.query,
 }
 
 SQL = {
