@@ -13,19 +13,14 @@ from .common import cut, table
 from .topk import fixed_point
 
 SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 16
-#: Rows that are multiplied at once in a task; Ritz vectors beyond the wanted ones; MINRES steps of a correction equation;
-#: basis vectors before a restart; rounds at most.
-ROWS, GUARD, INNER, BASIS, ROUNDS = 4096, 8, 8, 96, 60
-
-
-def matrix(column: pa.ChunkedArray | pa.Array, width: int, fill: int = OFFSET) -> np.ndarray:
-    """An Arrow column of integer lists as a matrix; shorter lists end with ``fill``."""
-    of = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    ends = of.offsets.to_numpy()
-    flat, lengths = of.values.to_numpy(), np.diff(ends)
-    out = np.full((len(of), width), fill, np.int64)
-    out[np.repeat(np.arange(len(of)), lengths), np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], lengths)] = flat[ends[0] : ends[-1]]
-    return out
+#: Rows that are multiplied at once in a task; Ritz vectors beyond the wanted ones; MINRES steps of a correction equation at
+#: first and at most; basis vectors before a restart; rounds at most.
+ROWS, GUARD, INNER, BASIS, ROUNDS = 4096, 8, (8, 64), 192, 60
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """An Arrow column of integer lists of one length as a matrix."""
+    return column.flatten().to_numpy().reshape(len(column), width)
 
 
 def summed(fit: DataFrame, width: int, make: Callable[[np.ndarray], np.ndarray], kind: str = "double") -> np.ndarray:
@@ -77,7 +72,7 @@ def minres(product, right: np.ndarray, shifts: np.ndarray, steps: int, within: f
         c_old, s_old, c, s = c, s, diagonal / safe, above / safe
         direction = (now - near * last - far * before) / safe
         x += np.where(live, c * phi * direction, 0)
-        phi = s * phi
+        phi = -s * phi
         before, last = last, direction
         live &= (above > 1e-14 * np.abs(alpha).max(initial=tiny)) & (np.abs(phi) > within * scale)
         old, now, beta = now, next_ / np.where(above > 0, above, 1), above
@@ -132,7 +127,7 @@ def jacobi_davidson(product, d: int, k: int, seed: int = 5) -> tuple[np.ndarray,
             basis, image = basis[:, : 2 * active], image[:, : 2 * active]
         out = np.concatenate([locked, basis[:, :active]], axis=1)
         project = lambda m: m - out @ (out.T @ m)  # noqa: B023, E731
-        step = minres(lambda m: project(product(project(m))), -project(residual[:, :active]), ritz[:active], INNER, 0.5 ** (round_ + 2))
+        step = minres(lambda m: project(product(project(m))), -project(residual[:, :active]), ritz[:active], min(INNER[0] + 4 * round_, INNER[1]), 0.5 ** (round_ + 2))
         new = orthonormal(step, locked, basis)
         if not new.shape[1] and not whole:  # a subspace that holds no more of the operator: go on in another direction
             new = orthonormal(np.random.default_rng(seed + round_ + 1).normal(size=(d, 1)), locked, basis)
@@ -150,12 +145,11 @@ def jacobi_davidson(product, d: int, k: int, seed: int = 5) -> tuple[np.ndarray,
 class Whitening:
     """Means and leading components of a fit list: n, sums (integers), values, vectors, trace, identity_error."""
 
-    def __init__(self, fit: DataFrame, k: int):
-        """fit has one column ``x`` (array<long>), each vector once; it is read once for each product."""
-        self.n, width = fit.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
-        self.width = n_dims = int(width)
-        n = self.n
-        self.sums = sums = summed(fit, n_dims, lambda x: x.sum(axis=0), "long") if n and n_dims else np.zeros(n_dims, np.int64)
+    def __init__(self, fit: DataFrame, width: int, k: int):
+        """fit has one column ``x`` (array<long> of ``width``), each vector once; it is read once for each product."""
+        self.n = n = fit.count()
+        self.width = width
+        self.sums = sums = summed(fit, width, lambda x: x.sum(axis=0), "long") if n and width else np.zeros(width, np.int64)
         centred = lambda x: (n * x - sums) / n
 
         def product(q: np.ndarray) -> np.ndarray:
@@ -163,13 +157,13 @@ class Whitening:
                 c = centred(x)
                 return c.T @ (c @ q)
 
-            return summed(fit, n_dims, make).reshape(q.shape) / n
+            return summed(fit, width, make).reshape(q.shape) / n
 
-        self.trace = float(summed(fit, n_dims, lambda x: (centred(x) ** 2).sum(axis=0)).sum() / n) if n and n_dims else 0.0
-        self.values, self.vectors, self.identity_error = np.zeros(0), np.zeros((n_dims, 0)), 0.0
+        self.trace = float(summed(fit, width, lambda x: (centred(x) ** 2).sum(axis=0)).sum() / n) if n and width else 0.0
+        self.values, self.vectors, self.identity_error = np.zeros(0), np.zeros((width, 0)), 0.0
         if self.trace > 0:
-            values, vectors = jacobi_davidson(product, n_dims, k)
-            some = values > values[0] * np.finfo(float).eps * max(n_dims, 64)
+            values, vectors = jacobi_davidson(product, width, k)
+            some = values > values[0] * np.finfo(float).eps * max(width, 64)
             vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
             self.values, self.vectors = values[some], vectors[:, some]
             k = len(self.values)
@@ -178,7 +172,7 @@ class Whitening:
                 w = self.apply(x)
                 return np.concatenate([w.sum(axis=0), (w.T @ w).ravel()])
 
-            found = summed(fit, n_dims, moments) / n
+            found = summed(fit, width, moments) / n
             covariance = found[k:].reshape(k, k) - np.outer(found[:k], found[:k])
             self.identity_error = float(np.abs(covariance - np.eye(k)).max())
 
@@ -203,8 +197,10 @@ def whiten(vectors: DataFrame, k: int = COMPONENTS) -> DataFrame:
     64 bits is an error.
     """
     rows = vectors.select("vec_id", F.transform(fixed_point(F.col("embedding"), SCALE), lambda x: x + OFFSET).alias("x")).where("x is not null")
+    width = rows.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0]
+    rows = rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(OFFSET).cast("long"), F.lit(width) - F.size("x"))))
     fit = cut(rows.select("x").distinct()).persist()  # passes read memory, and the checkpoint where an executor was lost
-    of = Whitening(fit, k)
+    of = Whitening(fit, width, k)
     fit.unpersist()
     share = of.values / of.trace if of.trace else of.values
 
