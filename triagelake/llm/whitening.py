@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ from .topk import fixed_point
 
 SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 16
 #: Rows that are multiplied at once in a task; Ritz vectors beyond the wanted ones; MINRES steps of a correction equation at
-#: first and at most; basis vectors before a restart; rounds at most.
-ROWS, GUARD, INNER, BASIS, ROUNDS = 4096, 8, (8, 64), 192, 60
+#: first and at most; basis vectors before a restart; rounds at most;
+#: rows of sums that come to the driver.
+ROWS, GUARD, INNER, BASIS, ROUNDS, MERGED = 4096, 8, (8, 64), 192, 60, 16
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -24,8 +26,11 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def summed(fit: DataFrame, width: int, make: Callable[[np.ndarray], np.ndarray], kind: str = "double") -> np.ndarray:
-    """The sum of ``make`` over blocks of the rows of ``fit``, flat. Tasks add up their own blocks; Spark adds the tasks' sums, a
-    group for each entry; what comes to the driver is one such array."""
+    """The sum of ``make`` over blocks of the rows of ``fit``, flat.
+
+    A task adds up its own blocks to one row; MERGED groups of tasks are added up by further tasks, and the driver adds
+    the MERGED rows that are left.
+    """
 
     def run(batches):
         total = None
@@ -34,12 +39,14 @@ def summed(fit: DataFrame, width: int, make: Callable[[np.ndarray], np.ndarray],
                 one = make(matrix(batch["x"].slice(start, ROWS), width)).ravel()
                 total = one if total is None else total + one
         if total is not None:
-            yield pa.record_batch([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["at", "value"])
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId() % MERGED], pa.int32()), pa.array([total])], ["part", "sums"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        return pa.table({"part": rows["part"].slice(0, 1), "sums": pa.array([matrix(rows["sums"].combine_chunks(), len(rows["sums"][0])).sum(axis=0)])})
 
-    found = fit.mapInArrow(run, f"at int, value {kind}").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros(found.num_rows, np.int64 if kind == "long" else np.float64)
-    out[found["at"].to_numpy()] = found["value"].to_numpy()
-    return out
+    schema = f"part int, sums array<{kind}>"
+    found = fit.mapInArrow(run, schema).groupBy("part").applyInArrow(merge, schema).toArrow()["sums"].combine_chunks()
+    return matrix(found, len(found[0])).sum(axis=0)
 
 
 def minres(product, right: np.ndarray, shifts: np.ndarray, steps: int, within: float) -> np.ndarray:
