@@ -28,24 +28,31 @@ def test_query_without_sql_runs(spark, data, name):
     assert df.columns and df.count() >= 0
 
 
+def in_sequence(prints, near_kinds):
+    """Groups of (seq, pos, kind, value) rows by one pass in order."""
+    owned, want, rows = {}, {}, {}
+    for seq, pos, kind, value in prints:
+        rows.setdefault(seq, []).append((pos, kind, value))
+    for seq in sorted(rows):
+        own = sorted(rows[seq])
+        group = next((owned[k, v] for _, k, v in own if (k, v) in owned), None)
+        if group is None:
+            near = [((int(v) ^ int(w) & (1 << 64) - 1) & (1 << 64) - 1, pos, int(w) & (1 << 64) - 1, g, near_kinds[k]) for pos, k, v in own if k in near_kinds for (kind, w), g in owned.items() if kind == k]
+            near = [(x.bit_count(), *rest, g) for x, *rest, g, limit in near if x.bit_count() <= limit]
+            group = min(near)[-1] if near else seq
+        want[seq] = group
+        for _, k, v in own:
+            owned.setdefault((k, v), group)
+    return want
+
+
 def test_content_groups_equal_a_sequential_pass(spark, data):
     from triagelake.operators import queue as Q
-    from triagelake.operators import similarity as S
+    from triagelake.plans import queue_queries as P
     from triagelake.plans.standin import view
 
-    owned, want = {}, {}
-    prints = {}
-    for r in Q.fingerprints(view(spark, data, "posts"), near=True).collect():
-        prints.setdefault(r.seq, []).append((r.pos, r.kind, r.value))
-    for seq in sorted(prints):
-        own = sorted(prints[seq])
-        group = next((owned[k, v][1] for _, k, v in own if (k, v) in owned), None)
-        if group is None:
-            near = [(((int(v) ^ int(w)) & (1 << 64) - 1).bit_count(), pos, f"{int(w) & (1 << 64) - 1:X}", g) for pos, k, v in own if k == "text_simhash" for (kind, w), (_, g) in owned.items() if kind == k]
-            near = [x for x in near if x[0] <= S.SIMHASH_LIMIT]
-            group = min(near)[3] if near else seq
-        want[seq] = group
-        for _, k, v in own:
-            owned.setdefault((k, v), (seq, group))
+    prints = [tuple(r) for r in Q.fingerprints(view(spark, data, "posts"), P.media(spark, data)).collect()]
+    assert {k for _, _, k, _ in prints} == {"text_sha", "text_simhash", "media_sha", "media_phash"}
+    want = in_sequence(prints, Q.NEAR_KINDS)
     got = {r.seq: r.group for r in registry.QUERIES["grp03_content_groups"](spark, data).collect()}
     assert got == want

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import text as T
-from triagelake.functions.simhash import simhash
-from triagelake.operators.similarity import cut
+from triagelake.functions.simhash import simhash, simhash_md5
+from triagelake.operators.similarity import IMAGE_LIMIT, SIMHASH_LIMIT, cut
 
 MIN_WORDS_EXACT, MIN_WORDS_NEAR = 5, 8
 RANKS = {"urgent": 0, "high": 1, "standard": 2, "none": 3}
@@ -33,17 +33,33 @@ def page(queue: DataFrame, offset: int, size: int) -> DataFrame:
     return queue.orderBy("rank", F.desc("copies"), F.desc("last_ts"), "first_id").offset(offset).limit(size)
 
 
-def fingerprints(posts: DataFrame, near: bool) -> DataFrame:
-    """(seq, pos, kind, value): exact text from five words on, near text from eight on, and a media stand-in."""
-    rows = posts.withColumn("t", T.normalize_text(F.col("text")))
+#: Kinds of which two values within the limit of bits are near copies; the others match whole.
+NEAR_KINDS = {"text_simhash": SIMHASH_LIMIT, "media_phash": IMAGE_LIMIT}
+
+
+def fingerprints(posts: DataFrame, media: DataFrame | None = None, by_md5: bool = False) -> DataFrame:
+    """(seq, pos, kind, value) of posts (seq, text) and their media (seq, n, kind, sha, phash), in order of position.
+
+    Texts have an exact fingerprint from five words on and a near one from eight on; every medium has its file's digest,
+    and images their 64-bit picture hash, where there is one. With ``by_md5`` the near text hash is the one that SQL can
+    repeat. Values of near kinds are signed 64-bit numbers as text.
+    """
+    rows = posts.select("seq", T.normalize_text(F.col("text")).alias("t"))
     rows = rows.withColumn("w", F.size(T.words(F.col("t"))))
-    one = lambda pos, kind, value: F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("kind"), value.alias("value"))
+    one = lambda pos, kind, value: F.struct(F.lit(pos).cast("long").alias("pos"), F.lit(kind).alias("kind"), value.alias("value"))
     parts = [F.when(F.col("w") >= MIN_WORDS_EXACT, one(0, "text_sha", F.sha2("t", 256)))]
-    if near:
-        parts.append(F.when(F.col("w") >= MIN_WORDS_NEAR, one(1, "text_simhash", simhash(F.col("t")).cast("string"))))
-    else:
-        parts.append(F.when(F.col("seq") % 5 == 0, one(1, "channel_sha", F.sha2("channel", 256))))
-    return rows.select("seq", F.explode(F.array_compact(F.array(*parts))).alias("f")).select("seq", "f.*")
+    long_enough = F.col("w") >= MIN_WORDS_NEAR
+    if not by_md5:
+        parts.append(F.when(long_enough, one(1, "text_simhash", simhash(F.col("t")).cast("string"))))
+    out = rows.select("seq", F.explode(F.array_compact(F.array(*parts))).alias("f")).select("seq", "f.*")
+    if by_md5:
+        near = simhash_md5(rows.where(long_enough).select(F.col("seq").alias("id"), F.col("t").alias("text")))
+        out = out.unionByName(near.select(F.col("id").alias("seq"), F.lit(1).cast("long").alias("pos"), F.lit("text_simhash").alias("kind"), F.col("simhash").cast("string").alias("value")))
+    if media is not None:
+        at = 2 * F.col("n").cast("long")
+        files = F.array(F.when(F.col("sha").isNotNull(), F.struct((at + 2).alias("pos"), F.lit("media_sha").alias("kind"), F.col("sha").alias("value"))), F.when((F.col("kind") == "image") & F.col("phash").isNotNull(), F.struct((at + 3).alias("pos"), F.lit("media_phash").alias("kind"), F.col("phash").cast("string").alias("value"))))
+        out = out.unionByName(media.select("seq", F.explode(F.array_compact(files)).alias("f")).select("seq", "f.*"))
+    return out
 
 
 def match_items(new: DataFrame, known: DataFrame) -> DataFrame:

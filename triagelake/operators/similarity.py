@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # How many bits apart near texts, near images, and near copies of a reference may be.
 SIMHASH_LIMIT, IMAGE_LIMIT, REFERENCE_LIMIT = 9, 4, 8
-#: A key under which more pairs than this would meet is split by further bits.
+#: A key under which more pairs than this would meet is split.
 HOT_PAIRS = 4_000_000
 
 
@@ -32,74 +32,84 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def block_masks(limit: int, keep: int = 2, width: int = 64) -> list[int]:
-    """Masks over ``width`` bits such that two values at most ``limit`` apart agree under one of them.
-
-    The bits are cut to limit + keep blocks; at most ``limit`` of them differ, so some ``keep`` blocks are equal.
-    """
-    n = limit + keep
+def block_masks(limit: int, reach: int = 1, width: int = 64) -> list[int]:
+    """Masks that cut ``width`` bits to blocks, so few that values at most ``limit`` apart differ by ``reach`` bits or fewer
+    in one of them."""
+    n = min(limit // (reach + 1) + 1, width)
     bounds = [width * i // n for i in range(n + 1)]
-    blocks = [((1 << bounds[i + 1]) - 1) & ~((1 << bounds[i]) - 1) for i in range(n)]
-    return [sum(chosen) for chosen in combinations(blocks, keep)]
+    return [((1 << bounds[i + 1]) - 1) & ~((1 << bounds[i]) - 1) for i in range(n)]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def further_masks(mask: int, limit: int, width: int = 64) -> list[int]:
-    """The bits outside a mask cut to limit + 1 parts, of which one is equal in values that are ``limit`` apart."""
-    bits = [b for b in range(width) if not mask >> b & 1]
-    n = limit + 1
-    return [sum(1 << b for b in bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
+def flips(mask: int, reach: int) -> list[int]:
+    """Every choice of at most ``reach`` bits of a mask."""
+    bits = [1 << b for b in range(64) if mask >> b & 1]
+    return [sum(chosen) for n in range(reach + 1) for chosen in combinations(bits, n)]
 
 
-def with_blocks(values: DataFrame, value: str, masks: list[int]) -> DataFrame:
-    """A row for each mask: block (its number), key (the bits of the value under it)."""
+def keyed(values: DataFrame, value: str, masks: list[int]) -> DataFrame:
+    """A row for each block: block (its number), key (the bits of the value under its mask). What an index holds."""
     of = F.array(*[F.struct(F.lit(i).alias("block"), F.lit(signed(m)).alias("mask")) for i, m in enumerate(masks)])
     return values.withColumn("m", F.explode(of)).withColumn("block", F.col("m.block")).withColumn("key", F.col(value).bitwiseAND(F.col("m.mask"))).drop("m")
 
 
-def split_further(rows: DataFrame, value: str, hot: DataFrame, masks: list[int], limit: int, width: int) -> DataFrame:
-    """The rows of hot keys, once for each part of the bits that the block leaves out."""
-    parts = F.array(*[F.array(*[F.lit(signed(m)) for m in further_masks(mask, limit, width)]) for mask in masks])
-    rows = rows.join(F.broadcast(hot), ["block", "key"], "left_semi").select("*", F.posexplode(F.get(parts, F.col("block"))).alias("part", "of"))
-    return rows.withColumn("part_key", F.col(value).bitwiseAND(F.col("of"))).drop("of")
+def probed(values: DataFrame, value: str, masks: list[int], reach: int) -> DataFrame:
+    """A row for each key of an index at most ``reach`` bits from the value's own key in the block."""
+    of = F.array(*[F.struct(F.lit(i).alias("block"), F.lit(signed(m)).alias("mask"), F.lit(signed(f)).alias("flip")) for i, m in enumerate(masks) for f in flips(m, reach)])
+    rows = values.withColumn("m", F.explode(of))
+    return rows.withColumn("block", F.col("m.block")).withColumn("key", F.col(value).bitwiseAND(F.col("m.mask")).bitwiseXOR(F.col("m.flip"))).drop("m")
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, limit: int, width: int = 64) -> DataFrame:
-    """(a, b, distance) of all values within ``limit`` bits; inputs are distinct values in column ``value``, all of their
-    bits within the lowest ``width``.
+def meet(probes: DataFrame, index: DataFrame, masks: list[int], limit: int, reach: int, where: Column | None = None) -> DataFrame:
+    """Pairs (a, b, distance, and the other columns of both sides) of ``probed`` and ``keyed`` values within ``limit``.
 
-    Exact by the pigeonhole principle: an equi-join on (block choice, masked value), then the distance. More values are
-    cut to more blocks, so that a key is shared by few. Keys that are shared by very many all the same are split by the
-    bits that their block choice leaves out; there are few of them, as each has HOT_PAIRS pairs or more. Equal pairs
-    found by several block choices are folded by a distinct.
+    A pair counts in the first block where it is near enough alone, so each is found once and nothing has to be made
+    distinct. Keys where more than HOT_PAIRS pairs meet are split on both sides, so that no task has more.
+    """
+    counts = probes.groupBy("block", "key").agg(F.count("*").alias("n")).join(index.groupBy("block", "key").agg(F.count("*").alias("m")), ["block", "key"])
+    side = HOT_PAIRS**0.5
+    hot = cut(counts.where(F.col("n") * F.col("m") > HOT_PAIRS).select("block", "key", F.ceil(F.col("n") / side).cast("int").alias("parts_a"), F.ceil(F.col("m") / side).cast("int").alias("parts_b")))
+    on = ["block", "key"]
+    if not hot.isEmpty():
+        part = lambda value, of: F.pmod(F.xxhash64(value), F.coalesce(of, F.lit(1))).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.coalesce(of, F.lit(1)) - 1))
+        probes = probes.join(hot, on, "left").withColumn("part_a", part("a", F.col("parts_a"))).withColumn("part_b", every(F.col("parts_b"))).drop("parts_a", "parts_b")
+        index = index.join(hot, on, "left").withColumn("part_b", part("b", F.col("parts_b"))).withColumn("part_a", every(F.col("parts_a"))).drop("parts_a", "parts_b")
+        on = [*on, "part_a", "part_b"]
+    x, first = F.col("a").bitwiseXOR(F.col("b")), F.lit(False)
+    for i in range(len(masks)):
+        here = F.col("block") == i
+        for m in masks[:i]:
+            here = here & (F.bit_count(x.bitwiseAND(F.lit(signed(m)))) > reach)
+        first = first | here
+    keep = (F.bit_count(x) <= limit) & first
+    pairs = probes.join(index, on).where(keep if where is None else keep & where)
+    return pairs.withColumn("distance", F.bit_count(x)).drop(*on)
+
+
+def hamming_pairs(left: DataFrame, right: DataFrame, limit: int, width: int = 64, where: Column | None = None) -> DataFrame:
+    """(a, b, distance) of all values within ``limit`` bits, and the other columns of both inputs, whose names differ.
+
+    Inputs have a column ``value``, all of whose bits are within the lowest ``width``. Exact by the pigeonhole principle:
+    the right side is stored once for each of a few blocks, the left side looks up its own key of the block and those one
+    bit off (two, where the right side is very large and keys must be longer). ``where`` is a further condition on pairs.
     """
-    n = right.count()
-    keep = 1 if width < 32 else 2 if n < 30_000 else 3 if n < 1_000_000 else 4
-    masks = block_masks(limit, keep, width)
-    a = with_blocks(left.select(F.col("value").alias("a")), "a", masks)
-    b = with_blocks(right.select(F.col("value").alias("b")), "b", masks)
-    counts = a.groupBy("block", "key").agg(F.count("*").alias("n")).join(b.groupBy("block", "key").agg(F.count("*").alias("m")), ["block", "key"])
-    hot = cut(counts.where(F.col("n") * F.col("m") > HOT_PAIRS).select("block", "key"))
-    near = lambda x, y, *on: x.join(y, list(on)).withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= limit).select("a", "b", "distance")
-    if hot.isEmpty():
-        return near(a, b, "block", "key").distinct()
-    cold = lambda rows: rows.join(F.broadcast(hot), ["block", "key"], "left_anti")
-    split = lambda rows, value: split_further(rows, value, hot, masks, limit, width)
-    return near(cold(a), cold(b), "block", "key").union(near(split(a, "a"), split(b, "b"), "block", "key", "part", "part_key")).distinct()
+    reach = 0 if not limit else 1 if limit < 3 or right.count() < 1 << 22 else 2
+    masks = block_masks(limit, reach, width)
+    return meet(probed(left.withColumnRenamed("value", "a"), "a", masks, reach), keyed(right.withColumnRenamed("value", "b"), "b", masks), masks, limit, reach, where)
 
 
 def near_reference(candidates: DataFrame, reference: DataFrame, limit: int = REFERENCE_LIMIT, width: int = 64) -> DataFrame:
     """(id, reference_id, distance): candidates within ``limit`` bits of a reference value, with the closest (first by id)."""
     known = reference.groupBy("value").agg(F.min("id").alias("reference_id"))
-    pairs = hamming_pairs(candidates.select("value").distinct(), known.select("value"), limit, width)
-    found = pairs.join(known.withColumnRenamed("value", "b"), "b")
+    found = hamming_pairs(candidates.select("value").distinct(), known, limit, width)
     best = found.groupBy("a").agg(F.min(F.struct("distance", "reference_id")).alias("m"))
     return candidates.join(best, candidates["value"] == best["a"]).select("id", "m.reference_id", "m.distance")
 
@@ -117,8 +127,7 @@ def nearest_within(values: DataFrame, limit: int = SIMHASH_LIMIT, width: int = 6
     same = copies.join(second, "value").select("id", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("reference_id"), F.lit(0).alias("distance"))
     todo, out = first.where("n = 1").select("value"), same
     for radius in sorted({min(r, limit) for r in (1, 3, 5, 7, limit)}):
-        pairs = hamming_pairs(todo, first.select("value"), radius, width).where("a <> b")
-        found = pairs.join(first.select(F.col("value").alias("b"), F.col("first").alias("reference_id")), "b")
+        found = hamming_pairs(todo, first.select("value", F.col("first").alias("reference_id")), radius, width, F.col("a") != F.col("b"))
         best = cut(found.groupBy("a").agg(F.min(F.struct("distance", "reference_id")).alias("m")))
         named = best.join(first, best["a"] == first["value"]).select(F.col("first").alias("id"), "m.reference_id", "m.distance")
         out = out.unionByName(named)
@@ -131,9 +140,7 @@ def first_independent(values: DataFrame, limit: int) -> DataFrame:
 
     Rounds over the edges: keep what has no earlier neighbour left undecided or kept, drop what has a kept one.
     """
-    pairs = hamming_pairs(values.select("value"), values.select("value"), limit)
-    a, b = values.select(F.col("value").alias("a"), "o"), values.select(F.col("value").alias("b"), F.col("o").alias("e"))
-    edges = cut(pairs.join(a, "a").join(b, "b").where("e < o").select("o", "e"))
+    edges = cut(hamming_pairs(values, values.withColumnRenamed("o", "e"), limit, where=F.col("e") < F.col("o")).select("o", "e"))
     undecided, kept = values.select("o"), None
     while not undecided.isEmpty():
         new = cut(undecided.join(edges.select("o").distinct(), "o", "left_anti"))
@@ -167,8 +174,7 @@ def greedy_dedupe(items: DataFrame, limit: int = REFERENCE_LIMIT, batch: int = 4
         left = rest.count()
     if kept is None:
         return items.select("id", F.col("id").alias("kept_id")).limit(0)
-    to = hamming_pairs(first.select("value"), kept.select("value"), limit)
-    to = to.join(kept.select(F.col("value").alias("b"), F.col("o").alias("e")), "b").select(F.col("a").alias("value"), "e", "distance")
+    to = hamming_pairs(first.select("value"), kept.select("value", F.col("o").alias("e")), limit).select(F.col("a").alias("value"), "e", "distance")
     best = items.join(to, "value").where("e < ord").groupBy("ord", "id").agg(F.min(F.struct("distance", "e")).alias("m"))
     name = items.select(F.col("ord").alias("e"), F.col("id").alias("kept_id"))
     return best.select("id", F.col("m.e").alias("e")).join(name, "e").select("id", "kept_id")
@@ -228,6 +234,42 @@ def first_bearers(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.groupBy("kind", "value").agg(F.min("seq").alias("owner"))
 
 
+def place(value: str) -> Column:
+    """A text by which 64-bit values stand in the order of their unsigned numbers."""
+    return F.lpad(F.hex(value), 16, "0")
+
+
+def exact_parents(fingerprints: DataFrame, owners: DataFrame) -> DataFrame:
+    """(seq, parent): of the first fingerprint of a row that an earlier row owns, that row's group if it is known, else itself."""
+    found = fingerprints.join(owners, ["kind", "value"]).where("owner < seq")
+    return found.groupBy("seq").agg(F.min_by(F.coalesce("group", "owner"), "pos").alias("parent"))
+
+
+def near_parents(rows: DataFrame, owners: DataFrame, near_kinds: dict[str, int]) -> DataFrame:
+    """(seq, parent) of rows that no exact fingerprint has placed: the nearest value of an earlier row within its kind's
+    limit, by distance, then position, then value.
+
+    Kinds are searched together, within a radius that grows; a row that has found something leaves, as all that lies
+    nearer has been seen. So few rows reach the large radii, where pairs are many.
+    """
+    values = lambda df, kind, *more: df.where(F.col("kind") == kind).select(F.col("value").cast("bigint").alias("value"), *more)
+    todo, out, done = rows.where(F.col("kind").isin(*near_kinds)), None, {}
+    top = max(near_kinds.values())
+    for radius in sorted({min(r, top) for r in (*range(3, top, 2), top)}):
+        parts = None
+        for kind, limit in near_kinds.items():
+            if done.get(kind) == min(radius, limit):
+                continue
+            done[kind] = min(radius, limit)
+            mine = values(todo, kind, "seq", "pos").groupBy("value", "seq").agg(F.min("pos").alias("pos"))
+            part = hamming_pairs(mine, values(owners, kind, "owner", "group"), done[kind], where=F.col("owner") < F.col("seq")).select("seq", "distance", "pos", place("b").alias("place"), F.coalesce("group", "owner").alias("parent"))
+            parts = part if parts is None else parts.unionByName(part)
+        best = cut(parts.groupBy("seq").agg(F.min(F.struct("distance", "pos", "place", "parent")).alias("best")).select("seq", "best.parent"))
+        out = best if out is None else out.unionByName(best)
+        todo = cut(todo.join(best, "seq", "left_anti"))
+    return out
+
+
 def content_groups(fingerprints: DataFrame, near_kinds: dict[str, int]) -> DataFrame:
     """(seq, group): fingerprints are (seq, pos, kind, value); values of near kinds are 64-bit numbers in text.
 
@@ -236,19 +278,9 @@ def content_groups(fingerprints: DataFrame, near_kinds: dict[str, int]) -> DataF
     group. Groups never merge, so each row has one parent, and the root of its parents names the group.
     """
     fingerprints = cut(fingerprints)
-    owners = cut(first_bearers(fingerprints))
-    exact = fingerprints.join(owners, ["kind", "value"]).where("owner < seq").groupBy("seq").agg(F.min_by("owner", "pos").alias("parent"))
-    exact = cut(exact)
-    rest = cut(fingerprints.join(exact, "seq", "left_anti"))
-    parts = None
-    for kind, limit in near_kinds.items():
-        own = owners.where(F.col("kind") == kind).select(F.col("value").cast("bigint").alias("value"), "owner")
-        mine = rest.where(F.col("kind") == kind).select("seq", "pos", F.col("value").cast("bigint").alias("value"))
-        pairs = hamming_pairs(mine.select("value").distinct(), own.select("value"), limit)
-        found = mine.join(pairs, mine["value"] == pairs["a"]).join(own.select(F.col("value").alias("b"), "owner"), "b").where("owner < seq")
-        part = found.select("seq", F.struct("distance", "pos", F.hex("b").alias("order"), "owner").alias("best"))
-        parts = part if parts is None else parts.unionByName(part)
-    near = parts.groupBy("seq").agg(F.min("best").alias("best")).select("seq", F.col("best.owner").alias("parent"))
+    owners = cut(first_bearers(fingerprints)).withColumn("group", F.lit(None).cast("long"))
+    exact = cut(exact_parents(fingerprints, owners))
+    near = near_parents(cut(fingerprints.join(exact, "seq", "left_anti")), owners, near_kinds)
     parent = fingerprints.select("seq").distinct().join(exact.unionByName(near), "seq", "left")
     return chain_roots(parent.select(F.col("seq").alias("id"), "parent")).select(F.col("id").alias("seq"), F.col("root").alias("group"))
 

@@ -63,15 +63,52 @@ def media_cap(spark, d):
     return posts.select("o_orderkey", F.size("media").cast("long").alias("n_media"), F.element_at("media", 1).alias("first_media"))
 
 
-@register("grp01_fingerprints", sql("posts", body=f", n AS (SELECT seq, {NORMAL} AS t FROM posts), w AS (SELECT seq, t, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS words FROM n) SELECT seq, CAST(0 AS INTEGER) AS pos, 'text_sha' AS kind, sha256(t) AS value FROM w WHERE words >= 5 UNION ALL SELECT seq, 1, 'channel_sha', sha256(channel) FROM posts WHERE seq % 5 = 0"))
+def media(spark, d):
+    """(seq, n, kind, sha, phash): vectors as media of posts, every seventh a video; some stand with a second post too. The
+    digest is that of the rounded components, the picture hash has their signs."""
+    v = table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    digits = F.array_join(F.transform("embedding", lambda x: F.floor(1024 * x.cast("double")).cast("string")), ",")
+    signs = F.expr("aggregate(sequence(0, 63), 0L, (s, i) -> s | shiftleft(CASE WHEN get(embedding, i) > 0 THEN 1L ELSE 0L END, i))")
+    v = v.select("vec_id", F.when(F.col("vec_id") % 7 == 0, "video").otherwise("image").alias("kind"), F.sha2(digits, 256).alias("sha"), signs.alias("phash"))
+    first = v.select((F.col("vec_id") * 2).alias("seq"), F.lit(0).alias("n"), "kind", "sha", "phash")
+    again = v.where("vec_id % 20 = 3").select((F.col("vec_id") * 3 + 1).alias("seq"), F.lit(1).alias("n"), "kind", "sha", "phash")
+    return first.unionByName(again)
+
+
+MEDIA = """, v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'video' ELSE 'image' END AS kind, sha256(array_to_string(list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)), ',')) AS sha,
+  list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0::HUGEINT END)) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+media AS (SELECT seq, n, kind, sha, CAST(CASE WHEN bits >= 9223372036854775808::HUGEINT THEN bits - 18446744073709551616::HUGEINT ELSE bits END AS BIGINT) AS phash
+  FROM (SELECT vec_id * 2 AS seq, 0 AS n, kind, sha, bits FROM v UNION ALL SELECT vec_id * 3 + 1, 1, kind, sha, bits FROM v WHERE vec_id % 20 = 3) m)"""
+NORMALISED = f", nt AS (SELECT seq, {NORMAL} AS text FROM posts), nw AS (SELECT seq, text, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS words FROM nt), long_texts AS (SELECT seq, text FROM nw WHERE words >= 8), {simhash_sql('long_texts', 'seq')}"
+PRINTS = """, prints AS (SELECT seq, CAST(0 AS BIGINT) AS pos, 'text_sha' AS kind, sha256(text) AS value FROM nw WHERE words >= 5 UNION ALL SELECT id, 1, 'text_simhash', CAST(value AS VARCHAR) FROM values_long_texts
+  UNION ALL SELECT seq, 2 * n + 2, 'media_sha', sha FROM media UNION ALL SELECT seq, 2 * n + 3, 'media_phash', CAST(phash AS VARCHAR) FROM media WHERE kind = 'image')"""
+GROUPS = """, own AS (SELECT kind, value, min(seq) AS owner FROM prints GROUP BY kind, value),
+exact AS (SELECT p.seq, arg_min(o.owner, p.pos) AS parent FROM prints p JOIN own o ON p.kind = o.kind AND p.value = o.value WHERE o.owner < p.seq GROUP BY p.seq),
+hs AS (SELECT seq, pos, kind, CAST(value AS BIGINT) AS v FROM prints WHERE kind IN ('text_simhash', 'media_phash') AND seq NOT IN (SELECT seq FROM exact)),
+ho AS (SELECT kind, CAST(value AS BIGINT) AS v, owner FROM own WHERE kind IN ('text_simhash', 'media_phash')),
+nr AS (SELECT h.seq, o.owner, row_number() OVER (PARTITION BY h.seq ORDER BY bit_count(xor(h.v, o.v)), h.pos, CASE WHEN o.v < 0 THEN 1 ELSE 0 END, o.v) AS n FROM hs h JOIN ho o ON h.kind = o.kind AND o.owner < h.seq
+  AND bit_count(xor(h.v, o.v)) <= CASE h.kind WHEN 'text_simhash' THEN 9 ELSE 4 END),
+up AS (SELECT seq, parent FROM exact UNION ALL SELECT seq, owner FROM nr WHERE n = 1),
+roots AS (SELECT DISTINCT p.seq, p.seq AS "group" FROM prints p WHERE p.seq NOT IN (SELECT seq FROM up) UNION ALL SELECT u.seq, r."group" FROM up u JOIN roots r ON u.parent = r.seq)"""
+PRINT_SQL = sql("posts", body=MEDIA + NORMALISED + PRINTS + " SELECT seq, pos, kind, value FROM prints")
+GROUP_SQL = sql("posts", body=MEDIA + NORMALISED + PRINTS + GROUPS + ' SELECT seq, "group" FROM roots')
+
+
+@register("grp01_fingerprints", PRINT_SQL)
 def fingerprints(spark, d):
-    return Q.fingerprints(view(spark, d, "posts"), near=False)
+    return Q.fingerprints(view(spark, d, "posts"), media(spark, d), by_md5=True)
 
 
 @register("grp03_content_groups")
 def content_groups(spark, d):
-    """Whole documents by exact and near fingerprints; the test replays the sequential assignment."""
-    return S.content_groups(Q.fingerprints(view(spark, d, "posts"), near=True), {"text_simhash": S.SIMHASH_LIMIT})
+    """Whole documents and media by all kinds of fingerprints; the test replays the sequential assignment."""
+    return S.content_groups(Q.fingerprints(view(spark, d, "posts"), media(spark, d)), Q.NEAR_KINDS)
+
+
+@register("grp03_groups_by_md5", GROUP_SQL)
+def content_groups_by_md5(spark, d):
+    """The same with the text hash that SQL can repeat."""
+    return S.content_groups(Q.fingerprints(view(spark, d, "posts"), media(spark, d), by_md5=True), Q.NEAR_KINDS)
 
 
 REPEAT = ", f AS (SELECT *, CASE WHEN post_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY platform, post_id ORDER BY seq) END AS n FROM posts)"
