@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,9 @@ from .bpe import byte_letters
 from .common import cut, table
 
 #: Characters of a part of a text, characters that one Arrow pass takes, pairs that are counted before they leave a task,
-#: and pairs whose counts are sent around (12 MB); counts of all others are joined.
-PART, BLOCK, HELD, SENT = 1 << 16, 1 << 20, 1 << 20, 1 << 20
+#: pairs whose counts are sent around (12 MB), counts of all others being joined; and chunks, and characters of the longest
+#: of them, that a task remembers.
+PART, BLOCK, HELD, SENT, KNOWN, SHORT = 1 << 16, 1 << 20, 1 << 20, 1 << 20, 200_000, 64
 
 #: A space where neither tokenizer merges across: between two characters that are no white space and no U+2581.
 CUT = re.compile("(?<=[^\\s▁\x1c-\x1f\x85\xa0]) (?=[^\\s▁\x1c-\x1f\x85\xa0])")
@@ -45,14 +48,33 @@ class Pair:
         self.bytes = [pa.array(x, pa.binary()) for x in (tokens, pieces)]
         self.lengths = [pc.cast(pc.binary_length(x), pa.int64()) for x in self.bytes]
         self.decimal = [pa.array([str(i) for i in range(len(x))]) for x in self.bytes]
-        self.n_b = len(pieces)
+        self.n_b, self.known = len(pieces), ({}, {})
         #: Numpy type of a pair of ids, which is a * n_b + b.
         self.width = "<u4" if len(tokens) * len(pieces) <= 1 << 32 else "<u8"
 
     def encode(self, parts: list[str]) -> list[pa.ListArray]:
-        """Ids of each part by A and B. A part after a text's first stands after a space, as the first does."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        return [lists(a), lists(self.b.encode(parts, num_threads=1))]
+        """Ids of each part by A and B. A part after a text's first stands after a space, as the first does.
+
+        Chunks between cuts are encoded once while they are remembered, as packed ids.
+        """
+        if len(self.known[0]) > KNOWN:
+            self.forget()
+        chunks = [CUT.split(p) for p in parts]
+        new = list(set().union(*chunks).difference(self.known[0]))
+        for of, ids in zip(self.known, (map(attrgetter("ids"), self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)), self.b.encode(new, num_threads=1))):
+            of.update(zip(new, (array("i", i).tobytes() for i in ids)))
+        out = []
+        for of in self.known:
+            raw = [b"".join(map(of.__getitem__, c)) for c in chunks]
+            ends = np.cumsum([0, *map(len, raw)]) // 4
+            out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int32))))
+        for c in new:
+            if len(c) > SHORT:
+                del self.known[0][c], self.known[1][c]
+        return out
+
+    def forget(self) -> None:
+        self.known = {}, {}
 
     def whole(self, parts: list[str], ids: list[pa.ListArray]) -> np.ndarray:
         """Of each part, whether the bytes of its tokens are those of the part after a space, by both tokenizers."""
@@ -64,12 +86,6 @@ class Pair:
         return good
 
 
-def lists(ids: list[list[int]]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
 @lru_cache(maxsize=2)
 def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
@@ -197,6 +213,7 @@ def encode(paths: tuple[str, str], part: int, block: int):
                 yield batch(**counted.take())
         if counted.rows:
             yield batch(**counted.take())
+        of.forget()  # the task's worker goes on to other work
 
     return run
 
