@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.functions.text import WORD, normalize_text, transliterate, unmask, words
+from triagelake.functions.text import normalize_text, transliterate, unmask, words
+from triagelake.operators.terms import Ages, Terms, built, conditions
 
 #: Demonstration tables; an installation brings its own as DataFrames of the same columns. What a row says: of a kind
 #: (harm, tone, subject), the group and a pattern of it; groups come in the order of ``place``.
@@ -25,9 +28,8 @@ PATTERNS = (("pt-1", "strong", "idiot|moron|scum"), ("pt-2", "weak", "thorst|int
 #: A table of patterns becomes one expression a row, so it has a bound; larger vocabularies are joined (``lexicon_hits``).
 MOST_PATTERNS = 2_000
 LITERALS = re.compile(r"[\w ]+(?:\|[\w ]+)*")
-# Endings of short words, and forms of those whose stem changes.
-ENDINGS = "s|es|а|у|ом|е|и"
-IRREGULAR = {"child": "children", "дети": "детей|детям|детьми|детях", "діти": "дітей|дітям|дітьми|дітях", "kid": "kids"}
+#: Terms of one machine (some 100 MB in a worker); more take several passes.
+MOST_TERMS = 200_000
 
 
 def rows_of(table: DataFrame) -> list:
@@ -102,26 +104,27 @@ def strength(hits: Column) -> Column:
     return F.when(F.exists(hits, lambda h: h.strength == "strong"), "strong").when(F.size(hits) > 0, "weak")
 
 
-def escaped(literal: Column) -> Column:
-    return F.regexp_replace(literal, r"([^\p{L}\p{N}_\s])", r"\\$1")
+def term_words(term: Column) -> Column:
+    """array<struct<plain,prefix>>: the words of a term, look-alike letters read as in texts; * at the end makes a prefix."""
+    return F.transform(F.filter(F.split(F.trim(term), r"\s+"), lambda w: w != ""), lambda w: F.struct(unmask(F.regexp_replace(w, r"\*$", "")).alias("plain"), w.endswith("*").alias("prefix")))
 
 
-def word_pattern(word: Column) -> Column:
-    """Regular expression of one word of a term: with * at its end a prefix, else a short word whole with its endings, a
-    longer one by its stem. Signs stand for themselves; look-alike letters are read as in texts."""
-    plain = unmask(word)
-    stem = F.substring(plain, F.lit(1), F.greatest(F.lit(5), F.length(plain) - 2))
-    other = escaped(plain)
-    for form, others in IRREGULAR.items():
-        other = F.when(plain == form, others).otherwise(other)
-    short = F.concat(F.lit("(?:"), escaped(plain), F.lit(f"(?:{ENDINGS})?|"), other, F.lit(f")(?!{WORD})"))
-    prefix = F.concat(escaped(unmask(F.regexp_replace(word, r"\*$", ""))), F.lit(f"{WORD}*"))
-    return F.when(word.endswith("*"), prefix).when(F.length(word) <= 5, short).otherwise(F.concat(escaped(stem), F.lit(f"{WORD}*")))
+def sent(terms: DataFrame, most: int = MOST_TERMS):
+    """Rows of (name, words) as broadcast lists, so many a list at most that its machine fits a worker."""
+    n = terms.count()
+    rounds = -(-n // most)
+    dealt = terms.withColumn("_round", F.pmod(F.xxhash64("words"), F.lit(max(rounds, 1))))
+    for k in range(rounds):
+        rows = dealt.where(F.col("_round") == k).select("name", "words").collect()
+        yield terms.sparkSession.sparkContext.broadcast([(r["name"], [(w["plain"], w["prefix"]) for w in r["words"]]) for r in rows])
 
 
-def term_pattern(term: Column) -> Column:
-    """Regular expression of a term for texts after ``unmask``: its words one after another, from the start of a word."""
-    return F.concat(F.lit(f"(?<!{WORD})"), F.array_join(F.transform(F.split(F.trim(term), r"\s+"), word_pattern), r"\s+"))
+def term_hits(text: Column, terms: dict[str, str]) -> Column:
+    """Sorted names of the terms (name -> term, a small table) that are in a text."""
+    spark = SparkSession.active()
+    rows = spark.createDataFrame(list(terms.items()), "name string, term string").select("name", term_words(F.col("term")).alias("words"))
+    (shared,) = sent(rows)
+    return F.pandas_udf(lambda texts: texts.map(lambda t: sorted(built(shared).find(t))), "array<string>")(unmask(text))
 
 
 def variants(value: Column) -> Column:
@@ -145,33 +148,29 @@ def near(text: Column, a: str, b: str, window: int) -> Column:
     return F.aggregate(kinds, start, step).hit
 
 
-HEAD = 5
-
-
-def lexicon_hits(docs: DataFrame, entries: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+def lexicon_hits(docs: DataFrame, entries: DataFrame, types: tuple[str, ...] | None = None, most: int = MOST_TERMS) -> DataFrame:
     """(seq, ids): sorted distinct ids of the approved entries (id, type, language, status, value) of the given types with
     a term in the text. Entries of language ``multi`` describe more than words and match nothing.
 
-    Texts and terms meet on the first HEAD letters of a term's first word, so a large table is an equi-join, never a cross
-    join; then the whole term decides on the whole text, read without look-alike letters.
+    The terms are sent around as a machine that runs in one pass over each text; texts are not shuffled, and rows that
+    repeat a ``seq`` or have none are each answered. More than ``most`` terms take several passes.
     """
     usable = entries.where((F.col("status") == "approved") & (F.coalesce(F.col("language"), F.lit("")) != "multi"))
     usable = usable.where(F.col("type").isin(*types)) if types else usable
-    terms = usable.select("id", F.explode(variants(F.col("value"))).alias("term")).select("id", term_pattern(F.col("term")).alias("pattern"), F.element_at(F.split(F.col("term"), r"\s+"), 1).alias("first"))
-    start = F.regexp_extract(unmask(F.col("first")), rf"{WORD}+", 0)
-    # of a long word only the stem stands in the text
-    length = F.when(F.col("first").endswith("*"), F.length(start)).otherwise(F.greatest(F.least(F.length(start), F.lit(HEAD)), F.length(start) - 2))
-    terms = terms.select("id", "pattern", F.substring(start, F.lit(1), F.least(length, F.lit(HEAD))).alias("head")).distinct()
-    sizes = sorted({r[0] for r in terms.select(F.length("head")).distinct().collect()})  # at most HEAD + 1
-    if not sizes:
-        return docs.select("seq", F.array().cast("array<string>").alias("ids")).limit(0)
-    tokens = F.regexp_extract_all(F.col("plain"), F.lit(f"({WORD}+)"), 1)
-    cut_to = lambda n: F.transform(tokens, lambda w: F.substring(w, 1, n)) if n else F.array(F.lit(""))
-    heads = F.array_distinct(F.flatten(F.array(*map(cut_to, sizes))))
-    texts = docs.select("seq", unmask(F.col("text")).alias("plain"))
-    found = texts.select("seq", F.explode(heads).alias("head")).join(terms, "head").select("seq", "id", "pattern").distinct()
-    hits = texts.join(found, "seq").where("rlike(plain, pattern)")
-    return hits.groupBy("seq").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    terms = usable.select(F.col("id").alias("name"), F.explode(variants(F.col("value"))).alias("term")).select("name", term_words(F.col("term")).alias("words")).distinct()
+    of_id = entries.schema["id"].dataType.simpleString()
+    seq = docs.schema["seq"].dataType.simpleString()
+    out = docs.select("seq", unmask(F.col("text")).alias("plain"), F.array().cast(f"array<{of_id}>").alias("ids"))
+    for shared in sent(terms, most):
+
+        def run(batches, shared=shared):
+            terms = built(shared)
+            for batch in batches:
+                found = [[*before, *terms.find(text)] for text, before in zip(batch["plain"].to_pylist(), batch["ids"].to_pylist())]
+                yield pa.record_batch([batch["seq"], batch["plain"], pa.array(found, batch["ids"].type)], ["seq", "plain", "ids"])
+
+        out = out.mapInArrow(run, f"seq {seq}, plain string, ids array<{of_id}>")
+    return out.where(F.size("ids") > 0).select("seq", F.array_sort(F.array_distinct("ids")).alias("ids"))
 
 
 def merge_terms(*tables: DataFrame) -> DataFrame:
@@ -200,62 +199,35 @@ def age_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(AGE_TERMS, AGE_COLUMNS)
 
 
-def loose(phrase: str) -> str:
-    """A phrase of a regular expression in which blanks and hyphens are the same and * ends a prefix."""
-    return r"[\s-]+".join(re.escape(w.removesuffix("*")) + (f"{WORD}*" if w.endswith("*") else "") for w in phrase.lower().split())
-
-
-def one_of(options) -> str:
-    return "(?:" + "|".join(sorted(options, key=lambda x: (-len(x), x))) + ")"
-
-
-def number_pattern(digits: str, names: list[str]) -> str:
-    """A whole number (no part of a longer one or of a decimal) or one of its names."""
-    own = rf"(?<!\d)(?<!\d[.,])(?:{digits})(?!\d)(?![.,]\d)"
-    return one_of([own, *(rf"\b{re.escape(n)}" for n in names)])
-
-
-def age_patterns(rows) -> list[tuple[str, str]]:
-    """(label, pattern) of a table with AGE_COLUMNS but its terms; each language has its own numbers and units."""
-    out = []
-    for lang in sorted({r["lang"] for r in rows}):
-        of = lambda kind, lang=lang: [r for r in rows if (r["lang"], r["kind"]) == (lang, kind)]
-        names = [(r["value"].lower(), r["number"]) for r in of("number")]
-        minor, any_age = number_pattern("1[0-7]|[1-9]", [n for n, k in names if k < 18]), number_pattern(r"\d{1,3}", [n for n, _ in names])
-        ends = f"(?!{WORD})"
-        for kind, number, label in (("unit", minor, "stated age"), ("infant", any_age, "infant age")):
-            if units := [loose(r["value"]) for r in of(kind)]:
-                out.append((label, rf"{number}[\s-]*{one_of(units)}{ends}"))
-        stops = [loose(r["value"]) for r in of("stop")]
-        no_age = rf"(?!\s*-?\s*{one_of(stops)}{ends})" if stops else ""
-        for kind, number, label in (("phrase", minor, "stated age"), ("grade", number_pattern("1[0-2]|[1-9]", []), "school grade")):
-            for r in of(kind):
-                before, after = r["value"].lower().split("{n}")
-                if kind == "phrase":
-                    parts = [re.escape(before), number, re.escape(after), ends, no_age]
-                else:
-                    digits = r"(?<!\d)(?:1[0-2]|[1-9])(?!\d)"
-                    parts = [loose(before) + r"[\s-]*" if before.strip() else "", digits, r"[\s-]*" + loose(after) if after.strip() else "", ends]
-                out.append((label, f"(?<!{WORD})" + "".join(parts)))
-    return out
-
-
 def age_labels(text: Column, table: DataFrame | None = None) -> Column:
     """Kinds of age indicator in a text (never the words), by a table with AGE_COLUMNS: a stated age, an infant's age, a
     school class, a term. Terms are also found in Latin spelling; soft and hard signs do not count."""
     table = age_table(SparkSession.active()) if table is None else table
-    rows = rows_of(table)
+    rows = [r.asDict() for r in rows_of(table)]
     low = F.translate(F.lower(text), "ё’", "е'")
-    labels = {}
-    for label, pattern in age_patterns(rows):
-        labels[label] = labels.get(label, F.lit(False)) | low.rlike(pattern)
     silent = lambda c: F.regexp_replace(c, "[ьъ]", "")
     both = F.concat(silent(unmask(text)), F.lit("\n"), silent(transliterate(low)))
-    terms = [r["value"] for r in rows if r["kind"] in ("word", "institution")]
-    if terms:
-        found = table.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(silent(term_pattern(F.col("term")))).collect()
-        labels["age term"] = both.rlike("|".join(sorted(r[0] for r in found)))
-    return F.array_compact(F.array(*[F.when(labels[name], name) for name in ("stated age", "infant age", "school grade", "age term") if name in labels]))
+    terms = table.where(F.col("kind").isin("word", "institution")).select(F.lit("age term").alias("name"), term_words(F.col("value")).alias("words")).collect()
+    words = [("age term", [(w["plain"], w["prefix"]) for w in r["words"]]) for r in terms]
+    shared = table.sparkSession.sparkContext.broadcast((rows, words))
+
+    def of(lows: pd.Series, boths: pd.Series) -> pd.Series:
+        ages, terms = age_machines(shared)
+        return pd.Series([[label for label in LABELS if label in found] for found in (ages.find(a) | terms.find(b) for a, b in zip(lows, boths))])
+
+    return F.pandas_udf(of, "array<string>")(low, both)
+
+
+LABELS = ("stated age", "infant age", "school grade", "age term")
+
+
+@lru_cache(maxsize=4)
+def age_machines(shared) -> tuple[Ages, Terms]:
+    """Built once in each worker. Soft and hard signs don't count, so a long word's stem is taken first."""
+    rows, terms = shared.value
+    silent = str.maketrans("", "", "ьъ")
+    beginning = lambda plain, prefix: (conditions(plain, prefix)[0].literal.translate(silent), prefix or len(plain) > 5)
+    return Ages(rows), Terms([(name, [beginning(*w) for w in words]) for name, words in terms])
 
 
 def unknown_ids(text: Column, defined: list[str]) -> Column:

@@ -91,6 +91,7 @@ nr AS (SELECT h.seq, o.owner, row_number() OVER (PARTITION BY h.seq ORDER BY bit
 up AS (SELECT seq, parent FROM exact UNION ALL SELECT seq, owner FROM nr WHERE n = 1),
 roots AS (SELECT DISTINCT p.seq, p.seq AS "group" FROM prints p WHERE p.seq NOT IN (SELECT seq FROM up) UNION ALL SELECT u.seq, r."group" FROM up u JOIN roots r ON u.parent = r.seq)"""
 PRINT_SQL = sql("posts", body=MEDIA + NORMALISED + PRINTS + " SELECT seq, pos, kind, value FROM prints")
+ALONE = ' UNION ALL SELECT seq, seq FROM posts WHERE seq NOT IN (SELECT seq FROM prints)'  # posts without a fingerprint
 GROUP_SQL = sql("posts", body=MEDIA + NORMALISED + PRINTS + GROUPS + ' SELECT seq, "group" FROM roots')
 
 

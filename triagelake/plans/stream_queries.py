@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triagelake.operators import evaluation as E
+from triagelake.operators import queue as Q
 from triagelake.operators import similarity as S
 from triagelake.operators import students as M
-from triagelake.plans.standin import table
+from triagelake.plans.queue_queries import ALONE, GROUP_SQL, media
+from triagelake.plans.standin import table, view
 from triagelake.registry import register
 from triagelake.streaming import jobs as J
 
 
+#: Files of each micro-batch of a made stream.
+FILES = 4
+
+
 def arrivals(spark, rows, order, parts=4):
-    """Rows as a stream of several files that arrive in order, a micro-batch each."""
+    """Rows as a stream of micro-batches that arrive in order, each of several files."""
     at = J.folder(spark)
     place = F.col(order) if dict(rows.dtypes)[order] == "bigint" else F.unix_micros(F.col(order).cast("timestamp"))
     low, high = rows.agg(F.min(place), F.max(place)).first()
@@ -23,8 +29,9 @@ def arrivals(spark, rows, order, parts=4):
         part = F.least(F.floor((place - low) * parts / (high - low + 1)), F.lit(parts - 1))
         rows = S.cut(rows.withColumn("_part", F.coalesce(part, F.lit(0))))
         for k in range(parts):
-            rows.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(at).withColumn("ts", F.col("ts").cast("timestamp"))
+            rows.where(F.col("_part") == k).drop("_part").repartition(FILES).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", FILES).parquet(at)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
 def events(spark, d, order="event_id"):
@@ -93,14 +100,26 @@ def publish(spark, d):
     return J.published(events(spark, d))
 
 
-@register("str07_incremental_groups", "SELECT event_id, min(event_id) OVER (PARTITION BY value) AS owner FROM events")
+@register("str07_incremental_groups", GROUP_SQL + " WHERE seq IN (SELECT seq FROM posts)" + ALONE)
 def incremental(spark, d):
-    return J.grouped(events(spark, d))
+    """Posts that arrive in four micro-batches, with their media: the groups of the whole table."""
+    files = media(spark, d)
+    prints = lambda batch: Q.fingerprints(batch, files.join(batch.select("seq"), "seq", "left_semi"), by_md5=True)
+    return J.grouped(arrivals(spark, view(spark, d, "posts").select("seq", "text"), "seq"), prints, Q.NEAR_KINDS)
 
 
 @register("str08_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def daily(spark, d):
-    return J.daily_counts(events(spark, d))
+    """In order of time nothing is late, so the counts are those of the whole table."""
+    return J.daily_counts(events(spark, d, "ts"))[0]
+
+
+@register("str08_counts_without_late_rows", """WITH p AS (SELECT *, least(floor((event_id - (SELECT min(event_id) FROM events)) * 4 / ((SELECT max(event_id) - min(event_id) FROM events) + 1)), 3) AS part FROM events),
+m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 2 DAY AS mark FROM p GROUP BY part)
+SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM p JOIN m ON p.part = m.part WHERE mark IS NULL OR CAST(ts AS DATE) + INTERVAL 1 DAY > mark GROUP BY 1, 2""")
+def daily_late(spark, d):
+    """In order of id, rows come for days that the watermark has closed: that of the batches before the one before."""
+    return J.daily_counts(events(spark, d))[0]
 
 
 @register("str09_inherited_decisions", "SELECT e.event_id, CASE c.c_custkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'RESTRICTED' END AS decision, CASE WHEN c.c_custkey % 3 = 1 THEN NULL ELSE e.event_type END AS note FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 < 2) c ON e.user_id = c.c_custkey")

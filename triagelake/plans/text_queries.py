@@ -177,10 +177,9 @@ def region_lexicon(spark, d):
 FROM (SELECT doc_id, lower(text) || CASE doc_id % 3 WHEN 0 THEN ' c++' WHEN 1 THEN ' c children' ELSE '' END AS x FROM documents) y""")
 def term_patterns(spark, d):
     terms = {"short_term": "token", "long_term": "worthless", "prefix_term": "thor*", "irregular": "child", "signs": "c++", "phrase": "the thought"}
-    patterns = spark.createDataFrame(list(terms.items()), "name string, term string").select("name", L.term_pattern(F.col("term")).alias("pattern")).collect()
     added = F.when(F.col("doc_id") % 3 == 0, " c++").when(F.col("doc_id") % 3 == 1, " c children").otherwise("")
-    text = T.unmask(F.concat("text", added))
-    return table(spark, d, "documents").select("doc_id", *[text.rlike(r["pattern"]).alias(r["name"]) for r in patterns])
+    hits = table(spark, d, "documents").select("doc_id", L.term_hits(F.concat("text", added), terms).alias("hits"))
+    return hits.select("doc_id", *[F.array_contains("hits", name).alias(name) for name in terms])
 
 
 @register("lex05_age_labels", r"""SELECT doc_id, array_to_string(list_filter([

@@ -8,7 +8,8 @@ is there and returns the finished table.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from triagelake.operators import similarity as S
 from triagelake.operators.queue import runs
 from triagelake.operators.similarity import shared_folder
+from triagelake.sources.snapshots import KeyedTable
 
 LIMIT, WINDOW_S, TIMEOUT_S = 5, 600.0, 1800.0
 
@@ -53,16 +56,20 @@ def drain(stream: DataFrame, schema: str, at: str | None = None, mode: str = "ap
     write = lambda batch, number: write_batch(batch, number, f"{at}/out")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     columns = StructType.fromDDL(schema).names
-    none = spark.createDataFrame([], schema)
+    out = read_batches(spark, f"{at}/out", f"{schema}, batch long")
+    if mode == "complete":
+        out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
+    return out.select(columns)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_batch`` has written, with its column ``batch``; nothing where there is none."""
     try:
-        out = spark.read.schema(f"{schema}, batch long").parquet(f"{at}/out")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return none
-    if mode == "complete":
-        out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
-    return out.select(columns)
+        return spark.createDataFrame([], schema)
 
 
 def first_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -190,15 +197,82 @@ def published(rows: DataFrame, at: str | None = None) -> DataFrame:
     return drain(with_first(rows, item).where("event_id = owner").select(F.col("key").alias("external_id"), "event_id"), "external_id string, event_id long", at)
 
 
-def grouped(rows: DataFrame, at: str | None = None) -> DataFrame:
-    """(event_id, owner): each new row joins the first bearer of its value, stored ones first."""
-    return drain(with_first(rows, F.col("value")).select("event_id", "owner"), "event_id long, owner long", at)
-
+def grouped(posts: DataFrame, fingerprints_of: Callable[[DataFrame], DataFrame], near_kinds: dict[str, int], at: str | None = None) -> DataFrame:
+    """(seq, group) of a stream of posts that come in order of ``seq``: each joins the group of stored or earlier content as
+    ``similarity.content_groups`` says, whatever the micro-batches are.
 
-def daily_counts(rows: DataFrame) -> DataFrame:
-    """(day, event_type, n): counts kept current; days older than the watermark are closed."""
-    counts = rows.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    return drain(counts.select(F.to_date("window.start").alias("day"), "event_type", "n"), "day date, event_type string, n long", mode="complete")
+    Kept between batches, a folder for each: ``owners`` (kind, value, owner, group of every first bearer) and ``index``, the
+    values of near kinds by block and key. A batch looks up its own values and keys there; what is stored is not dealt
+    anew. A batch that runs again reads what is older than itself and replaces what it left.
+    """
+    spark = posts.sparkSession
+    at = at or folder(spark)
+    of_owner, of_index = "kind string, value string, owner long, group long", "kind string, b long, owner long, group long, block int, key long"
+    masks = {kind: S.block_masks(limit) for kind, limit in near_kinds.items()}
+
+    def stored(name: str, schema: str, batch: int) -> DataFrame:
+        rows = spark.createDataFrame([], f"{schema}, batch long") if not batch else read_batches(spark, f"{at}/{name}", f"{schema}, batch long")
+        return rows.where(F.col("batch") < batch).drop("batch")
+
+    def indexed(owners: DataFrame) -> DataFrame:
+        parts = [S.keyed(owners.where(F.col("kind") == kind).withColumn("b", F.col("value").cast("long")), "b", m) for kind, m in masks.items()]
+        return reduce(DataFrame.unionByName, parts).select("kind", "b", "owner", "group", "block", "key")
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = S.cut(batch)
+        prints = S.cut(fingerprints_of(batch))
+        known = S.cut(prints.select("kind", "value").distinct().join(stored("owners", of_owner, number), ["kind", "value"]))
+        first = S.first_bearers(prints).join(known.select("kind", "value"), ["kind", "value"], "left_anti").withColumn("group", F.lit(None).cast("long"))
+        first = S.cut(first)
+        exact = S.cut(S.exact_parents(prints, known.unionByName(first, allowMissingColumns=True)))
+        rest = S.cut(prints.join(exact, "seq", "left_anti"))
+        index, found = stored("index", of_index, number).unionByName(indexed(first)), None
+        for kind, limit in near_kinds.items():
+            mine = rest.where(F.col("kind") == kind).groupBy(F.col("value").cast("long").alias("a"), "seq").agg(F.min("pos").alias("pos"))
+            part = S.meet(S.probed(mine, "a", masks[kind], 1), index.where(F.col("kind") == kind).drop("kind"), masks[kind], limit, 1, F.col("owner") < F.col("seq"))
+            part = part.select("seq", "distance", "pos", S.place("b").alias("place"), F.coalesce("group", "owner").alias("parent"))
+            found = part if found is None else found.unionByName(part)
+        near = found.groupBy("seq").agg(F.min(F.struct("distance", "pos", "place", "parent")).alias("best")).select("seq", "best.parent")
+        own = batch.select("seq").distinct().join(exact.unionByName(near), "seq", "left").select(F.col("seq").alias("id"), "parent")
+        own = S.cut(own)
+        # groups that are stored stand for themselves
+        older = own.select(F.col("parent").alias("id")).where("id IS NOT NULL").distinct().join(own.select("id"), "id", "left_anti").withColumn("parent", F.lit(None).cast("long"))
+        roots = S.cut(S.chain_roots(own.unionByName(older)).select(F.col("id").alias("seq"), F.col("root").alias("group")))
+        first = first.drop("group").join(roots.withColumnRenamed("seq", "owner"), "owner").select("kind", "value", "owner", "group")
+        write_batch(first, number, f"{at}/owners")
+        write_batch(indexed(first).repartitionByRange("kind", "block", "key").sortWithinPartitions("kind", "block", "key"), number, f"{at}/index")
+        write_batch(batch.select("seq").distinct().join(roots, "seq"), number, f"{at}/out")
+
+    posts.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    return read_batches(spark, f"{at}/out", "seq long, group long, batch long").drop("batch")
+
+
+def arrived(spark: SparkSession, at: str) -> KeyedTable:
+    """Of each batch of ``daily_counts``: rows that came, and rows that the state had at its end."""
+    return KeyedTable(spark, f"{at}/arrived", ["batch"], "batch long, n long, state_rows long", buckets=1)
+
+
+def daily_counts(rows: DataFrame, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(day, event_type, n), kept current, and (arrived, late): how many rows have come, and how many of them too late.
+
+    A day is closed, and its state cleared, when the watermark (two days behind) has passed it; rows for it are then late
+    and change nothing (Spark lets the batch during which it passes still count). Each batch writes the counts that it changed over the open days' former ones, by key. A row that
+    has come and is in no count was late, so late rows are counted exactly.
+    """
+    spark = rows.sparkSession
+    at = at or folder(spark)
+    table = KeyedTable(spark, f"{at}/days", ["day", "event_type"], "day date, event_type string, n long", buckets=4)
+    seen = arrived(spark, at)
+    counts = rows.observe("arrived", F.count(F.lit(1)).alias("n")).withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    counts = counts.select(F.to_date("window.start").alias("day"), "event_type", "n")
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(table.upsert).start()
+    query.awaitTermination()
+    came = [(p.batchId, p.observedMetrics["arrived"]["n"], p.stateOperators[0].numRowsTotal) for p in query.recentProgress if "arrived" in p.observedMetrics]
+    if came:
+        seen.upsert(spark.createDataFrame(came, seen.schema), max(came)[0])
+    total = seen.rows().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("arrived"))
+    counted = table.rows().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted"))
+    return table.rows(), total.crossJoin(counted).select("arrived", (F.col("arrived") - F.col("counted")).alias("late"))  # one row each
 
 
 def inherited(rows: DataFrame, decisions: DataFrame) -> DataFrame:
