@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import cut, table
+from .common import cut, table, tidy
 
 #: Characters of a part of a text, characters that one Arrow pass takes, pairs that are counted before they leave a task,
 #: pairs whose counts are sent around (12 MB), counts of all others being joined; and chunks, and characters of the longest
@@ -262,7 +262,7 @@ def encoded(docs: DataFrame, paths: tuple[str, str] | None = None, part: int = P
     """Rows of ``encode`` for whole texts, each tokenised once: documents (row not null, links null), links, pair counts."""
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     schema = "row long, doc_id long, " + "".join(f"{c} long, " for c in COUNTS) + "groups_sha256 string, links binary, key long, n long"
-    return cut(rows.mapInArrow(encode(paths or vocabularies(), part, block), schema))
+    return cut(rows.mapInArrow(tidy(encode(paths or vocabularies(), part, block)), schema))
 
 
 def pair_counts(rows: DataFrame, n_b: int) -> DataFrame:

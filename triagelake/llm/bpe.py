@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Memo, table
+from .common import Memo, give_back, table
 
 #: White space as the vocabulary's patterns have it.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -56,7 +56,7 @@ class WordBpe:
         self.words = regex.compile(split.replace(r"\s", SPACE)).findall
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.of_word, self.of_chunk = Memo(self.encode_word, 100_000), Memo(self.encode_chunk, 130_000)
+        self.of_word, self.of_chunk = Memo(self.encode_word, 20_000), Memo(self.encode_chunk, 100_000)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the leftmost pair of lowest rank until none is left.
@@ -121,7 +121,7 @@ class WordBpe:
     def encode_chunk(self, chunk: str) -> tuple[str, str, int]:
         """Decimal ids and decoded tokens of what stands between white space, each joined by spaces, and their number."""
         clean = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        ids = self.of_word[clean] if clean.isalpha() else [i for w in self.words(clean) for i in self.of_word[w]]
+        ids = self.encode_word(clean) if clean.isalpha() else [i for w in self.words(clean) for i in self.of_word[w]]
         return " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), len(ids)
 
     def pieces(self, text: str | None) -> list[tuple[str, str, int]]:
@@ -145,6 +145,7 @@ class WordBpe:
         """At a task's end: its worker goes on to other work, which needs the memory."""
         self.of_word.forget()
         self.of_chunk.forget()
+        give_back()
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _, n in self.pieces(text) if n for i in ids.split(" ")]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, tidy
 from .labelled import pick, texts_of
 
 #: At most so many labelled documents in all (4 a language at least), and words of them, are used for fitting.
@@ -255,7 +255,7 @@ def with_language(docs: DataFrame, crf: Crf) -> DataFrame:
             languages, scores = zip(*found) if found else ((), ())
             yield pa.record_batch([batch["doc_id"], pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, crf: Crf) -> DataFrame:
@@ -275,7 +275,7 @@ def label_words(docs: DataFrame, crf: Crf) -> DataFrame:
                 if len(labeller.words) > labeller.most:
                     labeller.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, position int, word string, lang string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, position int, word string, lang string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

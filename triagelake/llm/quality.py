@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_mod, cut, quoted, table
+from .common import Memo, crc_mod, cut, quoted, table, tidy
 from .labelled import binary_sample
 
 #: At most so many labelled documents of each class are used; labelled rows are learnt from where the remainder isn't 0.
@@ -141,7 +141,7 @@ def packed_sums(docs: DataFrame) -> DataFrame:
         if size:
             yield rows(held, numbers)
 
-    return docs.mapInArrow(run, "bucket int, words binary, n binary, few int, sums binary")
+    return docs.mapInArrow(tidy(run), "bucket int, words binary, n binary, few int, sums binary")
 
 
 def summed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -386,7 +386,7 @@ def text_scores(docs: DataFrame, table, network: Network, others: DataFrame) ->
                 fresh.update(numbers)
                 memo = numbered(fresh.__getitem__)
 
-    found = cut(docs.select("text", *key_columns()).mapInArrow(run, f"_key long, _key2 long, word string, n long, {sums}").dropDuplicates(["_key", "_key2", "word"]))
+    found = cut(docs.select("text", *key_columns()).mapInArrow(tidy(run), f"_key long, _key2 long, word string, n long, {sums}").dropDuplicates(["_key", "_key2", "word"]))
     vector = others.select("word", "v")
 
     def weighed(batches):
@@ -401,7 +401,7 @@ def text_scores(docs: DataFrame, table, network: Network, others: DataFrame) ->
             own *= n[:, None]
             yield pa.record_batch([batch["_key"], batch["_key2"], *(pa.array(own[:, d]) for d in range(2 * DIMENSIONS))], ["_key", "_key2", *(f"s{d}" for d in range(2 * DIMENSIONS))])
 
-    more = found.where("word is not null").select("_key", "_key2", "word", "n").join(vector, "word", "left").mapInArrow(weighed, f"_key long, _key2 long, {sums}")
+    more = found.where("word is not null").select("_key", "_key2", "word", "n").join(vector, "word", "left").mapInArrow(tidy(weighed), f"_key long, _key2 long, {sums}")
     known = found.where("word is null").drop("word")
     both = known.unionByName(more.withColumn("n", F.lit(0).cast("long"))).groupBy("_key", "_key2").agg(F.sum("n").alias("n"), *(F.sum(f"s{d}").alias(f"s{d}") for d in range(2 * DIMENSIONS)))
 
@@ -447,7 +447,7 @@ def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> Da
             x = np.array([pooled(stream(text.as_py(), memo), moments) for text in batch["row"].field("text")]).reshape(-1, 2 * DIMENSIONS + 1)
             yield pa.record_batch([batch["row"], pa.array(network.probabilities(x), pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))
+    return rows.mapInArrow(tidy(run), rows.select("row").schema.add("score", "double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

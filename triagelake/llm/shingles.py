@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, components, cut, quoted, table, words_of
+from .common import Memo, components, cut, quoted, table, tidy, words_of
 
 WORDS, PERCENT = 5, 75
 #: Shingles that are put last in every prefix: at most so many, the most frequent ones. Only speed depends on them.
@@ -170,7 +170,7 @@ def profile(docs: DataFrame) -> DataFrame:
             yield rows(doc_id=batch["doc_id"].to_pylist(), key=batch["key"].to_pylist(), n=n, sid=sids, sketch=sketches, anchors=anchors)
         yield frequent()
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(tidy(run), schema)
 
 
 def tokens(docs: DataFrame, common, buckets: int) -> DataFrame:
@@ -221,7 +221,7 @@ def tokens(docs: DataFrame, common, buckets: int) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.select("text", "sid", "root").mapInArrow(run, "bucket int, token binary, low binary, high binary")
+    return docs.select("text", "sid", "root").mapInArrow(tidy(run), "bucket int, token binary, low binary, high binary")
 
 
 def matches(group: pa.Table) -> pa.Table:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Memo, table
+from .common import Memo, table, tidy
 
 INSIDE = re.compile(r"\s (?:\s|\Z)").search
 
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
             yield pa.record_batch([batch["doc_id"], pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
         counter(path, pattern).forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_pretokens long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_mod, quoted, table
+from .common import Memo, crc_mod, quoted, table, tidy
 from .labelled import binary_sample
 
 #: At most so many labelled documents of each class are used; labelled rows are learnt from where the remainder isn't 0.
@@ -171,7 +171,7 @@ def scored_rows(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataF
             found = scores((t.as_py() for t in batch["row"].field("text")), bias, weights, memo)
             yield pa.record_batch([batch["row"], pa.array(found, pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))
+    return rows.mapInArrow(tidy(run), rows.select("row").schema.add("score", "double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
