@@ -78,17 +78,24 @@ def match_earlier(rows: DataFrame) -> DataFrame:
 
 
 def label_components(edges: DataFrame) -> DataFrame:
-    """(node, root) over string nodes: labels spread along edges and jump to their label's label until nothing changes."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    while True:
-        spread = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        near = labels.join(spread, labels["node"] == spread["a"]).select("node", F.least("root", "m").alias("r"), F.col("root").alias("old"))
-        jump = labels.select(F.col("node").alias("r"), F.col("root").alias("r2"))
-        step = cut(near.join(jump, "r").select("node", F.least("r", "r2").alias("root"), "old"))
-        labels = step.select("node", "root")
-        if step.where("root <> old").isEmpty():
-            return labels
+    """(node, root) over string nodes, root the least node of its component; a node linked with itself is one of its own.
+
+    Large stars and small stars by turns: every greater neighbour of a node is linked to the node's least neighbour, then
+    every smaller one, until nothing moves. Rounds grow with the logarithm of the longest path, and a node with very many
+    neighbours is an aggregate, never a list.
+    """
+    nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
+    while (now := links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != state and now[0]:
+        state = now
+        both = links.union(links.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+        large = both.join(least, "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = cut(small.union(low).where("u > v").distinct())
+    return nodes.join(links.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("root"))
 
 
 def runs(batches, key: str):

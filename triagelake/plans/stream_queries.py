@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from triagelake.operators import evaluation as E
@@ -12,6 +13,7 @@ from triagelake.plans.queue_queries import ALONE, GROUP_SQL, media
 from triagelake.plans.standin import table, view
 from triagelake.registry import register
 from triagelake.streaming import jobs as J
+from triagelake.streaming.lifecycle import LifeCycle
 
 
 #: Files of each micro-batch of a made stream.
@@ -90,6 +92,26 @@ def life_cycle(spark, d):
     return J.life_cycle(table(spark, d, "events"))
 
 
+def lane_events(spark, d):
+    """Events as lane events: most report or detect links; screenings and reviews name the sender's last report before."""
+    rows = view(spark, d, "sightings").select("id", "sender", "lane", "ts", "value", "url", "group_key", "priority")
+    lane = F.when(F.col("lane") == "click", "volunteer").when(F.col("lane") == "purchase", "detection").when(F.col("lane") == "error", "screening").when(F.col("id") % 19 == 0, "review").otherwise("report")
+    rows = rows.withColumn("lane", lane).withColumn("report", F.when(lane == "report", F.concat(F.lit("public-"), "id")))
+    before = Window.partitionBy("sender").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    target = F.when(F.col("lane").isin("screening", "review"), F.last("report", ignorenulls=True).over(before))
+    outcome = F.element_at(F.array(*map(F.lit, ("flagged", "not_flagged", "restricted", "unavailable"))), (F.col("id") % 4 + 1).cast("int"))
+    named = F.col("lane").isin("screening", "review")
+    # a stream of one minute an event, so that some reports wait longer than others
+    return rows.select(F.col("id").alias("seq"), "lane", F.when(~named, F.col("url")).alias("url"), F.when(F.col("lane").isin("detection", "screening"), F.col("group_key")).alias("group_key"), F.when(F.col("lane") == "detection", F.concat(F.lit("s"), (F.col("id") - F.col("id") % 2).cast("string"))).alias("external_id"), target.alias("target"), "priority", F.concat(F.lit("note "), "id").alias("note"), F.when(named, outcome).alias("outcome"), (F.col("id") * 60.0).alias("t"))
+
+
+@register("str04_three_lanes")
+def three_lanes(spark, d):
+    """The queue after all lanes' events in four micro-batches; the test replays them one by one."""
+    events = S.cut(lane_events(spark, d))
+    return LifeCycle(spark, J.folder(spark)).run(arrivals(spark, events, "seq")).items.rows()
+
+
 @register("str05_polling_worker", "WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_id, CASE WHEN k IS NULL OR k % 10 = 0 THEN 'unavailable' WHEN k > 80 THEN 'flagged' ELSE 'not_flagged' END AS outcome FROM k")
 def polling(spark, d):
     return J.screened(events(spark, d))
