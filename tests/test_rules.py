@@ -199,7 +199,7 @@ def test_media_links_at_any_depth_and_none_of_people(spark):
     for _ in range(9):
         deep = f'{{"a": [{deep}]}}'
     rows = [("p1", deep), ("p2", '{"ownerX": {"pic": "https://cdn.example.com/o.jpg"}, "music": {"c": "https://cdn.example.com/m.jpg"}, "v": ["https://cdn.example.com/v.mp4", "http://cdn.example.com/h.mp4", "https://else.org/e.mp4"]}'), ("p3", "broken"), ("p4", None)]
-    got = {tuple(r) for r in readers.media_urls(spark.createDataFrame(rows, "post_id string, item string"), ("example.com",)).collect()}
+    got = {tuple(r) for r in readers.media_urls(spark.createDataFrame(rows, "post_id string, item string"), ("example.com",)).select("post_id", "url", "kind").collect()}
     assert got == {("p1", "https://cdn.example.com/deep.jpg", "image"), ("p2", "https://cdn.example.com/v.mp4", "video")}
 
 

@@ -185,11 +185,15 @@ def label_statistics(spark, d):
     return rows.groupBy("lang").agg(F.count("toxic").alias("labelled"), F.sum("toxic").alias("toxic"), F.sum("quality").alias("good"), F.count("*").alias("n"))
 
 
-@register("agg35_leaderboard", sql("scored", body=", s AS (SELECT 'a' AS system, class, y, score FROM scored UNION ALL SELECT 'b', class, y, score_b FROM scored) SELECT system, avg(CASE WHEN class = 'en' THEN CASE WHEN (score >= 0.5) = y THEN 1.0 ELSE 0.0 END END) AS en, avg(CASE WHEN class = 'de' THEN CASE WHEN (score >= 0.5) = y THEN 1.0 ELSE 0.0 END END) AS de FROM s GROUP BY system"))
+ACCURACY = ", ".join(f"avg(CASE WHEN class = '{c}' THEN CASE WHEN (score >= 0.5) = y THEN 1.0 ELSE 0.0 END END) AS {c}" for c in ("de", "en", "es", "fr"))
+
+
+@register("agg35_leaderboard", sql("scored", body=f", s AS (SELECT 'a' AS system, class, y, score FROM scored UNION ALL SELECT 'b', class, y, score_b FROM scored) SELECT system, {ACCURACY} FROM s WHERE class IS NOT NULL GROUP BY system"))
 def leaderboard(spark, d):
-    rows = view(spark, d, "scored")
+    """Accuracy by system, a column for each class that there is."""
+    rows = view(spark, d, "scored").where("class IS NOT NULL")
     long = rows.select(F.lit("a").alias("system"), "class", (half() == F.col("y")).cast("double").alias("ok")).unionByName(rows.select(F.lit("b").alias("system"), "class", ((F.col("score_b") >= 0.5) == F.col("y")).cast("double").alias("ok")))
-    return long.groupBy("system").pivot("class", ["en", "de"]).agg(F.avg("ok"))
+    return long.groupBy("system").pivot("class").agg(F.avg("ok"))
 
 
 @register("agg38_printed_numbers", "WITH m AS (SELECT source AS key, avg(n_chars) AS v FROM documents GROUP BY source), p AS (SELECT key, CASE WHEN key < 'src2' THEN round(v, 2) ELSE round(v, 2) + 0.01 END AS printed FROM m) SELECT m.key, abs(m.v - p.printed) <= 0.005 + 0.000000001 AS agrees FROM m JOIN p ON m.key = p.key")
@@ -337,6 +341,16 @@ def invariants(spark, d):
     return R.finalize(assessed(spark, d)).agg(F.count_if(c("restricted") & (c("priority") != "urgent")).alias("restricted_not_urgent"), F.count_if(c("flagged") & c("final_lead")).alias("flagged_leads"), F.count_if(c("flagged") & (c("priority") == "none")).alias("flagged_without_priority"), F.count_if(c("restricted") & (c("content").isNotNull() | c("relation").isNotNull())).alias("content_on_restricted"), F.count("*").alias("n"))
 
 
+@register("rul16_rule_invariants", sql("assessed", body=""", p AS (SELECT *, model_route IN ('standard_review', 'priority_review') AS up, CASE model_priority WHEN 'urgent' THEN 3 WHEN 'high' THEN 2 WHEN 'standard' THEN 1 ELSE 0 END AS rank FROM assessed)
+SELECT sum(CASE WHEN possible_minor THEN 1 ELSE 0 END) AS minor_not_restricted, 0 AS content_on_restricted,
+  sum(CASE WHEN up AND NOT (relation IS NOT NULL AND type_list <> '' AND pathway_list <> '' AND affiliation IN ('AFF-1', 'AFF-2', 'AFF-3') AND exclusion IS NULL) THEN 1 ELSE 0 END) AS flagged_without_axes,
+  sum(CASE WHEN up AND stance IN ('reports', 'quotes_to_condemn') THEN 1 ELSE 0 END) AS reporting_flagged, sum(CASE WHEN up AND rank > 1 THEN 1 ELSE 0 END) AS priority_lowered, count(*) AS n FROM p"""))
+def rule_invariants(spark, d):
+    """What would be broken if a model's own routes were taken, all at standard priority."""
+    rows = assessed(spark, d).withColumn("route", F.col("model_route")).withColumn("priority", F.lit("standard"))
+    return R.broken_invariants(rows)
+
+
 @register("rul17_field_agreement", sql("assessed", body=FINAL + ", u AS (SELECT 'route' AS field, route = model_route AS ok FROM o UNION ALL SELECT 'priority', priority = model_priority FROM o) SELECT field, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS agree, count(*) AS n FROM u GROUP BY field"))
 def agreement(spark, d):
     rows = R.finalize(assessed(spark, d)).join(view(spark, d, "assessed").select("item_id", "model_route", "model_priority"), "item_id")

@@ -18,6 +18,22 @@ def quota(spark, d):
     return S.quota_draw(table(spark, d, "documents"), "doc_id", "source", 10, F.col("n_chars") < 500, "q")
 
 
+def pictures(spark, d):
+    """(id, stratum, value, reason): pictures of two strata by the signs of their vectors, some of them not usable; every
+    fourth stands again with few bits changed."""
+    signs = F.expr("aggregate(sequence(0, 63), 0L, (s, i) -> s | shiftleft(CASE WHEN get(embedding, i) > 0 THEN 1L ELSE 0L END, i))")
+    rows = table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", "label", signs.alias("value"))
+    again = rows.where("vec_id % 4 = 0").select(F.col("vec_id") + 1_000_000_000, "label", F.col("value").bitwiseXOR(F.lit(5)))
+    rows = rows.union(again)
+    return rows.select(F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("stratum"), "value", F.when(F.col("vec_id") % 11 == 0, "quarantined").alias("reason"))
+
+
+@register("win01_draw_without_copies")
+def distinct_quota(spark, d):
+    """Quotas of pictures that are no near copies of each other; the test draws them one by one."""
+    return S.draw_without_copies(pictures(spark, d), {"odd": 60, "even": 90}, "p")
+
+
 @register("win02_split", "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('s' || CAST(doc_id AS VARCHAR)), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang, CASE WHEN k <= round_even(0.2 * n, 0) THEN 'dev' ELSE 'train' END AS part FROM r")
 def split(spark, d):
     return S.split(table(spark, d, "documents"), "doc_id", "lang", 0.2, "s")

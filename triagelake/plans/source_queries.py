@@ -61,7 +61,15 @@ def platform_posts(spark, d):
 UNION ALL SELECT CAST(event_id AS VARCHAR), 'https://a.cdninstagram.com/d.jpg', 'image' FROM events WHERE event_id % 4 = 1
 UNION ALL SELECT CAST(event_id AS VARCHAR), 'https://a.cdninstagram.com/1.jpg', 'image' FROM events WHERE event_id % 4 = 1 AND event_id % 3 = 1""")
 def media(spark, d):
-    return R.media_urls(raw_items(spark, d), ("fbcdn.net", "cdninstagram.com"))
+    return R.media_urls(raw_items(spark, d), ("fbcdn.net", "cdninstagram.com")).select("post_id", "url", "kind")
+
+
+@register("src02_ordered_links", """SELECT CAST(event_id AS VARCHAR) AS post_id, CAST(0 AS INTEGER) AS place, 'https://a.cdninstagram.com/1.jpg' AS url FROM events WHERE event_id % 4 = 1 AND event_id % 3 = 1
+UNION ALL SELECT CAST(event_id AS VARCHAR), CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END, 'https://a.cdninstagram.com/d.jpg' FROM events WHERE event_id % 4 = 1""")
+def ordered(spark, d):
+    """Of one platform's items: the pictures that they name themselves come before what else is in them."""
+    items = raw_items(spark, d).where("platform = 'instagram'")
+    return R.ordered_media(items, ("cdninstagram.com",)).select("post_id", "place", "url")
 
 
 @register("src03_best_video", """WITH e AS (SELECT event_id AS n, CAST(event_id AS VARCHAR) AS i, event_id % 4 AS p FROM events)
@@ -138,7 +146,7 @@ def examples(spark, d):
     return yes.unionByName(no).agg(F.count_if("positive").alias("positive"), F.count_if(~F.col("positive")).alias("negative"))
 
 
-@register("src13_fingerprint", "SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(31) || CAST(quality AS VARCHAR) || chr(31) || CAST(toxic AS VARCHAR)), 1, 8) AS BIGINT)) AS VARCHAR) AS hash FROM labels")
+@register("src13_fingerprint", "SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(31) || CAST(quality AS VARCHAR) || chr(31) || CAST(toxic AS VARCHAR)), 1, 16) AS UBIGINT)) AS VARCHAR) AS hash FROM labels")
 def frozen(spark, d):
     return R.fingerprint(table(spark, d, "labels"))
 

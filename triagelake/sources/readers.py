@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
 
 from triagelake.functions.text import host_of, media_kind
-from triagelake.operators.similarity import cut
 
 POST = "platform string, post_id string, text string, url string, posted_at timestamp, reach bigint"
 # Keys whose subtree is about people, not about the post; hosts that serve each platform's media.
@@ -30,8 +34,15 @@ ARCHIVE = {
 
 
 def first_text(item: Column, keys: tuple[str, ...]) -> Column:
-    """The first of the keys that is there and holds something; 0 and false hold nothing."""
-    return F.coalesce(*[F.when(~value.isin("", "0", "false"), value) for value in (F.get_json_object(item, f"$.{k}") for k in keys)])
+    """The first of the keys that is there and holds something. The number 0 and false hold nothing; as texts they do."""
+    value = lambda k: F.get_json_object(item, f"$.{k}")
+    return F.coalesce(*[F.when(~value(k).isin("", "0", "false") | quoted_value(item, k), value(k)) for k in keys])
+
+
+def quoted_value(item: Column, key: str) -> Column:
+    """Whether a top-level value is a text that isn't empty."""
+    of = F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), f"$.{key}", "variant"))
+    return F.coalesce((of == "STRING") & (F.get_json_object(item, f"$.{key}") != ""), F.lit(False))
 
 
 def lenient_long(text: Column) -> Column:
@@ -103,35 +114,52 @@ def known_media(items: DataFrame) -> DataFrame:
     return items.select("post_id", F.posexplode(found).alias("place", "m")).select("post_id", "place", "m.kind", "m.url").where("url <> ''")
 
 
-def media_urls(items: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
-    """(post_id, url, kind): media links of allowed hosts anywhere in an item but under a person's key, distinct.
+def links_of(item: str | None) -> list[str]:
+    """Distinct https texts anywhere in an item (JSON), depth first in the item's order, but under no key about a person."""
+    try:
+        todo = [("", json.loads(item))] if item else []
+    except ValueError:
+        return []
+    found: dict[str, None] = {}
+    while todo:
+        key, value = todo.pop()
+        if any(name in key.lower() for name in PERSON_KEYS):
+            continue
+        if isinstance(value, dict):
+            todo += reversed(value.items())
+        elif isinstance(value, list):
+            todo += [(key, v) for v in reversed(value)]
+        elif isinstance(value, str) and value.startswith("https://"):
+            found[value] = None
+    return list(found)
 
-    Strings are found with their path by Spark's own variant explode, a level per round, until nothing is left to open.
-    Each level is checkpointed, so a round costs what its own level holds, however deep the items are.
-    """
-    level = items.select("post_id", F.try_parse_json("item").alias("v"))
-    found = None
-    while True:
-        nested = level.lateralJoin(spark_explode(level.sparkSession)).select("post_id", F.lower(F.coalesce("key", F.lit(""))).alias("key"), F.col("value").alias("v"))
-        for key in PERSON_KEYS:
-            nested = nested.where(~F.col("key").contains(key))
-        nested = nested.where("v is not null").select("post_id", F.to_json("v").alias("json"), F.try_variant_get("v", "$", "string").alias("url"), F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)").alias("open"))
-        nested = cut(nested)
-        leaves = nested.where(~F.col("open") & F.col("url").startswith("https://")).select("post_id", "url")
-        found = leaves if found is None else found.unionByName(leaves)
-        inner = nested.where("open")
-        if inner.isEmpty():
-            break
-        level = inner.select("post_id", F.try_parse_json("json").alias("v"))
+
+@udtf(returnType="place int, url string")
+class Links:
+    """Rows (place, url) of the links of one item."""
+
+    def eval(self, item: str):
+        yield from enumerate(links_of(item))
+
+
+def media_urls(items: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
+    """(post_id, place, url, kind): media links of allowed hosts anywhere in an item but under a person's key, distinct and
+    in the item's order; one pass, no shuffle."""
+    found = items.lateralJoin(Links(F.col("item").outer())).select("post_id", "place", "url")
     host = host_of(F.col("url"))
     allowed = F.lit(False)
     for h in hosts:
         allowed = allowed | (host == h) | host.endswith("." + h)
-    return found.where(allowed).select("post_id", "url", media_kind(F.col("url")).alias("kind")).where("kind is not null").distinct()
+    return found.where(allowed).select("post_id", "place", "url", media_kind(F.col("url")).alias("kind")).where("kind is not null")
 
 
-def spark_explode(spark: SparkSession) -> DataFrame:
-    return spark.tvf.variant_explode_outer(F.col("v").outer())
+def ordered_media(items: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
+    """(post_id, place, kind, url): what an item names in fields of its own first, then all other media links, each once."""
+    own = known_media(items).select("post_id", F.lit(0).alias("turn"), "place", "kind", "url")
+    rest = media_urls(items, hosts).select("post_id", F.lit(1).alias("turn"), "place", "kind", "url")
+    first = own.unionByName(rest).groupBy("post_id", "kind", "url").agg(F.min(F.struct("turn", "place")).alias("at"))
+    order = Window.partitionBy("post_id").orderBy("at")  # an item's own links
+    return first.select("post_id", (F.row_number().over(order) - 1).alias("place"), "kind", "url")
 
 
 def route_platform(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -211,6 +239,53 @@ def jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+# Tables of a policy folder, with the columns that matching and prototypes take.
+POLICY = {
+    "entries": "id string, type string, region string, language string, value string, meaning string, status string, supports array<string>, context_notes string",
+    "age_terms": "lang string, kind string, value string, number int",
+    "patterns": "id string, lang string, strength string, pattern string, near_a string, near_b string, window int",
+    "examples": "id string, lang string, modality string, text string, restricted boolean, expected string",
+}
+AGE_KINDS = {"words": "word", "institutions": "institution", "age_units": "unit", "infant_units": "infant", "stated_age_phrases": "phrase", "grade_patterns": "grade", "not_followed_by": "stop"}
+
+
+def policy_rows(kind: str, text: str) -> list[dict]:
+    """Rows of one table in a policy file: YAML with entries, age_terms or patterns; JSON lines for examples."""
+    if kind == "examples":
+        rows = [json.loads(line) for line in text.splitlines() if line.strip()]
+        return [r | {"text": r.get("text") or r.get("image_description"), "restricted": bool(r.get("restricted")), "expected": json.dumps(r.get("expected"))} for r in rows]
+    import yaml
+
+    document = yaml.safe_load(text) or {}
+    if kind == "entries":
+        return document.get("entries") or []
+    if kind == "patterns":
+        near = lambda r: dict(zip(("near_a", "near_b", "window"), r.get("near") or (None, None, None)))
+        return [{"id": r["id"], "lang": r.get("lang"), "strength": r.get("strength"), "pattern": r.get("regex")} | near(r) for r in document.get("patterns") or []]
+    out = []
+    for lang, lists in (document.get("age_terms") or {}).items():
+        if isinstance(lists, dict):  # what stands beside the languages are notes
+            out += [{"lang": lang, "kind": AGE_KINDS[name], "value": str(v), "number": None} for name, values in lists.items() if name in AGE_KINDS for v in values or []]
+            out += [{"lang": lang, "kind": "number", "value": str(name), "number": int(n)} for name, n in (lists.get("number_words") or {}).items()]
+    return out
+
+
+def policy_table(spark: SparkSession, paths: list[str], kind: str, approved_only: bool = True) -> DataFrame:
+    """A table of POLICY from files (YAML, or JSON lines for examples), read by Spark from wherever they are, a task for
+    each. Of entries only approved ones leave the tasks, unless asked otherwise. A file that can't be parsed is an error."""
+    schema = StructType.fromDDL(POLICY[kind])
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for text in batch["value"].to_pylist() for r in policy_rows(kind, text)]
+            if kind == "entries" and approved_only:
+                rows = [r for r in rows if r.get("status") == "approved"]
+            yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in rows], arrow)
+
+    arrow = spark.createDataFrame([], schema).toArrow().schema
+    return spark.read.text(paths, wholetext=True).mapInArrow(run, schema)
+
+
 def policy_entries(entries: DataFrame, allow_empty: bool = False) -> DataFrame:
     """The approved entries of a policy table; none at all is an error unless allowed."""
     approved = entries.where("status = 'approved'")
@@ -237,8 +312,8 @@ def prototypes(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(rows, hash): a table's content whatever its order; repeated rows count."""
-    digest = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])), 1, 8), 16, 10).cast("long")
+    """(rows, hash): a table's content whatever its order, by 64 bits of each row; repeated rows count."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])), 1, 16), 16, 10)
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(digest.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash"))
 
 
