@@ -84,22 +84,28 @@ class Terms:
                         yield condition, i == 0, end == len(chunk)
 
     def of_chunk(self, chunk: str) -> tuple:
-        found = self.known.get(chunk)
-        if found is None:
-            found = tuple(self.met(chunk))
-            if len(chunk) <= SHORT:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
-                self.known[chunk] = found
+        """What a chunk meets, remembered from now on."""
+        found = tuple(self.met(chunk))
+        if len(chunk) <= SHORT:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[chunk] = found
         return found
 
     def find(self, text: str | None) -> set:
         """Names of the terms in a text that has been unmasked."""
         out: set = set()
-        open_ = [0]
+        open_, known = [0], self.known
         for chunk in BLANKS.split(text or ""):
+            found = known.get(chunk)
+            if found is None:
+                found = self.of_chunk(chunk)
+            if not found:  # as nearly always
+                if len(open_) > 1:
+                    open_ = [0]
+                continue
             after = [0]
-            for condition, begins, ends in self.of_chunk(chunk):
+            for condition, begins, ends in found:
                 for node in open_ if begins else (0,):
                     child = self.step.get((node, condition))
                     if child is not None:
