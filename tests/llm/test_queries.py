@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, data, name):
 
 def test_every_number_has_one_query():
     names = __spark_entry__.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages_keep_the_columns_and_remove_what_they_should(spark, data, tmp_path):
