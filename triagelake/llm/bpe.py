@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -50,13 +51,14 @@ class WordBpe:
         self.merged = [vocab[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.decimal = {i: str(i) for i in self.token}
         letters = byte_letters()
         self.inner, self.last = [vocab[x] for x in letters], [vocab[x + end] for x in letters]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split.replace(r"\s", SPACE)).findall
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.of_word, self.of_chunk = Memo(self.encode_word, 20_000), Memo(self.encode_chunk, 100_000)
+        self.of_word, self.of_chunk = Memo(lambda word: array("i", self.encode_word(word)).tobytes(), 100_000), Memo(self.encode_chunk, 200_000)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the leftmost pair of lowest rank until none is left.
@@ -118,28 +120,27 @@ class WordBpe:
         raw = word.encode("utf-8", "replace")
         return self.merge([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])
 
-    def encode_chunk(self, chunk: str) -> tuple[str, str, int]:
-        """Decimal ids and decoded tokens of what stands between white space, each joined by spaces, and their number."""
+    def encode_chunk(self, chunk: str) -> bytes:
+        """Packed ids of what stands between white space."""
         clean = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        ids = self.encode_word(clean) if clean.isalpha() else [i for w in self.words(clean) for i in self.of_word[w]]
-        return " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), len(ids)
+        return self.of_word[clean] if clean.isalpha() else b"".join(map(self.of_word.__getitem__, self.words(clean)))
 
-    def pieces(self, text: str | None) -> list[tuple[str, str, int]]:
-        """What ``encode_chunk`` has for the chunks and special tokens of a text, in order.
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a text, chunk by chunk and special token by special token.
 
         No pattern of the vocabulary matches across white space and no composed letter does, so chunks are independent.
         """
-        out: list[tuple[str, str, int]] = []
+        out: list[bytes] = []
         text = text or ""
         for k, part in enumerate(self.parts(text) if any(map(text.__contains__, self.special)) else [text]):
             if k % 2:
-                out.append((str(self.special[part]), part, 1))
+                out.append(array("i", [self.special[part]]).tobytes())
             else:  # str.split() also parts at the separators U+001C to U+001F
                 chunks = filter(None, self.spaces(part)) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
                 out += map(self.of_chunk.__getitem__, chunks)
         self.of_word.trim()
         self.of_chunk.trim()
-        return out
+        return array("i", b"".join(out)).tolist()
 
     def forget(self) -> None:
         """At a task's end: its worker goes on to other work, which needs the memory."""
@@ -147,9 +148,6 @@ class WordBpe:
         self.of_chunk.forget()
         give_back()
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _, n in self.pieces(text) if n for i in ids.split(" ")]
-
     def decode(self, ids) -> str:
         """Tokens joined by a space (the vocabulary names no decoder), special tokens included; unknown ids are skipped."""
         return " ".join(self.token[i] for i in ids if i in self.token)
@@ -180,9 +178,8 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                pieces = bpe.pieces(text.as_py())
-                ids, tokens, n = zip(*pieces) if pieces else ((), (), ())
-                rows.append((sum(n), sha(" ".join(ids)), sha(" ".join(tokens))))
+                ids = bpe.encode(text.as_py())
+                rows.append((len(ids), sha(" ".join(map(bpe.decimal.__getitem__, ids))), sha(" ".join(map(bpe.token.__getitem__, ids)))))
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.forget()
