@@ -186,3 +186,12 @@ def loose_key(text: Column) -> Column:
 
 def reference_code(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix + "-"), F.lpad(number.cast("string"), 6, "0"))
+
+
+# Fixed value: links of messages; the channel's name, then the message's number.
+MESSAGE = r"^https?://(?:www\.)?(?:t\.me|telegram\.me)/(?:s/)?([A-Za-z0-9_]{4,})/([0-9]+)"
+
+
+def message_link(url: Column) -> Column:
+    """struct<channel,message> of a message's link; null for any other link."""
+    return F.when(url.rlike(MESSAGE), F.struct(F.regexp_extract(url, MESSAGE, 1).alias("channel"), F.regexp_extract(url, MESSAGE, 2).try_cast("bigint").alias("message")))

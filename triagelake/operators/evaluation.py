@@ -119,3 +119,30 @@ def mcnemar(rows: DataFrame, first: Column, second: Column) -> DataFrame:
     log_term = F.aggregate(F.sequence(F.lit(1), k), F.struct(-n * F.log(F.lit(2.0)) + F.lit(0.0), F.exp(-n * F.log(F.lit(2.0)))), lambda s, i: F.struct(s.col1 + F.log((n - i + 1) / i), s.col2 + F.exp(s.col1 + F.log((n - i + 1) / i))))
     tail = F.when(k >= 1, log_term.col2).otherwise(F.exp(-n * F.log(F.lit(2.0))))
     return counts.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
+
+
+def histogram(rows: DataFrame, score: Column, edges: list[float], *by: str) -> DataFrame:
+    """(by, bin, low, n): how many scores lie in each bin from an edge to the next, its end left out, but that of the last
+    bin; bins without a score have 0. Null scores and those outside count nowhere."""
+    last = len(edges) - 2
+    of = F.lit(None).cast("int")
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        of = F.when((score >= low) & ((score < high) | (F.lit(k == last) & (score == high))), k).otherwise(of)
+    counts = rows.select(*by, of.alias("bin")).where("bin IS NOT NULL").groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    bins = F.array(*[F.struct(F.lit(k).alias("bin"), F.lit(float(low)).alias("low")) for k, low in enumerate(edges[:-1])])
+    every = (rows.select(*by).distinct() if by else rows.limit(1).select()).select(*by, F.explode(bins).alias("b")).select(*by, "b.bin", "b.low")
+    same = F.lit(True)
+    for c in ("bin", *by):
+        same = same & every[c].eqNullSafe(counts[c])
+    return every.join(counts, same, "left").select(*(every[c] for c in by), every["bin"], "low", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def run_health(rows: DataFrame) -> DataFrame:
+    """One row of counts over (error, reason, possible_minor, p_true): n, valid, invalid_json, timeouts, server_errors,
+    refusals (valid, without a reason, not restricted), restricted, without_probability."""
+    valid, minor = F.col("error").isNull(), F.coalesce("possible_minor", F.lit(False))
+    failed = {"invalid_json": "invalid_json", "timeouts": "timeout", "server_errors": "server_error"}
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(valid).alias("valid"), *(F.count_if(F.col("error").startswith(start)).alias(name) for name, start in failed.items()),
+        F.count_if(valid & ~minor & (F.coalesce("reason", F.lit("")) == "")).alias("refusals"), F.count_if(valid & minor).alias("restricted"), F.count_if(valid & ~minor & F.col("p_true").isNull()).alias("without_probability"),
+    )

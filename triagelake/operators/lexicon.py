@@ -234,3 +234,11 @@ def unknown_ids(text: Column, defined: list[str]) -> Column:
     """Cited ids (two letters, dash, number) of a text that no table defines, sorted."""
     cited = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,6}-[0-9]+)\b"), 1))
     return F.array_sort(F.array_except(cited, F.array(*map(F.lit, defined)) if defined else F.array().cast("array<string>")))
+
+
+def undefined_ids(rows: DataFrame, defined: DataFrame) -> DataFrame:
+    """(cited, documents, first_doc): ids that texts of (id, text) cite and no row of ``defined`` (id) has; how many rows
+    cite each, and the first of them. A row that cites an id several times counts once."""
+    cited = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{2,6}-[0-9]+)\b"), 1))).alias("cited"))
+    counts = cited.groupBy("cited").agg(F.count("*").alias("documents"), F.min("id").alias("first_doc"))
+    return counts.join(defined.select(F.col("id").alias("cited")).distinct(), "cited", "left_anti")

@@ -82,6 +82,18 @@ def distribution(spark, d):
     return view(spark, d, "scored").groupBy("class").agg(F.avg(s).alias("mean"), F.avg((s >= 0.5).cast("double")).alias("half"), F.count_if((s >= 0.35) & (s < 0.65)).alias("middle"), F.count_if(F.width_bucket(s, F.lit(0.0), F.lit(1.0), F.lit(10)) == 1).alias("lowest"))
 
 
+@register("agg17_fixed_edges", sql("scored", body=""", e AS (SELECT unnest([0, 1, 2, 3]) AS bin, unnest([0.0, 25.0, 50.0, 75.0]) AS low, unnest([25.0, 50.0, 75.0, 101.0]) AS high), c AS (SELECT DISTINCT class FROM scored)
+SELECT c.class, CAST(e.bin AS INTEGER) AS bin, CAST(e.low AS DOUBLE) AS low, (SELECT count(*) FROM scored s WHERE s.class IS NOT DISTINCT FROM c.class AND s.score * 100 >= e.low AND s.score * 100 < e.high) AS n FROM c, e"""))
+def fixed_edges(spark, d):
+    return E.histogram(view(spark, d, "scored"), F.col("score") * 100, [0, 25, 50, 75, 101], "class")
+
+
+@register("agg17_deciles", sql("scored", body=""", e AS (SELECT unnest(range(10)) AS bin)
+SELECT CAST(bin AS INTEGER) AS bin, CAST(bin AS DOUBLE) / 10 AS low, (SELECT count(*) FROM scored s WHERE s.score >= CAST(bin AS DOUBLE) / 10 AND (s.score < (CAST(bin AS DOUBLE) + 1) / 10 OR bin = 9 AND s.score = 1)) AS n FROM e"""))
+def deciles(spark, d):
+    return E.histogram(view(spark, d, "scored"), F.col("score"), [k / 10 for k in range(11)])
+
+
 @register("agg18_recall_by_class", sql("scored", body=" SELECT class, avg(CASE WHEN y THEN CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END END) AS recall, avg(CASE WHEN (score >= 0.5) = y OR (score_b >= 0.5) = y THEN 1.0 ELSE 0.0 END) AS either FROM scored GROUP BY class"))
 def recall_by_class(spark, d):
     hit = F.avg(F.when(F.col("y"), half().cast("double")))
@@ -147,6 +159,18 @@ def health(spark, d):
     return table(spark, d, "events").agg(F.count("*").alias("n"), F.count_if(t == "error").alias("errors"), F.count_if(t.startswith("c")).alias("c_events"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("value") > 50).alias("slow"))
 
 
+@register("agg27_all_counts", sql("assessed", body=""", p AS (SELECT *, CASE WHEN item_id % 9 = 1 THEN 'invalid_json: x' WHEN item_id % 9 = 2 THEN 'timeout' WHEN item_id % 9 = 3 THEN 'server_error 500' END AS error, CASE WHEN item_id % 4 = 0 THEN '' ELSE 'words' END AS reason, CASE WHEN item_id % 6 <> 0 THEN confidence_a END AS p_true FROM assessed)
+SELECT count(*) AS n, sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END) AS valid, sum(CASE WHEN starts_with(error, 'invalid_json') THEN 1 ELSE 0 END) AS invalid_json, sum(CASE WHEN starts_with(error, 'timeout') THEN 1 ELSE 0 END) AS timeouts,
+  sum(CASE WHEN starts_with(error, 'server_error') THEN 1 ELSE 0 END) AS server_errors, sum(CASE WHEN error IS NULL AND reason = '' AND NOT possible_minor THEN 1 ELSE 0 END) AS refusals,
+  sum(CASE WHEN error IS NULL AND possible_minor THEN 1 ELSE 0 END) AS restricted, sum(CASE WHEN error IS NULL AND NOT possible_minor AND p_true IS NULL THEN 1 ELSE 0 END) AS without_probability FROM p"""))
+def all_counts(spark, d):
+    """The health of a run: what came back valid, what failed and how, refusals, restricted rows, missing probabilities."""
+    n = F.col("item_id")
+    error = F.when(n % 9 == 1, "invalid_json: x").when(n % 9 == 2, "timeout").when(n % 9 == 3, "server_error 500")
+    rows = view(spark, d, "assessed").select("possible_minor", error.alias("error"), F.when(n % 4 == 0, "").otherwise("words").alias("reason"), F.when(n % 6 != 0, F.col("confidence_a")).alias("p_true"))
+    return E.run_health(rows)
+
+
 @register("agg28_throughput", "SELECT event_type, count(*) AS n, avg(value) AS mean_latency, max(value) AS max_latency, 60.0 * count(*) / sum(value) AS per_minute FROM events GROUP BY event_type")
 def throughput(spark, d):
     v = F.col("value")

@@ -328,6 +328,13 @@ def candidate_rates(spark, d):
     return out.withColumn("rate", ratio(F.col("candidates"), F.col("posts")))
 
 
+@register("agg08_by_language", sql("posts", body=PATTERN_SQL + " SELECT lang, count(*) AS posts, count(strength) AS candidates, CAST(count(strength) AS DOUBLE) / count(*) AS rate FROM x GROUP BY lang"))
+def by_language(spark, d):
+    hit = L.strength(L.pattern_hits(F.col("text"))).isNotNull()
+    out = view(spark, d, "posts").groupBy("lang").agg(F.count("*").alias("posts"), F.count_if(hit).alias("candidates"))
+    return out.withColumn("rate", ratio(F.col("candidates"), F.col("posts")))
+
+
 @register("agg08_top_channels", sql("posts", body=PATTERN_SQL + " SELECT channel, n FROM (SELECT channel, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, channel) AS r FROM x WHERE strength IS NOT NULL GROUP BY channel) y WHERE r <= 25"))
 def top_channels(spark, d):
     return candidates(spark, d).groupBy("channel").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "channel").limit(25)

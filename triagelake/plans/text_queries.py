@@ -107,6 +107,16 @@ def message_links(spark, d):
     return found.select("page_id", F.regexp_extract("url", pattern, 1).alias("channel"), F.regexp_extract("url", pattern, 2).cast("bigint").alias("message"))
 
 
+@register("txt09_telegram_links", r"""WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'https://t.me/s/' || source || '_ab/' WHEN 1 THEN 'http://www.telegram.me/' || lang || '_news/' WHEN 2 THEN 'https://t.me/' || lang || '/' WHEN 3 THEN 'https://t.me.example.org/abcd/' ELSE 'https://t.me/joinchat/x' END || CAST(doc_id AS VARCHAR) || '?x=1' AS url FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN regexp_extract(url, '/s/(.*)/', 1) ELSE regexp_extract(url, 'me/(.*)/', 1) END AS channel, doc_id AS message FROM l WHERE (doc_id % 5 = 0 AND regexp_full_match(regexp_extract(url, '/s/(.*)/', 1), '[A-Za-z0-9_]{4,}')) OR (doc_id % 5 = 1 AND length(regexp_extract(url, 'me/(.*)/', 1)) >= 4)""")
+def telegram_links(spark, d):
+    """Links of several forms made from documents' columns; short names, other hosts and invitations are no messages."""
+    n, id_ = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    start = F.when(n == 0, F.concat(F.lit("https://t.me/s/"), "source", F.lit("_ab/"))).when(n == 1, F.concat(F.lit("http://www.telegram.me/"), "lang", F.lit("_news/"))).when(n == 2, F.concat(F.lit("https://t.me/"), "lang", F.lit("/"))).when(n == 3, F.lit("https://t.me.example.org/abcd/")).otherwise(F.lit("https://t.me/joinchat/x"))
+    links = table(spark, d, "documents").select("doc_id", T.message_link(F.concat(start, id_, F.lit("?x=1"))).alias("m"))
+    return links.where("m IS NOT NULL").select("doc_id", "m.channel", "m.message")
+
+
 @register("txt10_time_pairs", """SELECT doc_id, n_chars // 60 AS m1, (n_chars // 60) * 60 + n_chars % 60 AS start_s, (n_chars // 60 + 1) * 60 + n_chars % 60 AS end_s FROM documents""")
 def pairs(spark, d):
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
@@ -241,6 +251,17 @@ def unknown(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(L.unknown_ids(text, ["HI-1", "HI-2", "CH-1", "CH-2"]), ",").alias("unknown"))
 
 
+@register("lex11_undefined_in_corpus", r"""WITH c AS (SELECT doc_id, 'See HI-' || CAST(doc_id % 9 AS VARCHAR) || ' and CH-' || CAST(doc_id % 5 AS VARCHAR) || '.' || coalesce(text, '') AS t FROM documents),
+i AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '\b([A-Z]{2,6}-[0-9]+)\b', 1)) AS id FROM c)
+SELECT id, count(*) AS documents, min(doc_id) AS first_doc FROM i WHERE id NOT IN (SELECT 'HI-' || CAST(item_id % 6 AS VARCHAR) FROM benchmark UNION SELECT 'CH-' || CAST(item_id % 3 AS VARCHAR) FROM benchmark) GROUP BY id""")
+def undefined(spark, d):
+    """Ids that documents cite and no entry defines, over the whole corpus."""
+    text = F.concat(F.lit("See HI-"), (F.col("doc_id") % 9).cast("string"), F.lit(" and CH-"), (F.col("doc_id") % 5).cast("string"), F.lit("."), F.coalesce("text", F.lit("")))
+    n = F.col("item_id")
+    defined = table(spark, d, "benchmark").select(F.explode(F.array(F.concat(F.lit("HI-"), (n % 6).cast("string")), F.concat(F.lit("CH-"), (n % 3).cast("string")))).alias("id"))
+    return L.undefined_ids(table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text")), defined).withColumnRenamed("cited", "id")
+
+
 @register("lex12_merge_hits", "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'a' END, CASE WHEN doc_id % 2 = 0 THEN 'b' END, CASE WHEN doc_id % 5 = 0 THEN 'c' END) AS hits, CASE WHEN lang IN ('en', 'de') THEN CAST(doc_id % 11 AS DOUBLE) / 10 ELSE least(CAST(doc_id % 11 AS DOUBLE) / 10, 0.5) END AS confidence FROM documents")
 def merged_hits(spark, d):
     when = lambda c, v: F.when(c, F.lit(v))
