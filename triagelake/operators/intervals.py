@@ -45,3 +45,12 @@ def covered(intervals: DataFrame, parent: str) -> DataFrame:
     reach = F.max("end_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
     length = F.greatest(F.lit(0.0), F.col("end_s") - F.greatest(F.col("start_s"), F.coalesce(reach, F.col("start_s"))))
     return intervals.withColumn("new", length).groupBy(parent).agg(F.sum("new").alias("covered"))
+
+
+def timeline(segments: DataFrame, passages: DataFrame) -> DataFrame:
+    """segments with ``flagged``, the most likely positive segment of its video (the first of equals), and ``in_passage``,
+    whether one of the annotated passages (video, start_s, end_s) overlaps it. Null p is never flagged."""
+    best = segments.where("positive AND p IS NOT NULL").groupBy("video").agg(F.min_by("idx", F.struct(-F.col("p"), "idx")).alias("_top"))
+    met = overlapping(segments.select("video", "idx", "start_s", "end_s"), passages.select("video", "start_s", "end_s"), "video").select("video", "idx").distinct().withColumn("_met", F.lit(True))
+    rows = segments.join(best, "video", "left").join(met, ["video", "idx"], "left")
+    return rows.select(*segments.columns, F.coalesce(F.col("idx") == F.col("_top"), F.lit(False)).alias("flagged"), F.coalesce("_met", F.lit(False)).alias("in_passage"))

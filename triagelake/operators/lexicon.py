@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.functions.text import normalize_text, transliterate, unmask, words
+from triagelake.functions.text import normalize_text, sentences, transliterate, unmask, words
 from triagelake.operators.terms import Ages, Terms, built, conditions
 
 #: Demonstration tables; an installation brings its own as DataFrames of the same columns. What a row says: of a kind
@@ -199,17 +199,27 @@ def age_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(AGE_TERMS, AGE_COLUMNS)
 
 
-def age_labels(text: Column, table: DataFrame | None = None) -> Column:
-    """Kinds of age indicator in a text (never the words), by a table with AGE_COLUMNS: a stated age, an infant's age, a
-    school class, a term. Terms are also found in Latin spelling; soft and hard signs do not count."""
-    table = age_table(SparkSession.active()) if table is None else table
-    rows = [r.asDict() for r in rows_of(table)]
+def age_forms(text: Column) -> tuple[Column, Column]:
+    """A text as ages are sought in it, and in both alphabets as terms are."""
     low = F.translate(F.lower(text), "ё’", "е'")
     silent = lambda c: F.regexp_replace(c, "[ьъ]", "")
-    both = F.concat(silent(unmask(text)), F.lit("\n"), silent(transliterate(low)))
+    return low, F.concat(silent(unmask(text)), F.lit("\n"), silent(transliterate(low)))
+
+
+def age_terms(table: DataFrame):
+    """The rows of a table with AGE_COLUMNS and their terms as words, sent around."""
+    rows = [r.asDict() for r in rows_of(table)]
     terms = table.where(F.col("kind").isin("word", "institution")).select(F.lit("age term").alias("name"), term_words(F.col("value")).alias("words")).collect()
     words = [("age term", [(w["plain"], w["prefix"]) for w in r["words"]]) for r in terms]
-    shared = table.sparkSession.sparkContext.broadcast((rows, words))
+    return table.sparkSession.sparkContext.broadcast((rows, words))
+
+
+def age_labels(text: Column, table: DataFrame | None = None) -> Column:
+    """Kinds of age indicator in a text (never the words), by a table with AGE_COLUMNS: a stated age, an infant's age, a
+    school class, a term. Terms are also found in Latin spelling; soft and hard signs do not count."""
+    table = age_table(SparkSession.active()) if table is None else table
+    low, both = age_forms(text)
+    shared = age_terms(table)
 
     def of(lows: pd.Series, boths: pd.Series) -> pd.Series:
         ages, terms = age_machines(shared)
@@ -218,6 +228,24 @@ def age_labels(text: Column, table: DataFrame | None = None) -> Column:
     return F.pandas_udf(of, "array<string>")(low, both)
 
 
+def age_beside(text: Column, patterns: DataFrame | None = None, table: DataFrame | None = None) -> Column:
+    """Whether an age indicator stands in the same sentence as a hit of a pattern; false for a null text. Only sentences
+    with a hit are searched for ages."""
+    session = SparkSession.active()
+    patterns = pattern_table(session) if patterns is None else patterns
+    sought = [r["pattern"] for r in rows_of(patterns)]
+    hit = F.filter(sentences(text), lambda s: any_match(s, sought))
+    forms = F.transform(hit, lambda s: F.struct(*(c.alias(n) for n, c in zip(("low", "both"), age_forms(s)))))
+    shared = age_terms(age_table(session) if table is None else table)
+
+    def of(lows: pd.Series, boths: pd.Series) -> pd.Series:
+        ages, terms = age_machines(shared)
+        met = lambda a, b: bool(ages.find(a) or terms.find(b))
+        return pd.Series([any(map(met, a, b)) if a is not None else False for a, b in zip(lows, boths)])
+
+    return F.pandas_udf(of, "boolean")(forms.getField("low"), forms.getField("both"))
+
+
 LABELS = ("stated age", "infant age", "school grade", "age term")
 
 

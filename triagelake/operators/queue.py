@@ -33,6 +33,46 @@ def page(queue: DataFrame, offset: int, size: int) -> DataFrame:
     return queue.orderBy("rank", F.desc("copies"), F.desc("last_ts"), "first_id").offset(offset).limit(size)
 
 
+def reviewed_page(queue: DataFrame, offset: int, size: int) -> DataFrame:
+    """The tab of reviewed items: the newest first."""
+    return queue.orderBy(F.desc("last_ts"), "first_id").offset(offset).limit(size)
+
+
+def page_count(queue: DataFrame, size: int) -> DataFrame:
+    """total, pages: how many items there are, and pages of ``size``; an empty queue has one."""
+    return queue.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)))
+
+
+def to_judge(posts: DataFrame, detections: DataFrame) -> DataFrame:
+    """(key, representative, retry) of the groups that are to be judged, from posts (seq, key) and detections (seq, route).
+
+    A group's detection is its newest; a group is judged once, and again where that was an error (``retry``). The first
+    post stands for it. Detections of unknown posts and posts without a key count for nothing.
+    """
+    newest = F.max_by("route", F.when(F.col("route").isNotNull(), F.col("seq")))
+    rows = posts.where("key IS NOT NULL").join(detections.select("seq", "route"), "seq", "left")
+    groups = rows.groupBy("key").agg(F.min("seq").alias("representative"), newest.alias("route"))
+    return groups.where("route IS NULL OR route = 'judge_error'").select("key", "representative", F.col("route").isNotNull().alias("retry"))
+
+
+def filled_links(links: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """links (id, url, norm, ...) with ``norm`` where it was null, and ``first_seen``: whether a link that lacked it also
+    lacks occurrences (id, ...), so that its own sighting becomes the first."""
+    seen = occurrences.select("id").distinct().withColumn("_seen", F.lit(True))
+    rows = links.join(seen, "id", "left")
+    first = F.col("norm").isNull() & F.col("_seen").isNull()
+    return rows.select("id", "url", F.coalesce("norm", T.normalize_url(F.col("url"))).alias("norm"), *(c for c in links.columns if c not in ("id", "url", "norm")), first.alias("first_seen"))
+
+
+def missing_reports(reports: DataFrame, links: DataFrame) -> DataFrame:
+    """The reports (report_id, url, ...) that the queue of links (id, norm) lacks: neither a link of the report's own id nor
+    one of the same normalised link stands there. Of reports of one link the first is taken; those without one all are."""
+    rows = reports.withColumns({"id": F.concat(F.lit("public-"), F.col("report_id").cast("string")), "norm": T.normalize_url(F.col("url"))})
+    rows = rows.join(links.select("id"), "id", "left_anti").join(links.select("norm"), "norm", "left_anti").select("id", "norm", *reports.columns)
+    first = rows.where("norm IS NOT NULL").groupBy("norm").agg(F.min_by(F.struct(*rows.columns), "report_id").alias("r")).select("r.*")
+    return first.unionByName(rows.where("norm IS NULL"))
+
+
 #: Kinds of which two values within the limit of bits are near copies; the others match whole.
 NEAR_KINDS = {"text_simhash": SIMHASH_LIMIT, "media_phash": IMAGE_LIMIT}
 

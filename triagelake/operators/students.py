@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.metrics import dot
+from triagelake.operators.evaluation import auroc, recall_at_budget
 
 
 def prepared(rows: DataFrame, folds: int = 5) -> DataFrame:
@@ -34,6 +35,39 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.where(rarer | (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)))
 
 
+def feature_sets(rows: DataFrame, text: str, image: str) -> DataFrame:
+    """rows with the arrays t, i and it, the vectors of text, image and both one after the other; ``it`` is null where one
+    of them is."""
+    t, i = F.col(text).cast("array<double>"), F.col(image).cast("array<double>")
+    return rows.withColumns({"t": t, "i": i, "it": F.concat(t, i)})
+
+
+def best_candidate(candidates: DataFrame, least: float) -> DataFrame:
+    """The one of (kind, model, balance, auroc, recall) with the highest AUROC, then recall, then the first by name, and
+    ``stop``: whether its recall is below ``least``, so that none is good enough."""
+    return candidates.orderBy(F.desc_nulls_last("auroc"), F.desc_nulls_last("recall"), "kind", "model", "balance").limit(1).withColumn("stop", F.coalesce(F.col("recall") < least, F.lit(True)))
+
+
+def trained_candidates(rows: DataFrame, dev: Column, kinds: tuple[str, ...], budget: float, strengths: tuple[float, ...] = (0.01,), hidden: int = 16, rounds: int = 30) -> DataFrame:
+    """(kind, model, balance, auroc, recall at the budget) on the rows of ``dev`` for students trained on the others: each
+    of the feature columns ``kinds``, logistic or perceptron, balanced by weight or by leaving out rows of the more
+    frequent class. (A perceptron has no weights of rows, so by weight it sees them as they are.)"""
+    parts = []
+    for kind in kinds:
+        own = rows.select("id", F.col(kind).alias("x"), "y", dev.alias("dev")).where("x IS NOT NULL").persist()
+        train, check = own.where("NOT dev"), own.where("dev")
+        width = own.select(F.max(F.size("x"))).first()[0]
+        for balance, learn in (("weight", train), ("undersample", balanced(train))):
+            for model in ("logistic", "perceptron"):
+                fitted = logistic_student(learn, strengths).bestModel if model == "logistic" else perceptron_student(learn, width, hidden, rounds)[0]
+                scored = scores(fitted, check).persist()
+                found = auroc(scored).select("auroc").first()[0], recall_at_budget(scored, budget).select("recall").first()[0]
+                parts.append((kind, model, balance, *found))
+                scored.unpersist()
+        own.unpersist()
+    return rows.sparkSession.createDataFrame(parts, "kind string, model string, balance string, auroc double, recall double")
+
+
 def logistic_student(rows: DataFrame, strengths=(0.001, 0.01, 0.1), folds: int = 5):
     """Standardised logistic regression, balanced by weight; the strength is chosen by cross-validated AUROC."""
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)

@@ -119,6 +119,11 @@ def bootstrap(spark, d):
     return E.bootstrap_auroc(view(spark, d, "scored"))
 
 
+@register("agg21_bootstrap_speed_up")
+def bootstrap_speed(spark, d):
+    return E.speed_up(view(spark, d, "scored"), half(), 0.05, 2.0)
+
+
 THRESHOLD = "SELECT coalesce((SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score) AS r FROM scored WHERE y) x WHERE r = 1 + CAST(floor((1 - 0.95) * (SELECT count(*) FROM scored WHERE y)) AS BIGINT)), 0.0) AS threshold"
 
 
@@ -177,6 +182,18 @@ def throughput(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg(v).alias("mean_latency"), F.max(v).alias("max_latency"), (60.0 * F.count("*") / F.sum(v)).alias("per_minute"))
 
 
+@register("agg28_run_throughput", sql("assessed", body=" SELECT count(*) AS n, 60.0 * count(*) / 3600.0 AS per_minute, 600.0 * count(*) / 3600.0 AS per_10_min, avg(length(content) / 1000.0) AS mean_latency, max(length(content) / 1000.0) AS max_latency, avg(coalesce(length(content), 0)) AS prompt_tokens_mean, avg(coalesce(CASE WHEN item_id % 4 < 3 THEN length(type_list) + length(pathway_list) END, 0)) AS completion_tokens_mean FROM assessed"))
+def run_throughput(spark, d):
+    size = F.length("content")
+    usage = {"prompt_tokens": size, "completion_tokens": F.when(F.col("item_id") % 4 < 3, F.length("type_list") + F.length("pathway_list"))}
+    return E.throughput(view(spark, d, "assessed"), size / 1000.0, 3600.0, usage)
+
+
+@register("agg28_layer_counts", sql("assessed", body=" SELECT coalesce(relation, 'none') AS layer, count(*) AS n FROM assessed GROUP BY 1"))
+def layer_counts(spark, d):
+    return view(spark, d, "assessed").groupBy(F.coalesce("relation", F.lit("none")).alias("layer")).agg(F.count("*").alias("n"))
+
+
 @register("agg29_stage_cost", sql("segments", body=", t AS (SELECT video, 'user' AS stage, sum(CASE WHEN role = 'user' THEN end_s - start_s ELSE 0 END) AS s, max(end_s) AS total FROM segments GROUP BY video UNION ALL SELECT video, 'rest', sum(CASE WHEN role <> 'user' THEN end_s - start_s ELSE 0 END), max(end_s) FROM segments GROUP BY video) SELECT stage, sum(s) AS seconds, sum(s) / (sum(total) / 60) AS per_minute FROM t GROUP BY stage"))
 def stage_cost(spark, d):
     length = F.col("end_s") - F.col("start_s")
@@ -203,6 +220,13 @@ def missed_by(spark, d):
     return view(spark, d, "scored").groupBy(n.alias("missed_by")).agg(F.count("*").alias("items"))
 
 
+@register("agg33_missed_items", sql("scored", body=" SELECT * FROM (SELECT item_id, CAST(CASE WHEN (score >= 0.5) <> y THEN 1 ELSE 0 END + CASE WHEN (score_b >= 0.5) <> y THEN 1 ELSE 0 END + CASE WHEN judge <> y THEN 1 ELSE 0 END AS INTEGER) AS missed_by, concat_ws(',', CASE WHEN (score >= 0.5) <> y THEN 'a' END, CASE WHEN (score_b >= 0.5) <> y THEN 'b' END, CASE WHEN judge <> y THEN 'judge' END) AS systems FROM scored) x WHERE missed_by > 0"))
+def missed_items(spark, d):
+    y = F.col("y")
+    right = {"a": half() == y, "b": (F.col("score_b") >= 0.5) == y, "judge": F.col("judge") == y}
+    return E.missed_items(view(spark, d, "scored"), "item_id", right).withColumn("systems", F.array_join("systems", ","))
+
+
 @register("agg34_label_statistics", "SELECT d.lang, count(l.toxic) AS labelled, sum(l.toxic) AS toxic, sum(l.quality) AS good, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang")
 def label_statistics(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
@@ -382,6 +406,26 @@ def agreement(spark, d):
     return rows.select(F.explode(pairs).alias("p")).groupBy(F.col("p.field").alias("field")).agg(F.count_if("p.ok").alias("agree"), F.count("*").alias("n"))
 
 
+FIELDS = {
+    "flag": ("item_id % 3 > 0", "route IN ('priority_review', 'standard_review')"), "route": ("model_route", "route"), "priority": ("model_priority", "priority"),
+    "lead": ("CASE WHEN item_id % 2 = 0 THEN item_id % 4 = 0 END", "final_lead"), "exclusion": ("CASE WHEN item_id % 26 = 0 THEN 'B2-1' END", "exclusion"),
+    "affiliation": ("CASE WHEN item_id % 5 < 3 THEN 'AFF-1' END", "affiliation"), "ft_quote_present": ("item_id % 6 = 0", "quote_present"), "possible_minor": ("CASE WHEN item_id % 41 < 2 THEN true END", "possible_minor"),
+    "element_a": ("'likely'", "element_a"),
+}
+STACKED = " UNION ALL ".join(f"SELECT '{f}' AS field, coalesce(({got}) = ({want}), false) AS ok FROM o WHERE ({want}) IS NOT NULL" for f, (want, got) in FIELDS.items())
+
+
+@register("rul17_all_fields", sql("assessed", body=FINAL + f""", u AS ({STACKED} UNION ALL SELECT 'types', contains(',' || type_list || ',', ',HI-TYPE-04,') FROM o WHERE item_id % 2 = 0
+UNION ALL SELECT 'low_confidence', least(confidence_a, confidence_b) < 0.7 FROM o WHERE item_id % 10 < 5) SELECT field, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS agree, count(*) AS n FROM u GROUP BY field"""))
+def all_fields(spark, d):
+    """Decisions and assessments against labels that each specify some of the fields."""
+    rows = assessed(spark, d)
+    own = rows.select("item_id", "exclusion", "affiliation", "types", "possible_minor", "element_a", "confidence_a", "confidence_b", "model_route", "model_priority", F.col("quote_present").alias("ft_quote_present"))
+    rows = R.finalize(rows).select("item_id", "route", "priority", F.col("final_lead").alias("lead")).join(own, "item_id")
+    expected = [F.expr(want).alias(f) for f, (want, _) in FIELDS.items()] + [F.expr("CASE WHEN item_id % 2 = 0 THEN array('HI-TYPE-04') END").alias("types"), F.expr("item_id % 10 < 5").alias("low_confidence")]
+    return R.agreement(rows.select(F.struct(*(c for c in rows.columns if not c.startswith("model_"))).alias("got"), F.struct(*expected).alias("expected")))
+
+
 @register("rul18_modality_route", sql("assessed", body=" SELECT item_id, CASE WHEN score_1 >= 90 THEN CASE WHEN identifiable_person THEN 'restricted_escalation' ELSE 'explicit_alert' END WHEN confidence_a < 0.2 THEN 'filtered_out' WHEN lead THEN 'judge_error' WHEN possible_minor THEN 'restricted_escalation' WHEN sexual AND coalesce(relation, '') IN ('SV-REL-2', 'SV-REL-5') THEN 'priority_review' WHEN sexual THEN 'standard_review' ELSE 'not_flagged' END AS route FROM assessed"))
 def modality_routes(spark, d):
     c = F.col

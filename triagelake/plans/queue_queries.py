@@ -13,7 +13,7 @@ from triagelake.operators import queue as Q
 from triagelake.operators import rules as R
 from triagelake.operators import similarity as S
 from triagelake.plans.standin import sql, table, view
-from triagelake.plans.text_queries import NORMAL, PATTERN_SQL, candidates
+from triagelake.plans.text_queries import NORMAL, PATTERN_SQL, URL_SQL, candidates
 from triagelake.registry import register
 
 RANK = "CASE priority WHEN 'urgent' THEN 0 WHEN 'high' THEN 1 WHEN 'standard' THEN 2 WHEN 'none' THEN 3 ELSE 4 END"
@@ -29,6 +29,24 @@ def review_queue(spark, d):
     return Q.page(items(spark, d).where(F.lower("url").contains("site1")), 10, 50).select("url", "copies", "rank", "first_id")
 
 
+REVIEWED = ", r AS (SELECT * FROM items WHERE url IN (SELECT url FROM sightings WHERE lane = 'purchase' AND id % 8 = 0))"
+
+
+def reviewed_items(spark, d):
+    """Items of the queue with a decision; here some purchases stand for decisions."""
+    return items(spark, d).join(view(spark, d, "sightings").where("lane = 'purchase' AND id % 8 = 0").select("url"), "url", "left_semi")
+
+
+@register("srt01_reviewed_tab", sql("sightings", body=ITEMS + REVIEWED + ", o AS (SELECT *, row_number() OVER (ORDER BY last_ts DESC, first_id) AS n FROM r) SELECT url, copies, first_id FROM o WHERE n > 5 AND n <= 30"))
+def reviewed_tab(spark, d):
+    return Q.reviewed_page(reviewed_items(spark, d), 5, 25).select("url", "copies", "first_id")
+
+
+@register("srt01_page_count", sql("sightings", body=ITEMS + REVIEWED + " SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT)) AS pages FROM r"))
+def page_count(spark, d):
+    return Q.page_count(reviewed_items(spark, d), 25)
+
+
 @register("srt02_screening_list", sql("sightings", body=" SELECT id, url FROM (SELECT *, row_number() OVER (ORDER BY ts, id) AS n FROM sightings WHERE lane = 'error') x WHERE n <= 200"))
 def screening(spark, d):
     return view(spark, d, "sightings").where("lane = 'error'").orderBy("ts", "id").limit(200).select("id", "url")
@@ -120,6 +138,14 @@ def repeats(spark, d):
     return S.first_of(view(spark, d, "posts"), ["platform", "post_id"], ["seq"]).select("seq", "platform", "post_id")
 
 
+@register("grp05_retry_errors", sql("posts", body=f""", g AS (SELECT sha256({NORMAL}) AS key, seq, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN l.quality = 0 THEN 'judge_error' ELSE 'not_flagged' END END AS route FROM posts LEFT JOIN labels l ON seq = l.doc_id),
+n AS (SELECT key, min(seq) AS representative, arg_max(route, seq) FILTER (WHERE route IS NOT NULL) AS route FROM g GROUP BY key) SELECT key, representative, route IS NOT NULL AS retry FROM n WHERE route IS NULL OR route = 'judge_error'"""))
+def retry_errors(spark, d):
+    keyed = view(spark, d, "posts").select("seq", T.exact_key(F.col("text")).alias("key"))
+    judged = table(spark, d, "labels").select(F.col("doc_id").alias("seq"), F.when(F.col("quality") == 0, "judge_error").otherwise("not_flagged").alias("route"))
+    return Q.to_judge(keyed, judged)
+
+
 @register("grp05_judge_once", sql("posts", body=f", g AS (SELECT sha256({NORMAL}) AS key, seq FROM posts) SELECT key, min(seq) AS representative FROM g WHERE key NOT IN (SELECT key FROM g WHERE seq % 7 = 0) GROUP BY key"))
 def judge_once(spark, d):
     keyed = view(spark, d, "posts").select("seq", T.exact_key(F.col("text")).alias("key"))
@@ -269,6 +295,28 @@ def merged(spark, d):
     return rows.select(site.alias("site")).join(mapping, "site").groupBy(F.col("new").alias("url")).agg(F.count("*").alias("n"))
 
 
+LINKS_SQL = f"WITH u AS ({URL_SQL}), q AS (SELECT p.page_id, p.url, u.normalised, CASE WHEN p.page_id % 2 = 0 THEN 'public-' ELSE 'l-' END || CAST(p.page_id AS VARCHAR) AS id, CASE WHEN p.page_id % 4 <> 0 THEN u.normalised END AS norm FROM pages p JOIN u ON p.page_id = u.page_id)"
+
+
+def stored_links(spark, d):
+    """A third of the pages as links of the queue; some were stored before normalised links were."""
+    rows = table(spark, d, "pages").select("page_id", "url", F.concat(F.when(F.col("page_id") % 2 == 0, "public-").otherwise("l-"), F.col("page_id").cast("string")).alias("id"))
+    return rows.withColumn("norm", F.when(F.col("page_id") % 4 != 0, T.normalize_url(F.col("url"))))
+
+
+@register("joi23_filled_links", LINKS_SQL + " SELECT id, coalesce(norm, normalised) AS norm, norm IS NULL AND page_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view') AS first_seen FROM q")
+def filled_links(spark, d):
+    seen = table(spark, d, "events").where("event_type = 'view'").select(F.col("event_id").alias("page_id"))
+    links = stored_links(spark, d)
+    return Q.filled_links(links, links.join(seen, "page_id").select("id")).select("id", "norm", "first_seen")
+
+
+@register("joi23_missing_reports", LINKS_SQL + ", k AS (SELECT * FROM q WHERE page_id % 3 = 0) SELECT min(page_id) AS report_id, normalised AS norm FROM q WHERE 'public-' || CAST(page_id AS VARCHAR) NOT IN (SELECT id FROM k) AND normalised NOT IN (SELECT norm FROM k WHERE norm IS NOT NULL) GROUP BY normalised")
+def missing_reports(spark, d):
+    reports = table(spark, d, "pages").select(F.col("page_id").alias("report_id"), "url")
+    return Q.missing_reports(reports, stored_links(spark, d).where("page_id % 3 = 0")).select("report_id", "norm")
+
+
 @register("joi23_backfill", "SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT event_id FROM events WHERE event_id % 3 = 0) AND url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0)")
 def backfill(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")

@@ -9,6 +9,7 @@ from triagelake.functions.metrics import unit
 from triagelake.operators import intervals as I
 from triagelake.operators import sampling as S
 from triagelake.operators import similarity as M
+from triagelake.operators import students as L
 from triagelake.plans.standin import sql, table, view
 from triagelake.registry import register
 
@@ -73,6 +74,13 @@ def context(spark, d):
     return view(spark, d, "segments").select("video", "idx", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
 
 
+@register("win08_timeline", sql("segments", body=", o AS (SELECT video, start_s - 40 AS a, start_s + 1 AS b FROM segments WHERE role = 'user' AND positive), m AS (SELECT video, idx, row_number() OVER (PARTITION BY video ORDER BY p DESC, idx) AS n FROM segments WHERE positive) SELECT s.video, s.idx, coalesce(s.idx = m.idx, false) AS flagged, EXISTS (SELECT 1 FROM o WHERE o.video = s.video AND s.start_s < o.b AND s.end_s > o.a) AS in_passage FROM segments s LEFT JOIN m ON s.video = m.video AND m.n = 1"))
+def timeline(spark, d):
+    segments = view(spark, d, "segments")
+    passages = segments.where("role = 'user' AND positive").select("video", (F.col("start_s") - 40).alias("start_s"), (F.col("start_s") + 1).alias("end_s"))
+    return I.timeline(segments.select("video", "idx", "p", "positive", "start_s", "end_s"), passages).select("video", "idx", "flagged", "in_passage")
+
+
 @register("win09_pools", "SELECT pool, count(*) AS n FROM (SELECT 'long' AS pool FROM documents WHERE n_chars > 2000 UNION ALL SELECT 'english' FROM documents WHERE lang = 'en' UNION ALL SELECT 'licensed' FROM documents WHERE regexp_matches(text, 'License')) x GROUP BY pool")
 def pools(spark, d):
     names = F.array_compact(F.array(F.when(F.col("n_chars") > 2000, "long"), F.when(F.col("lang") == "en", "english"), F.when(F.col("text").contains("License"), "licensed")))
@@ -143,6 +151,14 @@ def feature_sets(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(both).cast("long").alias("width"), F.element_at(both, 1).alias("first"))
 
 
+@register("ml03_text_image_both", "SELECT vec_id, len(t) AS t, len(i) AS i, len(it) AS it, it[1] AS first, it[-1] AS last FROM (SELECT vec_id, t, i, CASE WHEN t IS NOT NULL AND i IS NOT NULL THEN t || i END AS it FROM (SELECT vec_id, CAST(embedding[1:48] AS DOUBLE[]) AS t, CASE WHEN label <> 3 THEN CAST(embedding[49:64] AS DOUBLE[]) END AS i FROM embeddings) x) y")
+def text_image_both(spark, d):
+    """The two parts of each vector as features of a text and of an image, which some rows lack."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 48).alias("text"), F.when(F.col("label") != 3, F.slice("embedding", 49, 16)).alias("image"))
+    width = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).alias(c)
+    return L.feature_sets(rows, "text", "image").select("vec_id", *map(width, ("t", "i", "it")), F.element_at("it", 1).alias("first"), F.element_at("it", -1).alias("last"))
+
+
 @register("ml04_frozen_weights", "WITH z AS (SELECT vec_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(i % 7 - 3 AS DOUBLE))) - 0.25 AS z FROM embeddings) SELECT vec_id, round(1 / (1 + exp(-z)), 9) AS score FROM z")
 def frozen(spark, d):
     from triagelake.operators.students import score

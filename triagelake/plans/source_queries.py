@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from triagelake.functions import text as T
 from triagelake.operators import evaluation as E
+from triagelake.operators import lexicon as L
+from triagelake.operators.similarity import cut
 from triagelake.plans.standin import sql, table, view
+from triagelake.plans.text_queries import NORMAL, PATTERN_SQL
 from triagelake.registry import register
 from triagelake.sources import readers as R
 from triagelake.sources import sinks as K
@@ -170,6 +174,19 @@ def unified(spark, d):
     return K.unified_metrics({"by class": E.metrics(rows, half, "class"), "all": E.metrics(rows, half)}, ["class", "tp", "n"])
 
 
+@register("snk05_confusion_list", sql("scored", body=", c AS (SELECT 'toxic' AS experiment, coalesce(class, 'all') AS task, y AS gold, score >= 0.5 AS p FROM scored UNION ALL SELECT 'good', 'all', judge, score_b >= 0.5 FROM scored) SELECT experiment || '|' || task AS id, sum(CASE WHEN gold AND p THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN gold AND NOT p THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN NOT gold AND p THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN NOT gold AND NOT p THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN gold THEN 1 ELSE 0 END) AS n_pos, sum(CASE WHEN gold THEN 0 ELSE 1 END) AS n_neg FROM c GROUP BY 1"))
+def confusion_list(spark, d):
+    """The confusion list as JSON, written and read back."""
+    rows, at = view(spark, d, "scored"), folder(spark)
+    good = rows.select(F.col("judge").alias("y"), F.col("score_b").alias("score"))
+    half = F.col("score") >= 0.5
+    found = K.confusion_list({"toxic": E.metrics(rows, half, "class"), "good": E.metrics(good, half)}, "class")
+    K.write_table(found, at, "json")
+    cell = lambda i, j: F.col("values")[i][j]
+    read = spark.read.schema(found.schema).json(at)
+    return read.select("id", cell(0, 0).alias("tp"), cell(0, 1).alias("fn"), cell(1, 0).alias("fp"), cell(1, 1).alias("tn"), "n_pos", "n_neg")
+
+
 @register("src08_jsonl_scan", "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang")
 def jsonl(spark, d):
     """The corpus written as JSON lines in the shared folder and scanned again with an explicit schema."""
@@ -197,6 +214,48 @@ def samples(spark, d):
     return R.samples(spark, at, "item_id: bigint, text: string").select("item_id", F.length("text").alias("length"))
 
 
+CANDIDATE_SQL = PATTERN_SQL + f""", k AS (SELECT *, sha256({NORMAL}) AS dup_key, coalesce(regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])(newborn|pupil|toddle|orphana|kindergart|child)'), false) AS minor FROM x),
+g AS (SELECT dup_key, count(*) AS copies, count(DISTINCT channel) AS channels FROM k GROUP BY dup_key),
+c AS (SELECT k.*, g.copies, g.channels FROM k JOIN g ON k.dup_key = g.dup_key WHERE strength IS NOT NULL)"""
+
+
+def candidate_rows(spark, d):
+    """The posts with their duplicate keys, and the candidates among them."""
+    posts = view(spark, d, "posts").withColumn("dup_key", T.exact_key(F.col("text")))
+    hits = L.pattern_hits(F.col("text"), L.pattern_table(spark))
+    minor = F.size(L.age_labels(F.regexp_replace(F.coalesce("text", F.lit("")), r"\d", " "), L.age_table(spark))) > 0
+    return posts, K.candidate_rows(posts, L.strength(hits), F.transform(hits, lambda h: h.id), minor)
+
+
+@register("snk04_candidate_file", sql("posts", body=CANDIDATE_SQL + " SELECT seq, dup_key, strength, ids AS patterns, minor, copies, channels, CASE WHEN NOT minor THEN length(text) END AS length FROM c"))
+def candidate_file(spark, d):
+    """The candidates as JSON lines, written and read back."""
+    at, rows = folder(spark), candidate_rows(spark, d)[1]
+    K.write_table(rows, at, "json")
+    return spark.read.schema(rows.schema).json(at).select("seq", "dup_key", "strength", F.array_join("patterns", ",").alias("patterns"), "minor", "copies", "channels", F.length("text").alias("length"))
+
+
+def by_name(section, name, rows="SELECT coalesce({0}, 'unknown') AS name, sum(hit) AS n, sum(post) AS total FROM b GROUP BY 1 HAVING sum(hit) > 0"):
+    return f"SELECT '{section}' AS section, name, n, total FROM ({rows.format(name)}) y"
+
+
+REPORT_SQL = CANDIDATE_SQL + ", b AS (SELECT side, lang, month, 0 AS hit, 1 AS post FROM posts UNION ALL SELECT side, lang, month, 1, 0 FROM c), r AS (" + " UNION ALL ".join([
+    "SELECT 'all' AS section, 'all' AS name, sum(hit) AS n, sum(post) AS total FROM b", *(by_name(c, c) for c in ("side", "lang", "month")),
+    "SELECT 'strength', strength, count(*), NULL FROM c GROUP BY 2", "SELECT 'pattern', unnest(string_split(ids, ',')), count(*), NULL FROM c GROUP BY 2", "SELECT 'minor', 'anywhere', count(*), NULL FROM c WHERE minor HAVING count(*) > 0",
+    "SELECT 'texts', 'distinct', count(DISTINCT dup_key), NULL FROM c", "SELECT 'texts', 'wide', count(DISTINCT CASE WHEN channels >= 3 THEN dup_key END), NULL FROM c",
+    "SELECT 'channel', name, n, NULL FROM (SELECT coalesce(channel, 'unknown') AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(channel, 'unknown')) AS r FROM c GROUP BY 1) y WHERE r <= 25",
+]) + ") SELECT section, name, n, total, CASE WHEN total > 0 THEN CAST(n AS DOUBLE) / total END AS rate FROM r"
+
+
+@register("snk04_count_report", sql("posts", body=REPORT_SQL))
+def count_report(spark, d):
+    """The report of the candidate file as CSV, written and read back."""
+    at, (posts, found) = folder(spark), candidate_rows(spark, d)
+    rows = K.candidate_report(posts, cut(found.drop("text")))
+    K.write_table(rows, at)
+    return spark.read.schema(rows.schema).option("header", True).csv(at)
+
+
 @register("snk04_candidate_report", "SELECT source AS channel, count(*) AS n FROM documents WHERE regexp_matches(lower(text), 'license') GROUP BY source")
 def report(spark, d):
     """A report of counts, never of text, written as CSV and read back."""

@@ -238,6 +238,15 @@ def same_sentence(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.exists(T.sentences(F.col("text")), hit), F.lit(False)).alias("together"))
 
 
+@register("lex09_age_beside_hit", r"""SELECT doc_id, doc_id % 2 = 0 AND doc_id % 30 BETWEEN 1 AND 17 OR coalesce(len(list_filter(string_split_regex(regexp_replace(lower(text), '([.!?…])\s+', '\1' || chr(10), 'g'), '\n+'),
+  lambda s: regexp_matches(s, 'idiot|moron|scum|thorst|inther|licen[cs]e|tionst') AND regexp_matches(s, '(^|[^\p{L}\p{N}_])(newborn|pupil|toddle|orphana|kindergart|child)'))) > 0, false) AS together FROM documents""")
+def age_beside(spark, d):
+    """Documents to which an age is added, by turns in the sentence of a pattern's word or in the one before it."""
+    n = F.col("doc_id")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" . It says "), (n % 30).cast("string"), F.when(n % 2 == 0, " years old, scum.").otherwise(" years old. Just scum."))
+    return table(spark, d, "documents").select("doc_id", L.age_beside(text, L.pattern_table(spark), L.age_table(spark)).alias("together"))
+
+
 @register("lex10_keyword_slices", sql("scored", body=", k AS (SELECT s.*, regexp_matches(lower(d.text), 'idiot|scum|clown') AS has FROM scored s JOIN documents d ON s.item_id = d.doc_id) SELECT y, has, count(*) AS n, avg(score) AS mean_score FROM k GROUP BY y, has"))
 def keyword_slices(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), L.any_match(F.col("text"), ["idiot|scum|clown"]).alias("has"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.operators.rules import apply_restriction, lookup, violations
@@ -45,3 +45,49 @@ def unified_metrics(frames: dict[str, DataFrame], columns: list[str]) -> DataFra
 
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     df.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
+def candidate_rows(corpus: DataFrame, strength: Column, patterns: Column, minor: Column) -> DataFrame:
+    """The candidates of a corpus (seq, dup_key, channel, side, lang, month, text), a row each: strength, ids of the patterns
+    hit, age indicator, and how many posts and channels of the whole corpus have the same text. Where an age indicator is,
+    the text is null, so a file of them shows none."""
+    rows = corpus.withColumns({"strength": strength, "patterns": patterns, "minor": minor})
+    spread = corpus.groupBy("dup_key").agg(F.count("*").alias("copies"), F.countDistinct("channel").alias("channels"))
+    names = ["seq", "dup_key", "channel", "side", "lang", "month", "strength", "patterns", "minor"]
+    return rows.where("strength IS NOT NULL").join(spread, "dup_key").select(*names, "copies", "channels", F.when(~F.col("minor"), F.col("text")).alias("text"))
+
+
+def candidate_report(corpus: DataFrame, candidates: DataFrame, channels: int = 25, wide: int = 3) -> DataFrame:
+    """(section, name, n, total, rate): counts of candidates, never a text, beside those of the corpus where it has them.
+
+    Sections: all, side, lang, month (with totals), strength, pattern, minor, texts (distinct, and ``wide``: in so many
+    channels or more), channel (the ``channels`` with most candidates, by name if equal). Unknown values are "unknown".
+    """
+    known = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    ways = ("side", "lang", "month")
+    both = corpus.select(*(known(c).alias(c) for c in ways), F.lit(0).alias("hit"), F.lit(1).alias("post")).unionByName(candidates.select(*(known(c).alias(c) for c in ways), F.lit(1).alias("hit"), F.lit(0).alias("post")))
+    names = F.explode(F.array(F.struct(F.lit("all").alias("section"), F.lit("all").alias("name")), *(F.struct(F.lit(c).alias("section"), F.col(c).alias("name")) for c in ways)))
+    totals = both.select(names.alias("s"), "hit", "post").groupBy("s.section", "s.name").agg(F.sum("hit").alias("n"), F.sum("post").alias("total")).where("n > 0 OR section = 'all'")
+    no_total = F.lit(None).cast("long").alias("total")
+    signs = F.explode(F.concat(F.array(F.struct(F.lit("strength").alias("section"), F.col("strength").alias("name"))), F.when(F.col("minor"), F.array(F.struct(F.lit("minor").alias("section"), F.lit("anywhere").alias("name")))).otherwise(F.array()), F.transform("patterns", lambda p: F.struct(F.lit("pattern").alias("section"), p.alias("name")))))
+    parts = candidates.select(signs.alias("s")).groupBy("s.section", "s.name").agg(F.count("*").alias("n")).select("section", "name", "n", no_total)
+    texts = candidates.groupBy("dup_key").agg(F.max("channels").alias("c")).agg(F.count("*").alias("distinct"), F.count_if(F.col("c") >= wide).alias("wide"))
+    texts = texts.select(F.lit("texts").alias("section"), F.stack(F.lit(2), F.lit("distinct"), "distinct", F.lit("wide"), "wide").alias("name", "n")).select("section", "name", "n", no_total)
+    most = candidates.groupBy(known("channel").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(channels)
+    out = totals.unionByName(parts).unionByName(texts).unionByName(most.select(F.lit("channel").alias("section"), "name", "n", no_total))
+    return out.withColumn("rate", F.when(F.col("total") > 0, F.col("n") / F.col("total")))
+
+
+def confusion_list(frames: dict[str, DataFrame], by: str, labels: tuple[str, str] = ("positive", "negative")) -> DataFrame:
+    """(id, experiment, task, labels, n_pos, n_neg, values): a 2 x 2 matrix for each row of the metric frames, rows by
+    reference, columns by prediction. A frame without the column ``by`` is about the task "all"."""
+    parts = []
+    for name, frame in frames.items():
+        task = F.coalesce(F.col(by).cast("string"), F.lit("all")) if by in frame.columns else F.lit("all")
+        values = F.array(F.array("tp", "fn"), F.array("fp", "tn"))
+        names = F.struct(F.lit(labels[0]).alias("positive"), F.lit(labels[1]).alias("negative"))
+        parts.append(frame.select(F.concat_ws("|", F.lit(name), task).alias("id"), F.lit(name).alias("experiment"), task.alias("task"), names.alias("labels"), (F.col("tp") + F.col("fn")).alias("n_pos"), (F.col("fp") + F.col("tn")).alias("n_neg"), values.alias("values")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
