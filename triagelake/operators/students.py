@@ -59,7 +59,7 @@ def trained_candidates(rows: DataFrame, dev: Column, kinds: tuple[str, ...], bud
         width = own.select(F.max(F.size("x"))).first()[0]
         for balance, learn in (("weight", train), ("undersample", balanced(train))):
             for model in ("logistic", "perceptron"):
-                fitted = logistic_student(learn, strengths).bestModel if model == "logistic" else perceptron_student(learn, width, hidden, rounds)[0]
+                fitted = logistic_student(learn, strengths, min(5, 2 * len(strengths))).bestModel if model == "logistic" else perceptron_student(learn, width, hidden, rounds)[0]
                 scored = scores(fitted, check).persist()
                 found = auroc(scored).select("auroc").first()[0], recall_at_budget(scored, budget).select("recall").first()[0]
                 parts.append((kind, model, balance, *found))
