@@ -1,0 +1,24 @@
+"""Equal texts stand together along the curve, whether their positions are sent around or joined."""
+
+from itertools import groupby
+
+import pytest
+
+from triagelake.llm import sharding
+from triagelake.plans.standin import table
+
+
+@pytest.mark.parametrize("most", [sharding.BROADCAST_TEXTS, 0])
+def test_equal_texts_stand_together(spark, data, monkeypatch, most):
+    monkeypatch.setattr(sharding, "BROADCAST_TEXTS", most)
+    docs = table(spark, data, "documents").select("doc_id", "text", "lang", "source")
+    again = docs.where("doc_id % 3 = 0").selectExpr("doc_id + 1000000", "text", "'other'", "concat('new', doc_id % 4)")
+    docs = docs.union(again).union(docs.where("doc_id = 1").selectExpr("explode(sequence(2000000, 2000099))", "text", "concat('l', doc_id)", "NULL"))
+    rows = sharding.shards(docs).collect()
+    assert len(rows) == docs.count()
+    order = [(r.text_crc32, r.size) for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert len(list(groupby(order))) == len(set(order))
+    counts = [sum(r.shard == k for r in rows) for k in range(sharding.SHARDS)]
+    assert max(counts) - min(counts) <= 1
+    for k in range(sharding.SHARDS):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(counts[k]))

@@ -36,6 +36,14 @@ def test_bpe_encodes_and_decodes_as_the_library(text):
     assert own.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_knows_every_code_point(library):
+    """All of the planes that have assigned code points: letters, numbers and lower cases as the library has them."""
+    points = [c for c in [*range(0x33480), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}1{chr(c)}b" for c in points]
+    word = bpe.tokenizer(bpe.vocabulary())
+    assert [hex(c) for c, x, e in zip(points, texts, library.encode_batch(texts, add_special_tokens=False)) if list(e.ids) != word.encode(x)] == []
+
+
 def test_bpe_digests_of_odd_texts(spark, library):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)] + [(0, "twice", 2), (None, "x", 3)], "doc_id long, text string, n_tokens int")
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digest(df).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -16,10 +17,30 @@ from .common import Memo, give_back, table
 
 #: White space as the vocabulary's patterns have it.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+#: What the tokenizers library takes for letters and numbers beyond the tables of Unicode 15.1.
+NEWER = {
+    "L": (
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+        (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+        (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ),
+    "N": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)),
+}
+#: Lower-case letters that it has beyond the same tables.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Above every rank; and how many nodes each node of the tree is over.
 NONE, FAN = 1 << 40, 16
 
 
+def code_points(kind: str) -> str:
+    """All code points of a general category (L, N) as ranges of a pattern's class, by Python's tables and NEWER."""
+    own = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind]
+    first = [c for c, before in zip(own, [-2, *own]) if c != before + 1]
+    last = [c for c, after in zip(own, [*own[1:], -2]) if c + 1 != after]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in [*zip(first, last), *NEWER[kind]])
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on, in order."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -55,7 +76,9 @@ class WordBpe:
         letters = byte_letters()
         self.inner, self.last = [vocab[x] for x in letters], [vocab[x + end] for x in letters]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split.replace(r"\s", SPACE)).findall
+        for kind in "LN":
+            split = split.replace(rf"\p{{{kind}}}", code_points(kind))
+        self.words = re.compile(split.replace(r"\s", SPACE)).findall
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.of_word, self.of_chunk = Memo(lambda word: array("i", self.encode_word(word)).tobytes(), 100_000), Memo(self.encode_chunk, 200_000)
@@ -122,7 +145,7 @@ class WordBpe:
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Packed ids of what stands between white space."""
-        clean = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        clean = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower().translate(LOWER)
         return self.of_word[clean] if clean.isalpha() else b"".join(map(self.of_word.__getitem__, self.words(clean)))
 
     def encode(self, text: str | None) -> list[int]:

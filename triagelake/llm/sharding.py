@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 SHARDS, BITS = 24, 5
+#: Up to so many positions of texts with copies apart are sent around (about 10 MB); more are joined, in so many salts.
+BROADCAST_TEXTS, SALTS = 200_000, 64
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -60,11 +62,28 @@ def with_cell(df: DataFrame, column: str) -> DataFrame:
     return df.join(of, F.col(column).eqNullSafe(F.col(f"{column}_value")), "left").drop(f"{column}_value")
 
 
+def together(rows: DataFrame) -> DataFrame:
+    """rows with the least curve position of each text for all its copies, so that these stand in one place.
+
+    Only texts whose copies lie apart are joined: their least positions are sent around if there are few enough. More are
+    joined by a shuffle in which each row picks one of SALTS copies of its text's position, so that no task has a hot text.
+    """
+    same = ["text_crc32", "size"]
+    apart = cut(rows.groupBy(*same).agg(F.min("curve").alias("first"), F.max("curve").alias("last")).where("first < last").drop("last"))
+    if apart.count() <= BROADCAST_TEXTS:
+        joined = rows.join(F.broadcast(apart), same, "left")
+    else:
+        apart = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("doc_id", "lang", "source"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("salt", salt).join(apart, [*same, "salt"], "left").drop("salt")
+    return joined.withColumn("curve", F.coalesce("first", "curve")).drop("first")
+
+
 def order_on_curve(docs: DataFrame) -> tuple[DataFrame, int]:
     """doc_id, lang, source, size, text_crc32, curve and the gapless global ``place`` of each row along the curve; and their number.
 
-    Dimensions: language and source (equal depth), size (binary logarithm). Rows of one cell follow by text checksum, then
-    id, so equal texts of one language and source stand together. The rows are dealt by range over the whole key, which
+    Dimensions: language and source (equal depth), size (binary logarithm). Equal texts (by checksum and size) all stand at
+    the first of their positions; rows of one position follow by text checksum, size, id. The rows are dealt by range over the whole key, which
     also splits a cell with very many rows; places are partition offsets plus the number within the partition.
     """
     rows = docs.select(
@@ -77,7 +96,8 @@ def order_on_curve(docs: DataFrame) -> tuple[DataFrame, int]:
     cells = (F.col("lang_cell"), F.col("source_cell"), F.floor(F.log2("size")))
     cells = [F.least(c.cast("int"), F.lit((1 << BITS) - 1)) for c in cells]
     rows = rows.select("doc_id", "lang", "source", "size", "text_crc32", F.pandas_udf(curve, "long")(*cells).alias("curve"))
-    keys = ("curve", "text_crc32", "doc_id")
+    rows = together(cut(rows))
+    keys = ("curve", "text_crc32", "size", "doc_id")
     rows = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     parts = rows.groupBy(part.alias("part")).count()
