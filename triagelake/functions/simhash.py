@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -39,21 +44,61 @@ def simhash(text: Column) -> Column:
     return F.pandas_udf(of_series, "bigint")(text)
 
 
-def grams(letters: str) -> Column:
-    """Overlapping 3-grams of a text whose characters are in an array column; a shorter text is one gram."""
-    at = lambda i: F.get(F.col(letters), i)
-    three = F.transform(F.sequence(F.lit(0), F.size(letters) - 3), lambda i: F.concat(at(i), at(i + 1), at(i + 2)))
-    return F.when(F.size(letters) <= 3, F.array(F.array_join(letters, ""))).otherwise(three)
+#: Grams whose bits a task remembers before it begins anew.
+KNOWN_GRAMS = 1 << 17
+#: Stands for no character where a text is shorter than a gram.
+PAD = (1 << 21) - 1
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct overlapping 3-grams of a text, 21 bits a character, and how often each stands there; a shorter text is
+    one gram."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    points = np.concatenate([points, np.full(max(0, 3 - len(points)), PAD)])
+    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
+
+
+def md5_bits(code: int) -> np.ndarray:
+    """Of the first 64 bits of a gram's md5, lowest first, 1 for each that is set and -1 for each that is not."""
+    gram = "".join(chr(p) for p in (code >> 42, code >> 21 & PAD, code & PAD) if p != PAD)
+    bits = np.unpackbits(np.frombuffer(md5(gram.encode(), usedforsecurity=False).digest()[:8], np.uint8))
+    return bits[::-1].astype(np.int8) * 2 - 1
+
+
+def md5_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, votes) of (id, text): for each bit, by how many of the text's grams more have it than not; nothing for null.
+    A gram's bits are found once and remembered."""
+    place, bits = {}, np.zeros((1024, 64), np.int8)
+    for batch in batches:
+        votes = np.zeros((batch.num_rows, 64), np.int64)
+        for i, text in enumerate(batch["text"]):
+            if not text.is_valid:
+                continue
+            codes, counts = gram_counts(text.as_py())
+            if len(place) > KNOWN_GRAMS:
+                place, bits = {}, np.zeros((1024, 64), np.int8)
+            at = [place.get(c, -1) for c in codes.tolist()]
+            if -1 in at:
+                for k, c in enumerate(codes.tolist()):
+                    if at[k] < 0:
+                        if len(place) == len(bits):
+                            bits = np.concatenate([bits, np.zeros_like(bits)])
+                        at[k] = place[c] = len(place)
+                        bits[at[k]] = md5_bits(c)
+            votes[i] = counts.astype(float) @ bits[at]
+        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * 64)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(votes.reshape(-1)))
+        yield pa.record_batch([batch["id"], lists], ["id", "votes"]).filter(batch["text"].is_valid())
 
 
 def simhash_md5(texts: DataFrame) -> DataFrame:
-    """(id, simhash): 64 bits by md5 and plain aggregation, which any SQL engine can repeat; a signed bit pattern."""
-    letters = texts.select("id", F.regexp_extract_all("text", F.lit("(?s)(.)"), 1).alias("letters"))
-    g = letters.select("id", F.explode(grams("letters")).alias("g")).groupBy("id", "g").count()
-    half = lambda k: F.conv(F.substring(F.md5("g"), 1 + 8 * k, 8), 16, 10).cast("long")
-    h = g.select("id", "count", half(0).alias("high"), half(1).alias("low"))
-    sums = [F.sum(F.when(F.col(name).bitwiseAND(F.lit(1 << b)) != 0, F.col("count")).otherwise(-F.col("count"))).alias(f"b{32 * k + b}") for k, name in enumerate(("low", "high")) for b in range(32)]
-    of = h.groupBy("id").agg(*sums)
+    """(id, simhash): 64 bits by md5 and plain aggregation, which any SQL engine can repeat; a signed bit pattern.
+
+    A task counts the grams of each text where it stands, so no gram is ever a row; texts of one id vote together.
+    """
+    schema = StructType([texts.schema["id"], StructField("votes", ArrayType(LongType()))])
+    votes = texts.select("id", "text").mapInArrow(md5_votes, schema)
+    of = votes.groupBy("id").agg(*[F.sum(F.get("votes", F.lit(b))).alias(f"b{b}") for b in range(64)])
     value = F.lit(0).cast("long")
     for b in range(64):
         value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
