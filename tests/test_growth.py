@@ -6,6 +6,7 @@ from hashlib import md5
 from pyspark.sql import functions as F
 
 from triagelake.functions import simhash as H
+from triagelake.functions import text as T
 
 
 def plan_of(df):
@@ -30,3 +31,10 @@ def test_no_gram_of_a_simhash_becomes_a_row(spark):
     finally:
         H.KNOWN_GRAMS = known
     assert sum(b.num_rows for b in batches) == 7
+
+
+def test_letters_of_two_alphabets_are_counted_and_not_cut_out(spark):
+    df = spark.createDataFrame([("Її ы",), ("Ё e",), ("ґ" * 9,), ("",), (None,)], "t string").select("t", T.guess_lang(F.col("t")).alias("guess"))
+    assert [r.guess for r in df.collect()] == ["uk", "ru", "uk", "other", "other"]
+    assert "regexp_replace" not in plan_of(df)
+

@@ -85,7 +85,7 @@ def transliterate(text: Column) -> Column:
 
 
 def count_of(text: Column, letters: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{letters}]", ""))
+    return F.regexp_count(text, F.lit(f"[{letters}]"))
 
 
 def guess_lang(text: Column) -> Column:
