@@ -1,10 +1,12 @@
 """Steps whose rows, plans or keys must not grow faster than the input."""
 
+import unicodedata
 from collections import Counter
 from hashlib import md5
 
 from pyspark.sql import functions as F
 
+from triagelake import plans, registry  # noqa: F401
 from triagelake.functions import simhash as H
 from triagelake.functions import text as T
 
@@ -38,3 +40,13 @@ def test_letters_of_two_alphabets_are_counted_and_not_cut_out(spark):
     assert [r.guess for r in df.collect()] == ["uk", "ru", "uk", "other", "other"]
     assert "regexp_replace" not in plan_of(df)
 
+
+def test_uncomposed_signs_are_sought_by_one_range_first(spark):
+    signs = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    found = {r.t for r in spark.createDataFrame([(c,) for c in signs], "t string").where(F.col("t").rlike(T.COMPOSED)).collect()}
+    assert all(c in found for c in signs if unicodedata.normalize("NFKC", c) != c) and not found & set("az09éжї")
+    assert T.COMPOSED.startswith("[^\\x00-\\x7F](")  # one range is asked first, the rest only of signs beyond it
+
+
+def test_copies_and_channels_normalise_each_text_once(spark, data):
+    assert plan_of(registry.QUERIES["grp07_copies_and_channels"](spark, data)).count("FileScan") == 0

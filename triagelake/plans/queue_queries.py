@@ -161,7 +161,7 @@ def queue_replay(spark, d):
 
 @register("grp07_copies_and_channels", sql("posts", body=f", k AS (SELECT seq, channel, side, sha256({NORMAL}) AS key FROM posts), a AS (SELECT key, count(*) AS copies, count(DISTINCT channel) AS channels, count(DISTINCT side) AS sides FROM k GROUP BY key) SELECT seq, copies, channels, sides FROM k JOIN a ON k.key = a.key"))
 def copies(spark, d):
-    keyed = view(spark, d, "posts").select("seq", "channel", "side", T.exact_key(F.col("text")).alias("key"))
+    keyed = S.cut(view(spark, d, "posts").select("seq", "channel", "side", T.exact_key(F.col("text")).alias("key")))  # texts are normalised once
     counts = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.countDistinct("channel").alias("channels"), F.countDistinct("side").alias("sides"))
     return keyed.join(counts, "key").select("seq", "copies", "channels", "sides")
 
