@@ -5,10 +5,13 @@ from collections import Counter
 from hashlib import md5
 
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as GroupedData
 
 from triagelake import plans, registry  # noqa: F401
 from triagelake.functions import simhash as H
 from triagelake.functions import text as T
+from triagelake.plans import stream_queries as P
+from triagelake.streaming import jobs as J
 
 
 def plan_of(df):
@@ -50,3 +53,14 @@ def test_uncomposed_signs_are_sought_by_one_range_first(spark):
 
 def test_copies_and_channels_normalise_each_text_once(spark, data):
     assert plan_of(registry.QUERIES["grp07_copies_and_channels"](spark, data)).count("FileScan") == 0
+
+
+def test_released_and_published_rows_need_no_call_of_python_a_key(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a call of Python for each key")
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", never)
+    rows = [(1, "report", 0.0), (2, "report", 0.0), (2, "screened", 1799.0), (3, "report", 60.0), (3, "screened", 1900.0), (4, "report", 3600.0), (5, "report", 5400.0)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, s double").select("event_id", "event_type", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    out = J.drain(J.release_stream(P.arrivals(spark, df, "ts", 3)), "event_id long, context string")
+    assert sorted(r.event_id for r in out.collect()) == [1, 3]  # 4 has waited for its whole time, not longer

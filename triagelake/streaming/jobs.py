@@ -150,24 +150,13 @@ def overdue(reports: DataFrame, screened: DataFrame, now: str, timeout: float =
     return old.join(screened.select("event_id"), "event_id", "left_anti").select("event_id", F.lit("not screened in time").alias("context"))
 
 
-def release_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"event_id": [key[0]], "context": ["not screened in time"]})
-        return
-    for rows in batches:
-        if (rows["event_type"] == "screened").any():
-            if state.exists:
-                state.remove()
-            return
-        state.update((float(rows["t"].min()),))
-        state.setTimeoutTimestamp(int((rows["t"].min() + TIMEOUT_S) * 1000))
-
-
 def release_stream(rows: DataFrame) -> DataFrame:
-    """The streaming form of ``overdue``: an event-time timer per report, cancelled when it is screened."""
-    rows = rows.withWatermark("ts", "0 seconds").select("event_id", "event_type", "ts", (F.unix_micros("ts") / 1e6).alias("t"))
-    return rows.groupBy("event_id").applyInPandasWithState(release_state, "event_id long, context string", "since double", "append", GroupStateTimeout.EventTimeTimeout)
+    """The streaming form of ``overdue``: a report opens an event-time session that a screening within the timeout joins; a
+    session that closes without one is released. Sessions are in Spark's own state, and the watermark clears them."""
+    gap = f"{TIMEOUT_S:.0f} seconds 1 microsecond"  # a session ends when the watermark has passed the timeout, not at it
+    of = rows.withWatermark("ts", "0 seconds").groupBy("event_id", F.session_window("ts", gap))
+    of = of.agg(F.count_if(F.col("event_type") == "screened").alias("screened"))
+    return of.where("screened = 0").select("event_id", F.lit("not screened in time").alias("context"))
 
 
 def life_cycle(events: DataFrame) -> DataFrame:
