@@ -64,3 +64,6 @@ def test_released_and_published_rows_need_no_call_of_python_a_key(spark, monkeyp
     df = spark.createDataFrame(rows, "event_id long, event_type string, s double").select("event_id", "event_type", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
     out = J.drain(J.release_stream(P.arrivals(spark, df, "ts", 3)), "event_id long, context string")
     assert sorted(r.event_id for r in out.collect()) == [1, 3]  # 4 has waited for its whole time, not longer
+    pairs = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, 7, "a"), (4, 7, None), (5, 7, "a")], "event_id long, user_id long, event_type string")
+    got = {tuple(r) for r in J.first_sightings(P.arrivals(spark, pairs, "event_id", 2)).collect()}
+    assert got == {(None, "a", 1), (7, "a", 3), (7, None, 4)}

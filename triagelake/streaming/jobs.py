@@ -72,29 +72,19 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def first_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Each row of a key with the key's first row, which the state keeps; the ids of a key in one micro-batch are held, as
-    its chunks come in no order."""
-    rows = [b[["event_id", "tag"]] for b in batches]
-    rows = pd.concat(rows)
-    owner = state.get[0] if state.exists else int(rows["event_id"].min())
-    if not state.exists:
-        state.update((owner,))
-    yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "owner": owner, "tag": rows["tag"]})
+def with_first(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, event_id) in update mode: of each key that arrives for the first time, the least id of its micro-batch; nulls
+    are a key of their own. Spark's own aggregation keeps one id a key, so no batch reads what earlier ones wrote.
 
-
-def with_first(rows: DataFrame, key: Column, tag: Column | None = None) -> DataFrame:
-    """(key, event_id, owner, tag): every row of a stream with the id of the first row that had its key; null keys are a key
-    of their own. What is kept is one id a key, in Spark's state store, so no batch reads what earlier ones wrote."""
-    rows = rows.select(F.coalesce(key.cast("string"), F.lit("\x00")).alias("key"), "event_id", (F.lit(None) if tag is None else tag).cast("string").alias("tag"))
-    return rows.groupBy("key").applyInPandasWithState(first_state, "key string, event_id long, owner long, tag string", "owner long", "append", GroupStateTimeout.NoTimeout)
+    Batches are told apart by their time, which the checkpoint keeps, so a batch that runs again has the same one.
+    """
+    first = rows.withColumn("at", F.current_timestamp()).groupBy(*keys).agg(F.min(F.struct("at", "event_id")).alias("first"))
+    return first.where(F.col("first.at") == F.current_timestamp()).select(*keys, "first.event_id")
 
 
 def first_sightings(rows: DataFrame, at: str | None = None) -> DataFrame:
     """(user_id, event_type, event_id): the first event of each pair over the whole history."""
-    found = with_first(rows, F.concat_ws(":", F.col("user_id"), "event_type"), F.concat_ws(":", F.col("user_id"), "event_type")).where("event_id = owner")
-    pair = F.split("tag", ":", 2)
-    return drain(found.select(pair[0].cast("long").alias("user_id"), pair[1].alias("event_type"), "event_id"), "user_id long, event_type string, event_id long", at)
+    return drain(with_first(rows, "user_id", "event_type"), "user_id long, event_type string, event_id long", at, "update")
 
 
 def bounded_first_sightings(rows: DataFrame) -> DataFrame:
@@ -183,7 +173,7 @@ def screened(rows: DataFrame) -> DataFrame:
 def published(rows: DataFrame, at: str | None = None) -> DataFrame:
     """(external_id, event_id): every item published once, whatever is retried."""
     item = F.concat(F.lit("s"), (F.col("event_id") - F.col("event_id") % 2).cast("string"))
-    return drain(with_first(rows, item).where("event_id = owner").select(F.col("key").alias("external_id"), "event_id"), "external_id string, event_id long", at)
+    return drain(with_first(rows.withColumn("external_id", item), "external_id"), "external_id string, event_id long", at, "update")
 
 
 def grouped(posts: DataFrame, fingerprints_of: Callable[[DataFrame], DataFrame], near_kinds: dict[str, int], at: str | None = None) -> DataFrame:
