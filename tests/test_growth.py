@@ -1,5 +1,6 @@
 """Steps whose rows, plans or keys must not grow faster than the input."""
 
+import random
 import unicodedata
 from collections import Counter
 from hashlib import md5
@@ -10,6 +11,7 @@ from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as GroupedData
 from triagelake import plans, registry  # noqa: F401
 from triagelake.functions import simhash as H
 from triagelake.functions import text as T
+from triagelake.operators import lexicon as L
 from triagelake.plans import stream_queries as P
 from triagelake.streaming import jobs as J
 
@@ -67,3 +69,27 @@ def test_released_and_published_rows_need_no_call_of_python_a_key(spark, monkeyp
     pairs = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, 7, "a"), (4, 7, None), (5, 7, "a")], "event_id long, user_id long, event_type string")
     got = {tuple(r) for r in J.first_sightings(P.arrivals(spark, pairs, "event_id", 2)).collect()}
     assert got == {(None, "a", 1), (7, "a", 3), (7, None, 4)}
+
+
+def test_age_indicators_of_chunks(spark):
+    """Looked up chunk by chunk, with the tokens around numbers alone, a text has the labels that whole passes find; no term
+    spans the end of one spelling and the start of the other."""
+    ages = "en unit years old;en infant month* old;en number five;en number twenty two;en phrase i'm {n};en stop minutes;en grade {n}th grade;en word child;en word the pup*;ru word школьниц*;ru word конь".split(";")
+    rows = [dict(zip(("lang", "kind", "value"), a.split(" ", 2)), number={"five": 5, "twenty two": 22}.get(a.split(" ", 2)[2])) for a in ages]
+    table = spark.createDataFrame([tuple(r.values()) for r in rows], "lang string, kind string, value string, number int")
+    pieces = "5 12 five twenty two years old year month months old i’m i'm minutes 7th grade child children the pup puppy 1.5 0 07 999 1234 shkolnica школьница kон' ькон konb ь ъ ё - -- , a-5 5-year ².".split()
+    rng, signs = random.Random(3), [" ", " ", " ", "\n", " - ", " ", "-", ""]
+    texts = ["".join(rng.choice(pieces) + rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    silent = lambda c: F.regexp_replace(c, "[ьъ]", "")
+    low = F.translate(F.lower("t"), "ё’", "е'")
+    got = df.select("id", L.age_labels(F.col("t"), table).alias("got"), low.alias("low"), silent(T.unmask(F.col("t"))).alias("a"), silent(T.transliterate(low)).alias("b")).collect()
+    of = L.indicators(L.age_terms(table))
+    seen = set()
+    for r in got:
+        want = of.ages.find(r.low) | of.terms.find(r.a) | of.terms.find(r.b)
+        assert set(r.got) == want, texts[r.id]
+        seen |= want
+    assert seen == set(L.LABELS)
+    apart = spark.createDataFrame([("puppy or the",), ("the puppy",)], "t string").select("t", L.age_labels(F.col("t"), table).alias("a")).collect()
+    assert {r.t: r.a for r in apart} == {"puppy or the": [], "the puppy": ["age term"]}

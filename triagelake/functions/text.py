@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -85,6 +86,28 @@ def transliterate(text: Column) -> Column:
     return runs(text, "[a-z]", lambda w: F.when(w.rlike("^[a-z]"), of(w)).otherwise(w))
 
 
+LIKE, HAS_CYRILLIC = str.maketrans(LOOKS, MEANS), re.compile(CYRILLIC).search
+LATIN, SHORT_Y, LETTERS = re.compile("[a-z]+"), re.compile("(?<=[аеиоуяюэ])y"), str.maketrans("y" + SINGLE, "ы" + LETTER)
+
+
+def unmask_chunk(chunk: str) -> str:
+    """``unmask`` of what stands between white space, for tasks that change each distinct chunk once; lower case is given."""
+    chunk = chunk.replace("ё", "е")
+    return chunk.translate(LIKE) if HAS_CYRILLIC(chunk) else chunk
+
+
+def transliterate_chunk(chunk: str) -> str:
+    """``transliterate`` of what stands between white space."""
+    return LATIN.sub(lambda run: transliterate_run(run[0]), chunk)
+
+
+def transliterate_run(run: str) -> str:
+    """``transliterate`` where no Cyrillic letter stands before a Latin one, as in plain signs, be it one run or many."""
+    for a, b in SPELLINGS:
+        run = run.replace(a, b)
+    return SHORT_Y.sub("й", run).translate(LETTERS)
+
+
 def count_of(text: Column, letters: str) -> Column:
     return F.regexp_count(text, F.lit(f"[{letters}]"))
 

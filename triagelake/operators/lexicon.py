@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.functions.text import normalize_text, sentences, transliterate, unmask, words
-from triagelake.operators.terms import Ages, Terms, built, conditions
+from triagelake.functions.text import normalize_text, sentences, unmask, words
+from triagelake.operators.terms import SILENT, Ages, Indicators, Terms, built, conditions
 
 #: Demonstration tables; an installation brings its own as DataFrames of the same columns. What a row says: of a kind
 #: (harm, tone, subject), the group and a pattern of it; groups come in the order of ``place``.
@@ -199,13 +199,6 @@ def age_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(AGE_TERMS, AGE_COLUMNS)
 
 
-def age_forms(text: Column) -> tuple[Column, Column]:
-    """A text as ages are sought in it, and in both alphabets as terms are."""
-    low = F.translate(F.lower(text), "ё’", "е'")
-    silent = lambda c: F.regexp_replace(c, "[ьъ]", "")
-    return low, F.concat(silent(unmask(text)), F.lit("\n"), silent(transliterate(low)))
-
-
 def age_terms(table: DataFrame):
     """The rows of a table with AGE_COLUMNS and their terms as words, sent around."""
     rows = [r.asDict() for r in rows_of(table)]
@@ -218,14 +211,12 @@ def age_labels(text: Column, table: DataFrame | None = None) -> Column:
     """Kinds of age indicator in a text (never the words), by a table with AGE_COLUMNS: a stated age, an infant's age, a
     school class, a term. Terms are also found in Latin spelling; soft and hard signs do not count."""
     table = age_table(SparkSession.active()) if table is None else table
-    low, both = age_forms(text)
     shared = age_terms(table)
 
-    def of(lows: pd.Series, boths: pd.Series) -> pd.Series:
-        ages, terms = age_machines(shared)
-        return pd.Series([[label for label in LABELS if label in found] for found in (ages.find(a) | terms.find(b) for a, b in zip(lows, boths))])
+    def of(lows: pd.Series) -> pd.Series:
+        return pd.Series([[label for label in LABELS if label in found] for found in map(indicators(shared).find, lows)])
 
-    return F.pandas_udf(of, "array<string>")(low, both)
+    return F.pandas_udf(of, "array<string>")(F.lower(text))
 
 
 def age_beside(text: Column, patterns: DataFrame | None = None, table: DataFrame | None = None) -> Column:
@@ -235,27 +226,24 @@ def age_beside(text: Column, patterns: DataFrame | None = None, table: DataFrame
     patterns = pattern_table(session) if patterns is None else patterns
     sought = [r["pattern"] for r in rows_of(patterns)]
     hit = F.filter(sentences(text), lambda s: any_match(s, sought))
-    forms = F.transform(hit, lambda s: F.struct(*(c.alias(n) for n, c in zip(("low", "both"), age_forms(s)))))
     shared = age_terms(age_table(session) if table is None else table)
 
-    def of(lows: pd.Series, boths: pd.Series) -> pd.Series:
-        ages, terms = age_machines(shared)
-        met = lambda a, b: bool(ages.find(a) or terms.find(b))
-        return pd.Series([any(map(met, a, b)) if a is not None else False for a, b in zip(lows, boths)])
+    def of(lows: pd.Series) -> pd.Series:
+        find = indicators(shared).find
+        return pd.Series([any(map(find, low)) if low is not None else False for low in lows])
 
-    return F.pandas_udf(of, "boolean")(forms.getField("low"), forms.getField("both"))
+    return F.pandas_udf(of, "boolean")(F.transform(hit, F.lower))
 
 
 LABELS = ("stated age", "infant age", "school grade", "age term")
 
 
 @lru_cache(maxsize=4)
-def age_machines(shared) -> tuple[Ages, Terms]:
+def indicators(shared) -> Indicators:
     """Built once in each worker. Soft and hard signs don't count, so a long word's stem is taken first."""
     rows, terms = shared.value
-    silent = str.maketrans("", "", "ьъ")
-    beginning = lambda plain, prefix: (conditions(plain, prefix)[0].literal.translate(silent), prefix or len(plain) > 5)
-    return Ages(rows), Terms([(name, [beginning(*w) for w in words]) for name, words in terms])
+    beginning = lambda plain, prefix: (conditions(plain, prefix)[0].literal.translate(SILENT), prefix or len(plain) > 5)
+    return Indicators(Ages(rows), Terms([(name, [beginning(*w) for w in words]) for name, words in terms]))
 
 
 def unknown_ids(text: Column, defined: list[str]) -> Column:
