@@ -5,13 +5,18 @@ import unicodedata
 from collections import Counter
 from hashlib import md5
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as GroupedData
 
 from triagelake import plans, registry  # noqa: F401
 from triagelake.functions import simhash as H
 from triagelake.functions import text as T
+from triagelake.functions.metrics import unit
 from triagelake.operators import lexicon as L
+from triagelake.operators import similarity as S
+from triagelake.operators import students as M
 from triagelake.plans import stream_queries as P
 from triagelake.streaming import jobs as J
 
@@ -93,3 +98,18 @@ def test_age_indicators_of_chunks(spark):
     assert seen == set(L.LABELS)
     apart = spark.createDataFrame([("puppy or the",), ("the puppy",)], "t string").select("t", L.age_labels(F.col("t"), table).alias("a")).collect()
     assert {r.t: r.a for r in apart} == {"puppy or the": [], "the puppy": ["age term"]}
+
+
+def test_tasks_of_a_fit_and_scores_of_a_batch_are_bounded(spark, data, monkeypatch):
+    """A fit has no more tasks than cores; no matrix of all vectors with all prototypes is made; a length is found once."""
+    fitted = {}
+    monkeypatch.setattr(M.CrossValidator, "fit", lambda self, rows: fitted.setdefault("n", rows.rdd.getNumPartitions()))
+    M.logistic_student(spark.range(500).repartition(50).select("id", F.array(F.col("id").cast("double")).alias("x"), (F.col("id") % 3 == 0).alias("y")))
+    assert fitted["n"] <= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(S, "MOST_SCORES", 7)
+    rows = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)] + [(50, None), (51, [1.0]), (52, [2.0, None])], "id int, e array<double>").select("id", unit(F.col("e")).alias("v"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    got = {r.id: (r.pos, r.neg) for r in S.cosine_to_prototypes(rows.where("id <> 52"), rows.where("id < 5").select("v", (F.col("id") % 2 == 0).alias("positive"))).collect()}
+    v = {i: np.array([i % 5, 1.0]) / np.hypot(i % 5, 1.0) for i in range(40)}
+    assert got.pop(51) == (None, None)
+    assert got == {i: tuple(pytest.approx(max(v[i] @ v[k] for k in own)) for own in ((0, 2, 4), (1, 3))) for i in v}

@@ -40,5 +40,5 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """L2-normalised array<double>; a zero vector stays zero."""
-    length = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
+    of = lambda length: F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
+    return F.transform(F.array(F.sqrt(dot(a, a))), of)[0]  # so that the length is found once, not for each component

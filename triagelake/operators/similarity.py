@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,6 +183,8 @@ def greedy_dedupe(items: DataFrame, limit: int = REFERENCE_LIMIT, batch: int = 4
 
 #: Up to so many prototypes travel to the executors as one matrix.
 MOST_PROTOTYPES = 10_000
+#: Scores of vectors with prototypes that a task holds at a time (8 MB).
+MOST_SCORES = 1_000_000
 
 
 def cosine_to_prototypes(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
@@ -202,17 +205,19 @@ def cosine_to_prototypes(vectors: DataFrame, prototypes: DataFrame) -> DataFrame
 
         def run(batches, of=of):
             matrix, positive = of.value
-            for batch in batches:
-                v = batch["v"].to_pylist()
-                fits = np.array([len(x) == matrix.shape[1] for x in v], bool)
-                best = {name: np.array([x if x is not None else -np.inf for x in batch[name].to_pylist()]) for name in ("pos", "neg")}
-                if fits.any():
-                    score = np.array([x for x, ok in zip(v, fits) if ok], float) @ matrix.T
-                    for name, own in (("pos", positive), ("neg", ~positive)):
-                        if own.any():
-                            best[name][fits] = np.maximum(best[name][fits], score[:, own].max(axis=1))
-                columns = [pa.array(best[name], pa.float64(), mask=~np.isfinite(best[name])) for name in ("pos", "neg")]
-                yield pa.record_batch([batch["id"], batch["v"], *columns], ["id", "v", "pos", "neg"])
+            sides = [(name, matrix[own]) for name, own in (("pos", positive), ("neg", ~positive))]
+            step = max(1, MOST_SCORES // len(matrix))
+            for whole in batches:
+                for batch in (whole.slice(start, step) for start in range(0, whole.num_rows, step)):
+                    v = batch["v"]
+                    fits = pc.equal(pc.list_value_length(v), matrix.shape[1]).to_numpy(zero_copy_only=False)
+                    x = v.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
+                    best = {name: batch[name].fill_null(-np.inf).to_numpy(zero_copy_only=False).copy() for name, _ in sides}
+                    for name, own in sides:
+                        if len(own) and len(x):
+                            best[name][fits] = np.maximum(best[name][fits], (x @ own.T).max(axis=1))
+                    columns = [pa.array(best[name], pa.float64(), mask=~np.isfinite(best[name])) for name, _ in sides]
+                    yield pa.record_batch([batch["id"], v, *columns], ["id", "v", "pos", "neg"])
 
         out = out.mapInArrow(run, out.schema)
     return out.select("id", "pos", "neg")
