@@ -294,3 +294,13 @@ def test_mixing_copies_with_the_fraction_as_probability(spark):
         part = round(part * 33) / 33
         assert abs(np.mean(copies) - part) < 4 * (part * (1 - part) / len(copies)) ** 0.5 + 1e-9
     assert all(abs(sum(sizes) - target) <= 31 for (_, target), sizes in taken.items())
+
+
+def test_plain_chunks_have_the_tokens_of_any_chunk():
+    from triagelake.llm import quality
+
+    for chunk in ("word", "Word", "WORD", "wOrd", "ñandú", "ªb", "a1", "a.b", "_", "слово", "ß", "²", "12a"):
+        want = [t for word, digits, signs in quality.PARTS(chunk) for t in ([word.lower()] + ([] if word.islower() else ["<upper>" if word.isupper() and len(word) > 1 else "<title>" if word.istitle() else "<mixed>"]) if word else [f"<{min(len(digits), 8)} digits>"] if digits else [signs])]
+        assert quality.tokens_of(chunk) == want
+    memo = quality.numbered(quality.Numbers().__getitem__)
+    assert memo.most >= 120_000  # fewer are forgotten before they come again

@@ -34,6 +34,8 @@ TOKENS, WORDS, BUCKET = 1_200_000, 120_000, 8_000_000
 SENT = 1 << 18
 #: Up to so many scores are sent around; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
+#: Chunks that a task remembers, some 300 bytes each.
+KNOWN = 120_000
 PARTS = re.compile(r"([^\W\d_]+)|(\d+)|([^\w\s]+|_+)").findall
 
 
@@ -50,6 +52,8 @@ class Numbers(dict):
 
 def tokens_of(chunk: str) -> list[str]:
     """What a chunk is made of: words by letters and by case, digits by length, other signs as they are."""
+    if chunk.isalpha() and chunk.islower():  # as most are
+        return [chunk.lower()]
     out = []
     for word, digits, signs in PARTS(chunk):
         if word:
@@ -65,7 +69,7 @@ def tokens_of(chunk: str) -> list[str]:
 
 def numbered(number) -> Memo:
     """Chunk -> the numbers of its tokens."""
-    return Memo(lambda chunk: tuple(map(number, tokens_of(chunk))), 60_000)
+    return Memo(lambda chunk: tuple(map(number, tokens_of(chunk))), KNOWN)
 
 
 def stream(text: str | None, memo: Memo) -> np.ndarray:
