@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +34,14 @@ def of_text(text: str | None) -> int | None:
     return int(np.packbits(bits * 2 > len(h)).view(">u8").astype(np.uint64).view(np.int64)[0])
 
 
-def of_series(texts: pd.Series) -> pd.Series:
-    return pd.Series([of_text(t) for t in texts], dtype="Int64")
+def of_array(texts: pa.Array) -> pa.Array:
+    """One text at a time becomes Python's, so that a task holds no second copy of a batch."""
+    return pa.array([of_text(t.as_py()) for t in texts], pa.int64())
 
 
 def simhash(text: Column) -> Column:
-    """Fast form: one vectorised function over Arrow batches; Spark has no function that folds bits over an array."""
-    return F.pandas_udf(of_series, "bigint")(text)
+    """Fast form: one function over Arrow batches; Spark has no function that folds bits over an array."""
+    return F.arrow_udf(of_array, "bigint")(text)
 
 
 #: Grams whose bits a task remembers before it begins anew.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,8 +33,8 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def compose_series(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def composed(text: pa.Array) -> pa.Array:
+    return pa.array([unicodedata.normalize("NFKC", t.as_py()) if t.is_valid else None for t in text], pa.string())
 
 
 #: A sign that is none of the letters which compatibility composition leaves as they are; only texts with one are sent to
@@ -44,7 +44,7 @@ COMPOSED = "[^\\x00-\\x7F](?<![À-ÖØ-öø-ıĴ-ľŁ-ňŊ-žЀ-ҁҊ-ӿ])"
 
 def nfkc(text: Column) -> Column:
     """Unicode compatibility composition, which Spark has no function for."""
-    return F.coalesce(F.pandas_udf(compose_series, "string")(F.when(text.rlike(COMPOSED), text)), text)
+    return F.coalesce(F.arrow_udf(composed, "string")(F.when(text.rlike(COMPOSED), text)), text)
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:
