@@ -79,7 +79,7 @@ def test_released_and_published_rows_need_no_call_of_python_a_key(spark, monkeyp
 def test_age_indicators_of_chunks(spark):
     """Looked up chunk by chunk, with the tokens around numbers alone, a text has the labels that whole passes find; no term
     spans the end of one spelling and the start of the other."""
-    ages = "en unit years old;en infant month* old;en number five;en number twenty two;en phrase i'm {n};en stop minutes;en grade {n}th grade;en word child;en word the pup*;ru word школьниц*;ru word конь".split(";")
+    ages = "en unit years old;en infant month* old;en number five;en number twenty two;en phrase i'm {n};en stop minutes;en grade {n}th grade;en word child;en word the pup*;ru word школьниц*;ru word конь;ru word новая школа".split(";")
     rows = [dict(zip(("lang", "kind", "value"), a.split(" ", 2)), number={"five": 5, "twenty two": 22}.get(a.split(" ", 2)[2])) for a in ages]
     table = spark.createDataFrame([tuple(r.values()) for r in rows], "lang string, kind string, value string, number int")
     pieces = "5 12 five twenty two years old year month months old i’m i'm minutes 7th grade child children the pup puppy 1.5 0 07 999 1234 shkolnica школьница kон' ькон konb ь ъ ё - -- , a-5 5-year ².".split()
@@ -96,8 +96,8 @@ def test_age_indicators_of_chunks(spark):
         assert set(r.got) == want, texts[r.id]
         seen |= want
     assert seen == set(L.LABELS)
-    apart = spark.createDataFrame([("puppy or the",), ("the puppy",)], "t string").select("t", L.age_labels(F.col("t"), table).alias("a")).collect()
-    assert {r.t: r.a for r in apart} == {"puppy or the": [], "the puppy": ["age term"]}
+    apart = spark.createDataFrame([("школа или новая",), ("новая школа",)], "t string").select("t", L.age_labels(F.col("t"), table).alias("a")).collect()
+    assert {r.t: r.a for r in apart} == {"школа или новая": [], "новая школа": ["age term"]}
 
 
 def test_tasks_of_a_fit_and_scores_of_a_batch_are_bounded(spark, data, monkeypatch):
