@@ -135,3 +135,15 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.cut(Frame())
+
+
+def test_the_driver_gives_memory_back_after_a_fit(spark, data, monkeypatch):
+    """Later stages share the driver with what a fit has left; the pipeline runs two fits before its largest stage."""
+    calls = []
+    for module in (toxicity, quality):
+        monkeypatch.setattr(module, "give_back", lambda of=module: calls.append(of), raising=False)
+    docs, labels = common.table(spark, data, "documents"), common.table(spark, data, "labels")
+    toxicity.accepted(docs, labels)
+    assert calls == [toxicity]
+    quality.accepted(docs, labels)
+    assert calls == [toxicity, quality, quality]  # after the fit, and after the vectors are sent

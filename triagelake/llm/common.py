@@ -45,7 +45,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def give_back() -> None:
-    """At a task's end: what its worker has freed goes back to the machine, since the worker waits for other work."""
+    """What this process has freed goes back to the machine: a task's worker waits for other work, and the driver goes on to
+    other stages after it has fitted a model."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_mod, cut, quoted, table, tidy
+from .common import Memo, crc_mod, cut, give_back, quoted, table, tidy
 from .labelled import binary_sample
 
 #: At most so many labelled documents of each class are used; labelled rows are learnt from where the remainder isn't 0.
@@ -328,7 +328,9 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], vectors: DataFram
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Network | float]:
     vectors = word_vectors(docs)
-    return vectors, fit(*binary_sample(docs, labels, "quality", crc_mod("doc_id", FOLDS) != 0, sample), vectors)
+    network = fit(*binary_sample(docs, labels, "quality", crc_mod("doc_id", FOLDS) != 0, sample), vectors)
+    give_back()
+    return vectors, network
 
 
 def most_frequent(vectors: DataFrame, sent: int) -> tuple[DataFrame, DataFrame | None]:
@@ -437,6 +439,7 @@ def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> Da
         return rows.select("row", F.lit(network).alias("score"))
     first, others = most_frequent(vectors, SENT)
     table = docs.sparkSession.sparkContext.broadcast(packed_table(first.select("word", "v").toArrow()))
+    give_back()
     if others is not None:
         rows = rows.withColumn("text", F.col("row.text"))
         scores = text_scores(rows, table, network, others)

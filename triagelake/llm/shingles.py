@@ -442,7 +442,7 @@ def join(docs: DataFrame) -> DataFrame:
     some = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     seen = cut(profile(docs))
     frequent = seen.where("df is not null").groupBy("common").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "common").limit(COMMON)
-    common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(np.uint64)))
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.select("common").toArrow()["common"].to_numpy().view(np.uint64)))
     rows = seen.where("df is null").select("doc_id", "key", "n", "sid")
     sets = cut(seen.where("df is null and n > 0 and doc_id is not null").groupBy("sid", "n", "sketch", "anchors").agg(F.min("doc_id").alias("rep")))
     linked = star_links(some, sets)

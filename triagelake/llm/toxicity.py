@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_mod, quoted, table, tidy
+from .common import Memo, crc_mod, give_back, quoted, table, tidy
 from .labelled import binary_sample
 
 #: At most so many labelled documents of each class are used; labelled rows are learnt from where the remainder isn't 0.
@@ -134,7 +134,9 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], l1: float = 1e-3,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, dict[str, float]]:
-    return fit(*binary_sample(docs, labels, "toxic", crc_mod("doc_id", FOLDS) != 0, sample))
+    model = fit(*binary_sample(docs, labels, "toxic", crc_mod("doc_id", FOLDS) != 0, sample))
+    give_back()
+    return model
 
 
 def scores(texts, bias: float, weights: dict[str, float], memo: Memo) -> list[float]:
