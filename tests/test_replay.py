@@ -138,3 +138,25 @@ def test_segments_of_a_video():
     cut = lambda cuts, duration: [(s, e) for s, e in sampling.segments_of(pd.DataFrame({"video": 1, "duration": duration, "cut": cuts}))[["start_s", "end_s"]].itertuples(index=False)]
     assert cut([None], 47.0) == [(0.0, 15.0), (15.0, 30.0), (30.0, 47.0)]
     assert cut([3.0, 8.0, 58.0], 60.0) == [(0.0, 8.0), (8.0, 8.0 + 52 / 3), (8.0 + 52 / 3, 8.0 + 104 / 3), (8.0 + 104 / 3, 60.0)]
+
+
+@pytest.mark.parametrize("limit,few,side", [(9, 1 << 13, 1 << 17), (9, 1, 7), (4, 1 << 13, 5), (4, 4, 1 << 17)])
+def test_nearest_earlier_values_equal_brute_force(spark, monkeypatch, limit, few, side):
+    """One row for each row that has something near: families of near copies make no list of pairs."""
+    for name, value in (("FEW", few), ("SIDE", side), ("AT_ONCE", 50), ("DEALT_BITS", 2)):
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(limit)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    near = lambda: rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(8)))
+    owners = {near(): seq for seq in range(90)}
+    rows = [(seq, v) for seq in range(0, 120, 2) for v in (near(), rng.getrandbits(64))]
+    want = {}
+    for seq, a in rows:
+        found = [((a ^ b).bit_count(), b) for b, owner in owners.items() if owner < seq and (a ^ b).bit_count() <= limit]
+        if found:
+            want[seq, S.signed(a)] = (min(found)[0], S.signed(min(found)[1]))
+    assert len(want) > 30
+    df = spark.createDataFrame([(s, S.signed(a)) for s, a in rows], "seq long, a long")
+    known = spark.createDataFrame([(S.signed(b), o) for b, o in owners.items()], "b long, owner long")
+    got = S.nearest_earlier(df, known, limit).collect()
+    assert {(r.seq, r.a): (r.distance, r.b) for r in got} == want and len(got) == len(want)

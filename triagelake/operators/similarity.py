@@ -250,29 +250,141 @@ def exact_parents(fingerprints: DataFrame, owners: DataFrame) -> DataFrame:
     return found.groupBy("seq").agg(F.min_by(F.coalesce("group", "owner"), "pos").alias("parent"))
 
 
-def near_parents(rows: DataFrame, owners: DataFrame, near_kinds: dict[str, int]) -> DataFrame:
-    """(seq, parent) of rows that no exact fingerprint has placed: the nearest value of an earlier row within its kind's
-    limit, by distance, then position, then value.
+#: Bits by which values are dealt to groups at most, values of a side in a group, and pairs that a task compares at a time.
+DEALT_BITS, SIDE, AT_ONCE = 8, 1 << 17, 1 << 20
+#: Two runs of values with fewer pairs than this are compared together with others.
+FEW = 1 << 13
+
+
+def half_masks(limit: int, width: int = 64) -> list[tuple[int, int]]:
+    """(dealt, other) masks: each block of ``block_masks`` is two halves, and values that differ by one bit of a block or
+    none are equal in one half and differ by one bit of the other, or none. ``dealt`` is the half that is equal."""
+    out = []
+    for mask in block_masks(limit, 1, width):
+        bits = [b for b in range(64) if mask >> b & 1]
+        low, high = (sum(1 << b for b in part) for part in (bits[: len(bits) // 2], bits[len(bits) // 2 :]))
+        out += [(low, high), (high, low)]
+    return out
+
 
-    Kinds are searched together, within a radius that grows; a row that has found something leaves, as all that lies
-    nearer has been seen. So few rows reach the large radii, where pairs are many.
+def lowest(mask: int, n: int) -> int:
+    return sum(1 << b for b in [b for b in range(64) if mask >> b & 1][:n])
+
+
+class Nearest:
+    """Of each left value the nearest right value whose owner is earlier: distance, then unsigned value decide."""
+
+    def __init__(self, left: np.ndarray, seq: np.ndarray, right: np.ndarray, owner: np.ndarray, limit: int):
+        self.left, self.seq, self.right, self.owner, self.limit = left, seq, right, owner, limit
+        self.far, self.to = np.full(len(left), 255, np.uint8), np.zeros(len(left), np.uint64)
+
+    def offer(self, at: np.ndarray, far: np.ndarray, to: np.ndarray) -> None:
+        """Candidates, at most one for each left value."""
+        better = (far < self.far[at]) | (far == self.far[at]) & (to < self.to[at])
+        self.far[at[better]], self.to[at[better]] = far[better], to[better]
+
+    def all_with_all(self, a: slice, b: slice) -> None:
+        right, owner = self.right[b], self.owner[b]
+        step = max(1, AT_ONCE // len(right))
+        for start in range(a.start, a.stop, step):
+            at = np.arange(start, min(start + step, a.stop))
+            far = np.bitwise_count(self.left[at, None] ^ right[None, :])
+            at, far = at[near := (far <= self.limit).any(axis=1)], far[near]
+            far = np.where(owner[None, :] < self.seq[at, None], far, 255)
+            least = far.min(axis=1, initial=255)
+            at, far, least = at[near := least <= self.limit], far[near], least[near]
+            self.offer(at, least, np.where(far == least[:, None], right[None, :], np.uint64(2**64 - 1)).min(axis=1, initial=2**64 - 1))
+
+    def pairs(self, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> None:
+        """Runs of n left values from a, each with m right values from b."""
+        size = n * m
+        ends = np.cumsum(size)
+        for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(ends // AT_ONCE)) + 1):
+            of = np.repeat(part, size[part])
+            k = np.arange(len(of)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+            at, to = a[of] + k // m[of], b[of] + k % m[of]
+            far = np.bitwise_count(self.left[at] ^ self.right[to])
+            near = (far <= self.limit) & (self.owner[to] < self.seq[at])
+            at, far, to = at[near], far[near], self.right[to[near]]
+            order = np.lexsort((to, far, at))
+            first = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
+            self.offer(at[first], far[first], to[first])
+
+
+def nearest_in(left: np.ndarray, seq: np.ndarray, right: np.ndarray, owner: np.ndarray, limit: int, dealt: int, other: int) -> Nearest:
+    """Compares values that are equal in ``dealt`` and differ by one bit of ``other`` or none; all inputs are put in order."""
+    mask = np.uint64(dealt | other)
+    a, b = np.argsort(left & mask, kind="stable"), np.argsort(right & mask, kind="stable")
+    of = Nearest(left[a], seq[a], right[b], owner[b], limit)
+    runs_of = lambda v: np.unique(v & mask, return_index=True, return_counts=True)
+    key, start, n = runs_of(of.left)
+    known, begin, m = runs_of(of.right)
+    for flip in flips(other, 1):
+        want = key ^ np.uint64(flip)
+        place = np.minimum(np.searchsorted(known, want), len(known) - 1)
+        hit = np.flatnonzero(known[place] == want)
+        x, y = hit, place[hit]
+        many = n[x] * m[y] >= FEW
+        for i, j in zip(x[many], y[many]):
+            of.all_with_all(slice(start[i], start[i] + n[i]), slice(begin[j], begin[j] + m[j]))
+        x, y = x[~many], y[~many]
+        if len(x):
+            of.pairs(start[x], n[x], begin[y], m[y])
+    return of
+
+
+def nearest_earlier(rows: DataFrame, owners: DataFrame, limit: int) -> DataFrame:
+    """(seq, a, distance, b): of each row (seq, a) the nearest value of owners (b, owner), whose values are distinct, within
+    ``limit`` bits whose owner is earlier than seq; the least by unsigned number of equally near ones.
+
+    Exact by the pigeonhole principle (``half_masks``). Values are dealt by a few bits to groups, in which arrays are
+    compared; a group gives one row for each of its rows at most, so no list of pairs is ever made, however many near
+    copies there are. Groups of more than SIDE values are split on both sides.
     """
-    values = lambda df, kind, *more: df.where(F.col("kind") == kind).select(F.col("value").cast("bigint").alias("value"), *more)
-    todo, out, done = rows.where(F.col("kind").isin(*near_kinds)), None, {}
-    top = max(near_kinds.values())
-    for radius in sorted({min(r, top) for r in (*range(3, top, 2), top)}):
-        parts = None
-        for kind, limit in near_kinds.items():
-            if done.get(kind) == min(radius, limit):
-                continue
-            done[kind] = min(radius, limit)
-            mine = values(todo, kind, "seq", "pos").groupBy("value", "seq").agg(F.min("pos").alias("pos"))
-            part = hamming_pairs(mine, values(owners, kind, "owner", "group"), done[kind], where=F.col("owner") < F.col("seq")).select("seq", "distance", "pos", place("b").alias("place"), F.coalesce("group", "owner").alias("parent"))
-            parts = part if parts is None else parts.unionByName(part)
-        best = cut(parts.groupBy("seq").agg(F.min(F.struct("distance", "pos", "place", "parent")).alias("best")).select("seq", "best.parent"))
-        out = best if out is None else out.unionByName(best)
-        todo = cut(todo.join(best, "seq", "left_anti"))
-    return out
+    masks = half_masks(limit)
+    of = F.array(*[F.struct(F.lit(i).alias("half"), F.lit(signed(lowest(dealt, DEALT_BITS))).alias("mask")) for i, (dealt, _) in enumerate(masks)])
+    both = rows.select(F.lit(True).alias("asks"), F.col("a").alias("v"), F.col("seq").alias("o")).unionByName(owners.select(F.lit(False).alias("asks"), F.col("b").alias("v"), F.col("owner").alias("o")))
+    dealt = both.withColumn("m", F.explode(of)).select("m.half", F.col("v").bitwiseAND(F.col("m.mask")).alias("key"), "asks", "v", "o")
+    counts = dealt.groupBy("half", "key").agg(F.count_if("asks").alias("n"), F.count_if(~F.col("asks")).alias("m")).where("n > 0 AND m > 0")
+    parts = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
+    counts = cut(counts.select("half", "key", parts("n").alias("parts_a"), parts("m").alias("parts_b")))  # a row for each group
+    part, every = (lambda of: F.pmod(F.xxhash64("v"), F.col(of)).cast("int")), (lambda of: F.sequence(F.lit(0), F.col(of) - 1))
+    a, b = F.when(F.col("asks"), F.array(part("parts_a"))).otherwise(every("parts_a")), F.when(F.col("asks"), every("parts_b")).otherwise(F.array(part("parts_b")))
+    dealt = dealt.join(F.broadcast(counts), ["half", "key"]).withColumn("part_a", F.explode(a)).withColumn("part_b", F.explode(b))
+
+    def run(group: pa.Table) -> pa.Table:
+        asks = group["asks"].to_numpy()
+        v, o = group["v"].to_numpy().view(np.uint64), group["o"].to_numpy()
+        found = nearest_in(v[asks], o[asks], v[~asks], o[~asks], limit, *masks[group["half"][0].as_py()])
+        near = found.far <= limit
+        return pa.table({"seq": found.seq[near], "a": found.left[near].view(np.int64), "distance": found.far[near].astype(np.int32), "b": found.to[near].view(np.int64)})
+
+    # halves and parts without rows of both sides have nothing to compare
+    found = dealt.groupBy("half", "key", "part_a", "part_b").applyInArrow(lambda g: run(g) if 0 < pc.sum(g["asks"]).as_py() < len(g) else none_found(), "seq long, a long, distance int, b long")
+    best = found.groupBy("seq", "a").agg(F.min(F.struct("distance", place("b").alias("place"), "b")).alias("m"))
+    return best.select("seq", "a", "m.distance", "m.b")
+
+
+def none_found() -> pa.Table:
+    return pa.table({"seq": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "distance": pa.array([], pa.int32()), "b": pa.array([], pa.int64())})
+
+
+def near_parents(rows: DataFrame, owners: DataFrame, near_kinds: dict[str, int]) -> DataFrame:
+    """(seq, parent) of rows (seq, pos, kind, value) that no exact fingerprint has placed: the nearest value of an earlier
+    row within its kind's limit, by distance, then position, then value. Owners are (kind, b, owner, group)."""
+    parts = None
+    for kind, limit in near_kinds.items():
+        known = owners.where(F.col("kind") == kind).select("b", "owner", "group")
+        mine = rows.where(F.col("kind") == kind).groupBy(F.col("value").cast("long").alias("a"), "seq").agg(F.min("pos").alias("pos"))
+        part = nearest_earlier(mine, known, limit).join(mine, ["seq", "a"]).join(known, "b")
+        part = part.select("seq", "distance", "pos", place("b").alias("place"), F.coalesce("group", "owner").alias("parent"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("seq").agg(F.min(F.struct("distance", "pos", "place", "parent")).alias("best")).select("seq", "best.parent")
+
+
+def near_values(owners: DataFrame, near_kinds: dict[str, int]) -> DataFrame:
+    """(kind, b, owner, group) of owners (kind, value, owner, group): the values of near kinds as numbers."""
+    return owners.where(F.col("kind").isin(*near_kinds)).select("kind", F.col("value").try_cast("long").alias("b"), "owner", "group")
 
 
 def content_groups(fingerprints: DataFrame, near_kinds: dict[str, int]) -> DataFrame:
@@ -285,7 +397,7 @@ def content_groups(fingerprints: DataFrame, near_kinds: dict[str, int]) -> DataF
     fingerprints = cut(fingerprints)
     owners = cut(first_bearers(fingerprints)).withColumn("group", F.lit(None).cast("long"))
     exact = cut(exact_parents(fingerprints, owners))
-    near = near_parents(cut(fingerprints.join(exact, "seq", "left_anti")), owners, near_kinds)
+    near = near_parents(cut(fingerprints.join(exact, "seq", "left_anti")), near_values(owners, near_kinds), near_kinds)
     parent = fingerprints.select("seq").distinct().join(exact.unionByName(near), "seq", "left")
     return chain_roots(parent.select(F.col("seq").alias("id"), "parent")).select(F.col("id").alias("seq"), F.col("root").alias("group"))
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -181,22 +180,17 @@ def grouped(posts: DataFrame, fingerprints_of: Callable[[DataFrame], DataFrame],
     ``similarity.content_groups`` says, whatever the micro-batches are.
 
     Kept between batches, a folder for each: ``owners`` (kind, value, owner, group of every first bearer) and ``index``, the
-    values of near kinds by block and key. A batch looks up its own values and keys there; what is stored is not dealt
-    anew. A batch that runs again reads what is older than itself and replaces what it left.
+    values of near kinds as numbers. A batch looks up its own values there. A batch that runs again reads what is older
+    than itself and replaces what it left.
     """
     spark = posts.sparkSession
     at = at or folder(spark)
-    of_owner, of_index = "kind string, value string, owner long, group long", "kind string, b long, owner long, group long, block int, key long"
-    masks = {kind: S.block_masks(limit) for kind, limit in near_kinds.items()}
+    of_owner, of_index = "kind string, value string, owner long, group long", "kind string, b long, owner long, group long"
 
     def stored(name: str, schema: str, batch: int) -> DataFrame:
         rows = spark.createDataFrame([], f"{schema}, batch long") if not batch else read_batches(spark, f"{at}/{name}", f"{schema}, batch long")
         return rows.where(F.col("batch") < batch).drop("batch")
 
-    def indexed(owners: DataFrame) -> DataFrame:
-        parts = [S.keyed(owners.where(F.col("kind") == kind).withColumn("b", F.col("value").cast("long")), "b", m) for kind, m in masks.items()]
-        return reduce(DataFrame.unionByName, parts).select("kind", "b", "owner", "group", "block", "key")
-
     def run(batch: DataFrame, number: int) -> None:
         batch = S.cut(batch)
         prints = S.cut(fingerprints_of(batch))
@@ -205,13 +199,7 @@ def grouped(posts: DataFrame, fingerprints_of: Callable[[DataFrame], DataFrame],
         first = S.cut(first)
         exact = S.cut(S.exact_parents(prints, known.unionByName(first, allowMissingColumns=True)))
         rest = S.cut(prints.join(exact, "seq", "left_anti"))
-        index, found = stored("index", of_index, number).unionByName(indexed(first)), None
-        for kind, limit in near_kinds.items():
-            mine = rest.where(F.col("kind") == kind).groupBy(F.col("value").cast("long").alias("a"), "seq").agg(F.min("pos").alias("pos"))
-            part = S.meet(S.probed(mine, "a", masks[kind], 1), index.where(F.col("kind") == kind).drop("kind"), masks[kind], limit, 1, F.col("owner") < F.col("seq"))
-            part = part.select("seq", "distance", "pos", S.place("b").alias("place"), F.coalesce("group", "owner").alias("parent"))
-            found = part if found is None else found.unionByName(part)
-        near = found.groupBy("seq").agg(F.min(F.struct("distance", "pos", "place", "parent")).alias("best")).select("seq", "best.parent")
+        near = S.near_parents(rest, stored("index", of_index, number).unionByName(S.near_values(first, near_kinds)), near_kinds)
         own = batch.select("seq").distinct().join(exact.unionByName(near), "seq", "left").select(F.col("seq").alias("id"), "parent")
         own = S.cut(own)
         # groups that are stored stand for themselves
@@ -219,7 +207,7 @@ def grouped(posts: DataFrame, fingerprints_of: Callable[[DataFrame], DataFrame],
         roots = S.cut(S.chain_roots(own.unionByName(older)).select(F.col("id").alias("seq"), F.col("root").alias("group")))
         first = first.drop("group").join(roots.withColumnRenamed("seq", "owner"), "owner").select("kind", "value", "owner", "group")
         write_batch(first, number, f"{at}/owners")
-        write_batch(indexed(first).repartitionByRange("kind", "block", "key").sortWithinPartitions("kind", "block", "key"), number, f"{at}/index")
+        write_batch(S.near_values(first, near_kinds), number, f"{at}/index")
         write_batch(batch.select("seq").distinct().join(roots, "seq"), number, f"{at}/out")
 
     posts.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
