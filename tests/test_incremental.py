@@ -97,3 +97,11 @@ def test_keyed_tables_upsert_delete_and_repeat(spark, tmp_path):
     assert now() == {}
     table.upsert(df([(2, "again", False)]), 3)
     assert now() == {2: "again"}
+
+
+def test_the_nearest_are_sought_in_as_many_tasks_as_shuffles_have(spark):
+    """Arrays are few bytes to read and much to compare: put together by size, one task compared them all."""
+    rows = spark.range(200).select(F.col("id").alias("seq"), F.xxhash64("id").alias("a"))
+    found = S.nearest_earlier(rows, rows.select(F.col("a").alias("b"), F.col("seq").alias("owner")), 9)
+    plan = found._jdf.queryExecution().toString()
+    assert f"{S.tasks(rows)}), REPARTITION_BY_NUM" in plan and plan.count("REPARTITION_BY_NUM") and S.tasks(rows) > 1

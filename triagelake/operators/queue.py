@@ -89,7 +89,9 @@ def fingerprints(posts: DataFrame, media: DataFrame | None = None, by_md5: bool
     one = lambda pos, kind, value: F.struct(F.lit(pos).cast("long").alias("pos"), F.lit(kind).alias("kind"), value.alias("value"))
     parts = [F.when(F.col("w") >= MIN_WORDS_EXACT, one(0, "text_sha", F.sha2("t", 256)))]
     long_enough = F.col("w") >= MIN_WORDS_NEAR
-    if not by_md5:
+    if by_md5:
+        rows = cut(rows)  # normalised once, read twice
+    else:
         parts.append(F.when(long_enough, one(1, "text_simhash", simhash(F.col("t")).cast("string"))))
     out = rows.select("seq", F.explode(F.array_compact(F.array(*parts))).alias("f")).select("seq", "f.*")
     if by_md5:

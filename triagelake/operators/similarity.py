@@ -25,6 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp()
 
 
+def tasks(df: DataFrame) -> int:
+    """As many tasks as the session's shuffles have, where work is not in proportion to bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the session's ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
@@ -351,6 +356,7 @@ def nearest_earlier(rows: DataFrame, owners: DataFrame, limit: int) -> DataFrame
     part, every = (lambda of: F.pmod(F.xxhash64("v"), F.col(of)).cast("int")), (lambda of: F.sequence(F.lit(0), F.col(of) - 1))
     a, b = F.when(F.col("asks"), F.array(part("parts_a"))).otherwise(every("parts_a")), F.when(F.col("asks"), every("parts_b")).otherwise(F.array(part("parts_b")))
     dealt = dealt.join(F.broadcast(counts), ["half", "key"]).withColumn("part_a", F.explode(a)).withColumn("part_b", F.explode(b))
+    dealt = dealt.repartition(tasks(dealt), "half", "key", "part_a", "part_b")  # little to read but much to compare, so not by size
 
     def run(group: pa.Table) -> pa.Table:
         asks = group["asks"].to_numpy()

@@ -192,7 +192,7 @@ def grouped(posts: DataFrame, fingerprints_of: Callable[[DataFrame], DataFrame],
         return rows.where(F.col("batch") < batch).drop("batch")
 
     def run(batch: DataFrame, number: int) -> None:
-        batch = S.cut(batch)
+        batch = S.cut(batch.repartition(max(spark.sparkContext.defaultParallelism, batch.rdd.getNumPartitions())))  # however few its files are
         prints = S.cut(fingerprints_of(batch))
         known = S.cut(prints.select("kind", "value").distinct().join(stored("owners", of_owner, number), ["kind", "value"]))
         first = S.first_bearers(prints).join(known.select("kind", "value"), ["kind", "value"], "left_anti").withColumn("group", F.lit(None).cast("long"))
