@@ -17,6 +17,7 @@ from triagelake.functions.metrics import unit
 from triagelake.operators import lexicon as L
 from triagelake.operators import similarity as S
 from triagelake.operators import students as M
+from triagelake.plans import source_queries as C
 from triagelake.plans import stream_queries as P
 from triagelake.streaming import jobs as J
 
@@ -113,3 +114,13 @@ def test_tasks_of_a_fit_and_scores_of_a_batch_are_bounded(spark, data, monkeypat
     v = {i: np.array([i % 5, 1.0]) / np.hypot(i % 5, 1.0) for i in range(40)}
     assert got.pop(51) == (None, None)
     assert got == {i: tuple(pytest.approx(max(v[i] @ v[k] for k in own)) for own in ((0, 2, 4), (1, 3))) for i in v}
+
+
+def test_candidates_normalise_and_search_each_text_once(spark, data):
+    found = plan_of(C.candidate_rows(spark, data)[1])
+    assert "sha2" not in found and "RLIKE" not in found and "ArrowEvalPython" not in found  # both sides read what is kept
+    signs = "".join(map(chr, range(1, 0x3000)))
+    df = spark.createDataFrame([(signs,), (" \t a -b\x0b_c ",), (None,)], "t string").select(T.normalize_text(F.col("t")).alias("new"), F.lower(F.coalesce(T.nfkc(F.col("t")), F.lit(""))).alias("low"))
+    squeezed = T.squeeze(F.regexp_replace(F.regexp_replace(F.regexp_replace("low", r"https?://\S+|www\.\S+", " "), rf"@{T.WORD}+", " "), r"[^\p{L}\p{N}_\s]+", " "))
+    assert all(r.new == r.want for r in df.withColumn("want", squeezed).collect())
+    assert not spark.createDataFrame([("a",)], "t string").select(T.exact_key(F.col("t")).alias("k")).schema["k"].nullable

@@ -53,7 +53,7 @@ def normalize_text(text: Column, compose: bool = True) -> Column:
     text = F.coalesce(nfkc(text) if compose else text, F.lit(""))
     text = F.regexp_replace(F.lower(text), r"https?://\S+|www\.\S+", " ")
     text = F.regexp_replace(text, rf"@{WORD}+", " ")
-    return squeeze(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]+", " "))
+    return F.trim(F.regexp_replace(text, r"[^a-z\p{L}\p{N}_]+", " "))  # white space is no letter; a-z, asked first, are most of them
 
 
 def words(normalised: Column) -> Column:
@@ -194,8 +194,9 @@ def sentences(text: Column) -> Column:
 
 
 def exact_key(text: Column) -> Column:
-    """sha256 of the normalised text."""
-    return F.sha2(normalize_text(text), 256)
+    """sha256 of the normalised text. It is never null, which the coalesce says: joins on it would else normalise each text
+    once more for a null test."""
+    return F.coalesce(F.sha2(normalize_text(text), 256), F.lit(""))
 
 
 def token_key(text: Column) -> Column:

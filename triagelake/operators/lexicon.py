@@ -52,9 +52,10 @@ def groups_of(table: DataFrame) -> dict[str, dict[str, list[str]]]:
     return out
 
 
-def any_match(text: Column, patterns: list[str]) -> Column:
-    """Whether one of the patterns is in the lower-cased text; plain words are searched for as they are."""
-    low = F.lower(text)
+def any_match(text: Column, patterns: list[str], lowered: bool = False) -> Column:
+    """Whether one of the patterns is in the lower-cased text; plain words are searched for as they are. A caller that has
+    the text in lower case already says so."""
+    low = text if lowered else F.lower(text)
     one = lambda p: reduce(lambda a, b: a | b, [low.contains(w) for w in p.split("|")]) if LITERALS.fullmatch(p) else low.rlike(p)
     return reduce(lambda a, b: a | b, map(one, patterns), F.lit(False))
 
@@ -92,11 +93,11 @@ def pattern_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PATTERNS, "id string, strength string, pattern string")
 
 
-def pattern_hits(text: Column, table: DataFrame | None = None) -> Column:
+def pattern_hits(text: Column, table: DataFrame | None = None, lowered: bool = False) -> Column:
     """array<struct<id,strength>> of the (id, strength, pattern) rows that match, by id."""
     table = pattern_table(SparkSession.active()) if table is None else table
     patterns = [(r["id"], r["strength"], r["pattern"]) for r in sorted(rows_of(table), key=lambda r: r["id"])]
-    one = lambda i, s, p: F.when(any_match(text, [p]), F.struct(F.lit(i).alias("id"), F.lit(s).alias("strength")))
+    one = lambda i, s, p: F.when(any_match(text, [p], lowered), F.struct(F.lit(i).alias("id"), F.lit(s).alias("strength")))
     return F.array_compact(F.array(*[one(*p) for p in patterns]))
 
 

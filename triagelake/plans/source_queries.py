@@ -220,11 +220,14 @@ c AS (SELECT k.*, g.copies, g.channels FROM k JOIN g ON k.dup_key = g.dup_key WH
 
 
 def candidate_rows(spark, d):
-    """The posts with their duplicate keys, and the candidates among them."""
-    posts = view(spark, d, "posts").withColumn("dup_key", T.exact_key(F.col("text")))
-    hits = L.pattern_hits(F.col("text"), L.pattern_table(spark))
-    minor = F.size(L.age_labels(F.regexp_replace(F.coalesce("text", F.lit("")), r"\d", " "), L.age_table(spark))) > 0
-    return posts, K.candidate_rows(posts, L.strength(hits), F.transform(hits, lambda h: h.id), minor)
+    """The posts, and the candidates among them with their duplicate keys. Patterns are sought in each text once, ages in
+    those of candidates alone."""
+    posts = view(spark, d, "posts")
+    keyed = posts.withColumns({"dup_key": T.exact_key(F.col("text")), "low": F.lower("text")})
+    keyed = keyed.withColumn("hits", L.pattern_hits(F.col("low"), L.pattern_table(spark), lowered=True))
+    sought = F.when(F.size("hits") > 0, F.regexp_replace("text", r"\d", " "))
+    minor = F.size(L.age_labels(F.coalesce(sought, F.lit("")), L.age_table(spark))) > 0
+    return posts, K.candidate_rows(keyed, L.strength(F.col("hits")), F.transform("hits", lambda h: h.id), minor)
 
 
 @register("snk04_candidate_file", sql("posts", body=CANDIDATE_SQL + " SELECT seq, dup_key, strength, ids AS patterns, minor, copies, channels, CASE WHEN NOT minor THEN length(text) END AS length FROM c"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.operators.rules import apply_restriction, lookup, violations
+from triagelake.operators.similarity import cut
 
 
 def write_detections(rows: DataFrame, path: str, known: set[str]) -> None:
@@ -50,11 +51,15 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
 def candidate_rows(corpus: DataFrame, strength: Column, patterns: Column, minor: Column) -> DataFrame:
     """The candidates of a corpus (seq, dup_key, channel, side, lang, month, text), a row each: strength, ids of the patterns
     hit, age indicator, and how many posts and channels of the whole corpus have the same text. Where an age indicator is,
-    the text is null, so a file of them shows none."""
-    rows = corpus.withColumns({"strength": strength, "patterns": patterns, "minor": minor})
-    spread = corpus.groupBy("dup_key").agg(F.count("*").alias("copies"), F.countDistinct("channel").alias("channels"))
+    the text is null, so a file of them shows none.
+
+    Rows are made once and kept, with the text of candidates alone; both the candidates and the counts are read from there.
+    """
     names = ["seq", "dup_key", "channel", "side", "lang", "month", "strength", "patterns", "minor"]
-    return rows.where("strength IS NOT NULL").join(spread, "dup_key").select(*names, "copies", "channels", F.when(~F.col("minor"), F.col("text")).alias("text"))
+    rows = corpus.withColumns({"strength": strength, "patterns": patterns, "minor": minor})
+    rows = cut(rows.select(*names, F.when(F.col("strength").isNotNull() & ~F.col("minor"), F.col("text")).alias("text")))
+    spread = rows.groupBy("dup_key").agg(F.count("*").alias("copies"), F.countDistinct("channel").alias("channels"))
+    return rows.where("strength IS NOT NULL").join(spread, "dup_key").select(*names, "copies", "channels", "text")
 
 
 def candidate_report(corpus: DataFrame, candidates: DataFrame, channels: int = 25, wide: int = 3) -> DataFrame:
