@@ -6,6 +6,7 @@ from collections import Counter
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as GroupedData
@@ -15,11 +16,13 @@ from triagelake.functions import simhash as H
 from triagelake.functions import text as T
 from triagelake.functions.metrics import unit
 from triagelake.operators import lexicon as L
+from triagelake.operators import queue as Q
 from triagelake.operators import similarity as S
 from triagelake.operators import students as M
 from triagelake.plans import source_queries as C
 from triagelake.plans import stream_queries as P
 from triagelake.streaming import jobs as J
+from triagelake.streaming import lifecycle as LC
 
 
 def plan_of(df):
@@ -124,3 +127,32 @@ def test_candidates_normalise_and_search_each_text_once(spark, data):
     squeezed = T.squeeze(F.regexp_replace(F.regexp_replace(F.regexp_replace("low", r"https?://\S+|www\.\S+", " "), rf"@{T.WORD}+", " "), r"[^\p{L}\p{N}_\s]+", " "))
     assert all(r.new == r.want for r in df.withColumn("want", squeezed).collect())
     assert not spark.createDataFrame([("a",)], "t string").select(T.exact_key(F.col("t")).alias("k")).schema["k"].nullable
+
+
+def test_a_large_component_goes_out_bit_by_bit(spark):
+    schema = spark.createDataFrame([], LC.OUT).toArrow().schema
+    own = spark.createDataFrame([], LC.ROWS).toArrow().schema
+    events = [{"kind": "2 event", "root": "r", "seq": n, "lane": "report", "url": "https://t.example/1", "note": f"n {n}", "t": n * 60.0} for n in range(1, 301)]
+    batches = [pa.RecordBatch.from_pylist(events[k : k + 100], own) for k in (0, 100, 200)]
+    out = list(LC.folded(1800.0, 18000.0, schema, most=50)(iter(batches)))
+    assert [b.num_rows for b in out] == [200, 200, 200, 1]  # occurrences and results of a batch at a time, then the item
+    assert out[-1].to_pylist()[0]["copies"] == 300 and out[-1].to_pylist()[0]["status"] == "PENDING"
+
+
+def test_components_of_leaves_pairs_and_chains(spark):
+    rng = random.Random(3)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(28)] + [("p1", "p2"), ("s0", "s9"), ("s0", "s8"), ("q", "q"), ("z", "b"), ("b", "a")]
+    root = {x: x for p in pairs for x in p}
+    for a, b in pairs * len(pairs):
+        root[a] = root[b] = min(root[a], root[b])
+    got = [tuple(r) for r in Q.label_components(spark.createDataFrame(pairs, "a string, b string")).collect()]
+    assert len(got) == len(root) and dict(got) == root
+    star = spark.createDataFrame([("hub", f"e{n}") for n in range(50)], "a string, b string")
+    kept, rows, cut = [], [], Q.cut
+    Q.cut = lambda df: kept.append(cut(df)) or kept[-1]
+    try:
+        rows = Q.label_components(star).collect()
+    finally:
+        Q.cut = cut
+    assert len(rows) == 51 and {r.root for r in rows} == {"e0"}
+    assert any(df.columns == ["u", "v"] and df.isEmpty() for df in kept)  # the rounds have nothing left to go over

@@ -122,12 +122,17 @@ def match_earlier(rows: DataFrame) -> DataFrame:
 def label_components(edges: DataFrame) -> DataFrame:
     """(node, root) over string nodes, root the least node of its component; a node linked with itself is one of its own.
 
-    Large stars and small stars by turns: every greater neighbour of a node is linked to the node's least neighbour, then
+    Nodes with one neighbour stand aside first, as in event data nearly all do, so the rounds go over what links them. Large
+    stars and small stars by turns: every greater neighbour of a node is linked to the node's least neighbour, then
     every smaller one, until nothing moves. Rounds grow with the logarithm of the longest path, and a node with very many
     neighbours is an aggregate, never a list.
     """
     nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
-    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    whole = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    ends = whole.union(whole.select("v", "u")).groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    leaves = cut(ends.where("n = 1").select(F.col("u").alias("leaf"), "v"))
+    links = whole.join(leaves, whole["u"] == leaves["leaf"], "left_anti")
+    links = cut(links.join(leaves, links["v"] == leaves["leaf"], "left_anti"))
     state = None
     while (now := links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != state and now[0]:
         state = now
@@ -137,7 +142,12 @@ def label_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(small.union(low).where("u > v").distinct())
-    return nodes.join(links.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("root"))
+    # a leaf's place is its neighbour's; of two that have each other alone, the lesser one's
+    alone = leaves.select(F.col("leaf").alias("v"), F.col("v").alias("other"))
+    beside = leaves.join(alone, "v", "left").select(F.col("leaf").alias("node"), F.when(F.col("other").isNotNull(), F.least("leaf", "v")).otherwise(F.col("v")).alias("at"))
+    placed = nodes.join(beside, "node", "left").withColumn("at", F.coalesce("at", "node"))
+    placed = cut(placed.join(links.select(F.col("u").alias("at"), F.col("v").alias("core")), "at", "left").select("node", F.coalesce("core", "at").alias("core")))
+    return placed.join(placed.groupBy("core").agg(F.min("node").alias("root")), "core").select("node", "root")
 
 
 def runs(batches, key: str):

@@ -7,6 +7,8 @@ may restrict a report, merge it with known content, or let it go on; what nobody
 
 from __future__ import annotations
 
+import heapq
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ class Component:
     def __init__(self, timeout: float):
         self.timeout, self.items, self.changed, self.new, self.results = timeout, {}, set(), [], []
         self.waiting, self.known, self.into = set(), {}, {}
+        self.times: list[tuple[float, str]] = []  # a heap of what has waited; names that no longer wait are passed over
         self.by: dict[tuple[str, str], set[str]] = {}
 
     def add(self, item: dict) -> dict:
@@ -43,6 +46,7 @@ class Component:
         self.index(item)
         if item["status"] == "SCREENING":
             self.waiting.add(item["item"])
+            heapq.heappush(self.times, (item["detected_at"], item["item"]))
         return item
 
     def index(self, item: dict) -> None:
@@ -75,8 +79,10 @@ class Component:
         self.new.append({"seq": e["seq"], "item": item["item"], "url": e["url"], "source": source, "external_id": e["external_id"], "note": note, "t": e["t"]})
 
     def release(self, now: float) -> None:
-        for name in [n for n in self.waiting if self.items[n]["detected_at"] < now - self.timeout]:
-            self.change(self.items[name], status="PENDING", context=f"{self.items[name]['context']}\n{UNSCREENED}")
+        while self.times and self.times[0][0] < now - self.timeout:
+            name = heapq.heappop(self.times)[1]
+            if name in self.waiting:
+                self.change(self.items[name], status="PENDING", context=f"{self.items[name]['context']}\n{UNSCREENED}")
 
     def event(self, e: dict) -> None:
         self.release(e["t"])
@@ -103,7 +109,7 @@ class Component:
     def detection(self, e: dict):
         if e["external_id"] in self.known:
             name = self.known[e["external_id"]]
-            return "known", self.into.get(name, name)
+            return "known", self.final(name)
         item = self.earliest(e["url"], e["group_key"])
         result = "joined" if item else "created"
         if item is None:
@@ -154,42 +160,57 @@ class Component:
         for column in ("url", "group_key"):
             self.by.get((column, item[column]), set()).discard(name)
         self.into[name] = other["item"]
-        self.into.update({k: other["item"] for k, v in self.into.items() if v == name})
+
+    def final(self, name: str) -> str:
+        """The item that an item has come to by merges."""
+        passed = []
+        while name in self.into:
+            passed.append(name)
+            name = self.into[name]
+        for one in passed:
+            self.into[one] = name
+        return name
+
+    def told(self):
+        """What has been said of events so far, as rows of OUT; nothing of it is kept. Occurrences name the item that they
+        came to, with their words, whatever becomes of it later."""
+        new, results, self.new, self.results = self.new, self.results, [], []
+        yield from ({"kind": "occurrence"} | o for o in new)
+        yield from ({"kind": "result", "seq": s, "result": r, "item": i} for s, r, i in results)
 
     def rows(self, now: float):
-        """What a batch leaves, as rows of OUT."""
+        """What a batch leaves besides, as rows of OUT."""
         self.release(now)
         for name in sorted(self.changed):
             yield {"kind": "item", "item": name, "deleted": True} if name not in self.items else {"kind": "item", "deleted": False} | self.items[name]
-        for o in self.new:
-            name = self.into.get(o["item"], o["item"])
-            yield {"kind": "occurrence"} | o | {"item": name, "note": None if self.items[name]["status"] == "RESTRICTED" else o["note"]}
-        yield from ({"kind": "move", "item": a, "target": b} for a, b in self.into.items())
-        yield from ({"kind": "result", "seq": s, "result": r, "item": i} for s, r, i in self.results)
+        yield from ({"kind": "move", "item": a, "target": self.final(a)} for a in [*self.into])
 
 
-def folded(timeout: float, now: float, schema: pa.Schema):
-    """Arrow function over rows sorted by root, stored things first: each component as it streams by."""
-    columns = ITEM.replace(",", "").split()[::2]
+def folded(timeout: float, now: float, schema: pa.Schema, most: int = 5_000):
+    """Arrow function over rows sorted by root, stored things first: each component as it streams by. Of a component only
+    its items are kept; what is said of its events goes out with about ``most`` rows at a time."""
+    columns, of_event = ITEM.replace(",", "").split()[::2], EVENT.replace(",", "").split()[::2]
 
     def run(batches):
-        of = None
+        of, out = None, []
         for new, rows in runs(batches, "root"):
-            out = []
             if new:
-                out = list(of.rows(now)) if of else []
+                out += of.rows(now) if of else []
                 of = Component(timeout)
-            for row in (dict(zip(rows, values)) for values in zip(*rows.values())):
-                if row["kind"] == "0 item":
-                    of.add({c: row[c] for c in columns})
-                elif row["kind"] == "1 known":
-                    of.known[row["external_id"]] = row["item"]
+            for k, kind in enumerate(rows["kind"]):
+                if kind == "0 item":
+                    of.add({c: rows[c][k] for c in columns})
+                elif kind == "1 known":
+                    of.known[rows["external_id"][k]] = rows["item"][k]
                 else:
-                    of.event(row)
-            if out:
+                    of.event({c: rows[c][k] for c in of_event})
+            out += of.told()
+            if len(out) >= most:
                 yield pa.RecordBatch.from_pylist(out, schema)
-        if of:
-            yield pa.RecordBatch.from_pylist(list(of.rows(now)), schema)
+                out = []
+        out += of.rows(now) if of else []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
@@ -236,14 +257,14 @@ class LifeCycle:
         out = cut(rows.mapInArrow(folded(self.timeout, now, empty.toArrow().schema), OUT))
         changed = out.where("kind = 'item'")
         self.items.upsert(changed.select(*self.items.schema.names, "deleted"), number)
-        # stored occurrences follow their item, and lose their words with it
+        # occurrences follow their item, and lose their words with it
         moves = out.where("kind = 'move'").select("item", "target")
         gone = changed.where("status = 'RESTRICTED'").select(F.col("item").alias("final"), F.lit(True).alias("silent"))
         final = F.coalesce("target", "item")
-        old = self.occurrences.rows(number).join(moves, "item", "left").withColumn("final", final).join(gone, "final", "left")
-        old = old.where("target IS NOT NULL OR silent").withColumn("note", F.when(F.col("silent").isNull(), F.col("note"))).withColumn("item", F.col("final"))
-        new = out.where("kind = 'occurrence'").select(self.occurrences.schema.names)
-        self.occurrences.upsert(new.unionByName(old.select(self.occurrences.schema.names)), number)
+        followed = lambda rows: rows.join(moves, "item", "left").withColumn("final", final).join(gone, "final", "left")
+        every = followed(self.occurrences.rows(number)).where("target IS NOT NULL OR silent").unionByName(followed(out.where("kind = 'occurrence'").select(self.occurrences.schema.names)))
+        every = every.withColumn("note", F.when(F.col("silent").isNull(), F.col("note"))).withColumn("item", F.col("final"))
+        self.occurrences.upsert(every.select(self.occurrences.schema.names), number)
         J.write_batch(out.where("kind = 'result'").select("seq", "result", "item"), number, f"{self.at}/results")
 
     def run(self, events: DataFrame) -> LifeCycle:
