@@ -6,6 +6,7 @@ from collections import Counter
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,25 @@ def test_components_of_leaves_pairs_and_chains(spark):
         Q.cut = cut
     assert len(rows) == 51 and {r.root for r in rows} == {"e0"}
     assert any(df.columns == ["u", "v"] and df.isEmpty() for df in kept)  # the rounds have nothing left to go over
+
+
+def test_senders_share_states(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.choice([None, *range(40)]), rng.randrange(3_000)) for k in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    want = {(r.user_id, r.event_id, r.accepted) for r in J.rate_limited(df).collect()}
+    limited = J.rate_limited_stream(P.arrivals(spark, df, "ts", 3), groups=3)
+    at = J.folder(spark)
+    got = [tuple(r) for r in J.drain(limited, "user_id long, event_id long, accepted boolean", at).collect()]
+    assert len(got) == 600 and set(got) == want and {u for u, _, ok in got if not ok} > {None}
+
+    class State:
+        exists, get = True, (["1", ""], [[0.0] * 5, [0.0]])
+
+        def update(self, kept):
+            self.kept = dict(zip(*kept))
+
+    state = State()
+    (out,) = J.limited_state((0,), iter([pd.DataFrame({"user_id": ["1", "", "2"], "event_id": [7, 8, 9], "t": [5.0, 4.0, 3.0]})]), state)
+    assert dict(zip(out["event_id"], out["accepted"])) == {9: True, 8: True, 7: False}
+    assert state.kept == {"1": [0.0] * 5, "": [0.0, 4.0], "2": [3.0]}

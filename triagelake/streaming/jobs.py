@@ -24,6 +24,8 @@ from triagelake.operators.similarity import shared_folder
 from triagelake.sources.snapshots import KeyedTable
 
 LIMIT, WINDOW_S, TIMEOUT_S = 5, 600.0, 1800.0
+#: In how many states senders are kept; each has its rows of a micro-batch in memory at once.
+SENDER_GROUPS = 512
 
 
 def folder(spark: SparkSession) -> str:
@@ -118,19 +120,26 @@ def rate_limited(events: DataFrame) -> DataFrame:
 
 
 def limited_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A sender's rows of a micro-batch come in several chunks in no order, so all are put in order before any is judged."""
-    held = list(state.get[0]) if state.exists else []
-    rows = pd.concat([b[["t", "event_id"]] for b in batches]).sort_values(["t", "event_id"])
-    taken, held = accept(rows["t"].tolist(), held)
-    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "accepted": taken})
-    state.update((held,))
-
-
-def rate_limited_stream(rows: DataFrame) -> DataFrame:
-    """The streaming form: the accepted times of a sender are its state, at most LIMIT of them."""
-    rows = rows.select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
-    out = "user_id long, event_id long, accepted boolean"
-    return rows.groupBy("user_id").applyInPandasWithState(limited_state, out, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    """A group of senders. Their rows of a micro-batch come in several chunks in no order, so all are put in order of time
+    before any is judged."""
+    held = dict(zip(*state.get)) if state.exists else {}
+    rows = pd.concat([b[["user_id", "t", "event_id"]] for b in batches]).sort_values(["t", "event_id"])
+    taken = []
+    for sender, t in zip(rows["user_id"].tolist(), rows["t"].tolist()):
+        (ok,), held[sender] = accept([t], held.get(sender, []))
+        taken.append(ok)
+    yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "accepted": taken})
+    state.update((list(held), list(held.values())))
+
+
+def rate_limited_stream(rows: DataFrame, groups: int = SENDER_GROUPS) -> DataFrame:
+    """The streaming form: the accepted times of a sender are state, at most LIMIT of them. Senders share a state by hash, in
+    a number of ``groups`` that a checkpoint keeps, so that a micro-batch takes a call of Python a group, not a sender."""
+    sender = F.coalesce(F.col("user_id").cast("string"), F.lit(""))
+    rows = rows.select(F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("group"), sender.alias("user_id"), "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
+    out, kept = "user_id string, event_id long, accepted boolean", "senders array<string>, held array<array<double>>"
+    found = rows.groupBy("group").applyInPandasWithState(limited_state, out, kept, "append", GroupStateTimeout.NoTimeout)
+    return found.select(F.when(F.col("user_id") != "", F.col("user_id").cast("long")).alias("user_id"), "event_id", "accepted")
 
 
 def overdue(reports: DataFrame, screened: DataFrame, now: str, timeout: float = TIMEOUT_S) -> DataFrame:
