@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -251,6 +252,45 @@ def test_quality_scores_do_not_depend_on_how_many_vectors_are_sent(spark, monkey
     assert quality.with_score(docs.limit(0), model, "s").collect() == []
 
 
+def test_quality_vectors_by_hash_need_no_join(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"word{chr(97 + int(rng.expovariate(0.2)) % 26)}" for _ in range(80)) for _ in range(60)] + [None, "", "wordb zzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    scores = lambda: {r.doc_id: round(r.s, 5) for r in quality.with_score(docs, model, "s").collect()}
+    whole = scores()
+    joined = quality.text_scores
+    monkeypatch.setattr(quality, "SENT", 4)
+    monkeypatch.setattr(quality, "text_scores", None)
+    assert scores() == whole  # more words than are sent as they are
+    calls = []
+    monkeypatch.setattr(quality, "text_scores", lambda *of: calls.append(1) or joined(*of))
+    for hashed in (6, 0):
+        monkeypatch.setattr(quality, "HASHED", hashed)
+        assert scores() == whole
+    assert len(calls) == 2
+
+
+def test_quality_reads_many_texts_as_one_by_one():
+    ends = ["", " ", "  a", "a ", "a a", "a\x1ca\x85a", "a\xa0a\u3000a", "a", "a", "Ab, ab,", "x1 x1 _!", "a" + chr(0x200B) + "a"]
+    texts = [None, *ends, *(f"a{chr(c)}a" for c in range(0x3100))]
+
+    def alone(text, number):
+        out, chunks = [], (text or "").split()
+        for chunk, before in zip(chunks, [None, *chunks]):
+            out += [*map(number, quality.tokens_of(chunk)), *([quality.AGAIN] if chunk == before else [])]
+        return out
+
+    for some in (texts, texts[:1], texts[2:4], []):
+        one, other = quality.Numbers(), quality.Numbers()
+        tokens, begins = quality.streams(pa.array(some, pa.string()), other.__getitem__, quality.numbered(other.__getitem__))
+        names, want = list(other), [alone(t, one.__getitem__) for t in some]
+        got = [[names[k] for k in tokens[a:b]] for a, b in zip(begins, begins[1:])]
+        assert got == [[list(one)[k] for k in w] for w in want]
+    parts = [len(t) for t in quality.slices(pa.array(["x" * quality.PIECE, "y", None, "z" * 5, "x" * quality.PIECE * 2]))]
+    assert sum(parts) == 5 and 1 < len(parts)
+
+
 def test_chains_of_different_lengths_are_each_labelled_as_a_whole():
     rng = np.random.default_rng(2)
     transition, lengths = rng.normal(size=(3, 3)), [9, 7, 7, 2, 1]

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
+from bisect import bisect_left
+from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import chain
-from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +33,14 @@ FIRST = {"": NONE, "<again>": AGAIN, "<rare>": RARE}
 LEAST = 50
 #: Tokens and words after which a task passes its sums on; characters of all texts for each group of words' sums.
 TOKENS, WORDS, BUCKET = 1_200_000, 120_000, 8_000_000
-#: Up to so many vectors (20 MB) are sent to every executor; the vectors of less frequent words are joined by a shuffle.
-SENT = 1 << 18
+#: Up to so many vectors (20 MB) are sent to every executor with their words, and so many more (112 MB) with hashes of
+#: theirs; the vectors of still less frequent words are joined by a shuffle.
+SENT, HASHED = 1 << 18, 1 << 21
 #: Up to so many scores are sent around; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
-#: Chunks that a task remembers, some 300 bytes each.
-KNOWN = 120_000
+#: Chunks that a task remembers, some 300 bytes each; characters of the texts that it takes at once.
+KNOWN, PIECE = 120_000, 4_000_000
+SIGNS = string.punctuation.replace("_", "")
 PARTS = re.compile(r"([^\W\d_]+)|(\d+)|([^\w\s]+|_+)").findall
 
 
@@ -50,16 +55,19 @@ class Numbers(dict):
         return number
 
 
+def cased(word: str) -> list[str]:
+    return [word] if word.islower() else [word.lower(), "<upper>" if word.isupper() and len(word) > 1 else "<title>" if word.istitle() else "<mixed>"]
+
+
 def tokens_of(chunk: str) -> list[str]:
     """What a chunk is made of: words by letters and by case, digits by length, other signs as they are."""
-    if chunk.isalpha() and chunk.islower():  # as most are
-        return [chunk.lower()]
+    word = chunk.rstrip(SIGNS)
+    if word.isalpha():  # a word, and signs after it
+        return cased(word) if len(word) == len(chunk) else [*cased(word), chunk[len(word) :]]
     out = []
     for word, digits, signs in PARTS(chunk):
         if word:
-            out.append(word.lower())
-            if not word.islower():
-                out.append("<upper>" if word.isupper() and len(word) > 1 else "<title>" if word.istitle() else "<mixed>")
+            out += cased(word)
         elif digits:
             out.append(f"<{min(len(digits), 8)} digits>")
         else:
@@ -72,15 +80,34 @@ def numbered(number) -> Memo:
     return Memo(lambda chunk: tuple(map(number, tokens_of(chunk))), KNOWN)
 
 
-def stream(text: str | None, memo: Memo) -> np.ndarray:
-    """Token numbers of a whole text; AGAIN stands after a chunk that says what the one before it said."""
-    chunks = (text or "").split()
-    parts = list(map(memo.__getitem__, chunks))
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, some at a time, of about PIECE characters."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(PIECE, ends[-1] if len(ends) else 0, PIECE)), len(texts)])
+    return (texts.slice(a, b - a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
+def streams(texts: pa.Array, number, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of whole texts, one after another, and where each begins, with the end; AGAIN stands after a chunk that
+    says what the one before it said. Arrow parts texts at the white space of str.split(), and each chunk is looked up once:
+    a word by ``number``, any other in ``memo``, which is ``numbered`` by the same."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    at, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    parts = [(number(c),) if c.isalpha() and c.islower() else memo[c] for c in chunks]
     memo.trim()
-    if any(map(eq, chunks, chunks[1:])):
-        again = (AGAIN,)
-        parts = [p if a != b else p + again for p, a, b in zip(parts, chunks, [None, *chunks])]
-    return np.fromiter(chain.from_iterable(parts), np.int32)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    numbers = np.append(np.fromiter(chain.from_iterable(parts), np.int32), np.int32(AGAIN))
+    again = np.diff(at, prepend=-1) == 0
+    again[bounds[:-1][bounds[:-1] < len(at)]] = False
+    if "" in chunks:  # before or after the white space at an end
+        again &= at != chunks.index("")
+    ends = np.cumsum(sizes[at] + again)
+    begins = np.concatenate([[0], ends])
+    source = np.arange(begins[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - begins[:-1], np.diff(begins))
+    source[ends[again] - 1] = len(numbers) - 1
+    return numbers[source], begins[bounds]
 
 
 def index_vectors(words) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +119,19 @@ def index_vectors(words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(tokens: np.ndarray, words) -> np.ndarray:
-    """For each word the sum of the index vectors of its neighbours; some neighbours at a time, so that little is held."""
+    """For each word the sum of the index vectors of its neighbours; a dimension at a time, so that little is held."""
     places, signs = index_vectors(words)
-    total = np.zeros(len(places) * DIMENSIONS, np.int32)
-    for apart in range(1, WINDOW + 1):
-        for own, other in ((tokens[:-apart], tokens[apart:]), (tokens[apart:], tokens[:-apart])):
-            for k in range(PLACES):
-                total += np.bincount(own * np.int64(DIMENSIONS) + places[other, k], signs[other, k], len(total)).astype(np.int32)
-    return total.reshape(-1, DIMENSIONS)
+    total, tokens = np.empty((len(places), DIMENSIONS), np.int32), tokens.astype(np.int64)
+    for d in range(DIMENSIONS):
+        index = np.zeros(len(places), np.int8)
+        for k in range(PLACES):
+            index += np.where(places[:, k] == d, signs[:, k], 0).astype(np.int8)
+        near, sums = index[tokens], np.zeros(len(tokens), np.int8)
+        for apart in range(1, WINDOW + 1):
+            sums[:-apart] += near[apart:]
+            sums[apart:] += near[:-apart]
+        total[:, d] = np.bincount(tokens, sums, len(places))
+    return total
 
 
 NAMES = [f"v{d}" for d in range(DIMENSIONS)]
@@ -110,7 +142,6 @@ def packed_sums(docs: DataFrame) -> DataFrame:
     occurred, and the sums of their contexts; of most words, the ``few`` first, as bytes. No context crosses documents."""
     docs = docs.select("text").where(F.col("text").isNotNull())
     buckets = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET + 1
-    border = np.full(WINDOW, NONE)
 
     def rows(held, numbers):
         words, tokens = list(numbers), np.concatenate(held)
@@ -135,9 +166,10 @@ def packed_sums(docs: DataFrame) -> DataFrame:
         numbers, held, size = Numbers(), [], 0
         memo = numbered(numbers.__getitem__)
         for batch in batches:
-            for text in batch["text"]:
-                held += [stream(text.as_py(), memo), border]
-                size += len(held[-2])
+            for texts in slices(batch["text"]):
+                tokens, begins = streams(texts, numbers.__getitem__, memo)
+                held.append(np.insert(tokens, np.repeat(begins[1:], WINDOW), NONE))
+                size += len(tokens)
                 if size > TOKENS or len(numbers) > WORDS:
                     yield rows(held, numbers)
                     numbers, held, size = Numbers(), [], 0
@@ -219,39 +251,76 @@ def word_vectors(docs: DataFrame) -> DataFrame:
     return often.unionByName(rare)
 
 
-def packed_table(found: pa.Table) -> tuple[bytes, bytes]:
-    """Words and vectors as they are sent; a worker keeps what was sent to it, so it is small and unpacked task by task."""
-    return "\n".join(found["word"].to_pylist()).encode(), b"".join(found["v"].to_pylist())
-
-
-def pooling_table(packed: tuple[bytes, bytes]) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the words, and each one's vector beside its squares, so that one mean gives both moments."""
-    numbers = dict(FIRST)
-    words = packed[0].decode().split("\n") if packed[1] else []
-    at = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
-    vectors = np.zeros((len(numbers), DIMENSIONS), np.float32)
-    if len(at):
-        vectors[at] = halves([packed[1]])
-    return numbers, np.concatenate([vectors, vectors * vectors], axis=1)
+def word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8, person=b"quality").digest(), "little")
+
+
+def packed_table(found: pa.Table) -> tuple[bytes, bytes, bytes, bytes]:
+    """Words and vectors as they are sent: the SENT most frequent words and FIRST as they are, others by hashes in order,
+    which a worker need not unpack. A worker keeps what was sent to it, so it is small; words are unpacked task by task."""
+    words, v = found["word"].to_pylist(), found["v"].to_pylist()
+    order = sorted(range(len(words)), key=(-found["n"].to_numpy()).__getitem__)
+    named, other = [k for k in order if words[k] in FIRST], [k for k in order if words[k] not in FIRST]
+    often, rest = named + other[:SENT], other[SENT:]
+    hashes = np.fromiter((word_hash(words[k]) for k in rest), np.uint64, len(rest))
+    by = np.argsort(hashes)
+    return "\n".join(words[k] for k in often).encode(), b"".join(v[k] for k in often), hashes[by].tobytes(), b"".join(v[rest[k]] for k in by)
+
+
+class Vectors:
+    """What was sent: numbers of words, and by number each one's vector beside its squares, so that one mean gives both
+    moments; after them come the words known by hashes, whose vectors stay as they were sent."""
+
+    def __init__(self, packed: tuple[bytes, bytes, bytes, bytes]):
+        self.numbers = dict(FIRST)
+        words = packed[0].decode().split("\n") if packed[1] else []
+        at = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64)
+        vectors = np.zeros((len(self.numbers), DIMENSIONS), np.float32)
+        if len(at):
+            vectors[at] = halves([packed[1]])
+        self.moments = np.concatenate([vectors, vectors * vectors], axis=1)
+        self.hashes, self.more = memoryview(packed[2]).cast("Q"), np.frombuffer(packed[3], "<f2").reshape(-1, DIMENSIONS)
+        self.size = len(self.moments) + len(self.more)
+
+    def number(self, word: str) -> int | None:
+        found = self.numbers.get(word)
+        if found is None and len(self.hashes):
+            own = word_hash(word)
+            k = bisect_left(self.hashes, own)
+            if k < len(self.hashes) and self.hashes[k] == own:
+                found = len(self.moments) + k
+        return found
+
+    def total(self, tokens: np.ndarray) -> np.ndarray:
+        """The sum of both moments over known tokens."""
+        hashed = tokens >= len(self.moments)
+        if not hashed.any():
+            return self.moments[tokens].sum(axis=0, dtype=np.float64)
+        more = self.more[tokens[hashed] - len(self.moments)].astype(np.float32)
+        return self.moments[tokens[~hashed]].sum(axis=0, dtype=np.float64) + np.concatenate([more, more * more], axis=1).sum(axis=0, dtype=np.float64)
+
+    def or_rare(self, word: str) -> int:
+        """Words that were not sent are rare."""
+        found = self.number(word)
+        return RARE if found is None else found
+
+    def pooled(self, texts: pa.Array, memo: Memo) -> np.ndarray:
+        """Mean and spread of each document's word vectors, and the logarithm of its length. ``memo`` is numbered by ``or_rare``."""
+        out = [np.zeros((0, 2 * DIMENSIONS + 1))]
+        for some in slices(texts):
+            tokens, begins = streams(some, self.or_rare, memo)
+            out.append(np.stack([features(self.total(tokens[a:b]), b - a) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]))
+        return np.concatenate(out)
 
 
 def halves(packed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<f2").reshape(-1, DIMENSIONS).astype(np.float32)
 
 
-def looked_up(numbers: dict[str, int]) -> Memo:
-    return numbered(lambda word: numbers.get(word, RARE))
-
-
-def pooled(tokens: np.ndarray, moments: np.ndarray) -> np.ndarray:
-    """Mean and spread of a document's word vectors, and the logarithm of its length."""
-    if not len(tokens):
-        return np.zeros(2 * DIMENSIONS + 1)
-    return features(moments[tokens].sum(axis=0, dtype=np.float64), len(tokens))
-
-
 def features(total: np.ndarray, n: int) -> np.ndarray:
-    """From the sum of both moments of n word vectors."""
+    """From the sum of both moments of n word vectors; zeros of none."""
+    if not n:
+        return np.zeros(2 * DIMENSIONS + 1)
     first, second = total[:DIMENSIONS] / n, total[DIMENSIONS:] / n
     return np.concatenate([first, np.sqrt(np.maximum(second - first * first, 0)), [math.log1p(n) / 10]])
 
@@ -313,9 +382,9 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], vectors: DataFram
         return share
     words = {w for text, _ in sample for chunk in set((text or "").split()) for w in tokens_of(chunk)} | {"<again>", "<rare>"}
     wanted = vectors.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(words), pa.string())}))
-    numbers, moments = pooling_table(packed_table(vectors.join(F.broadcast(wanted), "word").select("word", "v").toArrow()))
-    rng, memo = np.random.default_rng(5), looked_up(numbers)
-    x = np.stack([pooled(stream(text, memo), moments) for text, _ in sample])
+    known = Vectors(packed_table(vectors.join(F.broadcast(wanted), "word").select("word", "n", "v").toArrow()))
+    rng = np.random.default_rng(5)
+    x = known.pooled(pa.array([text for text, _ in sample], pa.string()), numbered(known.or_rare))
     rest = np.arange(len(y)) % 5 == 4
     if len(set(y[~rest])) < 2:
         rest[:] = False
@@ -364,22 +433,26 @@ def text_scores(docs: DataFrame, table, network: Network, others: DataFrame) ->
     sums = ", ".join(f"s{d} double" for d in range(2 * DIMENSIONS))
 
     def run(batches):
-        numbers, moments = pooling_table(table.value)
-        fresh = Numbers()
-        fresh.update(numbers)
-        memo = numbered(fresh.__getitem__)
+        known, fresh = Vectors(table.value), {}
+
+        def number(word: str) -> int:
+            found = known.number(word)
+            return known.size + fresh.setdefault(word, len(fresh)) if found is None else found
+
+        memo = numbered(number)
         for batch in batches:
             of, words, counts, totals, n = [], [], [], [], []
-            names = list(fresh)
-            for k, text in enumerate(batch["text"]):
-                tokens = stream(text.as_py(), memo)
-                names = names if len(names) == len(fresh) else list(fresh)
-                new, count = np.unique(tokens[tokens >= len(moments)], return_counts=True)
-                of += [k] * len(new)
-                words += [names[w] for w in new]
-                counts += count.tolist()
-                totals.append(moments[tokens[tokens < len(moments)]].sum(axis=0, dtype=np.float64))
-                n.append(len(tokens))
+            for texts in slices(batch["text"]):
+                tokens, begins = streams(texts, number, memo)
+                names = list(fresh)
+                for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+                    own = tokens[a:b]
+                    new, count = np.unique(own[own >= known.size], return_counts=True)
+                    of += [len(n)] * len(new)
+                    words += [names[w] for w in (new - known.size).tolist()]
+                    counts += count.tolist()
+                    totals.append(known.total(own[own < known.size]))
+                    n.append(b - a)
             keys = [batch["_key"], batch["_key2"]]
             k = len(n)
             of = np.concatenate([np.arange(k), np.array(of, np.int64)])
@@ -387,16 +460,15 @@ def text_scores(docs: DataFrame, table, network: Network, others: DataFrame) ->
             columns = [*(c.take(pa.array(of)) for c in keys), pa.array([None] * k + words, pa.string()), pa.array([*n, *counts], pa.int64())]
             sent = np.array(totals).reshape(k, -1)
             yield pa.record_batch([*columns, *(pa.array([*sent[:, d], *none], pa.float64()) for d in range(2 * DIMENSIONS))], ["_key", "_key2", "word", "n", *(f"s{d}" for d in range(2 * DIMENSIONS))])
-            if len(fresh) - len(numbers) > WORDS:
-                fresh = Numbers()
-                fresh.update(numbers)
-                memo = numbered(fresh.__getitem__)
+            if len(fresh) > WORDS:
+                fresh.clear()
+                memo.forget()
 
     found = cut(docs.select("text", *key_columns()).mapInArrow(tidy(run), f"_key long, _key2 long, word string, n long, {sums}").dropDuplicates(["_key", "_key2", "word"]))
     vector = others.select("word", "v")
 
     def weighed(batches):
-        rare = pooling_table(table.value)[1][RARE]
+        rare = Vectors(table.value).moments[RARE]
         for batch in batches:
             v, n = batch["v"].to_pylist(), batch["n"].to_numpy()
             own = np.zeros((len(n), 2 * DIMENSIONS))
@@ -415,7 +487,7 @@ def text_scores(docs: DataFrame, table, network: Network, others: DataFrame) ->
         for batch in batches:
             n = batch["n"].to_numpy()
             total = np.stack([batch[f"s{d}"].to_numpy() for d in range(2 * DIMENSIONS)], axis=1)
-            x = np.stack([features(t, k) if k else np.zeros(2 * DIMENSIONS + 1) for t, k in zip(total, n)]) if len(n) else np.zeros((0, 2 * DIMENSIONS + 1))
+            x = np.stack([features(t, k) for t, k in zip(total, n)]) if len(n) else np.zeros((0, 2 * DIMENSIONS + 1))
             yield pa.record_batch([batch["_key"], batch["_key2"], pa.array(network.probabilities(x), pa.float64())], ["_key", "_key2", "_score"])
 
     return cut(both.mapInArrow(scored, "_key long, _key2 long, _score double"))
@@ -437,8 +509,8 @@ def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> Da
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
     if isinstance(network, float):
         return rows.select("row", F.lit(network).alias("score"))
-    first, others = most_frequent(vectors, SENT)
-    table = docs.sparkSession.sparkContext.broadcast(packed_table(first.select("word", "v").toArrow()))
+    first, others = most_frequent(vectors, SENT + HASHED)
+    table = docs.sparkSession.sparkContext.broadcast(packed_table(first.select("word", "n", "v").toArrow()))
     give_back()
     if others is not None:
         rows = rows.withColumn("text", F.col("row.text"))
@@ -448,10 +520,10 @@ def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> Da
         return joined.join(scores, (F.col("_k") == F.col("_key")) & (F.col("_k2") == F.col("_key2"))).select("row", F.col("_score").alias("score"))
 
     def run(batches):
-        numbers, moments = pooling_table(table.value)
-        memo = looked_up(numbers)
+        known = Vectors(table.value)
+        memo = numbered(known.or_rare)
         for batch in batches:
-            x = np.array([pooled(stream(text.as_py(), memo), moments) for text in batch["row"].field("text")]).reshape(-1, 2 * DIMENSIONS + 1)
+            x = known.pooled(batch["row"].field("text"), memo)
             yield pa.record_batch([batch["row"], pa.array(network.probabilities(x), pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(tidy(run), rows.select("row").schema.add("score", "double"))
