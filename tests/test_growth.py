@@ -140,6 +140,26 @@ def test_a_large_component_goes_out_bit_by_bit(spark):
     assert out[-1].to_pylist()[0]["copies"] == 300 and out[-1].to_pylist()[0]["status"] == "PENDING"
 
 
+def test_events_of_a_component_pass_by_columns(spark, monkeypatch):
+    schema = spark.createDataFrame([], LC.OUT).toArrow().schema
+    own = spark.createDataFrame([], LC.ROWS).toArrow().schema
+    url = lambda n: f"https://t.example/{n % 3}"
+    events = [{"lane": "report", "url": url(n), "note": " \u3000n "} if n % 4 < 2 else {"lane": "volunteer", "url": url(n), "priority": "high"} if n % 4 == 2 else {"lane": "screening", "target": f"public-{n - 3}", "outcome": "flagged"} for n in range(1, 2001)]
+    rows = [{"kind": "2 event", "root": "r", "seq": n, "t": n * 60.0} | e for n, e in enumerate(events, 1)]
+    calls = []
+    for lane in ("report", "volunteer", "screening"):
+        monkeypatch.setattr(LC.Component, lane, lambda self, e, of=getattr(LC.Component, lane): calls.append(e["seq"]) or of(self, e))
+    batch = pa.RecordBatch.from_pylist(rows, own)
+    out = [r for b in LC.folded(1800.0, 130000.0, schema)(iter([batch])) for r in b.to_pylist()]
+    results = {r["seq"]: (r["result"], r["item"]) for r in out if r["kind"] == "result"}
+    assert len(results) == 2000 and len(calls) < 20  # the others are copies, or name what is not there
+    assert results[1] == ("created", "public-1") and results[2000 - 3] == ("joined", "vol-2" if url(1997) == url(2) else results[1997][1])
+    notes = {r["seq"]: r["note"] for r in out if r["kind"] == "occurrence"}
+    assert notes[1] == notes[1996] == "n" and notes[1998] is None and len(notes) == 1500
+    items = [r for r in out if r["kind"] == "item"]
+    assert sum(r["copies"] for r in items) == 1500 and {r["priority"] for r in items} == {"high"}
+
+
 def test_components_of_leaves_pairs_and_chains(spark):
     rng = random.Random(3)
     pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(28)] + [("p1", "p2"), ("s0", "s9"), ("s0", "s8"), ("q", "q"), ("z", "b"), ("b", "a")]

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import text as T
-from triagelake.operators.queue import label_components, runs
+from triagelake.operators.queue import label_components
 from triagelake.operators.similarity import cut
 from triagelake.sources.snapshots import KeyedTable
 from triagelake.streaming import jobs as J
@@ -24,6 +25,7 @@ EVENT = "seq long, lane string, url string, group_key string, external_id string
 ITEM = "item string, first long, url string, group_key string, source string, status string, priority string, context string, detected_at double, copies long, decision string"
 OCCURRENCE = "seq long, item string, url string, source string, external_id string, note string, t double"
 RESULT = "seq long, result string, item string"
+NOBODY: frozenset[str] = frozenset()
 # Fixed values.
 RANK = {"none": 0, "standard": 1, "high": 2, "urgent": 3}
 DEFAULT, UNSCREENED, RESTRICTED = "Community report without details.", "Not screened in time.", "Restricted by screening."
@@ -32,11 +34,43 @@ ROWS = "kind string, root string, seq long, lane string, url string, group_key s
 OUT = "kind string, deleted boolean, seq long, external_id string, note string, t double, result string, target string, " + ITEM
 
 
+OF_EVENT, OF_ITEM = (x.replace(",", "").split()[::2] for x in (EVENT, ITEM))
+
+
+class Said:
+    """What is said of the events of an Arrow batch, by their places in it: occurrences name the item that they came to, with
+    their words, whatever becomes of it later."""
+
+    def __init__(self):
+        self.at, self.item, self.source, self.note = [], [], [], []
+        self.of, self.result, self.what = [], [], []
+
+    def rows(self, batch: pa.RecordBatch, schema: pa.Schema) -> list[pa.RecordBatch]:
+        """As a batch of OUT, if there is anything; what the events themselves have is taken from theirs."""
+        taken = {c: batch[c].take(pa.array(self.at, pa.int64())) for c in ("seq", "url", "external_id", "t")}
+        occurrences = filled(schema, len(self.at), taken | {"kind": "occurrence", "item": self.item, "source": self.source, "note": self.note})
+        results = filled(schema, len(self.of), {"kind": "result", "seq": batch["seq"].take(pa.array(self.of, pa.int64())), "result": self.result, "item": self.what})
+        return pa.Table.from_batches([occurrences, results]).combine_chunks().to_batches()
+
+
+def filled(schema: pa.Schema, n: int, columns: dict) -> pa.RecordBatch:
+    """A batch of n rows; columns are arrays, lists or one text for all, and null where there is none."""
+    made = []
+    for field in schema:
+        column = columns.get(field.name)
+        if column is None:
+            column = pa.nulls(n, field.type)
+        elif isinstance(column, str):
+            column = pa.repeat(pa.scalar(column, field.type), n)
+        made.append(column.cast(field.type) if isinstance(column, pa.Array) else pa.array(column, field.type))
+    return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
 class Component:
     """Items that links or group keys may join, and what a batch does to them in order."""
 
     def __init__(self, timeout: float):
-        self.timeout, self.items, self.changed, self.new, self.results = timeout, {}, set(), [], []
+        self.timeout, self.items, self.changed, self.said = timeout, {}, set(), Said()
         self.waiting, self.known, self.into = set(), {}, {}
         self.times: list[tuple[float, str]] = []  # a heap of what has waited; names that no longer wait are passed over
         self.by: dict[tuple[str, str], set[str]] = {}
@@ -59,8 +93,12 @@ class Component:
         return self.add({"item": name, "first": e["seq"], "url": e["url"], "group_key": group_key, "source": source, "status": status, "priority": priority, "context": context, "detected_at": e["t"], "copies": 0, "decision": None})
 
     def earliest(self, url: str | None, group_key: str | None = None, other_than: str | None = None) -> dict | None:
-        names = self.by.get(("url", url), set()) if url is not None else set()
-        names = names | (self.by.get(("group_key", group_key), set()) if group_key is not None else set())
+        names = self.by.get(("url", url), NOBODY) if url is not None else NOBODY
+        if group_key is not None:
+            names = names | self.by.get(("group_key", group_key), NOBODY)
+        if len(names) == 1 and other_than is None:
+            (name,) = names
+            return self.items[name]
         found = [self.items[n] for n in names if n != other_than]
         return min(found, key=lambda i: (i["detected_at"], i["first"]), default=None)
 
@@ -76,7 +114,13 @@ class Component:
         """One more copy; it raises the item's priority, and a restricted item takes no words."""
         urgent = priority if priority and RANK[priority] > RANK.get(item["priority"], 0) else item["priority"]
         self.change(item, copies=item["copies"] + 1, priority=urgent)
-        self.new.append({"seq": e["seq"], "item": item["item"], "url": e["url"], "source": source, "external_id": e["external_id"], "note": note, "t": e["t"]})
+        self.occurred(e["at"], item, source, note)
+
+    def occurred(self, at: int, item: dict, source: str, note: str | None) -> None:
+        self.said.at.append(at)
+        self.said.item.append(item["item"])
+        self.said.source.append(source)
+        self.said.note.append(note)
 
     def release(self, now: float) -> None:
         while self.times and self.times[0][0] < now - self.timeout:
@@ -84,10 +128,51 @@ class Component:
             if name in self.waiting:
                 self.change(self.items[name], status="PENDING", context=f"{self.items[name]['context']}\n{UNSCREENED}")
 
-    def event(self, e: dict) -> None:
-        self.release(e["t"])
-        result, item = getattr(self, e["lane"])(e)
-        self.results.append((e["seq"], result, item))
+    def events(self, rows: dict[str, list], start: int, end: int) -> None:
+        """Events in order, from ``rows`` by column, of whose batch ``said`` tells. Most events copy what is known and has left
+        screening, or name what does not exist; those are short. All others are the lane's own."""
+        items, said, times = self.items, self.said, self.times
+        for k in range(start, end):
+            lane, t = rows["lane"][k], rows["t"][k]
+            if times and times[0][0] < t - self.timeout:
+                self.release(t)
+            if lane in ("screening", "review"):
+                name = rows["target"][k]
+                item = items.get(name)
+                result = "missing" if item is None else "refused" if lane == "screening" and item["status"] != "SCREENING" else None
+            else:
+                item = self.known_copy(lane, rows, k)
+                result = None
+                if item is not None:
+                    item["copies"] += 1
+                    name, result = item["item"], "joined"
+                    self.changed.add(name)
+            if result is None:
+                result, name = getattr(self, lane)({"at": k} | {c: rows[c][k] for c in OF_EVENT})
+            said.of.append(k)
+            said.result.append(result)
+            said.what.append(name)
+
+    def known_copy(self, lane: str, rows: dict[str, list], k: int) -> dict | None:
+        """The item that an event only copies, with its words; none where more than copies and priority may change."""
+        if lane == "detection":
+            if rows["external_id"][k] in self.known:
+                return None
+            item = self.earliest(rows["url"][k], rows["group_key"][k])
+            if item is None or item["status"] == "SCREENING" or item["group_key"] is None and rows["group_key"][k] is not None:
+                return None
+            self.known[rows["external_id"][k]] = item["item"]
+            source, note = "DETECTION", None
+        else:
+            item = self.earliest(rows["url"][k])
+            if item is None or lane == "volunteer" and item["status"] == "SCREENING":
+                return None
+            source, note = ("VOLUNTEER", rows["note"][k]) if lane == "volunteer" else ("PUBLIC", (rows["note"][k] or "").strip() or None)
+        priority = rows["priority"][k] if lane != "report" else None
+        if priority and RANK[priority] > RANK.get(item["priority"], 0):
+            item["priority"] = priority
+        self.occurred(k, item, source, note)
+        return item
 
     def report(self, e: dict):
         note, item = (e["note"] or "").strip() or None, self.earliest(e["url"])
@@ -171,13 +256,6 @@ class Component:
             self.into[one] = name
         return name
 
-    def told(self):
-        """What has been said of events so far, as rows of OUT; nothing of it is kept. Occurrences name the item that they
-        came to, with their words, whatever becomes of it later."""
-        new, results, self.new, self.results = self.new, self.results, [], []
-        yield from ({"kind": "occurrence"} | o for o in new)
-        yield from ({"kind": "result", "seq": s, "result": r, "item": i} for s, r, i in results)
-
     def rows(self, now: float):
         """What a batch leaves besides, as rows of OUT."""
         self.release(now)
@@ -186,25 +264,39 @@ class Component:
         yield from ({"kind": "move", "item": a, "target": self.final(a)} for a in [*self.into])
 
 
+def listed(column: pa.Array) -> list:
+    """The values, None for null, in far less time than one by one."""
+    if pa.types.is_string(column.type) or not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def folded(timeout: float, now: float, schema: pa.Schema, most: int = 5_000):
     """Arrow function over rows sorted by root, stored things first: each component as it streams by. Of a component only
-    its items are kept; what is said of its events goes out with about ``most`` rows at a time."""
-    columns, of_event = ITEM.replace(",", "").split()[::2], EVENT.replace(",", "").split()[::2]
+    its items are kept; what is said of its events goes out with their batch, what it leaves with about ``most`` rows at a
+    time. Rows pass by columns, since a row for itself would take most of the time."""
 
     def run(batches):
-        of, out = None, []
-        for new, rows in runs(batches, "root"):
-            if new:
-                out += of.rows(now) if of else []
-                of = Component(timeout)
-            for k, kind in enumerate(rows["kind"]):
-                if kind == "0 item":
-                    of.add({c: rows[c][k] for c in columns})
-                elif kind == "1 known":
-                    of.known[rows["external_id"][k]] = rows["item"][k]
-                else:
-                    of.event({c: rows[c][k] for c in of_event})
-            out += of.told()
+        of, last, out = None, None, []
+        for batch in batches:
+            said, kinds = Said(), listed(batch["kind"])
+            rows = {c: listed(batch[c]) for c in dict.fromkeys([*OF_EVENT, "item"])}
+            root = batch["root"].dictionary_encode()
+            names, codes = root.dictionary.to_pylist(), root.indices.to_numpy()
+            starts = np.flatnonzero(np.diff(codes, prepend=-1)).tolist()
+            for start, end in zip(starts, [*starts[1:], len(kinds)]):
+                if names[codes[start]] != last:
+                    out += of.rows(now) if of else []
+                    of, last = Component(timeout), names[codes[start]]
+                of.said = said
+                stored = next((k for k in range(start, end) if kinds[k] == "2 event"), end)
+                for k in range(start, stored):
+                    if kinds[k] == "0 item":
+                        of.add({c: batch[c][k].as_py() for c in OF_ITEM})
+                    else:
+                        of.known[rows["external_id"][k]] = rows["item"][k]
+                of.events(rows, stored, end)
+            yield from said.rows(batch, schema)
             if len(out) >= most:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
@@ -242,15 +334,20 @@ class LifeCycle:
         items = cut(self.touched(events, self.items.rows(number), known, now))
         node = lambda letter, column: F.concat(F.lit(letter), F.col(column))
         made = F.when(F.col("lane") == "report", F.concat(F.lit("i:public-"), F.col("seq"))).when(F.col("lane") == "volunteer", F.concat(F.lit("i:vol-"), F.col("seq"))).when(F.col("lane") == "detection", node("i:hw-", "external_id"))
-        at_home = F.coalesce(F.when(F.col("lane").isin("screening", "review"), node("i:", "target")), node("u:", "url"), node("x:", "external_id"), F.concat(F.lit("e:"), F.col("seq")))
-        ends = F.array_compact(F.array("node", node("g:", "group_key"), node("x:", "external_id"), made))
-        link = lambda rows, own, others: rows.withColumn("node", own).select(F.col("node").alias("a"), F.explode(others).alias("b"))
-        edges = link(events, at_home, ends).union(link(items, node("i:", "item"), F.array_compact(F.array("node", node("u:", "url"), node("g:", "group_key")))))
+        named = F.col("lane").isin("screening", "review")
+        at_home = F.coalesce(F.when(named, node("i:", "target")), node("u:", "url"), node("x:", "external_id"), F.concat(F.lit("e:"), F.col("seq")))
+        # what names an item that this batch may make stands where that is made, so that the search has no node an event
+        places = events.where(made.isNotNull()).groupBy(made.alias("name")).agg(F.min(at_home).alias("place"))
+        at = events.join(places, named & (node("i:", "target") == F.col("name")), "left").withColumn("node", F.coalesce("place", at_home))
+        events = cut(at.drop("name", "place"))
+        ends = F.array_compact(F.array("node", node("g:", "group_key"), node("x:", "external_id")))
+        link = lambda rows, own, others: rows.withColumn("node", own).select(F.col("node").alias("a"), F.explode(others).alias("b")).distinct()
+        edges = link(events, F.col("node"), ends).union(link(items, node("i:", "item"), F.array_compact(F.array("node", node("u:", "url"), node("g:", "group_key")))))
         edges = edges.union(link(known, node("x:", "external_id"), F.array(node("i:", "item"))))
         roots = label_components(edges)
         parts = [items.select("*", F.lit("0 item").alias("kind"), node("i:", "item").alias("node"), F.col("first").alias("seq"))]
         parts.append(known.select("*", F.lit("1 known").alias("kind"), node("x:", "external_id").alias("node")))
-        parts.append(events.select("*", F.lit("2 event").alias("kind"), at_home.alias("node")))
+        parts.append(events.select("*", F.lit("2 event").alias("kind")))
         rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
         rows = rows.join(roots, "node").drop("node").repartition("root").sortWithinPartitions("root", "kind", "seq")
         empty = self.spark.createDataFrame([], OUT)
