@@ -420,8 +420,8 @@ def most_frequent(vectors: DataFrame, sent: int) -> tuple[DataFrame, DataFrame |
 
 
 def key_columns() -> list:
-    """A text as two hashes."""
-    return [F.xxhash64("text").alias("_key"), F.xxhash64("text", F.lit(1)).alias("_key2")]
+    """A text as two hashes; of the second the seed stands first, since after the text it would only go on from the first."""
+    return [F.xxhash64("text").alias("_key"), F.xxhash64(F.lit(1), "text").alias("_key2")]
 
 
 def text_scores(docs: DataFrame, table, network: Network, others: DataFrame) -> DataFrame:
@@ -516,8 +516,8 @@ def scored_rows(docs: DataFrame, model: tuple[DataFrame, Network | float]) -> Da
         rows = rows.withColumn("text", F.col("row.text"))
         scores = text_scores(rows, table, network, others)
         scores = F.broadcast(scores) if scores.count() <= BROADCAST_IDS else scores
-        joined = rows.withColumns({"_k": F.xxhash64("text"), "_k2": F.xxhash64("text", F.lit(1))})
-        return joined.join(scores, (F.col("_k") == F.col("_key")) & (F.col("_k2") == F.col("_key2"))).select("row", F.col("_score").alias("score"))
+        joined = rows.select("row", *key_columns())
+        return joined.join(scores, ["_key", "_key2"]).select("row", F.col("_score").alias("score"))
 
     def run(batches):
         known = Vectors(table.value)
