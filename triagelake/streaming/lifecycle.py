@@ -326,7 +326,8 @@ class LifeCycle:
         return items.join(every.distinct(), "item", "left_semi")
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        events = cut(batch.withColumn("url", F.when(F.col("url").isNotNull(), T.normalize_url(F.col("url")))).dropDuplicates(["seq"]))
+        # links are normalised after the shuffle, in more tasks than a batch has files
+        events = cut(batch.dropDuplicates(["seq"]).withColumn("url", F.when(F.col("url").isNotNull(), T.normalize_url(F.col("url")))))
         now = events.agg(F.max("t")).first()[0]
         if now is None:
             return
